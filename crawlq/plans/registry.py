@@ -225,7 +225,15 @@ def _(spark, sf_dir):
 
 # Domains
 query("dga_scores")(lambda spark, sf_dir: domains.dga_scores(_hosts(spark, sf_dir)))
-query("dga_site_summary")(lambda spark, sf_dir: domains.dga_site_summary(_hosts(spark, sf_dir), DGA_THRESHOLD))
+
+
+@query("dga_site_summary")
+def _(spark, sf_dir):
+    summary = domains.dga_site_summary(_hosts(spark, sf_dir), DGA_THRESHOLD)
+    # Sums of fractions depend on their order in the last digits.
+    return summary.withColumn("avg_ratio_total", F.round("avg_ratio_total", 9))
+
+
 query("dga_lowest")(lambda spark, sf_dir: domains.dga_lowest(_hosts(spark, sf_dir), 20))
 
 
