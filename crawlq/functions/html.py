@@ -2,14 +2,15 @@
 
 A page is one cell, so everything that only needs that page stays inside its row:
 no shuffle, no window. Rows are exploded when a job needs them as rows.
+The helpers take and return Spark SQL expression text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlq.functions.text import once, strip, unescape
+from crawlq.functions.text import literal, literals, once, strip, unescape
 
 # Script, style and comment bodies stay whole; every character lands in exactly one token.
 TOKEN = (
@@ -42,28 +43,26 @@ def attribute_pattern(name: str) -> str:
     return _BEFORE + name + r"""(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]*)|([\s/>]))"""
 
 
-def attr(raw: Column, name: str) -> Column:
+def attr(raw: str, name: str) -> str:
     """Value of the first attribute `name` of a tag: `''` when bare, NULL when absent."""
-    value = F.regexp_extract(raw, attribute_pattern(name), 1)
-    unquoted = F.when(value.rlike("^[\"']"), F.substr(value, F.lit(2), F.length(value) - F.lit(2))).otherwise(value)
-    bare = F.regexp_extract(raw, attribute_pattern(name), 2) != ""
-    present = F.lower(raw).contains(name)
-    return F.when(present, F.when(value != "", unescape(unquoted)).when(bare, F.lit("")))
-
-
-def _hides(tag: Column, raw: Column) -> Column:
-    lowered = F.lower(raw)
-    by_attribute = F.when(lowered.contains("aria-hidden"), F.lower(attr(raw, "aria-hidden")) == "true").otherwise(
-        False
-    ) | F.when(
-        lowered.contains("display") & lowered.contains("none"),
-        F.lower(attr(raw, "style")).rlike(DISPLAY_NONE),
-    ).otherwise(False)
-    return (
-        F.when(tag.isin(*HIDING_TAGS, *TEXT_HIDING_TAGS), True)
-        .when(tag.isin(*NEVER_HIDING_TAGS), False)
-        .otherwise(F.coalesce(by_attribute, F.lit(False)))
-    )
+    pattern = literal(attribute_pattern(name))
+    value = f"regexp_extract({raw}, {pattern}, 1)"
+    quote = literal("^[\"']")
+    return f"""CASE WHEN NOT contains(lower({raw}), '{name}') THEN NULL
+        WHEN {value} RLIKE {quote} THEN {unescape(f'substr({value}, 2, length({value}) - 2)')}
+        WHEN {value} <> '' THEN {unescape(value)}
+        WHEN regexp_extract({raw}, {pattern}, 2) <> '' THEN '' END"""
+
+
+def hides(tag: str, raw: str) -> str:
+    """Does this opening tag hide what it holds."""
+    lowered = f"lower({raw})"
+    by_aria = f"contains({lowered}, 'aria-hidden') AND lower({attr(raw, 'aria-hidden')}) = 'true'"
+    by_style = f"""contains({lowered}, 'display') AND contains({lowered}, 'none')
+        AND lower({attr(raw, 'style')}) RLIKE {literal(DISPLAY_NONE)}"""
+    return f"""CASE WHEN {tag} IN ({literals(HIDING_TAGS + TEXT_HIDING_TAGS)}) THEN true
+        WHEN {tag} IN ({literals(NEVER_HIDING_TAGS)}) THEN false
+        ELSE coalesce({by_aria}, false) OR coalesce({by_style}, false) END"""
 
 
 def with_tags(pages: DataFrame) -> DataFrame:
@@ -74,62 +73,37 @@ def with_tags(pages: DataFrame) -> DataFrame:
     """
     if "tags" in pages.columns:
         return pages
-
-    def describe(raw: Column, pos: Column) -> Column:
-        tag = F.lower(F.regexp_extract(raw, r"^</?([a-zA-Z][^\s/>]*)", 1))
-        kind = (
-            F.when(~raw.startswith("<") | (raw == "<"), "text")
-            .when(raw.startswith("<!--") & raw.endswith("-->"), "comment")
-            .when(raw.startswith("<!"), "decl")
-            .when(raw.startswith("</"), "close")
-            .when(raw.rlike(r"(?i)^<script\b") & raw.rlike(r"(?i)</script\s*>$"), "script")
-            .when(raw.rlike(r"(?i)^<style\b") & raw.rlike(r"(?i)</style\s*>$"), "style")
-            .otherwise("open")
-        )
-        return F.struct(
-            pos.alias("pos"),
-            kind.alias("kind"),
-            F.when(kind.isin("text", "comment", "decl"), F.lit("")).otherwise(tag).alias("tag"),
-            raw.alias("raw"),
-        )
-
-    tokens = F.regexp_extract_all(F.coalesce(F.col("html"), F.lit("")), F.lit(TOKEN), F.lit(0))
-    return once(pages, {"tags": F.transform(tokens, describe)}).drop("html")
-
-
-def _span_step(state: Column, t: Column) -> Column:
-    opens = t["kind"] == "open"
-    closes = t["kind"] == "close"
-    same = t["tag"] == state["name"]
-    idle = state["name"] == ""
-    in_list = state["name"] == "li"
-    list_tag = t["tag"].isin("ul", "ol")
-    # The element ends just before this tag (an implied end), or with it (its own end tag).
-    ends_before = ~idle & (
-        (state["name"].isin(*SELF_ENDING_TAGS) & opens & same)
-        | ((state["name"] == "head") & opens & (t["tag"] == "body"))
-        | (in_list & (state["depth"] == 1) & ((opens & same) | (closes & list_tag)))
-    )
-    ends_here = ~idle & closes & same & (state["depth"] == 1)
-    starts = (idle | ends_before) & opens & t["hides"]
-    nests = F.when(in_list, list_tag).otherwise(same)
-    depth = (
-        F.when(starts, F.lit(1))
-        .when(nests & opens, state["depth"] + F.lit(1))
-        .when(nests & closes, state["depth"] - F.lit(1))
-        .otherwise(state["depth"])
-    )
-    span = F.struct(
-        state["lo"].alias("lo"), F.when(ends_here, t["pos"]).otherwise(t["pos"] - F.lit(1)).alias("hi")
-    )
-    return F.struct(
-        F.when(starts, t["tag"]).when(ends_before | ends_here, F.lit("")).otherwise(state["name"]).alias("name"),
-        depth.alias("depth"),
-        F.when(starts, t["pos"]).otherwise(state["lo"]).alias("lo"),
-        F.when(ends_before | ends_here, F.concat(state["spans"], F.array(span)))
-        .otherwise(state["spans"])
-        .alias("spans"),
-    )
+    name = literal(r"^</?([a-zA-Z][^\s/>]*)")
+    kind = f"""CASE WHEN NOT startswith(x, '<') OR x = '<' THEN 'text'
+        WHEN startswith(x, '<!--') AND endswith(x, '-->') THEN 'comment'
+        WHEN startswith(x, '<!') THEN 'decl'
+        WHEN startswith(x, '</') THEN 'close'
+        WHEN x RLIKE {literal(r"(?i)^<script\b")} AND x RLIKE {literal(r"(?i)</script\s*>$")} THEN 'script'
+        WHEN x RLIKE {literal(r"(?i)^<style\b")} AND x RLIKE {literal(r"(?i)</style\s*>$")} THEN 'style'
+        ELSE 'open' END"""
+    tokens = f"regexp_extract_all(coalesce(html, ''), {literal(TOKEN)}, 0)"
+    tags = f"""transform({tokens}, (x, i) -> named_struct('pos', i, 'kind', {kind},
+        'tag', CASE WHEN startswith(x, '<') THEN lower(regexp_extract(x, {name}, 1)) ELSE '' END, 'raw', x))"""
+    return once(pages, {"tags": tags}).drop("html")
+
+
+# The open hidden element ends just before this tag (an implied end) …
+_ENDS_BEFORE = f"""(s.name <> '' AND (
+    (s.name IN ({literals(SELF_ENDING_TAGS)}) AND t.kind = 'open' AND t.tag = s.name)
+    OR (s.name = 'head' AND t.kind = 'open' AND t.tag = 'body')
+    OR (s.name = 'li' AND s.depth = 1
+      AND ((t.kind = 'open' AND t.tag = 'li') OR (t.kind = 'close' AND t.tag IN ('ul', 'ol'))))))"""
+# … or with it (its own end tag).
+_ENDS_HERE = "(s.name <> '' AND t.kind = 'close' AND t.tag = s.name AND s.depth = 1)"
+_STARTS = f"((s.name = '' OR {_ENDS_BEFORE}) AND t.hides)"
+_NESTS = "(t.tag = s.name AND s.name <> 'li') OR (s.name = 'li' AND t.tag IN ('ul', 'ol'))"
+_SPAN_STEP = f"""named_struct(
+    'name', CASE WHEN {_STARTS} THEN t.tag WHEN {_ENDS_BEFORE} OR {_ENDS_HERE} THEN '' ELSE s.name END,
+    'depth', CASE WHEN {_STARTS} THEN 1
+      WHEN {_NESTS} THEN s.depth + CASE WHEN t.kind = 'open' THEN 1 ELSE -1 END ELSE s.depth END,
+    'lo', CASE WHEN {_STARTS} THEN t.pos ELSE s.lo END,
+    'spans', CASE WHEN {_ENDS_BEFORE} THEN concat(s.spans, array(named_struct('lo', s.lo, 'hi', t.pos - 1)))
+      WHEN {_ENDS_HERE} THEN concat(s.spans, array(named_struct('lo', s.lo, 'hi', t.pos))) ELSE s.spans END)"""
 
 
 def with_hidden_spans(tagged: DataFrame) -> DataFrame:
@@ -138,40 +112,29 @@ def with_hidden_spans(tagged: DataFrame) -> DataFrame:
     One pass over the page's tags follows the hidden element that is open at the moment;
     what lies inside it cannot outlast it. An element left open runs to the end of the page.
     """
-
-    def slim(t: Column) -> Column:
-        return F.struct(
-            t["pos"].alias("pos"),
-            t["kind"].alias("kind"),
-            t["tag"].alias("tag"),
-            ((t["kind"] == "open") & _hides(t["tag"], t["raw"])).alias("hides"),
-        )
-
-    paired = F.filter("tags", lambda t: t["kind"].isin("open", "close") & ~t["tag"].isin(*VOID_TAGS))
-    start = F.struct(
-        F.lit("").alias("name"),
-        F.lit(0).alias("depth"),
-        F.lit(0).alias("lo"),
-        F.array().cast("array<struct<lo:int,hi:int>>").alias("spans"),
-    )
-
-    def finish(state: Column) -> Column:
-        rest = F.struct(state["lo"].alias("lo"), F.lit(2**31 - 1).alias("hi"))
-        return F.when(state["name"] != "", F.concat(state["spans"], F.array(rest))).otherwise(state["spans"])
-
-    return once(tagged, {"hidden_spans": F.aggregate(F.transform(paired, slim), start, _span_step, finish)})
-
-
-def outside(tokens: Column, spans: str) -> Column:
+    if "hidden_spans" in tagged.columns:
+        return tagged
+    paired = f"filter(tags, t -> t.kind IN ('open', 'close') AND t.tag NOT IN ({literals(VOID_TAGS)}))"
+    slim = f"""transform({paired}, t -> named_struct('pos', t.pos, 'kind', t.kind, 'tag', t.tag,
+        'hides', t.kind = 'open' AND {hides('t.tag', 't.raw')}))"""
+    start = "named_struct('name', '', 'depth', 0, 'lo', 0, 'spans', CAST(array() AS ARRAY<STRUCT<lo: INT, hi: INT>>))"
+    finish = f"""CASE WHEN s.name <> '' THEN concat(s.spans, array(named_struct('lo', s.lo, 'hi', {2**31 - 1})))
+        ELSE s.spans END"""
+    return once(tagged, {"hidden_spans": f"aggregate({slim}, {start}, (s, t) -> {_SPAN_STEP}, s -> {finish})"})
+
+
+def outside(tokens: str, spans: str = "hidden_spans") -> str:
     """The tokens that lie in none of the hidden spans."""
-    return F.filter(
-        tokens, lambda t: ~F.exists(F.col(spans), lambda s: (t["pos"] >= s["lo"]) & (t["pos"] <= s["hi"]))
-    )
+    return f"filter({tokens}, t -> NOT exists({spans}, r -> t.pos BETWEEN r.lo AND r.hi))"
 
 
-def shown(tokens: Column, spans: str = "hidden_spans") -> Column:
+def shown(tokens: str, spans: str = "hidden_spans") -> str:
     """The element tokens that neither hide themselves nor lie in a hidden span."""
-    return F.filter(outside(tokens, spans), lambda t: ~_hides(t["tag"], t["raw"]))
+    return f"filter({outside(tokens, spans)}, t -> NOT ({hides('t.tag', 't.raw')}))"
+
+
+def tags_named(*names: str, kinds: tuple[str, ...] = ("open", "script", "style")) -> str:
+    return f"filter(tags, t -> t.tag IN ({literals(names)}) AND t.kind IN ({literals(kinds)}))"
 
 
 def select_tags(tagged: DataFrame, *names: str, visible: bool = False) -> DataFrame:
@@ -181,24 +144,22 @@ def select_tags(tagged: DataFrame, *names: str, visible: bool = False) -> DataFr
     """
     if visible:
         tagged = with_hidden_spans(tagged)
-    wanted = F.filter("tags", lambda t: t["tag"].isin(*names) & t["kind"].isin("open", "script", "style"))
+    wanted = tags_named(*names)
     return explode_tags(tagged, shown(wanted) if visible else wanted)
 
 
-def explode_tags(tagged: DataFrame, array: Column | str) -> DataFrame:
+def explode_tags(tagged: DataFrame, array: str) -> DataFrame:
     keep = [c for c in CARRIED if c in tagged.columns]
     # Outer explode plus a test on its output: a plain explode makes the optimiser add a
-    # size test below it, which evaluates the page regex a second time.
-    rows = tagged.select(*keep, F.explode_outer(array).alias("__t"))
-    return rows.where(F.col("__t").isNotNull()).select(*keep, "__t.*")
+    # size test below it, which evaluates the array a second time.
+    rows = tagged.select(*keep, F.expr(f"explode_outer({array})").alias("__t"))
+    return rows.where("__t IS NOT NULL").select(*keep, "__t.*")
 
 
-def first_pos(array: str, name: str) -> Column:
+def first_pos(name: str) -> str:
     """Position of the first opening tag `name`, or NULL."""
-    return F.try_element_at(
-        F.filter(array, lambda t: (t["tag"] == name) & (t["kind"] == "open")), F.lit(1)
-    )["pos"]
+    return f"try_element_at({tags_named(name, kinds=('open',))}, 1).pos"
 
 
-def plain(text: Column) -> Column:
+def plain(text: str) -> str:
     return strip(unescape(text))

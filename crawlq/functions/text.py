@@ -1,4 +1,8 @@
-"""Text helpers shared by the page and URL jobs (native column expressions only)."""
+"""Text helpers shared by the page and URL jobs.
+
+The helpers take and return Spark SQL expression text; `F.expr` turns it into a column.
+One parsed text costs one call to the JVM, where a column built function by function costs hundreds.
+"""
 
 from __future__ import annotations
 
@@ -12,63 +16,70 @@ STOP_WORDS = (
 )
 
 WORD = "[0-9a-zA-Z]+"
+WHITESPACE = " \t\n\r\x0b\x0c"
+
+
+def literal(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literals(values) -> str:
+    return ", ".join(literal(v) for v in values)
 
 
-def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+def once(df: DataFrame, columns: dict[str, Column | str]) -> DataFrame:
     """Add columns that are computed exactly once per row.
 
     The optimiser copies a projected expression into filters, join keys and lambdas above it, so a
     page regex could run many times per row. It never copies through a generator, and a
     one-element `inline` is the cheapest one. Filters on other columns still move below it.
     """
-    added = F.inline(F.array(F.struct(*[value.alias(name) for name, value in columns.items()])))
+    values = [(F.expr(v) if isinstance(v, str) else v).alias(name) for name, v in columns.items()]
+    added = F.inline(F.array(F.struct(*values)))
     return df.select(*[c for c in df.columns if c not in columns], added)
 
 
-WHITESPACE = " \t\n\r\x0b\x0c"
+def strip(text: str) -> str:
+    """Drop leading and trailing whitespace of every kind (`trim` only drops blanks)."""
+    return f"btrim({text}, {literal(WHITESPACE)})"
 
 
-def strip(text: Column) -> Column:
-    """Drop leading and trailing whitespace of every kind (`trim` only drops blanks)."""
-    return F.btrim(text, F.lit(WHITESPACE))
+def strip_chars(text: str, chars: str) -> str:
+    return f"btrim({text}, {literal(chars)})"
 
 
-def compact_lower(html: Column) -> Column:
+def compact_lower(html: str = "html") -> str:
     """The page as one lower-case line: newlines are removed, not replaced."""
-    return F.lower(F.replace(F.coalesce(html, F.lit("")), F.lit("\n"), F.lit("")))
+    return f"lower(replace(coalesce({html}, ''), {literal(chr(10))}, ''))"
 
 
-def words(text: Column) -> Column:
+def words(text: str) -> str:
     """All runs of ASCII letters and digits, in order, duplicates kept."""
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    return f"regexp_extract_all({text}, {literal(WORD)}, 0)"
 
 
-def unescape(text: Column) -> Column:
+def unescape(text: str) -> str:
     """Decode the five basic character references; `&amp;` goes last so nothing is decoded twice."""
     for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(char))
+        text = f"replace({text}, {literal(name)}, {literal(char)})"
     return text
 
 
-def percent_decode_once(text: Column) -> Column:
+def percent_decode_once(text: str) -> str:
     """One round of percent-decoding that leaves `+` and malformed escapes as they are."""
-    safe = F.regexp_replace(F.replace(text, F.lit("+"), F.lit("%2B")), "%(?![0-9a-fA-F]{2})", "%25")
-    return F.url_decode(safe)
+    malformed = literal("%(?![0-9a-fA-F]{2})")
+    return f"url_decode(regexp_replace(replace({text}, '+', '%2B'), {malformed}, '%25'))"
 
 
-def percent_decode_fully(text: Column) -> Column:
+def percent_decode_fully(text: str) -> str:
     """Percent-decode until nothing changes.
 
     Each round that changes something shortens the text by two characters or more,
     so half the length bounds the rounds; once stable the remaining rounds are no-ops.
     """
-    start = F.struct(text.alias("t"), F.lit(False).alias("done"))
-
-    def step(state: Column, _: Column) -> Column:
-        decoded = percent_decode_once(state["t"])
-        return F.when(state["done"], state).otherwise(
-            F.struct(decoded.alias("t"), (decoded == state["t"]).alias("done"))
-        )
-
-    rounds = F.sequence(F.lit(0), F.floor(F.length(text) / 2).cast("int"))
-    return F.aggregate(rounds, start, step, lambda state: state["t"])
+    return f"""aggregate(sequence(0, CAST(floor(length({text}) / 2) AS INT)),
+        named_struct('t', {text}, 'before', CAST(NULL AS STRING)),
+        (s, i) -> CASE WHEN s.t <=> s.before THEN s
+          ELSE named_struct('t', {percent_decode_once('s.t')}, 'before', s.t) END,
+        s -> s.t)"""

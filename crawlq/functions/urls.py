@@ -1,11 +1,11 @@
-"""URL splitting, reduction and reference resolution (native column expressions only)."""
+"""URL splitting, reduction and reference resolution, as Spark SQL expression text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlq.functions.text import once, strip
+from crawlq.functions.text import literal, literals, once, strip, strip_chars
 
 # Schemes whose last path segment may carry `;params`, schemes that
 # allow relative references, and schemes that are written with `//authority`.
@@ -39,7 +39,6 @@ def _ipv6_pattern() -> str:
 IPV4 = f"^{_V4}$"
 IPV6 = _ipv6_pattern()
 
-
 # One pattern per part, so that each part is a single expression on the URL: cheap to filter on.
 # "host:80" is a host with a port and no scheme; "http:80" has one.
 _SCHEME = r"(?s)^(?:(http(?=:)|[A-Za-z0-9+.\-]+(?=:)(?!:[0-9]+$)):)?"
@@ -52,199 +51,191 @@ _QUERY = r"(?s)^[^?#]*\?([^#]*)"
 _FRAGMENT = r"(?s)^[^#]*#(.*)$"
 
 
-def after(text: Column, divider: str) -> Column:
-    """What follows the first `divider`, `''` without one."""
-    return F.substr(text, F.length(F.substring_index(text, divider, 1)) + F.lit(len(divider) + 1))
+def _extract(text: str, pattern: str, group: int) -> str:
+    return f"regexp_extract({text}, {literal(pattern)}, {group})"
 
 
-def url_part(url: Column, part: str) -> Column:
+def url_part(url: str, part: str) -> str:
     """One part of a URL. A missing part is `''`; a missing host or an unusable port is NULL."""
-    u = strip(F.coalesce(url, F.lit("")))
-    scheme = F.lower(F.regexp_extract(u, _SCHEME, 1))
-    with_params = scheme.isin(*PARAM_SCHEMES)
+    u = strip(f"coalesce({url}, '')")
+    with_params = f"lower({_extract(u, _SCHEME, 1)}) IN ({literals(PARAM_SCHEMES)})"
     if part == "scheme":
-        return scheme
+        return f"lower({_extract(u, _SCHEME, 1)})"
     if part == "netloc":
-        return F.regexp_extract(u, _NETLOC, 2)
+        return _extract(u, _NETLOC, 2)
     if part == "hostname":
-        return F.nullif(F.lower(F.translate(F.regexp_extract(u, _HOST, 2), "[]", "")), F.lit(""))
+        return f"nullif(lower(translate({_extract(u, _HOST, 2)}, '[]', '')), '')"
     if part == "port":
-        port = F.regexp_extract(u, _PORT, 3).try_cast("int")
-        return F.when(port <= 65535, port)
+        port = f"try_cast({_extract(u, _PORT, 3)} AS INT)"
+        return f"CASE WHEN {port} <= 65535 THEN {port} END"
     if part == "path":
-        return F.when(with_params, F.regexp_extract(u, _PATH_PARAMS, 3)).otherwise(F.regexp_extract(u, _PATH, 3))
+        return f"CASE WHEN {with_params} THEN {_extract(u, _PATH_PARAMS, 3)} ELSE {_extract(u, _PATH, 3)} END"
     if part == "params":
-        return F.when(with_params, F.regexp_extract(u, _PATH_PARAMS, 4)).otherwise(F.lit(""))
+        return f"CASE WHEN {with_params} THEN {_extract(u, _PATH_PARAMS, 4)} ELSE '' END"
     if part == "query":
-        return F.regexp_extract(u, _QUERY, 1)
+        return _extract(u, _QUERY, 1)
     if part == "fragment":
-        return F.regexp_extract(u, _FRAGMENT, 1)
+        return _extract(u, _FRAGMENT, 1)
     raise ValueError(f"unknown URL part {part!r}")
 
 
+def host_or_empty(url: str) -> str:
+    return f"coalesce({url_part(url, 'hostname')}, '')"
+
+
+def site(url: str) -> str:
+    """`scheme://netloc/`; the case of the netloc is kept."""
+    return f"concat({url_part(url, 'scheme')}, '://', {url_part(url, 'netloc')}, '/')"
+
+
 def with_url_parts(df: DataFrame, url: str, prefix: str = "", parts: tuple[str, ...] = PARTS) -> DataFrame:
     """Add URL parts as columns `<prefix>scheme` … `<prefix>fragment`. Never fails on odd input."""
-    return df.withColumns({prefix + part: url_part(F.col(url), part) for part in parts})
+    return df.withColumns({prefix + part: F.expr(url_part(url, part)) for part in parts})
 
 
-def is_ipv4(host: Column) -> Column:
-    return F.coalesce(host.rlike(IPV4), F.lit(False))
+def is_ipv4(host: str) -> str:
+    return f"coalesce({host} RLIKE {literal(IPV4)}, false)"
 
 
-def is_ipv6(host: Column) -> Column:
-    return F.coalesce(host.rlike(IPV6), F.lit(False))
+def is_ipv6(host: str) -> str:
+    return f"coalesce({host} RLIKE {literal(IPV6)}, false)"
 
 
-def host_kind(host: Column) -> Column:
+def host_kind(host: str) -> str:
     """`ipv4`, `ipv6` or `name`; a decimal port may follow, and then IPv6 must be bracketed."""
-    colons = F.length(host) - F.length(F.replace(host, F.lit(":"), F.lit("")))
-    tail_digits = host.rlike(":[0-9]+$")
-    bare_v6 = F.regexp_replace(F.regexp_replace(host, ":[0-9]+$", ""), r"^[\[\]]+|[\[\]]+$", "")
-    v6 = F.when(host.contains("[") & host.contains("]") & tail_digits, is_ipv6(bare_v6)).otherwise(is_ipv6(host))
-    v4 = is_ipv4(F.when((colons == 1) & tail_digits, F.substring_index(host, ":", 1)).otherwise(host))
-    return (
-        F.when(F.coalesce(host, F.lit("")) == "", "name")
-        .when(colons > 1, F.when(v6, "ipv6").otherwise("name"))
-        .when(v4, "ipv4")
-        .otherwise("name")
-    )
-
-
-def file_extension(path: Column) -> Column:
+    colons = f"(length({host}) - length(replace({host}, ':', '')))"
+    ported = f"{host} RLIKE ':[0-9]+$'"
+    unported = strip_chars(f"regexp_replace({host}, ':[0-9]+$', '')", "[]")
+    bracketed = f"contains({host}, '[') AND contains({host}, ']') AND {ported}"
+    return f"""CASE WHEN coalesce({host}, '') = '' THEN 'name'
+        WHEN {colons} > 1 THEN CASE WHEN ({bracketed} AND {is_ipv6(unported)}) OR (NOT ({bracketed}) AND {is_ipv6(host)})
+          THEN 'ipv6' ELSE 'name' END
+        WHEN ({colons} = 1 AND {ported} AND {is_ipv4(f"substring_index({host}, ':', 1)")}) OR {is_ipv4(host)} THEN 'ipv4'
+        ELSE 'name' END"""
+
+
+def file_extension(path: str) -> str:
     """Lower-case extension with its dot, or `''`; the dot may not be the first character."""
-    return F.lower(F.regexp_extract(path, rf"(?s).(\.[0-9a-zA-Z]{{1,{MAX_EXTENSION}}})$", 1))
+    return f"lower({_extract(path, rf'(?s).(\.[0-9a-zA-Z]{{1,{MAX_EXTENSION}}})$', 1)})"
 
 
-def zero_digits(text: Column) -> Column:
-    return strip(F.translate(text, "123456789", "000000000"))
+def zero_digits(text: str) -> str:
+    return strip(f"translate({text}, '123456789', '000000000')")
 
 
-def path_level(path: Column) -> Column:
+def path_level(path: str) -> str:
     """Number of non-blank path segments, minus a half unless the path ends in `/`."""
     trimmed = strip(path)
-    depth = F.size(F.filter(F.split(trimmed, "/"), lambda s: strip(s) != ""))
-    return depth.cast("double") - F.when(trimmed.endswith("/"), 0.0).otherwise(0.5)
+    depth = f"size(filter(split({trimmed}, '/'), s -> {strip('s')} <> ''))"
+    return f"CAST({depth} AS DOUBLE) - CASE WHEN endswith({trimmed}, '/') THEN 0D ELSE 0.5D END"
 
 
-def query_pairs(query: Column) -> Column:
+def after(text: str, divider: str) -> str:
+    """What follows the first `divider`, `''` without one."""
+    head = f"substring_index({text}, {literal(divider)}, 1)"
+    return f"substr({text}, length({head}) + {len(divider) + 1})"
+
+
+def query_pairs(query: str) -> str:
     """`array<struct<k,v>>` of the query, in order; keys and values trimmed, empty keys dropped."""
-    pairs = F.transform(
-        F.split(query, "&"),
-        lambda p: F.struct(
-            strip(F.substring_index(p, "=", 1)).alias("k"),
-            strip(after(p, "=")).alias("v"),
-        ),
-    )
-    return F.filter(pairs, lambda p: p["k"] != "")
+    key = strip("substring_index(p, '=', 1)")
+    pairs = f"transform(split({query}, '&'), p -> named_struct('k', {key}, 'v', {strip(after('p', '='))}))"
+    return f"filter({pairs}, p -> p.k <> '')"
 
 
-def split_last(text: Column, divider: str) -> tuple[Column, Column]:
+def split_last(text: str, divider: str) -> tuple[str, str]:
     """Left and right of the last `divider`; without one, the text itself and `''`."""
-    right = F.substring_index(text, divider, -1)
-    found = F.instr(text, divider) > 0
-    left = F.when(found, F.substr(text, F.lit(1), F.length(text) - F.length(right) - F.lit(1))).otherwise(text)
-    return left, F.when(found, right).otherwise(F.lit(""))
+    d = literal(divider)
+    right = f"substring_index({text}, {d}, -1)"
+    found = f"instr({text}, {d}) > 0"
+    left = f"CASE WHEN {found} THEN left({text}, length({text}) - length({right}) - {len(divider)}) ELSE {text} END"
+    return left, f"CASE WHEN {found} THEN {right} ELSE '' END"
 
 
-def with_reduced(df: DataFrame, url: str, out: str, does_trim: bool = False, keep_frag: bool = False) -> DataFrame:
-    """Add `out`: host + path + `?` + query, without scheme, port, user info and `;params`."""
-    u = F.col(url)
-    host = F.coalesce(url_part(u, "hostname"), F.lit(""))
-    reduced = F.concat(host, url_part(u, "path"), F.lit("?"), url_part(u, "query"))
+def reduced(url: str, does_trim: bool = False, keep_frag: bool = False) -> str:
+    """Host + path + `?` + query, without scheme, port, user info and `;params`."""
+    pieces = [host_or_empty(url), url_part(url, "path"), "'?'", url_part(url, "query")]
     if keep_frag:
-        reduced = F.concat(reduced, F.when(u.contains("#"), F.concat(F.lit("#"), url_part(u, "fragment"))).otherwise(""))
-    reduced = strip(reduced)
+        mark = f"CASE WHEN contains({url}, '#') THEN concat('#', {url_part(url, 'fragment')}) ELSE '' END"
+        pieces.append(mark)
+    text = strip(f"concat({', '.join(pieces)})")
     if does_trim:
-        reduced = F.regexp_replace(strip(F.substring_index(reduced, "?", 1)), r"^(?:www\.)+", "")
-    return once(df, {out: F.coalesce(reduced, F.lit(""))})
+        cut = strip(f"substring_index({text}, '?', 1)")
+        text = f"regexp_replace({cut}, {literal(r'^(?:www\.)+')}, '')"
+    return f"coalesce({text}, '')"
 
 
-def path_structure(reduced: Column) -> Column:
+def with_reduced(df: DataFrame, url: str, out: str, does_trim: bool = False, keep_frag: bool = False) -> DataFrame:
+    """Add `out`: the URL in reduced form."""
+    return once(df, {out: reduced(url, does_trim, keep_frag)})
+
+
+def path_structure(reduced_url: str) -> str:
     """Directory part of a reduced URL as `/d1/d2/`, host and file name dropped."""
-    segments = F.split(F.substring_index(reduced, "?", 1), "/")
-    inner = F.slice(segments, F.lit(2), F.greatest(F.size(segments) - F.lit(2), F.lit(0)))
-    return F.concat(F.lit("/"), F.array_join(F.concat(inner, F.array(F.lit(""))), "/"))
+    segments = f"split(substring_index({reduced_url}, '?', 1), '/')"
+    inner = f"slice({segments}, 2, greatest(size({segments}) - 2, 0))"
+    return f"concat('/', array_join(concat({inner}, array('')), '/'))"
 
 
-def without_filename(reduced: Column) -> Column:
+def without_filename(reduced_url: str) -> str:
     """A reduced URL up to its last `/` (the query counts as text here)."""
-    return F.when(F.instr(reduced, "/") > 0, split_last(reduced, "/")[0]).otherwise(F.lit(""))
+    return f"CASE WHEN instr({reduced_url}, '/') > 0 THEN {split_last(reduced_url, '/')[0]} ELSE '' END"
 
 
-def file_name(link: Column) -> Column:
+def file_name(link: str) -> str:
     """Last `/` part of a link, without its query."""
-    return F.substring_index(F.substring_index(link, "/", -1), "?", 1)
-
-
-def _merge_path(base_path: Column, path: Column) -> Column:
-    """Relative path on a base path; a `..` with nothing left to remove stays."""
-    base_dir = F.split(base_path, "/")
-    joined = F.concat(F.slice(base_dir, F.lit(1), F.size(base_dir) - F.lit(1)), F.split(path, "/"))
-    final = F.element_at(joined, -1)
-    names_dir = final.isin(".", "..")
-    steps = F.when(names_dir, F.slice(joined, F.lit(1), F.size(joined) - F.lit(1))).otherwise(joined)
+    return f"substring_index(substring_index({link}, '/', -1), '?', 1)"
 
-    def walk(done: Column, segment: Column) -> Column:
-        droppable = ~F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit("")).isin("", "..")
-        return (
-            F.when(segment == ".", done)
-            .when((segment == "..") & droppable, F.slice(done, F.lit(1), F.size(done) - F.lit(1)))
-            .otherwise(F.concat(done, F.array(segment)))
-        )
 
-    def close(done: Column) -> Column:
-        # A closing ".." leaves the directory before it, but never the root.
-        inside = (final == "..") & (F.array_join(done, "/") != "")
-        kept = F.when(inside, F.slice(done, F.lit(1), F.size(done) - F.lit(1))).otherwise(done)
-        return F.array_join(F.when(names_dir, F.concat(kept, F.array(F.lit("")))).otherwise(done), "/")
+def _merged_path(base_path: str, path: str) -> str:
+    """Relative path on a base path; a `..` with nothing left to remove stays.
 
-    return F.aggregate(steps, F.array().cast("array<string>"), walk, close)
+    A closing `.` or `..` names a directory; `..` then leaves the directory before it, never the root.
+    """
+    base_dir = f"split({base_path}, '/')"
+    joined = f"concat(slice({base_dir}, 1, size({base_dir}) - 1), split({path}, '/'))"
+    final = f"substring_index({path}, '/', -1)"
+    steps = f"CASE WHEN {final} IN ('.', '..') THEN slice({joined}, 1, size({joined}) - 1) ELSE {joined} END"
+    return f"""aggregate({steps}, CAST(array() AS ARRAY<STRING>),
+        (done, seg) -> CASE WHEN seg = '.' THEN done
+          WHEN seg = '..' AND coalesce(try_element_at(done, -1), '') NOT IN ('', '..') THEN slice(done, 1, size(done) - 1)
+          ELSE concat(done, array(seg)) END,
+        done -> array_join(CASE
+          WHEN {final} = '..' AND array_join(done, '/') <> '' THEN concat(slice(done, 1, size(done) - 1), array(''))
+          WHEN {final} IN ('.', '..') THEN concat(done, array('')) ELSE done END, '/'))"""
 
 
 def with_resolved(df: DataFrame, base: str, link: str, out: str) -> DataFrame:
     """Add `out`: the link resolved on the base URL; a lone `#` is appended to the base."""
     names = ("scheme", "netloc", "path", "params", "query")
-    trimmed = strip(F.coalesce(F.col(link), F.lit("")))
-    parts = {f"__b_{n}": url_part(F.col(base), n) for n in names}
-    parts |= {f"__l_{n}": url_part(trimmed, n) for n in (*names, "fragment")}
+    trimmed = strip(f"coalesce({link}, '')")
+    parts = {f"__b_{n}": url_part(base, n) for n in names}
+    parts |= {f"__l_{n}": url_part(link, n) for n in (*names, "fragment")}
     df = once(df, {"__res_link": trimmed, **parts})
-    b = lambda name: F.col("__b_" + name)
-    l = lambda name: F.col("__l_" + name)  # noqa: E731, E741
-    own_authority = l("netloc") != ""
-    empty_path = (l("path") == "") & (l("params") == "")
-    inherit = ~own_authority & empty_path
-    path = (
-        F.when(own_authority | l("path").startswith("/"), l("path"))
-        .when(empty_path, b("path"))
-        .otherwise(_merge_path(b("path"), l("path")))
-    )
-    params = F.when(inherit, b("params")).otherwise(l("params"))
-    df = once(
-        df,
-        {
-            "__res_scheme": F.when(l("scheme") == "", b("scheme")).otherwise(l("scheme")),
-            "__res_netloc": F.when(own_authority, l("netloc")).otherwise(b("netloc")),
-            "__res_path": F.concat(path, F.when(params != "", F.concat(F.lit(";"), params)).otherwise("")),
-            "__res_query": F.when(inherit & (l("query") == ""), b("query")).otherwise(l("query")),
-        },
-    )
-    scheme, netloc, path, query = (F.col(c) for c in ("__res_scheme", "__res_netloc", "__res_path", "__res_query"))
-    with_authority = (netloc != "") | (scheme.isin(*AUTHORITY_SCHEMES) & ~path.startswith("//"))
-    unrooted = (path != "") & ~path.startswith("/")
-    text = F.concat(
-        F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""),
-        F.when(with_authority, F.concat(F.lit("//"), netloc, F.when(unrooted, "/").otherwise(""))).otherwise(""),
-        path,
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
-        F.when(l("fragment") != "", F.concat(F.lit("#"), l("fragment"))).otherwise(""),
-    )
-    whole, link_text = F.coalesce(F.col(base), F.lit("")), F.col("__res_link")
-    resolved = (
-        F.when(link_text == "#", F.concat(whole, F.lit("#")))
-        .when(whole == "", link_text)
-        .when(link_text == "", whole)
-        .when((scheme != b("scheme")) | ~scheme.isin(*RELATIVE_SCHEMES), link_text)
-        .otherwise(text)
-    )
-    df = once(df, {out: F.coalesce(resolved, F.lit(""))})
-    return df.drop("__res_link", *parts, "__res_scheme", "__res_netloc", "__res_path", "__res_query")
+    inherit = "__l_netloc = '' AND __l_path = '' AND __l_params = ''"
+    merged = {
+        "__res_scheme": "CASE WHEN __l_scheme = '' THEN __b_scheme ELSE __l_scheme END",
+        "__res_netloc": "CASE WHEN __l_netloc <> '' THEN __l_netloc ELSE __b_netloc END",
+        "__res_path": f"""CASE WHEN __l_netloc <> '' OR startswith(__l_path, '/') THEN __l_path
+            WHEN {inherit} THEN __b_path ELSE {_merged_path('__b_path', '__l_path')} END""",
+        "__res_params": f"CASE WHEN {inherit} THEN __b_params ELSE __l_params END",
+        "__res_query": f"CASE WHEN {inherit} AND __l_query = '' THEN __b_query ELSE __l_query END",
+    }
+    df = once(df, merged)
+    with_authority = f"""(__res_netloc <> '' OR (__res_scheme IN ({literals(AUTHORITY_SCHEMES)})
+        AND NOT startswith(__res_path, '//')))"""
+    text = f"""concat(
+        CASE WHEN __res_scheme <> '' THEN concat(__res_scheme, ':') ELSE '' END,
+        CASE WHEN {with_authority} THEN concat('//', __res_netloc) ELSE '' END,
+        CASE WHEN {with_authority} AND __res_path <> '' AND NOT startswith(__res_path, '/') THEN '/' ELSE '' END,
+        __res_path,
+        CASE WHEN __res_params <> '' THEN concat(';', __res_params) ELSE '' END,
+        CASE WHEN __res_query <> '' THEN concat('?', __res_query) ELSE '' END,
+        CASE WHEN __l_fragment <> '' THEN concat('#', __l_fragment) ELSE '' END)"""
+    whole = f"coalesce({base}, '')"
+    resolved = f"""coalesce(CASE WHEN __res_link = '#' THEN concat({whole}, '#')
+        WHEN {whole} = '' THEN __res_link
+        WHEN __res_link = '' THEN {whole}
+        WHEN __res_scheme <> __b_scheme OR __res_scheme NOT IN ({literals(RELATIVE_SCHEMES)}) THEN __res_link
+        ELSE {text} END, '')"""
+    return once(df, {out: resolved}).drop("__res_link", *parts, *merged)

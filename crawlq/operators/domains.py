@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlq.functions.text import once
@@ -12,8 +12,8 @@ VOWELS = "aeiou"
 TINY = 1e-307
 
 
-def _count(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+def _count(chars: str) -> str:
+    return f"(length(__body) - length(translate(__body, '{chars}', '')))"
 
 
 def dga_scores(hosts: DataFrame, host: str = "host") -> DataFrame:
@@ -21,16 +21,13 @@ def dga_scores(hosts: DataFrame, host: str = "host") -> DataFrame:
 
     Narrow and stateless, so it runs the same on a stream of host lines.
     """
-    labels = F.split(F.col(host), r"\.")
-    body = F.array_join(F.slice(labels, F.lit(1), F.size(labels) - F.lit(1)), "")
-    hosts = once(hosts, {"__body": body})
-    body = F.col("__body")
-    vowels, dashes, chars = _count(body, VOWELS), _count(body, "-"), F.length(body)
-    tiny = F.lit(TINY)
+    labels = f"split({host}, '[.]')"
+    hosts = once(hosts, {"__body": f"array_join(slice({labels}, 1, size({labels}) - 1), '')"})
+    vowels, dashes = _count(VOWELS), _count("-")
     return hosts.withColumns(
         {
-            "ratio_nonvowel": vowels / ((chars - vowels - dashes).cast("double") + tiny),
-            "ratio_total": vowels / ((chars - dashes).cast("double") + tiny),
+            "ratio_nonvowel": F.expr(f"{vowels} / (CAST(length(__body) - {vowels} - {dashes} AS DOUBLE) + {TINY}D)"),
+            "ratio_total": F.expr(f"{vowels} / (CAST(length(__body) - {dashes} AS DOUBLE) + {TINY}D)"),
         }
     ).drop("__body")
 

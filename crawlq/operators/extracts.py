@@ -6,67 +6,57 @@ are narrow: one scan of the pages, no shuffle, until a job counts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlq.functions import html as H
 from crawlq.functions import text as T
 from crawlq.functions import urls as U
+from crawlq.functions.text import literal
 from crawlq.operators.tags import attr_items
 
-# The page patterns, in the subset Java and RE2 share.
+# The page patterns.
 HREF = r"""<\s*[^>]+\s+href\s*=\s*['"]([^'"]*)['"]"""
 HTML_TAG = r"<\s*html(\s+[^>]*)?>"
 CHARSET = (
     r"""(?i)<meta\s+[^<]*content\s*=['"][^'"]*charset\s*=([-_0-9a-zA-Z]+)\s*[^'"]*['"][^<]*>"""
 )
 UNESCAPE_CALL = r"document.write\s*\(\s*unescape\s*\(([^)]+)"
-REFRESH_URL = r"(?:URL|url)\s*=\s*(.*)"
+REFRESH_URL = r"(?d)(?:URL|url)\s*=\s*(.*)"
 IMAGE_INPUT = r"""<\s*input\s+[^>]*type\s*=\s*['"]image['"][^>]*>"""
 SELECT_TAG = r"<\s*select\s*[^>]+>"
 OPTION_TAG = r"<\s*option\s*[^>]+>"
 DEFAULT_CHARSET = "utf-8"
 
 
-def _explode_texts(df: DataFrame, items: Column, *keep: str) -> DataFrame:
-    rows = df.select(*keep, F.posexplode_outer(items).alias("pos", "item"))
-    return rows.where(F.col("item").isNotNull())
+def _explode_texts(df: DataFrame, items: str, *keep: str) -> DataFrame:
+    rows = df.select(*keep, F.expr(f"posexplode_outer({items})").alias("pos", "item"))
+    return rows.where("item IS NOT NULL")
 
 
 def href_items(pages: DataFrame) -> DataFrame:
     """The last quoted `href` of every tag, from the lower-cased page."""
-    hrefs = F.regexp_extract_all(T.compact_lower(F.col("html")), F.lit(HREF), F.lit(1))
-    return _explode_texts(pages, hrefs, "page_id")
+    return _explode_texts(pages, f"regexp_extract_all({T.compact_lower()}, {literal(HREF)}, 1)", "page_id")
 
 
 def _with_titles(tagged: DataFrame) -> DataFrame:
     """Add `titles`: texts of title elements that hold one text and nothing else."""
-
-    def title(t: Column, i: Column) -> Column:
-        text = F.try_element_at("tags", i + F.lit(2))
-        end = F.try_element_at("tags", i + F.lit(3))
-        return F.when(
-            (t["kind"] == "open")
-            & (t["tag"] == "title")
-            & (text["kind"] == "text")
-            & (end["kind"] == "close")
-            & (end["tag"] == "title"),
-            T.unescape(text["raw"]),
-        )
-
-    return T.once(tagged, {"titles": F.filter(F.transform("tags", title), lambda x: x.isNotNull())})
+    text, end = "try_element_at(tags, i + 2)", "try_element_at(tags, i + 3)"
+    found = f"""transform(tags, (t, i) -> CASE WHEN t.kind = 'open' AND t.tag = 'title' AND {text}.kind = 'text'
+        AND {end}.kind = 'close' AND {end}.tag = 'title' THEN {T.unescape(f'{text}.raw')} END)"""
+    return T.once(tagged, {"titles": f"filter({found}, x -> x IS NOT NULL)"})
 
 
 def titles(pages: DataFrame, case_sensitive: bool = False) -> DataFrame:
     """All title texts, lower-cased unless asked otherwise."""
-    rows = _explode_texts(_with_titles(H.with_tags(pages)), F.col("titles"), "page_id")
+    rows = _explode_texts(_with_titles(H.with_tags(pages)), "titles", "page_id")
     return rows if case_sensitive else rows.withColumn("item", F.lower("item"))
 
 
 def _links(pages: DataFrame, rel: str) -> DataFrame:
-    tags = H.select_tags(H.with_tags(pages), "link")
-    joined = F.lower(F.regexp_replace(H.attr(F.col("raw"), "rel"), r"\s+", ""))
-    return attr_items(tags.where(joined == rel), "href", accept_empty=False)
+    joined = f"lower(regexp_replace({H.attr('raw', 'rel')}, {literal(r'\s+')}, ''))"
+    tags = H.select_tags(H.with_tags(pages), "link").where(f"{joined} = '{rel}'")
+    return attr_items(tags, "href", accept_empty=False)
 
 
 def shortcut_icons(pages: DataFrame) -> DataFrame:
@@ -81,39 +71,37 @@ def stylesheets(pages: DataFrame) -> DataFrame:
 
 def script_srcs(pages: DataFrame) -> DataFrame:
     """`src` of scripts without a type or of type `text/javascript`."""
-    tags = H.select_tags(H.with_tags(pages), "script")
-    kind = F.coalesce(F.lower(H.attr(F.col("raw"), "type")), F.lit("text/javascript"))
-    return attr_items(tags.where(kind == "text/javascript"), "src", accept_empty=False)
+    kind = f"coalesce(lower({H.attr('raw', 'type')}), 'text/javascript')"
+    tags = H.select_tags(H.with_tags(pages), "script").where(f"{kind} = 'text/javascript'")
+    return attr_items(tags, "src", accept_empty=False)
 
 
 def div_style_keys(pages: DataFrame, threshold: int = 3) -> DataFrame:
     """Per `div`: sorted distinct style property names, kept when there are at least `threshold`."""
-    tags = H.select_tags(H.with_tags(pages), "div")
-    style = F.coalesce(H.attr(F.col("raw"), "style"), F.lit(""))
-    names = F.transform(F.split(style, ";"), lambda s: T.strip(F.lower(F.substring_index(s, ":", 1))))
-    keys = F.array_sort(F.array_distinct(F.filter(names, lambda n: n != "")))
-    rows = tags.where(F.lower("raw").contains("style")).withColumns({"item": keys})
-    return rows.where(F.size("item") >= threshold).select("page_id", "pos", "item")
+    name = T.strip("lower(substring_index(s, ':', 1))")
+    names = f"transform(split(coalesce({H.attr('raw', 'style')}, ''), ';'), s -> {name})"
+    keys = f"array_sort(array_distinct(filter({names}, n -> n <> '')))"
+    tags = H.select_tags(H.with_tags(pages), "div").where("contains(lower(raw), 'style')")
+    return T.once(tags, {"item": keys}).where(F.size("item") >= threshold).select("page_id", "pos", "item")
 
 
 def visible_text(pages: DataFrame) -> DataFrame:
     """Visible text pieces, trimmed, empty ones dropped."""
-    spans = H.with_hidden_spans(H.with_tags(pages))
-    texts = F.filter("tags", lambda t: (t["kind"] == "text") & t["raw"].rlike(r"\S"))
-    rows = H.explode_tags(spans, H.outside(texts, "hidden_spans"))
-    return rows.select("page_id", "pos", H.plain(F.col("raw")).alias("item")).where(F.col("item") != "")
+    texts = f"filter(tags, t -> t.kind = 'text' AND t.raw RLIKE {literal(r'\S')})"
+    rows = H.explode_tags(H.with_hidden_spans(H.with_tags(pages)), H.outside(texts))
+    return rows.select("page_id", "pos", F.expr(H.plain("raw")).alias("item")).where("item <> ''")
 
 
 def page_words(pages: DataFrame) -> DataFrame:
     """Letter-digit runs of the lower-cased page, tags included, without the stop words."""
-    words = F.filter(T.words(T.compact_lower(F.col("html"))), lambda w: ~w.isin(*T.STOP_WORDS))
-    return _explode_texts(pages, words, "page_id")
+    kept = f"filter({T.words(T.compact_lower())}, w -> w NOT IN ({T.literals(T.STOP_WORDS)}))"
+    return _explode_texts(pages, kept, "page_id")
 
 
 def title_words(pages: DataFrame) -> DataFrame:
     """Letter-digit runs of all lower-cased titles of a page, stop words kept."""
-    joined = F.lower(F.array_join("titles", " "))
-    return _explode_texts(_with_titles(H.with_tags(pages)), T.words(joined), "page_id")
+    words = T.words("lower(array_join(titles, ' '))")
+    return _explode_texts(_with_titles(H.with_tags(pages)), words, "page_id")
 
 
 def word_counts(words: DataFrame) -> DataFrame:
@@ -123,18 +111,11 @@ def word_counts(words: DataFrame) -> DataFrame:
 
 def _visible_anchors(pages: DataFrame) -> DataFrame:
     """Visible `a` tags with `has_img`: an image follows before the next `a` starts or ends."""
-    line = F.filter("tags", lambda t: t["tag"].isin("a", "img") & t["kind"].isin("open", "close"))
+    line = H.tags_named("a", "img", kinds=("open", "close"))
     tagged = T.once(H.with_hidden_spans(H.with_tags(pages)), {"__line": line})
-
-    def look_ahead(t: Column, i: Column) -> Column:
-        following = F.try_element_at("__line", i + F.lit(2))
-        return F.struct(
-            *[t[n].alias(n) for n in ("pos", "kind", "tag", "raw")],
-            F.coalesce(following["tag"] == "img", F.lit(False)).alias("has_img"),
-        )
-
-    anchors = F.filter(F.transform("__line", look_ahead), lambda t: (t["tag"] == "a") & (t["kind"] == "open"))
-    return H.explode_tags(tagged, H.shown(anchors))
+    marked = """transform(__line, (t, i) -> named_struct('pos', t.pos, 'kind', t.kind, 'tag', t.tag, 'raw', t.raw,
+        'has_img', coalesce(try_element_at(__line, i + 2).tag = 'img', false)))"""
+    return H.explode_tags(tagged, H.shown(f"filter({marked}, t -> t.tag = 'a' AND t.kind = 'open')"))
 
 
 def a_hrefs(pages: DataFrame) -> DataFrame:
@@ -149,8 +130,7 @@ def a_hrefs_with_img(pages: DataFrame) -> DataFrame:
 
 def img_srcs(pages: DataFrame, is_visible: bool = False) -> DataFrame:
     """Non-empty `src` of images, of all or only of the visible ones."""
-    tags = H.select_tags(H.with_tags(pages), "img", visible=is_visible)
-    return attr_items(tags, "src", accept_empty=False)
+    return attr_items(H.select_tags(H.with_tags(pages), "img", visible=is_visible), "src", accept_empty=False)
 
 
 def form_actions(pages: DataFrame) -> DataFrame:
@@ -160,15 +140,18 @@ def form_actions(pages: DataFrame) -> DataFrame:
 
 def form_flags(pages: DataFrame) -> DataFrame:
     """Per page: has a form, has a form with an `action` attribute (even an empty one)."""
-    forms = F.filter("tags", lambda t: (t["tag"] == "form") & (t["kind"] == "open"))
-    tagged = T.once(H.with_tags(pages), {"__forms": forms})
+    tagged = T.once(H.with_tags(pages), {"__forms": H.tags_named("form", kinds=("open",))})
     return tagged.select(
         "page_id",
-        (F.size("__forms") > 0).alias("has_form"),
-        F.exists("__forms", lambda t: H.attr(t["raw"], "action").isNotNull()).alias("has_form_action"),
+        F.expr("size(__forms) > 0").alias("has_form"),
+        F.expr(f"exists(__forms, t -> {H.attr('t.raw', 'action')} IS NOT NULL)").alias("has_form_action"),
     )
 
 
+def input_type(raw: str) -> str:
+    return f"coalesce(lower({H.attr(raw, 'type')}), 'text')"
+
+
 def visible_inputs(
     pages: DataFrame, types: tuple[str, ...] | None = None, exclude_types: tuple[str, ...] | None = None
 ) -> DataFrame:
@@ -178,10 +161,7 @@ def visible_inputs(
             raise TypeError(f"input types must be a tuple, not {type(given).__name__}")
     tags = H.select_tags(H.with_tags(pages), "input", visible=True)
     rows = tags.select(
-        "page_id",
-        "pos",
-        F.coalesce(F.lower(H.attr(F.col("raw"), "type")), F.lit("text")).alias("type"),
-        H.attr(F.col("raw"), "name").alias("name"),
+        "page_id", "pos", F.expr(input_type("raw")).alias("type"), F.expr(H.attr("raw", "name")).alias("name")
     )
     if types is not None:
         rows = rows.where(F.col("type").isin(*types))
@@ -193,63 +173,52 @@ def visible_inputs(
 def textareas(pages: DataFrame) -> DataFrame:
     """Visible text areas `(page_id, pos, name)`."""
     tags = H.select_tags(H.with_tags(pages), "textarea", visible=True)
-    return tags.select("page_id", "pos", H.attr(F.col("raw"), "name").alias("name"))
+    return tags.select("page_id", "pos", F.expr(H.attr("raw", "name")).alias("name"))
 
 
 def markup_items(pages: DataFrame) -> DataFrame:
     """`(page_id, what, pos, item)` of image inputs, selects and options, by pattern, visible or not."""
-    page = T.once(pages, {"__line": T.compact_lower(F.col("html"))}).drop("html")
+    page = T.once(pages, {"__line": T.compact_lower()}).drop("html")
+    found = [
+        f"""transform(regexp_extract_all(__line, {literal(pattern)}, 0),
+            (x, i) -> named_struct('what', '{what}', 'pos', i, 'item', x))"""
+        for what, pattern in (("image_input", IMAGE_INPUT), ("select", SELECT_TAG), ("option", OPTION_TAG))
+    ]
+    rows = page.select("page_id", F.expr(f"explode_outer(concat({', '.join(found)}))").alias("m"))
+    return rows.where("m IS NOT NULL").select("page_id", "m.*")
 
-    def found(what: str, pattern: str) -> Column:
-        return F.transform(
-            F.regexp_extract_all("__line", F.lit(pattern), F.lit(0)),
-            lambda x, i: F.struct(F.lit(what).alias("what"), i.alias("pos"), x.alias("item")),
-        )
 
-    items = F.concat(
-        found("image_input", IMAGE_INPUT), found("select", SELECT_TAG), found("option", OPTION_TAG)
-    )
-    rows = page.select("page_id", F.explode_outer(items).alias("m"))
-    return rows.where(F.col("m").isNotNull()).select("page_id", "m.*")
-
-
-def refresh_tags(tags: str) -> Column:
-    """Contents of the refresh `meta` tags that come before the body."""
-    body = F.coalesce(H.first_pos(tags, "body"), F.lit(2**31 - 1))
-    metas = F.filter(
-        tags,
-        lambda t: (t["tag"] == "meta")
-        & (t["kind"] == "open")
-        & (F.lower(T.strip(F.coalesce(H.attr(t["raw"], "http-equiv"), F.lit("")))) == "refresh"),
-    )
-    return F.filter(metas, lambda t: t["pos"] < body)
+def refresh_tags() -> str:
+    """The refresh `meta` tags that come before the body."""
+    equiv = f"lower({T.strip(f"coalesce({H.attr('t.raw', 'http-equiv')}, '')")})"
+    metas = f"filter({H.tags_named('meta', kinds=('open',))}, t -> {equiv} = 'refresh')"
+    return f"filter({metas}, t -> t.pos < coalesce({H.first_pos('body')}, {2**31 - 1}))"
 
 
-def refresh_url(raw: Column) -> Column:
+def refresh_url(raw: str) -> str:
     """What follows the first `url=` of a refresh tag; quotes stay. NULL without one."""
-    content = F.coalesce(H.attr(raw, "content"), F.lit(""))
-    return F.when(content.rlike(REFRESH_URL), F.regexp_extract(content, "(?d)" + REFRESH_URL, 1))
+    content = f"coalesce({H.attr(raw, 'content')}, '')"
+    pattern = literal(REFRESH_URL)
+    return f"CASE WHEN {content} RLIKE {pattern} THEN regexp_extract({content}, {pattern}, 1) END"
 
 
 def meta_refresh(pages: DataFrame) -> DataFrame:
     """Targets of refresh tags before the body, as written."""
-    rows = H.explode_tags(H.with_tags(pages), refresh_tags("tags"))
-    return rows.select("page_id", "pos", refresh_url(F.col("raw")).alias("item")).where(
-        F.col("item").isNotNull()
-    )
+    rows = H.explode_tags(H.with_tags(pages), refresh_tags())
+    return rows.select("page_id", "pos", F.expr(refresh_url("raw")).alias("item")).where("item IS NOT NULL")
 
 
 def with_base_url(tagged: DataFrame, base_tag_only: bool = False) -> DataFrame:
     """Add `base_url`: the first `base` tag's `href` resolved on the page URL, else the page URL."""
-    base_tag = F.try_element_at(
-        F.filter("tags", lambda t: (t["tag"] == "base") & (t["kind"] == "open")), F.lit(1)
-    )
-    tagged = T.once(tagged, {"__base": base_tag["raw"]})
-    tagged = tagged.withColumns({"__href": F.coalesce(H.attr(F.col("__base"), "href"), F.lit(""))})
+    if "base_url" in tagged.columns:
+        return tagged
+    first = f"try_element_at({H.tags_named('base', kinds=('open',))}, 1).raw"
+    tagged = T.once(tagged, {"__base": first})
+    tagged = T.once(tagged, {"__href": f"coalesce({H.attr('__base', 'href')}, '')"})
     tagged = U.with_resolved(tagged, "url", "__href", "__resolved")
-    own = F.lit(None).cast("string") if base_tag_only else F.col("url")
-    found = F.when(F.col("__base").isNull(), own).otherwise(F.col("__resolved"))
-    return tagged.withColumns({"base_url": found}).drop("__base", "__href", "__resolved")
+    own = "CAST(NULL AS STRING)" if base_tag_only else "url"
+    found = f"CASE WHEN __base IS NULL THEN {own} ELSE __resolved END"
+    return tagged.withColumns({"base_url": F.expr(found)}).drop("__base", "__href", "__resolved")
 
 
 def base_url(pages: DataFrame, base_tag_only: bool = False) -> DataFrame:
@@ -259,10 +228,8 @@ def base_url(pages: DataFrame, base_tag_only: bool = False) -> DataFrame:
 
 def charset(pages: DataFrame) -> DataFrame:
     """Per page: the charset of a `meta … content` tag, lower-cased, `utf-8` without one."""
-    found = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), CHARSET, 1))
-    return pages.select(
-        "page_id", F.when(found == "", DEFAULT_CHARSET).otherwise(found).alias("charset")
-    )
+    found = f"nullif(lower(regexp_extract(coalesce(html, ''), {literal(CHARSET)}, 1)), '')"
+    return T.once(pages.select("page_id", "html"), {"charset": f"coalesce({found}, '{DEFAULT_CHARSET}')"}).drop("html")
 
 
 def charset_counts(pages: DataFrame) -> DataFrame:
@@ -272,22 +239,21 @@ def charset_counts(pages: DataFrame) -> DataFrame:
 
 def page_flags(pages: DataFrame, keyword: str = "login") -> DataFrame:
     """Per page: an html tag, `search`, `subscri`, and a keyword anywhere in the lower-cased page."""
-    page = T.once(pages, {"__line": T.compact_lower(F.col("html"))}).drop("html")
+    page = T.once(pages, {"__line": T.compact_lower()})
+    line = F.col("__line")
     return page.select(
         "page_id",
         "url",
-        F.col("__line").rlike(HTML_TAG).alias("has_html"),
-        F.col("__line").contains("search").alias("has_search"),
-        F.col("__line").contains("subscri").alias("has_subscri"),
-        F.col("__line").contains(keyword).alias("has_keyword"),
+        line.rlike(HTML_TAG).alias("has_html"),
+        line.contains("search").alias("has_search"),
+        line.contains("subscri").alias("has_subscri"),
+        line.contains(keyword).alias("has_keyword"),
     )
 
 
 def site_flag_counts(pages: DataFrame, keyword: str = "login") -> DataFrame:
     """Pages with each flag per host."""
-    rows = page_flags(pages, keyword)
-    host = F.coalesce(U.url_part(F.col("url"), "hostname"), F.lit(""))
-    return rows.groupBy(host.alias("host")).agg(
+    return page_flags(pages, keyword).groupBy(F.expr(U.host_or_empty("url")).alias("host")).agg(
         F.count(F.lit(1)).alias("pages"),
         *[F.count_if(f).alias(f"n_{f[4:]}") for f in ("has_html", "has_search", "has_subscri", "has_keyword")],
     )
@@ -295,9 +261,9 @@ def site_flag_counts(pages: DataFrame, keyword: str = "login") -> DataFrame:
 
 def write_unescape_forms(pages: DataFrame) -> DataFrame:
     """Per page: do the `document.write(unescape(…` arguments decode to a form with an input."""
-    calls = F.regexp_extract_all(T.compact_lower(F.col("html")), F.lit(UNESCAPE_CALL), F.lit(1))
-    page = T.once(pages.select("page_id", "html"), {"__raw": F.array_join(calls, " ")}).drop("html")
+    calls = f"regexp_extract_all({T.compact_lower()}, {literal(UNESCAPE_CALL)}, 1)"
+    page = T.once(pages.select("page_id", "html"), {"__raw": f"array_join({calls}, ' ')"}).drop("html")
     # The decode loop only runs for the pages that have such a call.
-    page = T.once(page, {"__text": F.when(F.col("__raw") != "", T.percent_decode_fully(F.col("__raw")))})
-    hit = F.col("__text").contains("<form") & F.col("__text").contains("<input")
-    return page.select("page_id", F.coalesce(hit, F.lit(False)).alias("writes_form"))
+    page = T.once(page, {"__text": f"CASE WHEN __raw <> '' THEN {T.percent_decode_fully('__raw')} END"})
+    hit = "coalesce(contains(__text, '<form') AND contains(__text, '<input'), false)"
+    return page.select("page_id", F.expr(hit).alias("writes_form"))

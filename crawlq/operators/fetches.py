@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlq.functions import html as H
 from crawlq.functions import urls as U
-from crawlq.functions.text import once, strip
+from crawlq.functions.text import literal, once, strip
+from crawlq.functions.urls import after
 from crawlq.operators.extracts import refresh_tags, refresh_url
 from crawlq.runtime import checkpointed
 
@@ -38,35 +39,27 @@ META_COLUMNS = (
 )
 
 
-def _first(array: Column) -> Column:
-    return F.try_element_at(F.filter(array, lambda x: x.isNotNull()), F.lit(1))
+def _first(array: str) -> str:
+    return f"try_element_at(filter({array}, x -> x IS NOT NULL), 1)"
 
 
-def _script_redirect(lowered: Column) -> Column:
+def _script_redirect(lowered: str) -> str:
     """First script redirect. A script that only submits a form ends the search with `''`."""
-
-    def target(script: Column) -> Column:
-        by_window = F.regexp_extract(script, WINDOW_LOCATION, 1)
-        by_document = F.regexp_extract(script, DOCUMENT_LOCATION, 1)
-        return (
-            F.when(by_window != "", strip(by_window))
-            .when(by_document != "", strip(by_document))
-            .when(script.rlike(FORM_SUBMIT), F.lit(""))
-        )
-
-    return _first(F.transform(F.regexp_extract_all(lowered, F.lit(SCRIPT), F.lit(1)), target))
+    by_window = f"regexp_extract(x, {literal(WINDOW_LOCATION)}, 1)"
+    by_document = f"regexp_extract(x, {literal(DOCUMENT_LOCATION)}, 1)"
+    return _first(f"""transform(regexp_extract_all({lowered}, {literal(SCRIPT)}, 1), x -> CASE
+        WHEN {by_window} <> '' THEN {strip(by_window)}
+        WHEN {by_document} <> '' THEN {strip(by_document)}
+        WHEN x RLIKE {literal(FORM_SUBMIT)} THEN '' END)""")
 
 
-def _pattern_refresh(lowered: Column) -> Column:
+def _pattern_refresh(lowered: str) -> str:
     """Refresh target by patterns alone: self-closed `meta` tags before the body."""
-    head = F.regexp_extract(lowered, BEFORE_BODY, 1)
-    text = F.when(lowered.rlike(BEFORE_BODY), head).otherwise(lowered)
-
-    def target(meta: Column) -> Column:
-        url = F.regexp_extract(meta, META_URL, 1)
-        return F.when(meta.rlike(META_IS_REFRESH) & (url != ""), strip(url))
-
-    return _first(F.transform(F.regexp_extract_all(text, F.lit(META_TAG), F.lit(1)), target))
+    before = literal(BEFORE_BODY)
+    text = f"CASE WHEN {lowered} RLIKE {before} THEN regexp_extract({lowered}, {before}, 1) ELSE {lowered} END"
+    url = f"regexp_extract(x, {literal(META_URL)}, 1)"
+    return _first(f"""transform(regexp_extract_all({text}, {literal(META_TAG)}, 1), x -> CASE
+        WHEN x RLIKE {literal(META_IS_REFRESH)} AND {url} <> '' THEN {strip(url)} END)""")
 
 
 def page_redirects(fetches: DataFrame, by_tags: bool = True) -> DataFrame:
@@ -75,15 +68,13 @@ def page_redirects(fetches: DataFrame, by_tags: bool = True) -> DataFrame:
     A refresh tag comes first, then scripts. `by_tags=False` looks for refresh tags by pattern
     on the lower-cased page. The target is resolved on the requested URL; the URL itself is no target.
     """
-    rows = once(fetches, {"__lower": F.lower(F.coalesce("html", F.lit("")))})
-    rows = once(rows, {"__script": _script_redirect(F.col("__lower"))})
+    rows = once(fetches, {"__lower": "lower(coalesce(html, ''))"})
+    rows = once(rows, {"__script": _script_redirect("__lower")})
     if by_tags:
-        targets = F.transform(
-            refresh_tags("tags"), lambda t: F.nullif(strip(refresh_url(t["raw"])), F.lit(""))
-        )
+        targets = f"transform({refresh_tags()}, t -> nullif({strip(refresh_url('t.raw'))}, ''))"
         rows = once(H.with_tags(rows.drop("__lower")), {"__meta": _first(targets)}).drop("tags")
     else:
-        rows = once(rows, {"__meta": _pattern_refresh(F.col("__lower"))}).drop("html", "__lower")
+        rows = once(rows, {"__meta": _pattern_refresh("__lower")}).drop("html", "__lower")
     link = F.coalesce("__meta", "__script")
     # A lone fragment mark stays on the page.
     rows = rows.withColumns({"__link": F.when(link == "#", F.lit("")).otherwise(link)})
@@ -238,18 +229,14 @@ def parse_headers(header_lines: DataFrame) -> DataFrame:
     duplicate wins. The last line of every name is found first (map-side combine); it belongs to
     the last block exactly when it is not older than the last status line.
     """
-    text = strip(F.col("line"))
-    lines = header_lines.select("url", "ord", text.alias("line")).where(F.col("line") != "")
-    head = F.substring_index("line", ":", 1)
-    is_status = ~F.col("line").contains(":")
+    lines = header_lines.select("url", "ord", F.expr(strip("line")).alias("line")).where("line <> ''")
     named = lines.select(
         "url",
         "ord",
-        F.when(is_status, "_response").otherwise(F.lower(strip(head))).alias("name"),
-        F.when(is_status, F.col("line"))
-        .otherwise(strip(F.substr("line", F.length(head) + F.lit(2))))
-        .alias("value"),
-        F.when(is_status, F.col("ord")).alias("status_ord"),
+        F.expr(f"""CASE WHEN contains(line, ':') THEN lower({strip("substring_index(line, ':', 1)")})
+            ELSE '_response' END""").alias("name"),
+        F.expr(f"CASE WHEN contains(line, ':') THEN {strip(after('line', ':'))} ELSE line END").alias("value"),
+        F.expr("CASE WHEN NOT contains(line, ':') THEN ord END").alias("status_ord"),
     )
     last = named.groupBy("url", "name").agg(
         F.max_by("value", "ord").alias("value"), F.max("ord").alias("ord"), F.max("status_ord").alias("status_ord")

@@ -6,14 +6,15 @@ job is one scan without a shuffle, and a page with no matching control costs two
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlq.functions import html as H
 from crawlq.functions import text as T
 from crawlq.functions import urls as U
 from crawlq.functions.controls import NAMES, with_controls
-from crawlq.operators.extracts import IMAGE_INPUT, OPTION_TAG, SELECT_TAG
+from crawlq.functions.text import literal
+from crawlq.operators.extracts import IMAGE_INPUT, OPTION_TAG, SELECT_TAG, input_type
 
 # The reasons a page counts as a card form.
 REASON_MAXLENGTH = "4 continuous vsinputs with equal maxlength"
@@ -25,56 +26,37 @@ PAIR_DISTANCE = 4
 
 def page_form_counts(pages: DataFrame) -> DataFrame:
     """One row per page: visible inputs by type, and image inputs, selects and options by pattern."""
-    page = T.once(pages, {"__line": T.compact_lower(F.col("html"))})
-    page = T.once(
-        page,
-        {
-            "n_image": F.regexp_count("__line", F.lit(IMAGE_INPUT)).cast("bigint"),
-            "n_select": F.regexp_count("__line", F.lit(SELECT_TAG)).cast("bigint"),
-            "n_option": F.regexp_count("__line", F.lit(OPTION_TAG)).cast("bigint"),
-            "has_mail": F.col("__line").contains("mail"),
-        },
-    ).drop("__line")
-    inputs = F.filter("tags", lambda t: (t["tag"] == "input") & (t["kind"] == "open"))
-    types = F.transform(H.shown(inputs), lambda t: F.coalesce(F.lower(H.attr(t["raw"], "type")), F.lit("text")))
+    page = T.once(pages, {"__line": T.compact_lower()})
+    counts = {
+        name: f"CAST(regexp_count(__line, {literal(pattern)}) AS BIGINT)"
+        for name, pattern in (("n_image", IMAGE_INPUT), ("n_select", SELECT_TAG), ("n_option", OPTION_TAG))
+    }
+    page = T.once(page, counts | {"has_mail": "contains(__line, 'mail')"}).drop("__line")
+    inputs = H.tags_named("input", kinds=("open",))
+    types = f"transform({H.shown(inputs)}, t -> {input_type('t.raw')})"
     tagged = T.once(H.with_hidden_spans(H.with_tags(page)), {"__types": types})
-
-    def count(kind: str) -> Column:
-        return F.size(F.filter("__types", lambda x: x == kind)).cast("bigint")
-
-    return tagged.select(
-        "page_id",
-        "url",
-        count("text").alias("n_text"),
-        count("password").alias("n_password"),
-        count("submit").alias("n_submit"),
-        count("email").alias("n_email"),
-        "n_image",
-        "n_select",
-        "n_option",
-        "has_mail",
-    )
+    by_type = [
+        F.expr(f"CAST(size(filter(__types, x -> x = '{kind}')) AS BIGINT)").alias(f"n_{kind}")
+        for kind in ("text", "password", "submit", "email")
+    ]
+    return tagged.select("page_id", "url", *by_type, *counts, "has_mail")
 
 
 def classify_forms(pages: DataFrame) -> DataFrame:
     """Per page: potential card form, single sign-in form, e-mail form."""
-    c = F.col
-    enough_selects = (c("n_select") >= 2) & (c("n_option") >= 17)
-    needed = F.when(enough_selects, F.lit(2)).otherwise(F.lit(4))
+    needed = "CASE WHEN n_select >= 2 AND n_option >= 17 THEN 2 ELSE 4 END"
     return page_form_counts(pages).select(
         "page_id",
         "url",
-        ((c("n_submit") > 0) & (c("n_text") + c("n_password") >= needed)).alias("is_card_form"),
-        ((c("n_text") == 1) & ((c("n_submit") == 1) | (c("n_image") == 1))).alias("is_signin_form"),
-        ((c("n_text") + c("n_email") == 1) & c("has_mail")).alias("is_email_form"),
+        F.expr(f"n_submit > 0 AND n_text + n_password >= {needed}").alias("is_card_form"),
+        F.expr("n_text = 1 AND (n_submit = 1 OR n_image = 1)").alias("is_signin_form"),
+        F.expr("n_text + n_email = 1 AND has_mail").alias("is_email_form"),
     )
 
 
 def site_form_counts(pages: DataFrame) -> DataFrame:
     """Pages of each form class per host."""
-    rows = classify_forms(pages)
-    host = F.coalesce(U.url_part(F.col("url"), "hostname"), F.lit(""))
-    return rows.groupBy(host.alias("host")).agg(
+    return classify_forms(pages).groupBy(F.expr(U.host_or_empty("url")).alias("host")).agg(
         F.count(F.lit(1)).alias("pages"),
         F.count_if("is_card_form").alias("n_card"),
         F.count_if("is_signin_form").alias("n_signin"),
@@ -85,98 +67,59 @@ def site_form_counts(pages: DataFrame) -> DataFrame:
 def form_controls(pages: DataFrame) -> DataFrame:
     """Rows `(page_id, pos, label, type, name, id, size, maxlength, autocomplete, readonly)`."""
     rows = with_controls(pages).select("page_id", F.explode_outer("controls").alias("c"))
-    rows = rows.where(F.col("c").isNotNull())
-    return rows.select("page_id", "c.pos", "c.label", *[f"c.{n}" for n in NAMES])
-
-
-def _windows(controls: str) -> Column:
-    """Every run of four neighbouring text or password controls with the card-number shape."""
-    runs = F.transform(
-        F.filter(controls, lambda c: c["pos"] >= 3),
-        lambda c: F.slice(F.col(controls), c["pos"] - F.lit(2), F.lit(4)),
-    )
-
-    def shaped(w: Column) -> Column:
-        kind = [F.element_at(w, i)["type"] for i in (1, 2, 3, 4)]
-        ends_text = (kind[0] == "text") & (kind[3] == "text")
-        middle_password = (kind[1] == "password") & (kind[2] == "password")
-        return F.forall(w, lambda c: F.coalesce(c["type"].isin("text", "password"), F.lit(False))) & (
-            ends_text | middle_password
-        )
-
-    def measures(w: Column) -> Column:
-        # A length that is not a number counts as 0.
-        return F.struct(
-            F.element_at(w, 4)["pos"].alias("pos"),
-            F.transform(w, lambda c: c["type"]).alias("types"),
-            F.transform(w, lambda c: F.coalesce(c["n_maxlength"], F.lit(0))).alias("maxlengths"),
-            F.transform(w, lambda c: F.coalesce(c["n_size"], F.lit(0))).alias("sizes"),
-        )
-
-    return F.transform(F.filter(runs, shaped), measures)
-
-
-def _pairs(controls: str) -> Column:
-    """Positions of a long (card number) and a short (code) control at most four controls apart."""
-    numbered = lambda c: (
-        (F.lower(F.coalesce(c["autocomplete"], F.lit(""))) == "off")
-        & c["n_size"].isNotNull()
-        & c["n_maxlength"].isNotNull()
-    )
-    sized = lambda c, lo, hi: c["n_size"].between(lo, hi) | c["n_maxlength"].between(lo, hi)
-    longs = F.filter(controls, lambda c: numbered(c) & sized(c, 16, 20))
-
-    def partners(long: Column) -> Column:
-        near = F.slice(F.col(controls), long["pos"] + F.lit(1), F.lit(PAIR_DISTANCE + 1))
-        shorts = F.filter(near, lambda c: numbered(c) & sized(c, 3, 4))
-        return F.transform(
-            shorts, lambda s: F.struct(long["pos"].alias("long_pos"), s["pos"].alias("short_pos"))
-        )
-
-    return F.flatten(F.transform(longs, partners))
-
-
-def _mentions(controls: str, label: str, word: str, extra=None) -> Column:
+    return rows.where("c IS NOT NULL").select("page_id", "c.pos", "c.label", *[f"c.{n}" for n in NAMES])
+
+
+# Runs of four neighbouring text or password controls with the shape of a card number.
+# A length that is not a number counts as 0; `pos` is the last control.
+_RUNS = "transform(filter(controls, c -> c.pos >= 3), c -> slice(controls, c.pos - 2, 4))"
+_SHAPED = """filter({runs}, w -> forall(w, c -> coalesce(c.type IN ('text', 'password'), false)) AND (
+    (w[0].type = 'text' AND w[3].type = 'text') OR (w[1].type = 'password' AND w[2].type = 'password')))"""
+_WINDOWS = f"""transform({_SHAPED.format(runs=_RUNS)}, w -> named_struct(
+    'pos', w[3].pos,
+    'types', transform(w, c -> c.type),
+    'maxlengths', transform(w, c -> coalesce(c.n_maxlength, 0)),
+    'sizes', transform(w, c -> coalesce(c.n_size, 0))))"""
+
+# A long (card number) and a short (code) control at most four controls apart.
+_SIZED = """(lower(coalesce(c.autocomplete, '')) = 'off' AND c.n_size IS NOT NULL AND c.n_maxlength IS NOT NULL
+    AND (c.n_size BETWEEN {lo} AND {hi} OR c.n_maxlength BETWEEN {lo} AND {hi}))"""
+_LONGS = f"filter(controls, c -> {_SIZED.format(lo=16, hi=20)})"
+_SHORTS = f"filter(slice(controls, l.pos + 1, {PAIR_DISTANCE + 1}), c -> {_SIZED.format(lo=3, hi=4)})"
+_PAIRS = f"""flatten(transform({_LONGS}, l -> transform({_SHORTS},
+    c -> named_struct('long_pos', l.pos, 'short_pos', c.pos))))"""
+
+
+def _mentions(which: str, word: str) -> str:
     """Does the name or id of such a control contain the word."""
+    named = f"(contains(lower(coalesce(c.name, '')), '{word}') OR contains(lower(coalesce(c.id, '')), '{word}'))"
+    return f"exists(controls, c -> {which} AND {named})"
 
-    def hit(c: Column) -> Column:
-        named = F.coalesce(F.lower(c["name"]).contains(word), F.lit(False)) | F.coalesce(
-            F.lower(c["id"]).contains(word), F.lit(False)
-        )
-        wanted = c["label"] == label
-        if label == "input":
-            wanted = wanted & F.coalesce(c["type"] == "text", F.lit(False))
-        return named & (wanted if extra is None else wanted & extra(c))
-
-    return F.exists(controls, hit)
 
-
-def _has_expiry(controls: str) -> Column:
-    in_selects = _mentions(controls, "select", "month") & _mentions(controls, "select", "year")
-    return in_selects | _mentions(controls, "input", "date")
-
-
-def _asks_for_card(controls: str) -> Column:
-    editable = lambda c: c["readonly"].isNull()
-    return _mentions(controls, "input", "credit", editable) & _mentions(controls, "input", "card", editable)
+_SELECT = "c.label = 'select'"
+_TEXT_INPUT = "c.label = 'input' AND coalesce(c.type = 'text', false)"
+_EDITABLE = f"{_TEXT_INPUT} AND c.readonly IS NULL"
+_HAS_EXPIRY = f"""(({_mentions(_SELECT, 'month')} AND {_mentions(_SELECT, 'year')})
+    OR {_mentions(_TEXT_INPUT, 'date')})"""
+_ASKS_FOR_CARD = f"({_mentions(_EDITABLE, 'credit')} AND {_mentions(_EDITABLE, 'card')})"
 
 
 def four_in_a_row(pages: DataFrame) -> DataFrame:
-    """Rows `(page_id, pos, types, maxlengths, sizes)` of the four-control runs; `pos` is the last control."""
-    rows = with_controls(pages).select("page_id", F.explode_outer(_windows("controls")).alias("w"))
-    return rows.where(F.col("w").isNotNull()).select("page_id", "w.*")
+    """Rows `(page_id, pos, types, maxlengths, sizes)` of the four-control runs."""
+    rows = with_controls(pages).select("page_id", F.expr(f"explode_outer({_WINDOWS})").alias("w"))
+    return rows.where("w IS NOT NULL").select("page_id", "w.*")
 
 
 def card_and_code_pairs(pages: DataFrame) -> DataFrame:
     """Rows `(page_id, long_pos, short_pos)`."""
-    rows = with_controls(pages).select("page_id", F.explode_outer(_pairs("controls")).alias("p"))
-    return rows.where(F.col("p").isNotNull()).select("page_id", "p.*")
+    rows = with_controls(pages).select("page_id", F.expr(f"explode_outer({_PAIRS})").alias("p"))
+    return rows.where("p IS NOT NULL").select("page_id", "p.*")
 
 
 def card_form_flags(pages: DataFrame) -> DataFrame:
     """Per page: an expiry date is asked for; the words for a credit card appear in text inputs."""
     return with_controls(pages).select(
-        "page_id", _has_expiry("controls").alias("has_expiry"), _asks_for_card("controls").alias("asks_for_card")
+        "page_id", F.expr(_HAS_EXPIRY).alias("has_expiry"), F.expr(_ASKS_FOR_CARD).alias("asks_for_card")
     )
 
 
@@ -186,16 +129,10 @@ def card_form_reason(pages: DataFrame) -> DataFrame:
     Without an expiry date nothing else is looked at. Then the first run of four with equal
     lengths or sizes decides, then a number-and-code pair, then the keywords.
     """
-    page = T.once(with_controls(pages), {"__gate": _has_expiry("controls")})
-    fours = F.array(*[F.lit(4)] * 4)
-    verdicts = F.transform(
-        _windows("controls"),
-        lambda w: F.when(w["maxlengths"] == fours, REASON_MAXLENGTH).when(w["sizes"] == fours, REASON_SIZE),
-    )
-    first = F.try_element_at(F.filter(verdicts, lambda v: v.isNotNull()), F.lit(1))
-    reason = F.coalesce(
-        first,
-        F.when(F.size(_pairs("controls")) > 0, REASON_PAIR),
-        F.when(_asks_for_card("controls"), REASON_KEYWORD),
-    )
-    return T.once(page, {"reason": F.when(F.col("__gate"), reason)}).select("page_id", "reason")
+    verdicts = f"""transform({_WINDOWS}, w -> CASE WHEN w.maxlengths = array(4, 4, 4, 4) THEN '{REASON_MAXLENGTH}'
+        WHEN w.sizes = array(4, 4, 4, 4) THEN '{REASON_SIZE}' END)"""
+    reason = f"""CASE WHEN {_HAS_EXPIRY} THEN coalesce(
+        try_element_at(filter({verdicts}, v -> v IS NOT NULL), 1),
+        CASE WHEN size({_PAIRS}) > 0 THEN '{REASON_PAIR}' END,
+        CASE WHEN {_ASKS_FOR_CARD} THEN '{REASON_KEYWORD}' END) END"""
+    return T.once(with_controls(pages), {"reason": reason}).select("page_id", "reason")

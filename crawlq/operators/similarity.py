@@ -21,6 +21,8 @@ FILENAME = "filename"
 DEFAULT_ICON = "favicon.ico"
 BOTH_EMPTY = -1000.0
 
+_SCHEMED = f"{U.url_part('base_url', 'scheme')} <> ''"
+
 
 def _tagged(pages: DataFrame) -> DataFrame:
     return X.with_base_url(H.with_tags(pages))
@@ -37,18 +39,18 @@ def page_items(pages: DataFrame, feature: Feature, compare: str = FULL) -> DataF
     if compare == FULL:
         return feature(H.with_tags(pages)).groupBy("page_id", "item").agg(F.count(F.lit(1)).alias("cnt"))
     if compare == FILENAME:
-        keys = feature(H.with_tags(pages)).withColumn("item", U.file_name(F.col("item")))
+        keys = feature(H.with_tags(pages)).withColumn("item", F.expr(U.file_name("item")))
     else:
         rows = U.with_resolved(feature(_tagged(pages)), "base_url", "item", "__full")
         rows = U.with_reduced(rows, "__full", "__reduced")
         cut = U.path_structure if compare == PATH_NO_QUERY else U.without_filename
-        keys = rows.withColumn("item", cut(F.col("__reduced")))
+        keys = rows.withColumn("item", F.expr(cut("__reduced")))
     return keys.select("page_id", "item").distinct().withColumn("cnt", F.lit(1).cast("bigint"))
 
 
 def page_schemes(pages: DataFrame) -> DataFrame:
     """`(page_id, schemed)`: does the base URL of the page have a scheme."""
-    return _tagged(pages).select("page_id", (U.url_part(F.col("base_url"), "scheme") != "").alias("schemed"))
+    return _tagged(pages).select("page_id", F.expr(_SCHEMED).alias("schemed"))
 
 
 def _ratio(common: Column, len_a: Column, len_b: Column) -> Column:
@@ -128,12 +130,14 @@ def page_icons(pages: DataFrame) -> DataFrame:
     tagged = _tagged(pages)
     icons = U.with_resolved(X.shortcut_icons(tagged), "base_url", "item", "__full")
     icons = U.with_reduced(icons, "__full", "icon").groupBy("page_id").agg(F.sort_array(F.collect_set("icon")).alias("icons"))
-    url = F.col("url")
-    domain = F.concat(U.url_part(url, "scheme"), F.lit("://"), U.url_part(url, "netloc"), F.lit("/"))
-    page = tagged.select("page_id", "base_url", domain.alias("__domain"), F.lit(DEFAULT_ICON).alias("__icon"))
+    page = tagged.select(
+        "page_id",
+        F.expr(_SCHEMED).alias("schemed"),
+        F.expr(U.site("url")).alias("__domain"),
+        F.lit(DEFAULT_ICON).alias("__icon"),
+    )
     page = U.with_reduced(U.with_resolved(page, "__domain", "__icon", "__full"), "__full", "default_icon")
-    schemed = U.url_part(F.col("base_url"), "scheme") != ""
-    page = page.select("page_id", "default_icon", schemed.alias("schemed"))
+    page = page.select("page_id", "schemed", "default_icon")
     none = F.array().cast("array<string>")
     return page.join(icons, "page_id", "left").withColumn("icons", F.coalesce("icons", none))
 

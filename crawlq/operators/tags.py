@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlq.functions import html as H
+from crawlq.functions.text import once
 
 
 def page_tags(pages: DataFrame) -> DataFrame:
@@ -15,17 +16,12 @@ def page_tags(pages: DataFrame) -> DataFrame:
 
 def tag_counts(pages: DataFrame) -> DataFrame:
     """Tokens per kind and tag over all pages, and how many pages have them."""
-    tagged = H.with_tags(pages).drop("url")
-    named = tagged.withColumns({"__k": F.transform("tags", lambda t: F.struct(t["kind"], t["tag"]))})
-    marked = F.transform(
-        "__k",
-        lambda k, i: F.struct(
-            k["kind"].alias("kind"),
-            k["tag"].alias("tag"),
-            (F.array_position(F.col("__k"), k) == i + F.lit(1)).alias("first"),
-        ),
-    )
-    rows = named.select(F.explode_outer(marked).alias("t")).where(F.col("t").isNotNull()).select("t.*")
+    named = "transform(tags, t -> named_struct('kind', t.kind, 'tag', t.tag))"
+    tagged = once(H.with_tags(pages).select("tags"), {"__names": named})
+    # `first` is true for the first time a name shows up in its page.
+    marked = """transform(__names, (n, i) -> named_struct('kind', n.kind, 'tag', n.tag,
+        'first', array_position(__names, n) = i + 1))"""
+    rows = tagged.select(F.expr(f"explode_outer({marked})").alias("t")).where("t IS NOT NULL").select("t.*")
     return rows.groupBy("kind", "tag").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("first")).alias("n_pages")
     )
@@ -51,7 +47,7 @@ def attr_items(tags: DataFrame, name: str, accept_empty: bool = True) -> DataFra
 
     Emptiness is tested on the trimmed value; tags without the attribute give no row.
     """
-    rows = tags.withColumns({"item": H.attr(F.col("raw"), name)})
+    rows = tags.withColumns({"item": F.expr(H.attr("raw", name))})
     keep = F.col("item").isNotNull() if accept_empty else F.col("item").rlike(r"\S")
     base = [c for c in ("base_url",) if c in tags.columns]
     return rows.where(keep).select("page_id", *base, "pos", "item")

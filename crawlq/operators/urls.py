@@ -6,11 +6,11 @@ narrow projection; only the counts and the matches shuffle, after a map-side com
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlq.functions import urls as U
-from crawlq.functions.text import once, strip
+from crawlq.functions.text import literal, once, strip
 
 
 def url_parts(df: DataFrame, url: str = "url") -> DataFrame:
@@ -20,106 +20,73 @@ def url_parts(df: DataFrame, url: str = "url") -> DataFrame:
 
 def host_kind_counts(hosts: DataFrame, host: str = "host") -> DataFrame:
     """Hosts per kind: `ipv4`, `ipv6`, `name`."""
-    return hosts.groupBy(U.host_kind(F.col(host)).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def _last_values(pairs: Column) -> Column:
-    """One `struct<k,v>` per key in first-seen order, with the value seen last."""
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-
-    def last(key: Column) -> Column:
-        return F.element_at(F.filter(pairs, lambda p: p["k"] == key), -1)
-
-    return F.transform(keys, last)
+    return hosts.groupBy(F.expr(U.host_kind(host)).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _with_query(df: DataFrame, url: str) -> DataFrame:
-    df = once(df, {"__pairs": U.query_pairs(U.url_part(F.col(url), "query"))})
-    return once(df, {"__params": _last_values(F.col("__pairs"))})
+    """Add `__params`: one `struct<k,v>` per key in first-seen order, with the value seen last."""
+    df = once(df, {"__pairs": U.query_pairs(U.url_part(url, "query"))})
+    keys = "array_distinct(transform(__pairs, p -> p.k))"
+    return once(df, {"__params": f"transform({keys}, k -> element_at(filter(__pairs, p -> p.k = k), -1))"})
 
 
 def url_query_params(df: DataFrame, url: str = "url") -> DataFrame:
     """Rows `(url_id, k, v)`: split on `&` and the first `=`, last duplicate wins, no decoding."""
     rows = _with_query(df, url).select("url_id", F.explode_outer("__params").alias("p"))
-    return rows.where(F.col("p").isNotNull()).select("url_id", F.col("p.k").alias("k"), F.col("p.v").alias("v"))
+    return rows.where("p IS NOT NULL").select("url_id", "p.k", "p.v")
 
 
 def ext_counts(df: DataFrame, url: str = "url") -> DataFrame:
     """URLs per file extension (`''` for none)."""
-    ext = U.file_extension(U.url_part(F.col(url), "path"))
+    ext = F.expr(U.file_extension(U.url_part(url, "path")))
     return df.groupBy(ext.alias("ext")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _host_tokens(host: Column, is_normalize: bool, is_prefix_value: bool) -> Column:
+def _host_tokens(host: str, is_normalize: bool, is_prefix_value: bool) -> str:
     text = U.zero_digits(host) if is_normalize else host
-    tokens = F.filter(F.transform(F.split(text, r"\."), strip), lambda t: t != "")
+    tokens = f"filter(transform(split({text}, '[.]'), t -> {strip('t')}), t -> t <> '')"
     if is_prefix_value:
-        tokens = F.transform(tokens, lambda t: F.substring(t, 1, U.PREFIX_LENGTH))
-    return F.when(U.host_kind(host) != "name", F.array(host)).otherwise(tokens)
+        tokens = f"transform({tokens}, t -> left(t, {U.PREFIX_LENGTH}))"
+    whole = f"CASE WHEN {U.host_kind(host)} <> 'name' THEN array({host}) ELSE {tokens} END"
+    return f"coalesce({whole}, CAST(array() AS ARRAY<STRING>))"
 
 
-def _path_tokens(path: Column, append_file_extension: bool) -> Column:
+def _path_tokens(path: str, append_file_extension: bool) -> str:
     """`/seg/` for the inner segments, then the bare last segment and its raw extension."""
-    segments = F.split(path, "/")
-    last = F.element_at(segments, -1)
-    inner = F.slice(segments, F.lit(2), F.greatest(F.size(segments) - F.lit(2), F.lit(0)))
-    inner = F.transform(
-        F.filter(F.transform(inner, strip), lambda t: t != ""), lambda t: F.concat(F.lit("/"), t, F.lit("/"))
-    )
-    tail = F.array(last)
+    segments = f"split({path}, '/')"
+    inner = f"slice({segments}, 2, greatest(size({segments}) - 2, 0))"
+    inner = f"transform(filter({inner}, t -> {strip('t')} <> ''), t -> concat('/', {strip('t')}, '/'))"
+    last = f"substring_index({path}, '/', -1)"
+    tail = f"array({last})"
     if append_file_extension:
-        extension = F.regexp_extract(last, r"(?s).(\.[^.]*)$", 1)
-        tail = F.when(extension != "", F.array(last, extension)).otherwise(tail)
-    return F.when(last == "", inner).otherwise(F.concat(inner, tail))
+        extension = f"regexp_extract({last}, {literal(r'(?s).([.][^.]*)$')}, 1)"
+        tail = f"CASE WHEN {extension} <> '' THEN array({last}, {extension}) ELSE {tail} END"
+    return f"CASE WHEN {last} = '' THEN {inner} ELSE concat({inner}, {tail}) END"
 
 
 def _with_tokens(
     df: DataFrame, url: str, is_normalize: bool, is_prefix_value: bool, append_file_extension: bool
 ) -> DataFrame:
-    df = _with_query(df, url)
-    path = U.url_part(F.col(url), "path")
-    path = U.zero_digits(path) if is_normalize else path
-    rooted = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
-    df = once(df, {"__path": rooted, "__host": U.url_part(F.col(url), "hostname")})
-
-    def side(field: str) -> Column:
-        text = F.transform("__params", lambda p: p[field])
-        return F.transform(text, U.zero_digits) if is_normalize else text
-
-    values = side("v")
-    if is_prefix_value:
-        values = F.transform(values, lambda v: F.substring(v, 1, U.PREFIX_LENGTH))
-    no_host = F.array().cast("array<string>")
-    df = once(
-        df,
-        {
-            "__host_t": F.coalesce(_host_tokens(F.col("__host"), is_normalize, is_prefix_value), no_host),
-            "__path_t": _path_tokens(F.col("__path"), append_file_extension),
-            "__key_t": side("k"),
-            "__value_t": values,
-        },
-    )
-
-    def tagged(column: str, kind: str) -> Column:
-        return F.transform(
-            column,
-            lambda t, i: F.struct(
-                F.lit(kind).alias("kind"),
-                i.alias("ord"),
-                t.alias("token"),
-                # True for the first time this token shows up in this URL.
-                (F.array_position(F.col(column), t) == i + F.lit(1)).alias("first"),
-            ),
-        )
-
-    tokens = F.concat(
-        tagged("__host_t", "host"),
-        tagged("__path_t", "path"),
-        tagged("__key_t", "query_key"),
-        tagged("__value_t", "query_value"),
-    )
-    rows = df.select("url_id", F.explode_outer(tokens).alias("t")).where(F.col("t").isNotNull())
-    return rows.select("url_id", "t.*")
+    zero = U.zero_digits if is_normalize else (lambda text: text)
+    cut = (lambda text: f"left({text}, {U.PREFIX_LENGTH})") if is_prefix_value else (lambda text: text)
+    path = zero(U.url_part(url, "path"))
+    rooted = f"CASE WHEN startswith({path}, '/') THEN {path} ELSE concat('/', {path}) END"
+    df = once(_with_query(df, url), {"__path": rooted, "__host": U.url_part(url, "hostname")})
+    lists = {
+        "host": _host_tokens("__host", is_normalize, is_prefix_value),
+        "path": _path_tokens("__path", append_file_extension),
+        "query_key": f"transform(__params, p -> {zero('p.k')})",
+        "query_value": f"transform(__params, p -> {cut(zero('p.v'))})",
+    }
+    df = once(df, {f"__{kind}_tokens": tokens for kind, tokens in lists.items()})
+    # `first` is true for the first time a token shows up in its URL.
+    tagged = [
+        f"""transform(__{kind}_tokens, (t, i) -> named_struct('kind', '{kind}', 'ord', i, 'token', t,
+            'first', array_position(__{kind}_tokens, t) = i + 1))"""
+        for kind in lists
+    ]
+    rows = df.select("url_id", F.expr(f"explode_outer(concat({', '.join(tagged)}))").alias("t"))
+    return rows.where("t IS NOT NULL").select("url_id", "t.*")
 
 
 def url_tokens(
@@ -139,8 +106,8 @@ def url_tokens(
 
 def url_status(df: DataFrame, url: str = "url") -> DataFrame:
     """Rows `(url_id, status)`: `ok`, or `no_host` where host tokens are undefined."""
-    host = U.url_part(F.col(url), "hostname")
-    return df.select("url_id", F.when(host.isNull(), "no_host").otherwise("ok").alias("status"))
+    status = f"CASE WHEN {U.url_part(url, 'hostname')} IS NULL THEN 'no_host' ELSE 'ok' END"
+    return df.select("url_id", F.expr(status).alias("status"))
 
 
 def url_token_counts(
@@ -159,16 +126,9 @@ def url_token_counts(
 
 def path_depth_stats(df: DataFrame, url: str = "url") -> DataFrame:
     """Depth of paths per host: number of URLs, mean and maximum."""
-    rows = once(
-        df,
-        {
-            "host": F.coalesce(U.url_part(F.col(url), "hostname"), F.lit("")),
-            "level": U.path_level(U.url_part(F.col(url), "path")),
-        },
-    )
-    level = F.col("level")
+    rows = once(df, {"host": U.host_or_empty(url), "level": U.path_level(U.url_part(url, "path"))})
     return rows.groupBy("host").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(level).alias("avg_level"), F.max(level).alias("max_level")
+        F.count(F.lit(1)).alias("n"), F.avg("level").alias("avg_level"), F.max("level").alias("max_level")
     )
 
 
@@ -202,11 +162,10 @@ def match_urls(
 
 def site_rollup(df: DataFrame, url: str = "url") -> DataFrame:
     """Per site (`scheme://netloc/`): pages, distinct directories, share of URLs with a scheme."""
-    scheme, netloc = U.url_part(F.col(url), "scheme"), U.url_part(F.col(url), "netloc")
     rows = U.with_reduced(df, url, "__reduced").select(
-        F.concat(scheme, F.lit("://"), netloc, F.lit("/")).alias("site"),
-        U.path_structure(F.col("__reduced")).alias("directory"),
-        (scheme != "").cast("int").alias("schemed"),
+        F.expr(U.site(url)).alias("site"),
+        F.expr(U.path_structure("__reduced")).alias("directory"),
+        F.expr(f"CAST({U.url_part(url, 'scheme')} <> '' AS INT)").alias("schemed"),
     )
     # First level keyed by site and directory: a site with a third of all URLs spreads over its directories.
     by_directory = rows.groupBy("site", "directory").agg(

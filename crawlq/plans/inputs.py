@@ -128,4 +128,4 @@ def tld_table(spark: SparkSession) -> DataFrame:
 
 
 def joined(array: str, sep: str = "|"):
-    return F.array_join(F.transform(array, lambda x: x.cast("string")), sep).alias(array)
+    return F.array_join(F.col(array).cast("array<string>"), sep).alias(array)

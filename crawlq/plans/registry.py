@@ -58,7 +58,7 @@ def on_pairs(name: str, job: Callable[[DataFrame, DataFrame], DataFrame]) -> Non
 
 def _hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = I.table(spark, sf_dir, "pages")
-    return page.select(url_part(F.col("url"), "hostname").alias("host")).distinct()
+    return page.select(F.expr(url_part("url", "hostname")).alias("host")).distinct()
 
 
 # Sources and sinks
@@ -114,7 +114,7 @@ on_urls("site_rollup", urls.site_rollup)
 @query("host_kind_counts")
 def _(spark, sf_dir):
     crawled = I.derived(spark, sf_dir, I.CRAWL_URLS)
-    return urls.host_kind_counts(crawled.select(url_part(F.col("url"), "hostname").alias("host")))
+    return urls.host_kind_counts(crawled.select(F.expr(url_part("url", "hostname")).alias("host")))
 
 
 @query("match_urls")
@@ -272,7 +272,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     schema = I.table(spark, sf_dir, "pages").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(sf_dir)
-    hosts = source.select("page_id", url_part(F.col("url"), "hostname").alias("host"))
+    hosts = source.select("page_id", F.expr(url_part("url", "hostname")).alias("host"))
     folder = scratch_folder(spark)
     jobs.dga_scores_stream(hosts, f"{folder}/out", f"{folder}/state", available_now=True).awaitTermination()
     return spark.read.parquet(f"{folder}/out")

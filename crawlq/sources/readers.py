@@ -26,7 +26,7 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "html") -> DataFrame:
 
 def host_lines(lines: DataFrame) -> DataFrame:
     """`value` lines as `(host)`, whitespace stripped."""
-    return lines.select(strip(F.col("value")).alias("host"))
+    return lines.select(F.expr(strip("value")).alias("host"))
 
 
 def read_hosts(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
@@ -37,7 +37,7 @@ def read_hosts(spark: SparkSession, path: str, stream: bool = False) -> DataFram
 
 def tld_lines(lines: DataFrame) -> DataFrame:
     """`value` lines as distinct lower-case `(tld)`; blank lines and `#` lines are skipped."""
-    tld = lines.select(F.lower(strip(F.col("value"))).alias("tld"))
+    tld = lines.select(F.expr(f"lower({strip('value')})").alias("tld"))
     return tld.where((F.col("tld") != "") & ~F.col("tld").startswith("#")).distinct()
 
 
