@@ -110,8 +110,22 @@ TLD_LINES = ("# comment", "", " COM ", "org")
 FILE_TEMPLATE = "https://files.example.org/daily/Daily_{}.zip"
 
 
+# Tables whose rows are whole texts: little data, much work per row.
+TEXT_TABLES = ("pages", "documents")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a part of a text table that is read in fewer parts than there are cores.
+
+    A large table already has more splits than that and is left alone, so no text is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
