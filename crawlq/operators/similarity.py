@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from crawlq.functions import html as H
 from crawlq.functions import urls as U
 from crawlq.operators import extracts as X
+from crawlq.runtime import checkpointed
 
 Feature = Callable[[DataFrame], DataFrame]
 
@@ -101,8 +102,9 @@ def pair_similarity(
 
 
 def _similarity(pairs: DataFrame, pages: DataFrame, feature: Feature, compare: str) -> DataFrame:
-    tagged = _tagged(pages)
-    return pair_similarity(pairs, page_items(tagged, feature, compare), schemes=page_schemes(tagged))
+    """One pass over the pages for the items (checkpointed, as four joins read them), one for the base URLs."""
+    items = checkpointed(page_items(pages, feature, compare))
+    return pair_similarity(pairs, items, schemes=page_schemes(pages))
 
 
 def sim_title_text(pairs: DataFrame, pages: DataFrame) -> DataFrame:
@@ -188,20 +190,39 @@ def best_targets(
     compare: str = FULL,
     hot_item_pages: int = 1000,
 ) -> DataFrame:
-    """The `k` target pages each suspect page looks most like (see `best_target_items`)."""
-    return best_target_items(
-        page_items(suspects, feature, compare), page_items(targets, feature, compare), k, hot_item_pages
+    """The `k` target pages each suspect page looks most like (see `best_target_items`).
+
+    The items are checkpointed: they are read several times, and the pages should be parsed once.
+    """
+    items_a = checkpointed(page_items(suspects, feature, compare))
+    items_b = items_a if targets is suspects else checkpointed(page_items(targets, feature, compare))
+    return best_target_items(items_a, items_b, k, hot_item_pages)
+
+
+def _side(items: DataFrame, hot: DataFrame, side: str, entry: str) -> DataFrame:
+    """Per page: its length and its hot items as a sorted array (a page's own items, so bounded by it)."""
+    flagged = items.select(F.col("page_id").alias(f"{side}_id"), "item", "cnt").join(hot, "item", "left")
+    return flagged.groupBy(f"{side}_id").agg(
+        F.sum("cnt").alias(f"len_{side}"),
+        F.sort_array(F.collect_list(F.expr(f"CASE WHEN is_hot THEN {entry} END"))).alias(f"hot_{side}"),
     )
 
 
+def _classes(pages: DataFrame, side: str) -> DataFrame:
+    """The pages that hold hot items, with the class they belong to: same hot items, same length."""
+    held = pages.where(F.size(f"hot_{side}") > 0)
+    key = F.sha2(F.to_json(F.struct(f"hot_{side}", f"len_{side}")), 256)
+    return held.withColumn(f"class_{side}", key)
+
+
 def best_target_items(items_a: DataFrame, items_b: DataFrame, k: int, hot_item_pages: int = 1000) -> DataFrame:
     """`(a_id, b_id, common_count, len_a, len_b, common_ratio_of_min, rank)` for the top `k`, ties by `b_id`.
 
     Only targets that share an item are listed, never the page itself. The result is exact, with
     no pair of pages built for an item that many targets hold:
 
-    * items in at most `hot_item_pages` targets give candidate pairs (at most that many per posting),
-      which are then counted over all items;
+    * items in at most `hot_item_pages` targets give candidate pairs through an inverted index (at
+      most that many per posting); their overlap on hot items is added from the two pages;
     * for the hot items, pages with the same hot items and length form a class. Classes are
       compared with classes; of each target class only the `k + 1` smallest ids can reach a top
       `k`, because every other member has the same hot overlap and a larger id. A representative that
@@ -209,47 +230,43 @@ def best_target_items(items_a: DataFrame, items_b: DataFrame, k: int, hot_item_p
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    a = items_a.select(F.col("page_id").alias("a_id"), "item", "cnt")
-    b = items_b.select(F.col("page_id").alias("b_id"), "item", "cnt")
-    len_a = a.groupBy("a_id").agg(F.sum("cnt").alias("len_a"))
-    len_b = b.groupBy("b_id").agg(F.sum("cnt").alias("len_b"))
-    hot = b.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_item_pages).select("item")
-
-    # Rare items: an inverted index.
-    candidates = a.select("a_id", "item").join(b.select("b_id", "item").join(hot, "item", "left_anti"), "item")
-    candidates = candidates.select("a_id", "b_id").distinct()
-    rare = _common_counts(candidates, items_a, items_b).join(len_a, "a_id").join(len_b, "b_id")
+    hot = items_b.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_item_pages)
+    hot = hot.select("item", F.lit(True).alias("is_hot"))
+    pages_a = _side(items_a, hot, "a", "struct(item, cnt)")
+    pages_b = _side(items_b, hot, "b", "item")
+
+    # Rare items: an inverted index, counted per pair.
+    postings = items_b.join(hot, "item", "left_anti").select("item", F.col("page_id").alias("b_id"))
+    rare = items_a.select("item", "cnt", F.col("page_id").alias("a_id")).join(postings, "item")
+    rare = rare.where(F.col("a_id") != F.col("b_id")).groupBy("a_id", "b_id").agg(F.sum("cnt").alias("rare_count"))
+    rare = rare.join(pages_a, "a_id").join(pages_b, "b_id")
+    on_hot = "aggregate(filter(hot_a, e -> array_contains(hot_b, e.item)), 0L, (n, e) -> n + e.cnt)"
+    rare = rare.withColumn("common_count", F.col("rare_count") + F.expr(on_hot))
 
     # Hot items: classes of pages instead of pages.
-    def classes(items: DataFrame, lengths: DataFrame, key: str, length: str, cls: str, entry: Column) -> DataFrame:
-        kept = items.join(hot, "item", "left_semi")
-        per_page = kept.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
-        per_page = per_page.join(lengths, key)
-        return per_page.withColumn(cls, F.sha2(F.to_json(F.struct("entries", length)), 256))
-
-    member_a = classes(a, len_a, "a_id", "len_a", "class_a", F.struct("item", "cnt"))
-    member_b = classes(b, len_b, "b_id", "len_b", "class_b", F.col("item"))
-    class_a = member_a.groupBy("class_a").agg(F.any_value("entries").alias("entries"), F.any_value("len_a").alias("len_a"))
-    class_b = member_b.groupBy("class_b").agg(F.any_value("entries").alias("entries"), F.any_value("len_b").alias("len_b"))
+    member_a, member_b = _classes(pages_a, "a"), _classes(pages_b, "b")
+    class_a = member_a.groupBy("class_a").agg(*[F.any_value(c).alias(c) for c in ("hot_a", "len_a")])
+    class_b = member_b.groupBy("class_b").agg(*[F.any_value(c).alias(c) for c in ("hot_b", "len_b")])
     scored = (
-        class_a.select("class_a", "len_a", F.inline("entries"))
-        .join(class_b.select("class_b", "len_b", F.explode("entries").alias("item")), "item")
+        class_a.select("class_a", "len_a", F.inline("hot_a"))
+        .join(class_b.select("class_b", "len_b", F.explode("hot_b").alias("item")), "item")
         .groupBy("class_a", "class_b", "len_a", "len_b")
         .agg(F.sum("cnt").alias("common_count"))
         .withColumn("ratio", _ratio(F.col("common_count"), F.col("len_a"), F.col("len_b")))
     )
-    by_class = Window.partitionBy("class_a").orderBy(F.desc("ratio"))
-    scored = scored.withColumn("place", F.rank().over(by_class)).where(F.col("place") <= k + 1).drop("place")
-    smallest = Window.partitionBy("class_b").orderBy("b_id")
-    leaders = member_b.select("class_b", "b_id").withColumn("place", F.row_number().over(smallest))
+    # Each class holds a page at least, so only its best k + 1 target classes matter (ties included).
+    by_ratio = Window.partitionBy("class_a").orderBy(F.desc("ratio"))
+    scored = scored.withColumn("place", F.rank().over(by_ratio)).where(F.col("place") <= k + 1).drop("place")
+    by_id = Window.partitionBy("class_b").orderBy("b_id")
+    leaders = member_b.select("class_b", "b_id").withColumn("place", F.row_number().over(by_id))
     leaders = leaders.where(F.col("place") <= k + 1).drop("place")
-    top = Window.partitionBy("class_a").orderBy(F.desc("ratio"), "b_id")
-    by_leader = scored.join(leaders, "class_b").withColumn("place", F.row_number().over(top))
-    by_leader = by_leader.where(F.col("place") <= k + 1).drop("place", "class_b", "len_a")
-    common = member_a.select("a_id", "class_a", "len_a").join(by_leader, "class_a")
+    by_both = Window.partitionBy("class_a").orderBy(F.desc("ratio"), "b_id")
+    led = scored.join(leaders, "class_b").withColumn("place", F.row_number().over(by_both))
+    led = led.where(F.col("place") <= k + 1).select("class_a", "b_id", "len_b", "common_count")
+    common = member_a.select("a_id", "class_a", "len_a").join(led, "class_a")
 
     columns = ["a_id", "b_id", "common_count", "len_a", "len_b"]
-    both = rare.select(columns).unionByName(common.select(columns)).where(F.col("a_id") != F.col("b_id"))
+    both = rare.select(columns).unionByName(common.select(columns).where(F.col("a_id") != F.col("b_id")))
     both = both.groupBy("a_id", "b_id", "len_a", "len_b").agg(F.max("common_count").alias("common_count"))
     both = both.withColumn("common_ratio_of_min", _ratio(F.col("common_count"), F.col("len_a"), F.col("len_b")))
     best = Window.partitionBy("a_id").orderBy(F.desc("common_ratio_of_min"), "b_id")

@@ -255,7 +255,7 @@ def _(spark, sf_dir):
 
 @query("price_band_combos")
 def _(spark, sf_dir):
-    lines = I.table(spark, sf_dir, "lineitem")
+    lines = I.spread(I.table(spark, sf_dir, "lineitem"))
     items = lines.select(
         "l_orderkey",
         F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("item"),
