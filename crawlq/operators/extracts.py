@@ -80,7 +80,7 @@ def div_style_keys(pages: DataFrame, threshold: int = 3) -> DataFrame:
     """Per `div`: sorted distinct style property names, kept when there are at least `threshold`."""
     name = T.strip("lower(substring_index(s, ':', 1))")
     names = f"transform(split(coalesce({H.attr('raw', 'style')}, ''), ';'), s -> {name})"
-    keys = f"array_sort(array_distinct(filter({names}, n -> n <> '')))"
+    keys = f"sort_array(array_distinct(filter({names}, n -> n <> '')))"
     tags = H.select_tags(H.with_tags(pages), "div").where("contains(lower(raw), 'style')")
     return T.once(tags, {"item": keys}).where(F.size("item") >= threshold).select("page_id", "pos", "item")
 

@@ -141,9 +141,10 @@ def redirect_chains(
 
 def _advance(state: DataFrame, hops: DataFrame) -> DataFrame:
     """One hop of every open chain; `current` becomes NULL when the chain ends."""
-    rows = state.join(
-        hops.withColumnRenamed("http_code", "hop_code"), F.col("current") == F.col("hop_url"), "left"
-    )
+    # Only the hops somebody waits for; late hops are few, and then neither side needs a shuffle.
+    waiting = state.select(F.col("current").alias("hop_url")).distinct()
+    wanted = hops.withColumnRenamed("http_code", "hop_code").join(waiting, "hop_url", "left_semi")
+    rows = state.join(wanted, F.col("current") == F.col("hop_url"), "left")
     failed = F.col("hop_url").isNull() | F.col("error").isNotNull()
     fresh = (F.col("redirect_url") != F.col("current")) & ~F.array_contains("path", F.col("redirect_url"))
     rows = rows.withColumns(

@@ -11,7 +11,9 @@ from pyspark.sql import types as T
 from crawlq.runtime import checkpointed
 
 GRID = 1000
-ACCURACY = 20000
+# The grid is off by one in this many rows at most, well under one grid step.
+ACCURACY = 5000
+SALTS = 64
 
 
 def kth_smallest(
@@ -37,17 +39,29 @@ def kth_smallest(
         if n is None or n["n"] < k:
             raise ValueError(f"k={k} is greater than the number of values")
     sizes = checkpointed(sizes.where(F.col("n") >= k).withColumn("k", F.lit(k).cast("bigint")))
-    small = sizes.where(F.col("n") <= max_group_rows)
-    found = [_pick(rows.join(small.select("g", "k"), "g"))]
+    small = sizes.where(F.col("n") <= max_group_rows).select("g", "k")
     big = sizes.where(F.col("n") > max_group_rows)
-    if not big.isEmpty():
+    if big.isEmpty():
+        found = [_pick(rows.join(small, "g"))]
+    else:
         if not isinstance(rows.schema["v"].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
             raise TypeError("groups this large need a numeric, date or timestamp value")
-        found.append(_narrow(rows, big, max_group_rows))
+        found = [_pick(_attach(rows, small)), _narrow(rows, big, max_group_rows)]
     out = reduce(DataFrame.unionByName, found)
     return out.select("kth") if by is None else out.select(F.col("g").alias(by), "kth")
 
 
+def _attach(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Inner join on the group, with every group spread over `SALTS` join keys.
+
+    The adaptive skew join does not act where an aggregate or window on the same key follows,
+    so a group with a third of all rows is split here.
+    """
+    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    return rows.join(salted, ["g", "salt"]).drop("salt")
+
+
 def _pick(rows: DataFrame) -> DataFrame:
     """Rank inside groups that fit a task; `rows` carry their group's `k`."""
     order = Window.partitionBy("g").orderBy("v")
@@ -56,56 +70,55 @@ def _pick(rows: DataFrame) -> DataFrame:
 
 
 def _narrow(rows: DataFrame, big: DataFrame, max_group_rows: int) -> DataFrame:
-    """Bracket rank `k` of big groups until the rows in the bracket fit a task."""
+    """Bracket rank `k` of big groups until the rows strictly inside the bracket fit a task.
+
+    A value with many repeats ends up as a bound, where it is only counted, so every round
+    leaves a few thousandths of the group whatever the values are.
+    """
     found = []
     steps = [i / GRID for i in range(GRID + 1)]
     number = rows.schema["v"].dataType
-    rows = rows.join(big.select("g"), "g", "left_semi")
     while True:
-        grid = rows.groupBy("g").agg(F.percentile_approx("v", steps, ACCURACY).alias("grid"))
+        grid = _attach(rows, big.select("g")).groupBy("g").agg(F.percentile_approx("v", steps, ACCURACY).alias("grid"))
         at = F.floor(F.col("k") * GRID / F.col("n")).cast("int")
-        # Two grid steps to each side cover the error of the grid.
-        lo = F.element_at("grid", F.greatest(at - 1, F.lit(1)))
-        hi = F.element_at("grid", F.least(at + 4, F.lit(GRID + 1)))
-        brackets = grid.join(big, "g").select(
+        # One grid step below the rank and two above it; outside the grid there is no bound.
+        bracket = grid.join(big, "g").select(
             "g",
             "k",
-            "n",
-            F.when(at - 1 > 0, lo).cast(number).alias("lo"),
-            F.when(at + 4 <= GRID, hi).cast(number).alias("hi"),
+            F.when(at > 1, F.try_element_at("grid", at - 1)).cast(number).alias("lo"),
+            F.when(at + 4 <= GRID, F.try_element_at("grid", at + 4)).cast(number).alias("hi"),
         )
-        brackets = checkpointed(brackets)
-        placed = rows.join(brackets, "g")
-        below = F.col("lo").isNotNull() & (F.col("v") < F.col("lo"))
-        inside = ~below & (F.col("hi").isNull() | (F.col("v") <= F.col("hi")))
-        counted = placed.groupBy("g", "k", "lo", "hi", "n").agg(
-            F.count_if(below).alias("below"),
-            F.count_if(inside).alias("inside"),
-            F.count_if(inside & (F.col("v") != F.col("lo"))).alias("spread"),
+        bracket = checkpointed(bracket)
+        v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
+        above_lo, under_hi = lo.isNull() | (v > lo), hi.isNull() | (v < hi)
+        counts = _attach(rows, bracket).groupBy("g", "k", "lo", "hi").agg(
+            F.count_if(v < lo).alias("below"),
+            F.count_if(v == lo).alias("at_lo"),
+            F.count_if(above_lo & under_hi).alias("inside"),
+            F.count_if((v == hi) & above_lo).alias("at_hi"),
         )
-        counted = counted.select("g", "lo", "hi", (F.col("k") - F.col("below")).alias("k"), "inside", "spread")
-        counted = checkpointed(counted)
-        good = (F.col("k") >= 1) & (F.col("k") <= F.col("inside"))
-        if not counted.where(~good).isEmpty():
+        counts = counts.withColumn("k", F.col("k") - F.col("below"))
+        counts = counts.withColumn("rest", F.col("k") - F.col("at_lo"))
+        counts = checkpointed(counts)
+        missed = (F.col("k") < 1) | (F.col("rest") > F.col("inside") + F.col("at_hi"))
+        if not counts.where(missed).isEmpty():
             raise ArithmeticError("the quantile grid missed the rank")
-        # A bracket of one repeated value is the answer.
-        flat = counted.where(F.col("lo").isNotNull() & (F.col("spread") == 0))
-        found.append(flat.select("g", F.col("lo").alias("kth")))
-        rest = counted.where(F.col("lo").isNull() | (F.col("spread") > 0))
-        fits = rest.where(F.col("inside") <= max_group_rows)
-        found.append(_pick(_bracketed(rows, fits)))
-        big = rest.where(F.col("inside") > max_group_rows)
+        found.append(counts.where(F.col("rest") < 1).select("g", lo.alias("kth")))
+        found.append(counts.where(F.col("rest") > F.col("inside")).select("g", hi.alias("kth")))
+        between = counts.where((F.col("rest") >= 1) & (F.col("rest") <= F.col("inside")))
+        between = between.select("g", F.col("rest").alias("k"), F.col("inside").alias("n"), "lo", "hi")
+        inside = _attach(rows, between).where(above_lo & under_hi)
+        found.append(_pick(inside.where(F.col("n") <= max_group_rows)))
+        big = between.where(F.col("n") > max_group_rows).select("g", "k", "n")
         if big.isEmpty():
             return reduce(DataFrame.unionByName, found)
-        rows = _bracketed(rows, big).select("g", "v")
-        big = big.select("g", "k", F.col("inside").alias("n"))
+        # A small share of the group: later rounds need not read the table again.
+        rows = checkpointed(inside.where(F.col("n") > max_group_rows).select("g", "v"))
 
 
-def _bracketed(rows: DataFrame, brackets: DataFrame) -> DataFrame:
-    joined = rows.join(brackets.select("g", "k", "lo", "hi"), "g")
-    above = F.col("lo").isNull() | (F.col("v") >= F.col("lo"))
-    under = F.col("hi").isNull() | (F.col("v") <= F.col("hi"))
-    return joined.where(above & under).select("g", "k", "v")
+def _hopeful(total: Column, left: int, hi: float) -> Column:
+    """Can a set still end below `hi`: what is to come lowers the total only where there are negative prices."""
+    return total + F.col("slack") * left < hi
 
 
 def price_band_combos(
@@ -116,49 +129,69 @@ def price_band_combos(
     hi: float,
     max_k: int,
     by: str,
+    split_rows: int = 10_000,
+    ordered: bool = False,
 ) -> DataFrame:
     """Unordered item sets of up to `max_k` whose price, with the chosen items, lies strictly between `lo` and `hi`.
 
     `items(by, item, price)`, where `item` identifies an item inside its group and can be ordered;
     `chosen` and `excluded` list items by `item` (and `by`, when they differ per group).
-    Returns `(by, size, prices, total)` by ascending total; size 0 is the chosen items alone.
+    Returns `(by, size, prices, total)`; size 0 is the chosen items alone. `ordered` sorts by
+    total, which computes the sets twice (range partitioning samples them first), so a sink
+    that needs no order should not ask for it.
 
-    Every level is an equi-join on the group plus an order test, so one partitioning by
-    group serves all levels. Sets that no cheaper item could bring below `hi` are dropped on the way.
+    Every level is an equi-join on the group plus an order test. Sets that no cheaper item could
+    bring below `hi` are dropped on the way. The sets of a group with more than `split_rows` items are
+    spread over one part per `split_rows` items, each with its own copy of the group's items.
     """
 
     def keys(listed: DataFrame) -> list[str]:
         return [by, "item"] if by in listed.columns else ["item"]
 
-    taken = items.join(chosen, keys(chosen), "left_semi").groupBy(by).agg(F.sum("price").alias("start"))
-    groups = items.groupBy(by).agg(F.least(F.min("price"), F.lit(0)).alias("slack")).join(taken, by, "left")
-    groups = groups.select(by, "slack", F.coalesce("start", F.lit(0)).cast("double").alias("total"))
-    pool = items.join(chosen, keys(chosen), "left_anti").join(excluded, keys(excluded), "left_anti")
-    pool = pool.select(F.col(by).alias("pool_by"), F.col("item").alias("next_item"), F.col("price").cast("double").alias("next_price"))
-    item_type = items.schema["item"].dataType
-    level = groups.select(
-        by, "slack", "total", F.array().cast("array<double>").alias("prices"), F.lit(None).cast(item_type).alias("last")
+    start = F.coalesce(F.sum(F.expr("CASE WHEN taken THEN price END")), F.lit(0)).cast("double")
+    marked = items.join(chosen.select(*keys(chosen), F.lit(True).alias("taken")).distinct(), keys(chosen), "left")
+    groups = marked.groupBy(by).agg(
+        start.alias("total"),
+        F.least(F.min("price"), F.lit(0)).cast("double").alias("slack"),
+        F.ceil(F.count(F.lit(1)) / split_rows).cast("int").alias("parts"),
     )
-    levels = [level]
-    for size in range(1, max_k + 1):
-        left = max_k - size
-        total = F.col("total") + F.col("next_price")
-        later = F.col("last").isNull() | (F.col("next_item") > F.col("last"))
-        # What is still to come can lower the total only where there are negative prices.
-        hopeful = total + F.col("slack") * left < hi
-        level = level.join(pool, (F.col(by) == F.col("pool_by")) & later & hopeful).select(
+    free = marked.where("taken IS NULL").join(excluded, keys(excluded), "left_anti").join(groups, by)
+    price = F.col("price").cast("double")
+    none = F.array().cast("array<double>")
+    levels = [groups.select(by, "total", none.alias("prices"))]
+    pool = free.select(
+        F.col(by).alias("pool_by"),
+        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("pool_part"),
+        F.col("item").alias("next_item"),
+        price.alias("next_price"),
+    )
+    # Single items come straight from the item rows; only larger sets need a join.
+    single = (F.col("total") + price).alias("total")
+    level = free.select(by, "slack", "parts", F.col("item").alias("last"), F.array(price).alias("prices"), single)
+    level = level.where(_hopeful(F.col("total"), max_k - 1, hi))
+    if max_k >= 1:
+        levels.append(level.select(by, "total", "prices"))
+    total = F.col("total") + F.col("next_price")
+    for size in range(2, max_k + 1):
+        part = F.pmod(F.xxhash64("last"), F.col("parts")).cast("int")
+        same = (F.col(by) == F.col("pool_by")) & (F.col("part") == F.col("pool_part"))
+        later = F.col("next_item") > F.col("last")
+        level = level.withColumn("part", part).join(pool, same & later & _hopeful(total, max_k - size, hi))
+        level = level.select(
             by,
             "slack",
-            total.alias("total"),
-            F.array_append("prices", F.col("next_price")).alias("prices"),
+            "parts",
             F.col("next_item").alias("last"),
+            F.array_append("prices", F.col("next_price")).alias("prices"),
+            total.alias("total"),
         )
-        levels.append(level)
+        levels.append(level.select(by, "total", "prices"))
     sets = reduce(DataFrame.unionByName, levels)
     sets = sets.where((F.col("total") > lo) & (F.col("total") < hi))
-    return sets.select(
-        by, F.size("prices").alias("size"), F.array_sort("prices").alias("prices"), F.round("total", 2).alias("total")
-    ).orderBy("total", by)
+    sets = sets.select(
+        by, F.size("prices").alias("size"), F.sort_array("prices").alias("prices"), F.round("total", 2).alias("total")
+    )
+    return sets.orderBy("total", by) if ordered else sets
 
 
 def reference_band(budget: float = 2000.0, rate: float = 0.88, extra: float = 100.0) -> tuple[float, float]:

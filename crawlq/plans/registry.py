@@ -263,7 +263,7 @@ def _(spark, sf_dir):
     )
     none = items.select("item").limit(0)
     sets = selection.price_band_combos(items, none, none, *BAND, max_k=3, by="l_orderkey")
-    prices = F.array_join(F.transform("prices", lambda p: F.format_string("%.2f", p)), "|")
+    prices = F.array_join(F.col("prices").cast("array<decimal(18,2)>").cast("array<string>"), "|")
     return sets.select("l_orderkey", "size", prices.alias("prices"), "total")
 
 

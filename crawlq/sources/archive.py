@@ -11,7 +11,7 @@ def _items(fetches: DataFrame) -> DataFrame:
     parts = [F.struct(F.lit("content").alias("part"), F.coalesce("html", F.lit("")).alias("body"))]
     if "headers" in fetches.columns:
         # Keys in order, so that equal headers give equal text and one blob.
-        ordered = F.map_from_entries(F.array_sort(F.map_entries("headers")))
+        ordered = F.map_from_entries(F.sort_array(F.map_entries("headers")))
         parts.append(F.struct(F.lit("header").alias("part"), F.to_json(ordered).alias("body")))
     if "meta" in fetches.columns:
         parts.append(F.struct(F.lit("meta").alias("part"), F.to_json("meta").alias("body")))
