@@ -34,24 +34,19 @@ CARRIED = ("page_id", "url", "base_url")
 
 DISPLAY_NONE = r"display\s*:\s*[^;]*none"
 
-# Attributes before the wanted one, each with an optional value.
-_BEFORE = r"""(?i)^<[a-z][^\s/>]*(?:\s+[^\s=>]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?)*?\s+"""
-
-
-def attribute_pattern(name: str) -> str:
-    """Group 1: the value with its quotes. Group 2: what follows a name without a value."""
-    return _BEFORE + name + r"""(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]*)|([\s/>]))"""
+# One attribute with its optional value. No repeated group, so a tag with any number of words is safe to scan.
+ATTRIBUTE = r"""\s([^\s=>/]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?)"""
 
 
 def attr(raw: str, name: str) -> str:
     """Value of the first attribute `name` of a tag: `''` when bare, NULL when absent."""
-    pattern = literal(attribute_pattern(name))
-    value = f"regexp_extract({raw}, {pattern}, 1)"
-    quote = literal("^[\"']")
-    return f"""CASE WHEN NOT contains(lower({raw}), '{name}') THEN NULL
-        WHEN {value} RLIKE {quote} THEN {unescape(f'substr({value}, 2, length({value}) - 2)')}
-        WHEN {value} <> '' THEN {unescape(value)}
-        WHEN regexp_extract({raw}, {pattern}, 2) <> '' THEN '' END"""
+    key = f"lower({strip("substring_index(a, '=', 1)")})"
+    value = strip("substr(a, length(substring_index(a, '=', 1)) + 2)")
+    unquoted = f"""CASE WHEN {value} RLIKE {literal("^[\"']")} THEN substr({value}, 2, length({value}) - 2)
+        ELSE {value} END"""
+    named = f"filter(regexp_extract_all({raw}, {literal(ATTRIBUTE)}, 1), a -> {key} = '{name}')"
+    return f"""CASE WHEN contains(lower({raw}), '{name}')
+        THEN try_element_at(transform({named}, a -> {unescape(unquoted)}), 1) END"""
 
 
 def hides(tag: str, raw: str) -> str:

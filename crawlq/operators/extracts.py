@@ -89,7 +89,7 @@ def visible_text(pages: DataFrame) -> DataFrame:
     """Visible text pieces, trimmed, empty ones dropped."""
     texts = f"filter(tags, t -> t.kind = 'text' AND t.raw RLIKE {literal(r'\S')})"
     rows = H.explode_tags(H.with_hidden_spans(H.with_tags(pages)), H.outside(texts))
-    return rows.select("page_id", "pos", F.expr(H.plain("raw")).alias("item")).where("item <> ''")
+    return T.once(rows.select("page_id", "pos", "raw"), {"item": H.plain("raw")}).drop("raw").where("item <> ''")
 
 
 def page_words(pages: DataFrame) -> DataFrame:
@@ -205,7 +205,8 @@ def refresh_url(raw: str) -> str:
 def meta_refresh(pages: DataFrame) -> DataFrame:
     """Targets of refresh tags before the body, as written."""
     rows = H.explode_tags(H.with_tags(pages), refresh_tags())
-    return rows.select("page_id", "pos", F.expr(refresh_url("raw")).alias("item")).where("item IS NOT NULL")
+    rows = T.once(rows.select("page_id", "pos", "raw"), {"item": refresh_url("raw")}).drop("raw")
+    return rows.where("item IS NOT NULL")
 
 
 def with_base_url(tagged: DataFrame, base_tag_only: bool = False) -> DataFrame:

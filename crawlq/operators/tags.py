@@ -47,7 +47,7 @@ def attr_items(tags: DataFrame, name: str, accept_empty: bool = True) -> DataFra
 
     Emptiness is tested on the trimmed value; tags without the attribute give no row.
     """
-    rows = tags.withColumns({"item": F.expr(H.attr("raw", name))})
+    rows = once(tags, {"item": H.attr("raw", name)})
     keep = F.col("item").isNotNull() if accept_empty else F.col("item").rlike(r"\S")
     base = [c for c in ("base_url",) if c in tags.columns]
     return rows.where(keep).select("page_id", *base, "pos", "item")

@@ -89,7 +89,6 @@ def _with(ctes: str, select: str) -> str:
 
 def _items(where: str, name: str, source: str = "tags", empty: bool = False) -> str:
     """Attribute rows of some tags."""
-    test = "IS NOT NULL" if empty else "NOT NULL AND trim(item) <> ''"
     test = "item IS NOT NULL" if empty else "item IS NOT NULL AND trim(item) <> ''"
     return f"SELECT page_id, pos, item FROM (SELECT page_id, pos, {_attr(name)} AS item FROM {source} WHERE {where}) WHERE {test}"
 
@@ -291,9 +290,10 @@ _REL = f"replace(lower({_attr('rel')}), ' ', '')"
 ICONS = _items(f"tag = 'link' AND {_REL} = 'shortcuticon'", "href")
 SHEETS = _items(f"tag = 'link' AND {_REL} = 'stylesheet'", "href")
 SCRIPTS = _items(
-    f"tag = 'script' AND kind IN ('script', 'open') AND coalesce(lower({_attr('type', 'regexp_extract(raw, ' + _text('^[^>]*>') + ')')}), 'text/javascript') = 'text/javascript'",
+    f"tag = 'script' AND coalesce(lower({_attr('type')}), 'text/javascript') = 'text/javascript'",
     "src",
-).replace("(raw,", "(regexp_extract(raw, '^[^>]*>'),")
+    "(SELECT page_id, pos, tag, regexp_extract(raw, '^[^>]*>') AS raw FROM tags WHERE kind IN ('script', 'open'))",
+)
 IMAGES = _items("tag = 'img' AND kind = 'open'", "src")
 ORACLES["shortcut_icons"] = _with(TAGS, ICONS)
 ORACLES["stylesheets"] = _with(TAGS, SHEETS)
@@ -547,6 +547,13 @@ ORACLES["final_content"] = _with(
     CHAINS,
     "SELECT e.root AS url, e.path[len(e.path)] AS final_url, f.html AS body FROM ended e LEFT JOIN fetches f ON f.final_url = e.path[len(e.path)]",
 )
+ORACLES["fetch_state"] = _with(
+    CHAINS,
+    """SELECT e.root AS url, array_to_string(e.path, '|') AS redirect_url_list, e.reason IS NULL AS is_redirect_complete,
+  e.reason IS NULL AS finish_download, CAST(NULL AS VARCHAR) AS failed_download_reason,
+  length(f.html) AS final_url_content_length, CAST(f.http_code AS BIGINT) AS http_code
+FROM ended e JOIN fetches f ON f.url = e.root""",
+)
 META = f"changes AS ({_src(I.URL_CHANGES)})"
 _STATE = ", ".join(
     f"arg_max({c}, fetched_at) FILTER (WHERE {c} IS NOT NULL) AS {c}"

@@ -215,6 +215,12 @@ query("fetch_meta")(lambda spark, sf_dir: fetches.fetch_meta(I.derived(spark, sf
 query("parse_headers")(lambda spark, sf_dir: fetches.parse_headers(I.derived(spark, sf_dir, I.HEADER_LINES)))
 
 
+@query("fetch_state")
+def _(spark, sf_dir):
+    captured = I.derived(spark, sf_dir, I.FETCHES)
+    return fetches.fetch_meta(fetches.meta_writes(captured, fetches.redirect_chains(captured)))
+
+
 @query("final_content")
 def _(spark, sf_dir):
     captured = I.derived(spark, sf_dir, I.FETCHES)

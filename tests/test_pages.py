@@ -45,6 +45,12 @@ def test_attributes(page, items):
     assert items(extracts.a_hrefs(page(html))) == ["x/y", "b", "<&lt;", "", "", " d "]
 
 
+def test_a_tag_of_many_words(page, items):
+    html = f"<a {'word=x y ' * 30000} href=z>1</a><div {'style ' * 30000} aria-hidden=true>2</div>{'<b ' * 500}"
+    assert items(extracts.a_hrefs(page(html))) == ["z"]
+    assert items(extracts.visible_text(page(html)))[0] == "1"
+
+
 def test_images_inside_links(page, items):
     html = "<a href='1'><b><img src=i></b></a><a href='2'>t<a href='3'><img></a><img><a href=''><img></a>"
     assert items(extracts.a_hrefs_with_img(page(html))) == ["1", "3"]
