@@ -246,17 +246,19 @@ def best_target_items(items_a: DataFrame, items_b: DataFrame, k: int, hot_item_p
     # Hot items: classes of pages instead of pages.
     member_a, member_b = _classes(pages_a, "a"), _classes(pages_b, "b")
     class_a = member_a.groupBy("class_a").agg(*[F.any_value(c).alias(c) for c in ("hot_a", "len_a")])
-    class_b = member_b.groupBy("class_b").agg(*[F.any_value(c).alias(c) for c in ("hot_b", "len_b")])
+    class_b = member_b.groupBy("class_b").agg(
+        *[F.any_value(c).alias(c) for c in ("hot_b", "len_b")], F.min("b_id").alias("first_b")
+    )
     scored = (
         class_a.select("class_a", "len_a", F.inline("hot_a"))
-        .join(class_b.select("class_b", "len_b", F.explode("hot_b").alias("item")), "item")
-        .groupBy("class_a", "class_b", "len_a", "len_b")
+        .join(class_b.select("class_b", "len_b", "first_b", F.explode("hot_b").alias("item")), "item")
+        .groupBy("class_a", "class_b", "len_a", "len_b", "first_b")
         .agg(F.sum("cnt").alias("common_count"))
         .withColumn("ratio", _ratio(F.col("common_count"), F.col("len_a"), F.col("len_b")))
     )
-    # Each class holds a page at least, so only its best k + 1 target classes matter (ties included).
-    by_ratio = Window.partitionBy("class_a").orderBy(F.desc("ratio"))
-    scored = scored.withColumn("place", F.rank().over(by_ratio)).where(F.col("place") <= k + 1).drop("place")
+    # Every class brings its smallest id at least, so the best k + 1 classes by ratio and that id suffice.
+    by_ratio = Window.partitionBy("class_a").orderBy(F.desc("ratio"), "first_b")
+    scored = scored.withColumn("place", F.row_number().over(by_ratio)).where(F.col("place") <= k + 1).drop("place")
     by_id = Window.partitionBy("class_b").orderBy("b_id")
     leaders = member_b.select("class_b", "b_id").withColumn("place", F.row_number().over(by_id))
     leaders = leaders.where(F.col("place") <= k + 1).drop("place")

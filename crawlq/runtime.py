@@ -34,7 +34,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The folder named by `spark.checkpoint.dir`; only a local session without it gets a scratch folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")

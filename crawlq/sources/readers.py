@@ -11,8 +11,8 @@ from crawlq.functions.text import strip
 def read_pages(spark: SparkSession, path: str, fmt: str = "html") -> DataFrame:
     """Pages as `(page_id, url, html)`.
 
-    `html` reads one file per page (the file path is its URL, the id is a hash of it);
-    any other format is a table that already has the three columns.
+    `html` reads one file per page (the file path is its URL, the id a 64-bit hash of it, so give
+    billions of files ids of their own); any other format is a table that has the three columns.
     """
     if fmt != "html":
         return spark.read.format(fmt).load(path).select("page_id", "url", "html")
