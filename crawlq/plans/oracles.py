@@ -598,6 +598,7 @@ def _kth(value: str, k: int, by: str) -> str:
 
 ORACLES["kth_smallest_grouped"] = _kth("l_extendedprice", 5000, "l_returnflag")
 ORACLES["kth_smallest_ties"] = _kth("l_quantity", 900, "l_linestatus")
+ORACLES["kth_smallest_narrowed"] = _kth("l_extendedprice", 700, "l_returnflag")
 ORACLES["kth_smallest_global"] = (
     "SELECT l_extendedprice AS kth FROM lineitem ORDER BY l_extendedprice LIMIT 1 OFFSET 1233"
 )

@@ -254,6 +254,13 @@ def _(spark, sf_dir):
     return selection.kth_smallest(I.table(spark, sf_dir, "lineitem"), "l_quantity", 900, by="l_linestatus")
 
 
+@query("kth_smallest_narrowed")
+def _(spark, sf_dir):
+    # A bound low enough that every group goes through the narrowing rounds.
+    lines = I.table(spark, sf_dir, "lineitem")
+    return selection.kth_smallest(lines, "l_extendedprice", 700, by="l_returnflag", max_group_rows=500)
+
+
 @query("kth_smallest_global")
 def _(spark, sf_dir):
     return selection.kth_smallest(I.table(spark, sf_dir, "lineitem"), "l_extendedprice", 1234)
