@@ -24,7 +24,7 @@ from crawlq.runtime import checkpointed
 DIMENSIONS = ("source", "lang", "topic")
 #: Target shares are the shares in the data to this power: below 1 lifts small sources.
 TEMPER = 0.7
-TOLERANCE = 1e-6
+TOLERANCE = 1e-5
 MAX_ROUNDS = 60
 
 #: Topic words: a document belongs to the topic whose words make up most of its characters.

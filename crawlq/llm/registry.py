@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crawlq.llm import license_scan, mixing, quality_rules, secrets
+from crawlq.llm import license_scan, mixing, packing, quality_rules, secrets, tokens
 from crawlq.llm.common import documents
 
 QUERIES = {}
@@ -18,6 +18,16 @@ def register(query):
     return query
 
 
+@register
+def op2_best_fit_packing(spark, sf_dir):
+    return packing.packed_documents(documents(spark, sf_dir))
+
+
+@register
+def op6_token_counts(spark, sf_dir):
+    return tokens.token_counts(documents(spark, sf_dir))
+
+
 @register
 def op7_secret_scan(spark, sf_dir):
     found = secrets.secrets(documents(spark, sf_dir))
