@@ -4,7 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crawlq.llm import license_scan, mixing, packing, quality_rules, secrets, tokens
+from crawlq.llm import (
+    fingerprints,
+    license_scan,
+    mixing,
+    packing,
+    quality_classifier,
+    quality_rules,
+    secrets,
+    tokens,
+)
 from crawlq.llm.common import documents
 
 QUERIES = {}
@@ -18,11 +27,22 @@ def register(query):
     return query
 
 
+@register
+def op1_quality_classifier(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_classifier.quality_scores(documents(spark, sf_dir), labels)
+
+
 @register
 def op2_best_fit_packing(spark, sf_dir):
     return packing.packed_documents(documents(spark, sf_dir))
 
 
+@register
+def op5_fingerprints(spark, sf_dir):
+    return fingerprints.edit_likeness(documents(spark, sf_dir))
+
+
 @register
 def op6_token_counts(spark, sf_dir):
     return tokens.token_counts(documents(spark, sf_dir))
