@@ -12,6 +12,7 @@ from crawlq.llm import (
     quality_classifier,
     quality_rules,
     secrets,
+    substring_dedup,
     tokens,
 )
 from crawlq.llm.common import documents
@@ -38,6 +39,12 @@ def op2_best_fit_packing(spark, sf_dir):
     return packing.packed_documents(documents(spark, sf_dir))
 
 
+@register
+def op3_substring_dedup(spark, sf_dir):
+    found = substring_dedup.repeats(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @register
 def op5_fingerprints(spark, sf_dir):
     return fingerprints.edit_likeness(documents(spark, sf_dir))
