@@ -8,6 +8,7 @@ from crawlq.llm import (
     fingerprints,
     license_scan,
     mixing,
+    near_join,
     packing,
     quality_classifier,
     quality_rules,
@@ -45,6 +46,11 @@ def op3_substring_dedup(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@register
+def op4_ngram_jaccard_join(spark, sf_dir):
+    return near_join.jaccard_join(documents(spark, sf_dir)).select("doc_id", "class_id", "copy_id", "n_copies", "n_links")
+
+
 @register
 def op5_fingerprints(spark, sf_dir):
     return fingerprints.edit_likeness(documents(spark, sf_dir))
