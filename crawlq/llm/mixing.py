@@ -23,7 +23,7 @@ from crawlq.runtime import checkpointed
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Target shares are the shares in the data to this power: below 1 lifts small sources.
-TEMPER = 0.7
+TEMPER = 0.9
 TOLERANCE = 1e-5
 MAX_ROUNDS = 60
 

@@ -92,12 +92,15 @@ class Held:
         self.bucket, self.value = b[starts], v[starts]
         self.many = np.diff(np.append(starts, len(b))) > 1
         self.wanted = np.bincount(self.group, weights=wanted, minlength=len(starts)) > 0
-        self.cuts = np.flatnonzero(np.append(True, self.bucket[1:] != self.bucket[:-1])) if len(starts) else starts
+        changes = np.flatnonzero(self.bucket[1:] != self.bucket[:-1]) + 1
+        bounds = [0, *changes.tolist(), len(self.bucket)] if len(starts) else []
+        #: First and last value of each bucket.
+        self.parts = list(zip(bounds, bounds[1:], strict=False))
 
     def messages(self, batch: int, wide: bool) -> dict[str, list]:
         """One row per bucket."""
         out: dict[str, list] = {"bucket": [], "batch": [], "values": [], "many": [], "wanted": []}
-        for a, b in zip(self.cuts, np.append(self.cuts[1:], len(self.bucket)), strict=True):
+        for a, b in self.parts:
             out["bucket"].append(int(self.bucket[a]))
             out["batch"].append(batch)
             out["values"].append(_packed(self.value[a:b], wide))
@@ -108,7 +111,7 @@ class Held:
     def answered(self, answers: dict[int, bytes]) -> np.ndarray:
         """First word of every window whose value was answered with 1."""
         yes = np.zeros(len(self.bucket), dtype=bool)
-        for a, b in zip(self.cuts, np.append(self.cuts[1:], len(self.bucket)), strict=True):
+        for a, b in self.parts:
             bits = answers.get(int(self.bucket[a]))
             if bits is not None:
                 yes[a:b] = np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=b - a)
