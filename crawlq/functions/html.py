@@ -102,7 +102,7 @@ _SPAN_STEP = f"""named_struct(
 
 
 def with_hidden_spans(tagged: DataFrame) -> DataFrame:
-    """Add `hidden_spans`: the outermost hidden elements as `array<struct<lo,hi>>` of token positions.
+    """Add `hidden_spans`, the outermost hidden elements as `array<struct<lo,hi>>` of token positions, and `hidden_flags`.
 
     One pass over the page's tags follows the hidden element that is open at the moment;
     what lies inside it cannot outlast it. An element left open runs to the end of the page.
@@ -115,17 +115,22 @@ def with_hidden_spans(tagged: DataFrame) -> DataFrame:
     start = "named_struct('name', '', 'depth', 0, 'lo', 0, 'spans', CAST(array() AS ARRAY<STRUCT<lo: INT, hi: INT>>))"
     finish = f"""CASE WHEN s.name <> '' THEN concat(s.spans, array(named_struct('lo', s.lo, 'hi', {2**31 - 1})))
         ELSE s.spans END"""
-    return once(tagged, {"hidden_spans": f"aggregate({slim}, {start}, (s, t) -> {_SPAN_STEP}, s -> {finish})"})
+    tagged = once(tagged, {"hidden_spans": f"aggregate({slim}, {start}, (s, t) -> {_SPAN_STEP}, s -> {finish})"})
+    # One flag per token up to the last hidden one: spans are in order and apart, so they fill in by runs.
+    flags = """flatten(transform(hidden_spans, (r, i) -> concat(
+        array_repeat(false, r.lo - CASE WHEN i = 0 THEN 0 ELSE hidden_spans[i - 1].hi + 1 END),
+        array_repeat(true, least(r.hi, size(tags) - 1) - r.lo + 1))))"""
+    return once(tagged, {"hidden_flags": flags})
 
 
-def outside(tokens: str, spans: str = "hidden_spans") -> str:
+def outside(tokens: str) -> str:
     """The tokens that lie in none of the hidden spans."""
-    return f"filter({tokens}, t -> NOT exists({spans}, r -> t.pos BETWEEN r.lo AND r.hi))"
+    return f"filter({tokens}, t -> NOT coalesce(try_element_at(hidden_flags, t.pos + 1), false))"
 
 
-def shown(tokens: str, spans: str = "hidden_spans") -> str:
+def shown(tokens: str) -> str:
     """The element tokens that neither hide themselves nor lie in a hidden span."""
-    return f"filter({outside(tokens, spans)}, t -> NOT ({hides('t.tag', 't.raw')}))"
+    return f"filter({outside(tokens)}, t -> NOT ({hides('t.tag', 't.raw')}))"
 
 
 def tags_named(*names: str, kinds: tuple[str, ...] = ("open", "script", "style")) -> str:

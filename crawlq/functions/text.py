@@ -79,7 +79,7 @@ def percent_decode_fully(text: str) -> str:
     so half the length bounds the rounds; once stable the remaining rounds are no-ops.
     """
     return f"""aggregate(sequence(0, CAST(floor(length({text}) / 2) AS INT)),
-        named_struct('t', {text}, 'before', CAST(NULL AS STRING)),
-        (s, i) -> CASE WHEN s.t <=> s.before THEN s
-          ELSE named_struct('t', {percent_decode_once('s.t')}, 'before', s.t) END,
+        named_struct('t', {text}, 'done', false),
+        (s, i) -> CASE WHEN s.done THEN s
+          ELSE transform(array({percent_decode_once('s.t')}), x -> named_struct('t', x, 'done', x <=> s.t))[0] END,
         s -> s.t)"""

@@ -98,7 +98,8 @@ def redirect_chains(
 ) -> DataFrame:
     """The redirect path of every distinct root URL.
 
-    `(root, path, is_redirect_complete, finish_download, failed_download_reason, http_code)`.
+    `(root, path, is_redirect_complete, finish_download, failed_download_reason, http_code, failed_url)`;
+    `failed_url` is the hop that failed, captured or not, and `http_code` that of the last good hop.
     Each hop appends the final URL when it differs, then the next URL when it is new; a next URL
     already on the path ends the chain. Runs one job per hop until no chain is open; a chain
     still open after `max_hops` (default: no limit) is reported as not complete.
@@ -115,6 +116,7 @@ def redirect_chains(
         F.col("url").alias("current"),
         F.lit(None).cast("int").alias("http_code"),
         F.lit(None).cast("string").alias("reason"),
+        F.lit(None).cast("string").alias("failed_url"),
     )
     closed = []
     done = 0
@@ -136,6 +138,7 @@ def redirect_chains(
         complete.alias("finish_download"),
         F.col("reason").alias("failed_download_reason"),
         "http_code",
+        "failed_url",
     )
 
 
@@ -163,6 +166,7 @@ def _advance(state: DataFrame, hops: DataFrame) -> DataFrame:
         F.col("__next").alias("current"),
         F.when(failed, F.col("http_code")).otherwise(F.col("hop_code")).alias("http_code"),
         F.col("__reason").alias("reason"),
+        F.when(failed, F.col("current")).alias("failed_url"),
     )
 
 
@@ -172,32 +176,36 @@ def distinct_roots(urls: DataFrame) -> DataFrame:
 
 
 def meta_writes(fetches: DataFrame, chains: DataFrame | None = None) -> DataFrame:
-    """What each fetch writes to the state of its URL; NULL means not written.
+    """What each fetch writes to the state of URLs; NULL means not written.
 
-    A good fetch writes everything but the failure reason, a failed one only the reason and
-    that it did not finish. With `chains`, the redirect columns come from the chain of the URL.
+    A good fetch writes path, completeness and code to the requested URL and the content length to
+    the final one; a failed fetch writes the reason and that it did not finish. With `chains`, the
+    chain of a URL has the last word on its latest fetch: its path and completeness, the code of the last
+    hop that was fetched, and the reason where a later hop failed; the failed hop gets the reason too.
     """
-    good = F.col("error").isNull()
-    rows = fetches
-    path = F.when(F.col("final_url") != F.col("url"), F.array("url", "final_url")).otherwise(F.array("url"))
-    complete = F.lit(True)
-    if chains is not None:
-        chain = chains.select(
-            F.col("root").alias("url"), F.col("path").alias("__path"), F.col("is_redirect_complete").alias("__complete")
-        )
-        rows = rows.join(chain, "url", "left")
-        path, complete = F.coalesce("__path", path), F.coalesce("__complete", complete)
-    return rows.select(
-        "url",
-        "fetched_at",
-        F.xxhash64("url", "final_url", "html").alias("seq"),
-        F.when(good, path).alias("redirect_url_list"),
-        F.when(good, complete).alias("is_redirect_complete"),
-        F.when(good, complete).otherwise(F.lit(False)).alias("finish_download"),
-        F.col("error").alias("failed_download_reason"),
-        F.when(good, F.length(F.coalesce("html", F.lit(""))).cast("bigint")).alias("final_url_content_length"),
-        F.when(good, F.col("http_code").try_cast("int")).alias("http_code"),
-    )
+    good = "error IS NULL"
+    own = f"""struct(url, fetched_at, xxhash64(url, final_url, html) AS seq,
+        CASE WHEN {good} THEN CASE WHEN final_url <> url THEN array(url, final_url) ELSE array(url) END END AS redirect_url_list,
+        CASE WHEN {good} THEN true END AS is_redirect_complete, {good} AS finish_download, error AS failed_download_reason,
+        CAST(NULL AS BIGINT) AS final_url_content_length, CASE WHEN {good} THEN try_cast(http_code AS INT) END AS http_code)"""
+    length = f"""struct(CASE WHEN {good} THEN final_url ELSE url END AS url, fetched_at, xxhash64(url, final_url, html) AS seq,
+        CAST(NULL AS ARRAY<STRING>) AS redirect_url_list, CAST(NULL AS BOOLEAN) AS is_redirect_complete,
+        CAST(NULL AS BOOLEAN) AS finish_download, CAST(NULL AS STRING) AS failed_download_reason,
+        CASE WHEN {good} THEN CAST(length(coalesce(html, '')) AS BIGINT) END AS final_url_content_length, CAST(NULL AS INT) AS http_code)"""
+    writes = fetches.select(F.expr(f"inline(array({own}, {length}))"))
+    if chains is None:
+        return writes
+    times = fetches.groupBy(F.col("url").alias("root")).agg(F.max("fetched_at").alias("fetched_at"))
+    last = "CAST(9223372036854775807 AS BIGINT) AS seq"
+    root = f"""struct(root AS url, fetched_at, {last}, CASE WHEN fetched THEN path END AS redirect_url_list,
+        CASE WHEN fetched THEN is_redirect_complete END AS is_redirect_complete, finish_download, failed_download_reason,
+        CAST(NULL AS BIGINT) AS final_url_content_length, CASE WHEN fetched THEN try_cast(http_code AS INT) END AS http_code)"""
+    hop = f"""struct(failed_url AS url, fetched_at, {last}, CAST(NULL AS ARRAY<STRING>) AS redirect_url_list,
+        CAST(NULL AS BOOLEAN) AS is_redirect_complete, false AS finish_download, failed_download_reason,
+        CAST(NULL AS BIGINT) AS final_url_content_length, CAST(NULL AS INT) AS http_code)"""
+    rows = chains.join(times, "root", "left").withColumn("fetched", F.expr("failed_url IS NULL OR failed_url <> root"))
+    rows = rows.select(F.expr(f"inline(CASE WHEN failed_url <> root THEN array({root}, {hop}) ELSE array({root}) END)"))
+    return writes.unionByName(rows)
 
 
 def fetch_meta(writes: DataFrame) -> DataFrame:
@@ -214,12 +222,19 @@ def fetch_meta(writes: DataFrame) -> DataFrame:
 
 
 def final_content(roots: DataFrame, meta: DataFrame, content: DataFrame) -> DataFrame:
-    """`(url, final_url, body)`: the body of the last URL on the path, of the URL itself without a path."""
+    """`(url, final_url, body)`: the body of the last URL on the path, of the URL itself without a path.
+
+    One row per distinct root. `content` holds `(url, body)` and may hold a URL often; the newest by `fetched_at`
+    counts, where that column is there. The newest is found on thin rows, so each body is joined once.
+    """
     last = F.try_element_at("redirect_url_list", F.lit(-1))
     known = meta.select("url", last.alias("__last"))
-    rows = roots.select("url").join(known, "url", "left")
+    rows = distinct_roots(roots).join(known, "url", "left")
     rows = rows.select("url", F.coalesce("__last", "url").alias("final_url"))
-    bodies = content.select(F.col("url").alias("final_url"), "body")
+    at = F.col("fetched_at") if "fetched_at" in content.columns else F.lit(0)
+    bodies = content.select(F.col("url").alias("final_url"), "body", F.struct(at.alias("at"), F.xxhash64("body").alias("hash")).alias("version"))
+    newest = bodies.groupBy("final_url").agg(F.max("version").alias("version"))
+    bodies = bodies.join(newest, ["final_url", "version"]).dropDuplicates(["final_url"]).select("final_url", "body")
     return rows.join(bodies, "final_url", "left").select("url", "final_url", "body")
 
 

@@ -6,117 +6,42 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from crawlq.runtime import checkpointed
 
-GRID = 1000
-# The grid is off by one in this many rows at most, well under one grid step.
-ACCURACY = 5000
-SALTS = 64
-
-
-def kth_smallest(
-    df: DataFrame, value: str, k: int, by: str | None = None, max_group_rows: int = 1_000_000
-) -> DataFrame:
+def kth_smallest(df: DataFrame, value: str, k: int, by: str | None = None) -> DataFrame:
     """The `k`-th smallest value, 1-based, duplicates counted: `(by, kth)` or `(kth)`.
 
     Groups with fewer than `k` values are left out; without groups a `k` beyond the table raises.
-    NULL values are not counted.
+    NULL values are not counted; a NULL group is a group. Any type that can be ordered will do.
 
-    No group larger than `max_group_rows` is ever sorted in one task. Such a group is cut down
-    first: a quantile grid (one aggregation, merged map-side) brackets rank `k`, the rows below the
-    bracket are counted exactly, and the search goes on inside the bracket, which is a few
-    thousandths of the group. The exact counts, not the grid, decide, so the result is exact.
+    Equal values are counted before anything moves. The counts are dealt to ranges of (group, value), so
+    no group needs to fit a task; the sums of the ranges tell which one holds rank `k` of a group, and
+    only that range is walked value by value.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     key = F.lit(0) if by is None else F.col(by)
     rows = df.select(key.alias("g"), F.col(value).alias("v")).where(F.col("v").isNotNull())
-    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    if by is None:
-        n = sizes.first()
-        if n is None or n["n"] < k:
-            raise ValueError(f"k={k} is greater than the number of values")
-    sizes = checkpointed(sizes.where(F.col("n") >= k).withColumn("k", F.lit(k).cast("bigint")))
-    small = sizes.where(F.col("n") <= max_group_rows).select("g", "k")
-    big = sizes.where(F.col("n") > max_group_rows)
-    if big.isEmpty():
-        found = [_pick(rows.join(small, "g"))]
-    else:
-        if not isinstance(rows.schema["v"].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
-            raise TypeError("groups this large need a numeric, date or timestamp value")
-        found = [_pick(_attach(rows, small)), _narrow(rows, big, max_group_rows)]
-    out = reduce(DataFrame.unionByName, found)
-    return out.select("kth") if by is None else out.select(F.col("g").alias(by), "kth")
-
-
-def _attach(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Inner join on the group, with every group spread over `SALTS` join keys.
-
-    The adaptive skew join does not act where an aggregate or window on the same key follows,
-    so a group with a third of all rows is split here.
-    """
-    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-    return rows.join(salted, ["g", "salt"]).drop("salt")
-
-
-def _pick(rows: DataFrame) -> DataFrame:
-    """Rank inside groups that fit a task; `rows` carry their group's `k`."""
-    order = Window.partitionBy("g").orderBy("v")
-    ranked = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") == F.col("k"))
-    return ranked.select("g", F.col("v").alias("kth"))
-
-
-def _narrow(rows: DataFrame, big: DataFrame, max_group_rows: int) -> DataFrame:
-    """Bracket rank `k` of big groups until the rows strictly inside the bracket fit a task.
-
-    A value with many repeats ends up as a bound, where it is only counted, so every round
-    leaves a few thousandths of the group whatever the values are.
-    """
-    found = []
-    steps = [i / GRID for i in range(GRID + 1)]
-    number = rows.schema["v"].dataType
-    while True:
-        grid = _attach(rows, big.select("g")).groupBy("g").agg(F.percentile_approx("v", steps, ACCURACY).alias("grid"))
-        at = F.floor(F.col("k") * GRID / F.col("n")).cast("int")
-        # One grid step below the rank and two above it; outside the grid there is no bound.
-        bracket = grid.join(big, "g").select(
-            "g",
-            "k",
-            F.when(at > 1, F.try_element_at("grid", at - 1)).cast(number).alias("lo"),
-            F.when(at + 4 <= GRID, F.try_element_at("grid", at + 4)).cast(number).alias("hi"),
-        )
-        bracket = checkpointed(bracket)
-        v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
-        above_lo, under_hi = lo.isNull() | (v > lo), hi.isNull() | (v < hi)
-        counts = _attach(rows, bracket).groupBy("g", "k", "lo", "hi").agg(
-            F.count_if(v < lo).alias("below"),
-            F.count_if(v == lo).alias("at_lo"),
-            F.count_if(above_lo & under_hi).alias("inside"),
-            F.count_if((v == hi) & above_lo).alias("at_hi"),
-        )
-        counts = counts.withColumn("k", F.col("k") - F.col("below"))
-        counts = counts.withColumn("rest", F.col("k") - F.col("at_lo"))
-        counts = checkpointed(counts)
-        missed = (F.col("k") < 1) | (F.col("rest") > F.col("inside") + F.col("at_hi"))
-        if not counts.where(missed).isEmpty():
-            raise ArithmeticError("the quantile grid missed the rank")
-        found.append(counts.where(F.col("rest") < 1).select("g", lo.alias("kth")))
-        found.append(counts.where(F.col("rest") > F.col("inside")).select("g", hi.alias("kth")))
-        between = counts.where((F.col("rest") >= 1) & (F.col("rest") <= F.col("inside")))
-        between = between.select("g", F.col("rest").alias("k"), F.col("inside").alias("n"), "lo", "hi")
-        inside = _attach(rows, between).where(above_lo & under_hi)
-        found.append(_pick(inside.where(F.col("n") <= max_group_rows)))
-        big = between.where(F.col("n") > max_group_rows).select("g", "k", "n")
-        if big.isEmpty():
-            return reduce(DataFrame.unionByName, found)
-        # A small share of the group: later rounds need not read the table again.
-        rows = checkpointed(inside.where(F.col("n") > max_group_rows).select("g", "v"))
-
-
-def _hopeful(total: Column, left: int, hi: float) -> Column:
+    counts = rows.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
+    ranges = checkpointed(counts.repartitionByRange("g", "v").withColumn("part", F.spark_partition_id()))
+    before = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranges.groupBy("g", "part").agg(F.sum("n").alias("s"))
+    sums = sums.withColumn("rest", k - F.coalesce(F.sum("s").over(before), F.lit(0)))
+    spot = sums.where((F.col("rest") >= 1) & (F.col("rest") <= F.col("s")))
+    r, p = ranges.alias("r"), spot.alias("p")
+    held = r.join(p, F.expr("r.g <=> p.g AND r.part = p.part")).select("r.g", "v", "n", "rest")
+    upto = Window.partitionBy("g").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    walked = held.withColumn("upto", F.sum("n").over(upto))
+    found = walked.where((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("n") < F.col("rest")))
+    if by is not None:
+        return found.select(F.col("g").alias(by), F.col("v").alias("kth"))
+    if spot.isEmpty():
+        raise ValueError(f"k={k} is greater than the number of values")
+    return found.select(F.col("v").alias("kth"))
+
+
+def _hopeful(total: Column, left: int | Column, hi: float) -> Column:
     """Can a set still end below `hi`: what is to come lowers the total only where there are negative prices."""
     return total + F.col("slack") * left < hi
 
@@ -127,12 +52,12 @@ def price_band_combos(
     excluded: DataFrame,
     lo: float,
     hi: float,
-    max_k: int,
     by: str,
+    max_k: int | None = None,
     split_rows: int = 10_000,
     ordered: bool = False,
 ) -> DataFrame:
-    """Unordered item sets of up to `max_k` whose price, with the chosen items, lies strictly between `lo` and `hi`.
+    """Unordered item sets of every size (or of up to `max_k`) whose price, with the chosen items, lies strictly between `lo` and `hi`.
 
     `items(by, item, price)`, where `item` identifies an item inside its group and can be ordered;
     `chosen` and `excluded` list items by `item` (and `by`, when they differ per group).
@@ -140,8 +65,9 @@ def price_band_combos(
     total, which computes the sets twice (range partitioning samples them first), so a sink
     that needs no order should not ask for it.
 
-    Every level is an equi-join on the group plus an order test. Sets that no cheaper item could
-    bring below `hi` are dropped on the way. The sets of a group with more than `split_rows` items are
+    Every size is an equi-join of the sets one smaller with the group's items plus an order test, built once, until
+    a size has no sets. Sets that no cheaper item could bring below `hi` are dropped on the way; how
+    many stay is the question's own: a group of n cheap items has up to 2^n of them. The sets of a group with more than `split_rows` items are
     spread over one part per `split_rows` items, each with its own copy of the group's items.
     """
 
@@ -154,38 +80,50 @@ def price_band_combos(
         start.alias("total"),
         F.least(F.min("price"), F.lit(0)).cast("double").alias("slack"),
         F.ceil(F.count(F.lit(1)) / split_rows).cast("int").alias("parts"),
+        F.count(F.lit(1)).alias("n"),
     )
+    groups = checkpointed(groups)
     free = marked.where("taken IS NULL").join(excluded, keys(excluded), "left_anti").join(groups, by)
     price = F.col("price").cast("double")
+    free = checkpointed(free.select(by, "slack", "parts", "n", "item", price.alias("price"), "total"))
     none = F.array().cast("array<double>")
     levels = [groups.select(by, "total", none.alias("prices"))]
     pool = free.select(
         F.col(by).alias("pool_by"),
         F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("pool_part"),
         F.col("item").alias("next_item"),
-        price.alias("next_price"),
+        F.col("price").alias("next_price"),
     )
+
+    def left(size: int) -> int | Column:
+        return F.col("n") - size if max_k is None else max_k - size
+
     # Single items come straight from the item rows; only larger sets need a join.
-    single = (F.col("total") + price).alias("total")
-    level = free.select(by, "slack", "parts", F.col("item").alias("last"), F.array(price).alias("prices"), single)
-    level = level.where(_hopeful(F.col("total"), max_k - 1, hi))
-    if max_k >= 1:
-        levels.append(level.select(by, "total", "prices"))
+    single = (F.col("total") + F.col("price")).alias("total")
+    level = free.select(by, "slack", "parts", "n", F.col("item").alias("last"), F.array("price").alias("prices"), single)
+    level = level.where(_hopeful(F.col("total"), left(1), hi))
     total = F.col("total") + F.col("next_price")
-    for size in range(2, max_k + 1):
-        part = F.pmod(F.xxhash64("last"), F.col("parts")).cast("int")
-        same = (F.col(by) == F.col("pool_by")) & (F.col("part") == F.col("pool_part"))
-        later = F.col("next_item") > F.col("last")
-        level = level.withColumn("part", part).join(pool, same & later & _hopeful(total, max_k - size, hi))
-        level = level.select(
-            by,
-            "slack",
-            "parts",
-            F.col("next_item").alias("last"),
-            F.array_append("prices", F.col("next_price")).alias("prices"),
-            total.alias("total"),
-        )
+    size = 1
+    while max_k is None or size <= max_k:
+        if size > 1:
+            part = F.pmod(F.xxhash64("last"), F.col("parts")).cast("int")
+            same = (F.col(by) == F.col("pool_by")) & (F.col("part") == F.col("pool_part"))
+            later = F.col("next_item") > F.col("last")
+            level = level.withColumn("part", part).join(pool, same & later & _hopeful(total, left(size), hi))
+            level = level.select(
+                by,
+                "slack",
+                "parts",
+                "n",
+                F.col("next_item").alias("last"),
+                F.array_append("prices", F.col("next_price")).alias("prices"),
+                total.alias("total"),
+            )
+            level = checkpointed(level)
+            if level.isEmpty():
+                break
         levels.append(level.select(by, "total", "prices"))
+        size += 1
     sets = reduce(DataFrame.unionByName, levels)
     sets = sets.where((F.col("total") > lo) & (F.col("total") < hi))
     sets = sets.select(

@@ -16,15 +16,14 @@ def page_tags(pages: DataFrame) -> DataFrame:
 
 def tag_counts(pages: DataFrame) -> DataFrame:
     """Tokens per kind and tag over all pages, and how many pages have them."""
-    named = "transform(tags, t -> named_struct('kind', t.kind, 'tag', t.tag))"
-    tagged = once(H.with_tags(pages).select("tags"), {"__names": named})
-    # `first` is true for the first time a name shows up in its page.
-    marked = """transform(__names, (n, i) -> named_struct('kind', n.kind, 'tag', n.tag,
-        'first', array_position(__names, n) = i + 1))"""
+    # Names as one string each: distinct strings are found by hashing, distinct structs by comparing all.
+    tagged = once(H.with_tags(pages).select("tags"), {"__names": "transform(tags, t -> concat(t.kind, ' ', t.tag))"})
+    marked = """concat(transform(__names, x -> named_struct('name', x, 'n', 1, 'pages', 0)),
+        transform(array_distinct(__names), x -> named_struct('name', x, 'n', 0, 'pages', 1)))"""
     rows = tagged.select(F.expr(f"explode_outer({marked})").alias("t")).where("t IS NOT NULL").select("t.*")
-    return rows.groupBy("kind", "tag").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("first")).alias("n_pages")
-    )
+    counts = rows.groupBy("name").agg(F.sum("n").alias("n"), F.sum("pages").alias("n_pages"))
+    kind, tag = F.substring_index("name", " ", 1), F.expr("substring(name, instr(name, ' ') + 1)")
+    return counts.select(kind.alias("kind"), tag.alias("tag"), "n", "n_pages")
 
 
 def hidden_ranges(pages: DataFrame) -> DataFrame:

@@ -72,18 +72,24 @@ PAGE_PAIRS = """
 SELECT page_id AS a_id, (page_id * 7 + 3) % (SELECT count(*) FROM {pages}) AS b_id FROM {pages}
 """
 
-# Captured fetches with redirects, a cycle, a missing page and differing final URLs.
+# Captured fetches with redirects, a cycle, missing pages, own errors, several codes, final URLs of their own and
+# shared ones, and older captures of the same URL.
 FETCHES = """
-SELECT url, CASE WHEN page_id % 10 = 3 THEN concat(url, '/final') ELSE url END AS final_url, 200 AS http_code,
-  CASE WHEN nxt IS NULL THEN '<html></html>'
+SELECT url, final_url, CASE page_id % 10 WHEN 1 THEN 301 WHEN 9 THEN 404 ELSE 200 END AS http_code,
+  CASE WHEN page_id % 50 = 27 THEN NULL WHEN nxt IS NULL THEN concat('<html>page ', CAST(page_id AS STRING), '</html>')
        ELSE concat('<html><head><meta http-equiv="refresh" content="0; url=', nxt, '"></head></html>') END AS html,
-  page_id AS fetched_at, CAST(NULL AS STRING) AS error
+  page_id AS fetched_at, CASE WHEN page_id % 50 = 27 THEN concat('timed out ', CAST(page_id % 3 AS STRING)) END AS error
 FROM (
   SELECT page_id, concat('http://r.example/', CAST(page_id AS STRING)) AS url,
+    CASE WHEN page_id % 10 = 3 THEN concat('http://r.example/', CAST(page_id AS STRING), '/final')
+         WHEN page_id % 10 = 6 THEN 'http://r.example/login' ELSE concat('http://r.example/', CAST(page_id AS STRING)) END AS final_url,
     CASE WHEN page_id % 50 = 49 THEN concat('http://r.example/', CAST(page_id - 1 AS STRING))
          WHEN page_id % 50 = 44 THEN concat('http://missing.example/', CAST(page_id AS STRING))
          WHEN page_id % 5 <> 4 THEN concat('http://r.example/', CAST(page_id + 1 AS STRING)) END AS nxt
   FROM {pages}) n
+UNION ALL
+SELECT concat('http://r.example/', CAST(page_id AS STRING)), concat('http://r.example/', CAST(page_id AS STRING)), 500,
+  '<html>an older capture</html>', page_id - 1000000, CAST(NULL AS STRING) FROM {pages} WHERE page_id % 6 = 2
 """
 
 # Header lines of a redirected answer for every page URL; the second block differs by page id.

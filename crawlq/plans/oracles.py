@@ -527,32 +527,43 @@ ORACLES["page_redirects"] = _with(
 )
 ORACLES["page_redirects_pattern"] = _with(PX, f"SELECT page_id, {_SITE} || {_MOVED} AS redirect_url FROM px")
 CHAINS = f"""RECURSIVE fetches AS ({_src(I.FETCHES)}), hops AS (
-  SELECT url AS hop, final_url, http_code, nullif(regexp_extract(html, 'url=([^"]+)"', 1), '') AS nxt FROM fetches
+  SELECT url AS hop, final_url, http_code, nullif(regexp_extract(html, 'url=([^"]+)"', 1), '') AS nxt, error
+  FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY fetched_at DESC) AS r FROM fetches) WHERE r = 1
 ), chain AS (
-  SELECT url AS root, url AS cur, [url] AS path, CAST(NULL AS BIGINT) AS http_code, CAST(NULL AS VARCHAR) AS reason FROM fetches
+  SELECT DISTINCT url AS root, url AS cur, [url] AS path, CAST(NULL AS BIGINT) AS http_code, CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS VARCHAR) AS failed_url FROM fetches
   UNION ALL
-  SELECT root, CASE WHEN hop IS NOT NULL AND nxt <> cur AND NOT list_contains(path, nxt) THEN nxt END,
-    CASE WHEN hop IS NULL THEN path ELSE list_concat(path, CASE WHEN final_url <> cur THEN [final_url] ELSE [] END,
+  SELECT root, CASE WHEN hop IS NOT NULL AND error IS NULL AND nxt <> cur AND NOT list_contains(path, nxt) THEN nxt END,
+    CASE WHEN hop IS NULL OR error IS NOT NULL THEN path ELSE list_concat(path, CASE WHEN final_url <> cur THEN [final_url] ELSE [] END,
       CASE WHEN nxt <> cur AND NOT list_contains(path, nxt) AND nxt <> final_url THEN [nxt] ELSE [] END) END,
-    CASE WHEN hop IS NULL THEN chain.http_code ELSE hops.http_code END,
-    CASE WHEN hop IS NULL THEN 'no fetch captured' END
+    CASE WHEN hop IS NULL OR error IS NOT NULL THEN chain.http_code ELSE hops.http_code END,
+    CASE WHEN hop IS NULL THEN 'no fetch captured' ELSE error END, CASE WHEN hop IS NULL OR error IS NOT NULL THEN cur END
   FROM chain LEFT JOIN hops ON hops.hop = chain.cur WHERE cur IS NOT NULL
 ), ended AS (SELECT * FROM chain WHERE cur IS NULL)"""
 ORACLES["redirect_chains"] = _with(
     CHAINS,
-    "SELECT root, array_to_string(path, '|') AS path, reason IS NULL AS is_redirect_complete, reason IS NULL AS finish_download, reason AS failed_download_reason, http_code FROM ended",
+    "SELECT root, array_to_string(path, '|') AS path, reason IS NULL AS is_redirect_complete, reason IS NULL AS finish_download, reason AS failed_download_reason, http_code, failed_url FROM ended",
 )
 ORACLES["distinct_roots"] = _with(f"fetches AS ({_src(I.FETCHES)})", "SELECT DISTINCT url FROM fetches")
 ORACLES["final_content"] = _with(
     CHAINS,
-    "SELECT e.root AS url, e.path[len(e.path)] AS final_url, f.html AS body FROM ended e LEFT JOIN fetches f ON f.final_url = e.path[len(e.path)]",
+    """SELECT e.root AS url, e.path[len(e.path)] AS final_url, f.html AS body FROM ended e LEFT JOIN (
+  SELECT final_url, arg_max(html, fetched_at) AS html FROM fetches WHERE error IS NULL GROUP BY 1) f ON f.final_url = e.path[len(e.path)]""",
 )
+# The root takes path, completeness and code of every good hop and the reason of a failed one, which the failed hop gets too;
+# the content length belongs to the final URL of each fetch.
 ORACLES["fetch_state"] = _with(
-    CHAINS,
-    """SELECT e.root AS url, array_to_string(e.path, '|') AS redirect_url_list, e.reason IS NULL AS is_redirect_complete,
-  e.reason IS NULL AS finish_download, CAST(NULL AS VARCHAR) AS failed_download_reason,
-  length(f.html) AS final_url_content_length, CAST(f.http_code AS BIGINT) AS http_code
-FROM ended e JOIN fetches f ON f.url = e.root""",
+    f"""{CHAINS}, lengths AS (
+  SELECT final_url AS url, length(arg_max(html, fetched_at)) AS n FROM fetches WHERE error IS NULL GROUP BY 1
+), states AS (
+  SELECT root AS url, CASE WHEN failed_url IS DISTINCT FROM root THEN array_to_string(path, '|') END AS redirect_url_list,
+    CASE WHEN failed_url IS DISTINCT FROM root THEN reason IS NULL END AS is_redirect_complete, reason IS NULL AS finish_download,
+    reason AS failed_download_reason, CASE WHEN failed_url IS DISTINCT FROM root THEN http_code END AS http_code FROM ended
+  UNION ALL
+  SELECT DISTINCT failed_url, CAST(NULL AS VARCHAR), CAST(NULL AS BOOLEAN), false, reason, CAST(NULL AS BIGINT) FROM ended
+  WHERE failed_url IS NOT NULL AND failed_url NOT IN (SELECT root FROM ended)
+)""",
+    """SELECT coalesce(s.url, l.url) AS url, redirect_url_list, is_redirect_complete, finish_download, failed_download_reason,
+  l.n AS final_url_content_length, http_code FROM states s FULL JOIN lengths l ON s.url = l.url""",
 )
 META = f"changes AS ({_src(I.URL_CHANGES)})"
 _STATE = ", ".join(
@@ -602,13 +613,20 @@ ORACLES["kth_smallest_narrowed"] = _kth("l_extendedprice", 700, "l_returnflag")
 ORACLES["kth_smallest_global"] = (
     "SELECT l_extendedprice AS kth FROM lineitem ORDER BY l_extendedprice LIMIT 1 OFFSET 1233"
 )
+ORACLES["kth_smallest_text"] = (
+    "SELECT lang, text AS kth FROM (SELECT lang, text, row_number() OVER (PARTITION BY lang ORDER BY text) AS r FROM documents WHERE text IS NOT NULL) WHERE r = 20"
+)
+ORACLES["kth_smallest_wide"] = "SELECT CAST(l_partkey AS VARCHAR) AS kth FROM lineitem ORDER BY l_partkey LIMIT 1 OFFSET 2999"
 ORACLES["price_band_combos"] = _with(
-    """lines AS (
-  SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS r, l_extendedprice AS p FROM lineitem
+    """RECURSIVE lines AS (
+  SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS r, l_extendedprice AS p,
+    l_orderkey % 5 = 0 AND l_linenumber = 1 AS taken, l_orderkey % 7 < 2 AND l_linenumber = 2 AS barred FROM lineitem
+), orders0 AS (
+  SELECT l_orderkey, coalesce(sum(p) FILTER (WHERE taken), 0) AS total FROM lines GROUP BY 1
 ), sets AS (
-  SELECT l_orderkey, 1 AS size, [p] AS ps, p AS total FROM lines
-  UNION ALL SELECT a.l_orderkey, 2, [a.p, b.p], a.p + b.p FROM lines a JOIN lines b ON a.l_orderkey = b.l_orderkey AND b.r > a.r
-  UNION ALL SELECT a.l_orderkey, 3, [a.p, b.p, c.p], a.p + b.p + c.p FROM lines a JOIN lines b ON a.l_orderkey = b.l_orderkey AND b.r > a.r JOIN lines c ON c.l_orderkey = a.l_orderkey AND c.r > b.r
+  SELECT l_orderkey, 0 AS size, CAST([] AS DOUBLE[]) AS ps, total, CAST(0 AS BIGINT) AS last FROM orders0
+  UNION ALL SELECT s.l_orderkey, s.size + 1, list_append(s.ps, l.p), s.total + l.p, l.r
+    FROM sets s JOIN lines l ON l.l_orderkey = s.l_orderkey AND l.r > s.last AND NOT l.taken AND NOT l.barred
 )""",
     "SELECT l_orderkey, size, array_to_string(list_transform(list_sort(ps), lambda p: printf('%.2f', p)), '|') AS prices, round(total, 2) AS total FROM sets WHERE total > 60000 AND total < 120000",
 )

@@ -225,7 +225,8 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     captured = I.derived(spark, sf_dir, I.FETCHES)
     meta = fetches.redirect_chains(captured).select(F.col("root").alias("url"), F.col("path").alias("redirect_url_list"))
-    content = captured.select(F.col("final_url").alias("url"), F.col("html").alias("body"))
+    good = captured.where("error IS NULL")
+    content = good.select(F.col("final_url").alias("url"), F.col("html").alias("body"), "fetched_at")
     return fetches.final_content(captured, meta, content)
 
 
@@ -256,9 +257,18 @@ def _(spark, sf_dir):
 
 @query("kth_smallest_narrowed")
 def _(spark, sf_dir):
-    # A bound low enough that every group goes through the narrowing rounds.
-    lines = I.table(spark, sf_dir, "lineitem")
-    return selection.kth_smallest(lines, "l_extendedprice", 700, by="l_returnflag", max_group_rows=500)
+    return selection.kth_smallest(I.table(spark, sf_dir, "lineitem"), "l_extendedprice", 700, by="l_returnflag")
+
+
+@query("kth_smallest_text")
+def _(spark, sf_dir):
+    return selection.kth_smallest(I.table(spark, sf_dir, "documents"), "text", 20, by="lang")
+
+
+@query("kth_smallest_wide")
+def _(spark, sf_dir):
+    wide = I.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("decimal(38,0)").alias("wide"))
+    return selection.kth_smallest(wide, "wide", 3000).select(F.col("kth").cast("string").alias("kth"))
 
 
 @query("kth_smallest_global")
@@ -268,14 +278,14 @@ def _(spark, sf_dir):
 
 @query("price_band_combos")
 def _(spark, sf_dir):
-    lines = I.spread(I.table(spark, sf_dir, "lineitem"))
-    items = lines.select(
+    items = I.table(spark, sf_dir, "lineitem").select(
         "l_orderkey",
         F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("item"),
         F.col("l_extendedprice").alias("price"),
     )
-    none = items.select("item").limit(0)
-    sets = selection.price_band_combos(items, none, none, *BAND, max_k=3, by="l_orderkey")
+    chosen = items.where("l_orderkey % 5 = 0 AND item.l_linenumber = 1").select("l_orderkey", "item")
+    excluded = items.where("l_orderkey % 7 < 2 AND item.l_linenumber = 2").select("l_orderkey", "item")
+    sets = selection.price_band_combos(items, chosen, excluded, *BAND, by="l_orderkey")
     prices = F.array_join(F.col("prices").cast("array<decimal(18,2)>").cast("array<string>"), "|")
     return sets.select("l_orderkey", "size", prices.alias("prices"), "total")
 

@@ -22,7 +22,7 @@ def test_small_cases(spark):
 
 
 @pytest.mark.parametrize("k", [1, 1500, 4000])
-def test_large_groups_are_narrowed(spark, k):
+def test_groups_of_every_shape(spark, k):
     rng = random.Random(k)
     groups = {
         "uniform": [rng.random() for _ in range(4000)],
@@ -31,10 +31,19 @@ def test_large_groups_are_narrowed(spark, k):
         "skew": [rng.random() ** 30 * 1e9 for _ in range(4000)] + [0.0] * 3000,
         "small": [3.0, 1.0, 2.0],
     }
-    got = selection.kth_smallest(_table(spark, groups), "v", k, by="g", max_group_rows=20).collect()
+    got = selection.kth_smallest(_table(spark, groups), "v", k, by="g").collect()
     assert {r.g: r.kth for r in got} == {g: sorted(vs)[k - 1] for g, vs in groups.items() if len(vs) >= k}
 
 
+@pytest.mark.parametrize("kind", ["string", "decimal(38,0)", "date"])
+def test_any_type_and_no_single_task(spark, kind):
+    rows = spark.range(5000).selectExpr(f"CAST({'date_add(DATE 2000-01-01, CAST(id % 700 AS INT))' if kind == 'date' else 'id % 700'} AS {kind}) AS v".replace("DATE 2000-01-01", "DATE'2000-01-01'"))
+    want = sorted(r.v for r in rows.collect())[1233]
+    found = selection.kth_smallest(rows, "v", 1234)
+    assert found.first().kth == want
+    assert "SinglePartition" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_nulls_are_not_counted(spark):
     df = spark.createDataFrame([(None,), (2,), (1,)], "v int")
     assert selection.kth_smallest(df, "v", 2).first().kth == 2
