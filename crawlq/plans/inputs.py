@@ -25,7 +25,7 @@ SELECT page_id, url,
       WHEN 1 THEN '<form action="/pay"><input type="text" maxlength="4" name="n1"/><input type="password" maxlength="4" name="n2"/><input type="password" maxlength="4" name="n3"/><input type="text" maxlength="4" name="n4"/><select name="exp_month"><option value="1">1</option></select><select name="exp_year"><option value="30">30</option></select><input type="submit" value="pay"/></form>'
       WHEN 2 THEN '<form action="/pay2"><input type="text" autocomplete="off" maxlength="16" name="num"/><input type="text" autocomplete="off" maxlength="3" name="cvc"/><input type="text" name="exp_date"/></form>'
       WHEN 3 THEN concat('<div style="display:none"><a href="/trap">x</a><input type="text" name="h"/></div><a href="/seen"><img src="/img/', CAST(page_id % 9 AS STRING), '/a.png"></a>')
-      WHEN 4 THEN '<div style="left:2px;color:red;TOP:1px;color:blue">styled</div><div aria-hidden="true">gone</div>'
+      WHEN 4 THEN '<div style="left:2px;color:red;TOP:1px;color:blue">styled</div><div aria-hidden="true">gone<textarea name="gone"></textarea></div><textarea name="note" rows="2">note</textarea>'
       WHEN 5 THEN '<form action=""><input type="email" name="mail"/></form>'
       WHEN 6 THEN '<script>document.write(unescape("%253Cform%2520a%253D1%253E%253Cinput%253E"))</script>'
       WHEN 7 THEN '<form action="/pay3"><input type="text" name="credit_no"/><input type="text" id="card"/><input type="hidden" name="t"/><select name="mm_month"><option value="1">1</option></select><select id="yy_year"><option value="1">1</option></select></form>'

@@ -262,7 +262,9 @@ FROM (SELECT unnest(generate_series(date_trunc('day', min(o_orderdate)), date_tr
 SPINE = """spine AS (SELECT CAST(unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '1995-01-31', INTERVAL 1 DAY)) AS DATE) AS day),
 daily AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS cnt FROM orders GROUP BY 1)"""
 ORACLES["daily_gapfill"] = _with(SPINE, "SELECT day, coalesce(cnt, 0) AS cnt FROM spine LEFT JOIN daily USING (day)")
-ORACLES["daily_missing"] = _with(SPINE, "SELECT day FROM spine WHERE day NOT IN (SELECT day FROM daily)")
+ORACLES["daily_missing"] = """SELECT day FROM (
+  SELECT CAST(unnest(generate_series(DATE '2001-12-31' - 199, DATE '2001-12-31', INTERVAL 1 DAY)) AS DATE) AS day
+) WHERE day NOT IN (SELECT CAST(o_orderdate AS DATE) FROM orders)"""
 
 # --- Pages --------------------------------------------------------------------------------------
 ORACLES["page_tags"] = _with(TAGS, "SELECT page_id, pos, kind, tag, raw FROM tags")

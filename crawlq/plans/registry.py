@@ -19,6 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 DAILY_END, DAILY_DAYS = "1995-01-31", 31
+MISSING_END, MISSING_DAYS = "2001-12-31", 200
 DGA_THRESHOLD = 0.3
 BAND = (60_000.0, 120_000.0)
 
@@ -95,7 +96,14 @@ def _orders(job) -> Query:
 
 
 query("daily_gapfill")(_orders(daily.daily_gapfill))
-query("daily_missing")(_orders(daily.daily_missing))
+
+
+@query("daily_missing")
+def _(spark, sf_dir):
+    # The last days lie beyond the last order.
+    return daily.daily_missing(I.table(spark, sf_dir, "orders"), "o_orderdate", MISSING_END, MISSING_DAYS)
+
+
 
 # URL jobs
 on_urls("url_parts", urls.url_parts)

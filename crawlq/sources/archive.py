@@ -26,17 +26,21 @@ def archive_refs(fetches: DataFrame) -> DataFrame:
 def archive_blobs(fetches: DataFrame) -> DataFrame:
     """`(sha1, body)`, one row per distinct body.
 
-    Equal bodies collapse before the shuffle, so a page copied everywhere moves once per task.
+    Equal bodies collapse before the shuffle, by hash and without sorting them, so a page copied everywhere
+    moves once per task. The key decides the body, so distinct pairs are distinct keys.
     """
     keyed = _items(fetches).select(F.sha1(F.col("body").cast("binary")).alias("sha1"), "body")
-    return keyed.dropDuplicates(["sha1"])
+    return keyed.distinct()
 
 
 def write_archive(fetches: DataFrame, path: str) -> None:
-    """Write both tables; bodies are laid out in folders by the first two digits of their key."""
+    """Write both tables; bodies are laid out in folders by the first two digits of their key.
+
+    Bodies of a folder come together before the write, so a folder gets one file, or a few where it is large.
+    """
     archive_refs(fetches).write.mode("overwrite").parquet(f"{path}/refs")
     blobs = archive_blobs(fetches).withColumn("prefix", F.substring("sha1", 1, 2))
-    blobs.write.mode("overwrite").partitionBy("prefix").parquet(f"{path}/blobs")
+    blobs.hint("rebalance", "prefix").write.mode("overwrite").partitionBy("prefix").parquet(f"{path}/blobs")
 
 
 def read_archive(spark, path: str) -> DataFrame:

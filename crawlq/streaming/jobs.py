@@ -17,17 +17,13 @@ def dga_scores_stream(hosts: DataFrame, out: str, checkpoint: str, available_now
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def fetch_meta_stream(
-    writes: DataFrame, out: str, checkpoint: str, available_now: bool = False, delay: str | None = None
-) -> StreamingQuery:
+def fetch_meta_stream(writes: DataFrame, out: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """Keep the state of every URL while writes arrive.
 
     Each micro-batch stores the URLs it changed under its own batch folder, so a replayed batch
     replaces itself; `read_fetch_meta` puts the newest rows together. State is one row per URL.
-    `delay` sets a watermark on `fetched_at` (our addition; off by default).
+    A write counts however late it comes, so there is no watermark: state is never dropped.
     """
-    if delay is not None:
-        writes = writes.withWatermark("fetched_at", delay)
 
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
