@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlq.functions.text import literal, once
-from crawlq.llm.common import SPACES, only, stored
+from crawlq.llm.common import SPACES, only, parts_for, stored
 from crawlq.runtime import checkpointed
 
 DIMENSIONS = ("source", "lang", "topic")
@@ -26,6 +26,8 @@ DIMENSIONS = ("source", "lang", "topic")
 TEMPER = 0.9
 TOLERANCE = 1e-5
 MAX_ROUNDS = 60
+#: Cells per partition of the rounds.
+PER_PART = 100_000
 
 #: Topic words: a document belongs to the topic whose words make up most of its characters.
 TOPICS = {
@@ -83,14 +85,18 @@ def raked(cells: DataFrame, targets: DataFrame, tolerance: float = TOLERANCE, ma
         t = t.select(F.col("value").alias(f"__v_{d}"), F.col("share").alias(f"__t_{d}"))
         df = df.join(t, F.col(d).eqNullSafe(F.col(f"__v_{d}")), "left").drop(f"__v_{d}").fillna({f"__t_{d}": 0.0})
     df = stored(df.where(reduce(lambda a, b: a & b, [F.col(f"__t_{d}") > 0 for d in DIMENSIONS])))
+    # As many partitions as the cells need; where that is one, no round moves anything.
+    parts = parts_for(df.count(), PER_PART)
     for _ in range(max_rounds):
+        df = df.coalesce(parts)
         for d in DIMENSIONS:
             held = F.sum("fitted").over(Window.partitionBy(d))
             df = df.withColumn("fitted", F.col("fitted") * F.col(f"__t_{d}") / held)
         df = checkpointed(df)
         # The last dimension holds exactly after a round; the others tell how far it still is.
+        fitted = df.coalesce(parts)
         gaps = [
-            df.groupBy(d).agg(F.abs(F.sum("fitted") - F.max(f"__t_{d}")).alias("gap")).agg(F.max("gap").alias("gap"))
+            fitted.groupBy(d).agg(F.abs(F.sum("fitted") - F.max(f"__t_{d}")).alias("gap")).agg(F.max("gap").alias("gap"))
             for d in DIMENSIONS[:-1]
         ]
         worst = reduce(DataFrame.unionByName, gaps).agg(F.max("gap")).first()[0]
