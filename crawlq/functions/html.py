@@ -92,13 +92,18 @@ _ENDS_BEFORE = f"""(s.name <> '' AND (
 _ENDS_HERE = "(s.name <> '' AND t.kind = 'close' AND t.tag = s.name AND s.depth = 1)"
 _STARTS = f"((s.name = '' OR {_ENDS_BEFORE}) AND t.hides)"
 _NESTS = "(t.tag = s.name AND s.name <> 'li') OR (s.name = 'li' AND t.tag IN ('ul', 'ol'))"
+_ENDS = f"({_ENDS_BEFORE} OR {_ENDS_HERE})"
+_ENDED = f"array(named_struct('lo', s.lo, 'hi', CASE WHEN {_ENDS_BEFORE} THEN t.pos - 1 ELSE t.pos END))"
+# Appending copies an array, so spans gather in a short one that joins the long one now and then.
+SPANS_HELD = 512
 _SPAN_STEP = f"""named_struct(
     'name', CASE WHEN {_STARTS} THEN t.tag WHEN {_ENDS_BEFORE} OR {_ENDS_HERE} THEN '' ELSE s.name END,
     'depth', CASE WHEN {_STARTS} THEN 1
       WHEN {_NESTS} THEN s.depth + CASE WHEN t.kind = 'open' THEN 1 ELSE -1 END ELSE s.depth END,
     'lo', CASE WHEN {_STARTS} THEN t.pos ELSE s.lo END,
-    'spans', CASE WHEN {_ENDS_BEFORE} THEN concat(s.spans, array(named_struct('lo', s.lo, 'hi', t.pos - 1)))
-      WHEN {_ENDS_HERE} THEN concat(s.spans, array(named_struct('lo', s.lo, 'hi', t.pos))) ELSE s.spans END)"""
+    'spans', CASE WHEN {_ENDS} THEN CASE WHEN size(s.spans) < {SPANS_HELD} THEN concat(s.spans, {_ENDED}) ELSE {_ENDED} END
+      ELSE s.spans END,
+    'full', CASE WHEN {_ENDS} AND size(s.spans) >= {SPANS_HELD} THEN concat(s.full, s.spans) ELSE s.full END)"""
 
 
 def with_hidden_spans(tagged: DataFrame) -> DataFrame:
@@ -112,9 +117,9 @@ def with_hidden_spans(tagged: DataFrame) -> DataFrame:
     paired = f"filter(tags, t -> t.kind IN ('open', 'close') AND t.tag NOT IN ({literals(VOID_TAGS)}))"
     slim = f"""transform({paired}, t -> named_struct('pos', t.pos, 'kind', t.kind, 'tag', t.tag,
         'hides', t.kind = 'open' AND {hides('t.tag', 't.raw')}))"""
-    start = "named_struct('name', '', 'depth', 0, 'lo', 0, 'spans', CAST(array() AS ARRAY<STRUCT<lo: INT, hi: INT>>))"
-    finish = f"""CASE WHEN s.name <> '' THEN concat(s.spans, array(named_struct('lo', s.lo, 'hi', {2**31 - 1})))
-        ELSE s.spans END"""
+    none = "CAST(array() AS ARRAY<STRUCT<lo: INT, hi: INT>>)"
+    start = f"named_struct('name', '', 'depth', 0, 'lo', 0, 'spans', {none}, 'full', {none})"
+    finish = f"""concat(s.full, s.spans, CASE WHEN s.name <> '' THEN array(named_struct('lo', s.lo, 'hi', {2**31 - 1})) ELSE {none} END)"""
     tagged = once(tagged, {"hidden_spans": f"aggregate({slim}, {start}, (s, t) -> {_SPAN_STEP}, s -> {finish})"})
     # One flag per token up to the last hidden one: spans are in order and apart, so they fill in by runs.
     flags = """flatten(transform(hidden_spans, (r, i) -> concat(
