@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crawlq.runtime import checkpointed
+from crawlq.runtime import stored
 
 def kth_smallest(df: DataFrame, value: str, k: int, by: str | None = None) -> DataFrame:
     """The `k`-th smallest value, 1-based, duplicates counted: `(by, kth)` or `(kth)`.
@@ -24,7 +24,7 @@ def kth_smallest(df: DataFrame, value: str, k: int, by: str | None = None) -> Da
     key = F.lit(0) if by is None else F.col(by)
     rows = df.select(key.alias("g"), F.col(value).alias("v")).where(F.col("v").isNotNull())
     counts = rows.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
-    ranges = checkpointed(counts.repartitionByRange("g", "v").withColumn("part", F.spark_partition_id()))
+    ranges = stored(counts.repartitionByRange("g", "v").withColumn("part", F.spark_partition_id()))
     before = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = ranges.groupBy("g", "part").agg(F.sum("n").alias("s"))
     sums = sums.withColumn("rest", k - F.coalesce(F.sum("s").over(before), F.lit(0)))
@@ -82,10 +82,10 @@ def price_band_combos(
         F.ceil(F.count(F.lit(1)) / split_rows).cast("int").alias("parts"),
         F.count(F.lit(1)).alias("n"),
     )
-    groups = checkpointed(groups)
+    groups = stored(groups)
     free = marked.where("taken IS NULL").join(excluded, keys(excluded), "left_anti").join(groups, by)
     price = F.col("price").cast("double")
-    free = checkpointed(free.select(by, "slack", "parts", "n", "item", price.alias("price"), "total"))
+    free = stored(free.select(by, "slack", "parts", "n", "item", price.alias("price"), "total"))
     none = F.array().cast("array<double>")
     levels = [groups.select(by, "total", none.alias("prices"))]
     pool = free.select(
@@ -119,7 +119,7 @@ def price_band_combos(
                 F.array_append("prices", F.col("next_price")).alias("prices"),
                 total.alias("total"),
             )
-            level = checkpointed(level)
+            level = stored(level)
             if level.isEmpty():
                 break
         levels.append(level.select(by, "total", "prices"))

@@ -49,6 +49,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write `df` once as Parquet to the shared checkpoint storage and read it back: a checkpoint in compressed columns."""
+    spark = df.sparkSession
+    folder = scratch_folder(spark)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """A fresh folder name on the shared checkpoint storage, for stream sinks and their state."""
     return f"{checkpoint_root(spark)}/run-{uuid.uuid4().hex}"
