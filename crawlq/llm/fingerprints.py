@@ -167,8 +167,8 @@ def _streamed(rows: DataFrame) -> DataFrame:
 def edit_likeness(docs: DataFrame, radius: int = RADIUS, every: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_near.
 
-    The edited text is `edited(text, following)`; the follower of a row is the next by id (rows of one id by their text, nulls
-    first), of the last row the first. `n_near`, for ids divisible by `every`, is how many other documents have a fingerprint within
+    The edited text is `edited(text, following)`; the follower of a row is the next by id (rows of one id by the hash of their
+    text, null ids first), of the last row the first. `n_near`, for ids divisible by `every`, is how many other documents have a fingerprint within
     the radius, else null. Null and empty texts have the fingerprint of zeros. A single row follows itself.
 
     Texts are moved once, to ranges of ids. Each partition handles its own rows in order; what crosses to the next partition is one
@@ -178,7 +178,9 @@ def edit_likeness(docs: DataFrame, radius: int = RADIUS, every: int = 50, doc_id
     rows = only(docs, doc_id=doc_id, text=text)
     _, size = text_bytes(rows)
     parts = parts_for(size, PER_PART, least=8)
-    ordered = rows.repartitionByRange(parts, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # Ranges are cut by sampled keys, which must be small: a hash tells the texts of one id apart.
+    keyed = rows.withColumn("text_key", F.xxhash64("text"))
+    ordered = keyed.repartitionByRange(parts, "doc_id", "text_key").sortWithinPartitions("doc_id", "text_key", "text")
     id_type = rows.schema["doc_id"].dataType.simpleString()
     found = stored(_streamed(ordered))
     # One row per partition: where each begins, and what its last text is followed by.

@@ -224,7 +224,8 @@ def test_components(spark):
 
 def test_fingerprints(docs, rows):
     got = fingerprints.edit_likeness(docs).collect()
-    order = sorted([(i, t or "") for i, t, _, _ in rows], key=lambda r: (r[0] is not None, r[0], r[1]))
+    hashed = docs.selectExpr("doc_id", "coalesce(text, '') AS t", "xxhash64(coalesce(text, '')) AS h").collect()
+    order = [(r["doc_id"], r["t"]) for r in sorted(hashed, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["h"], r["t"]))]
     prints = dict(zip((t for _, t in order), fingerprints.fingerprints_of([t.encode() for _, t in order])))
     want = Counter()
     for (i, t), (_, after) in zip(order, order[1:] + order[:1]):
