@@ -17,12 +17,10 @@ from crawlq.llm import (
     tokens,
 )
 from crawlq.llm.common import documents
+from crawlq.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES = {}
 
-#: Queries whose operator SQL can express; the others are tested against brute force.
-ORACLES: dict[str, str] = {}
-
 
 def register(query):
     QUERIES[query.__name__] = query
