@@ -11,8 +11,9 @@
    the survivors are verified by exact set intersection.
 
 No step emits pairs. Each task compares its pairs in memory and returns, per class, how many links it has, and as many edges as
-connect what it found. Groups above a fixed size are cut into blocks, and a task takes two blocks, so a cluster with a third of
-all rows is many tasks of bounded memory.
+connect what it found. Groups above a fixed size are cut into blocks. Where shingle sets are compared, a task takes two blocks of
+one cluster, or small clusters of about one block together, so a cluster with a third of all rows is many tasks whose memory does
+not grow with it. What moves does: every row of n goes to n / CLUSTER_BLOCK tasks.
 """
 
 from __future__ import annotations
@@ -187,8 +188,10 @@ def _blocked(df: DataFrame, size: str, per_block: int, *group: str) -> DataFrame
     return df.withColumn("first", F.expr("__own = i")).drop("__n", "__own", "__with", size)
 
 
-def _tasks(df: DataFrame, n: int, *group: str) -> DataFrame:
-    return df.withColumn("task", F.pmod(F.xxhash64(*group, "i", "j"), F.lit(n))).groupBy("task")
+def _tasks(df: DataFrame, n: int, *group: str, own: str = "false") -> DataFrame:
+    """Block pairs dealt to n tasks; where `own` holds, a pair is a task of its own."""
+    pair = F.xxhash64(*group, "i", "j")
+    return df.withColumn("task", F.when(F.expr(own), F.struct(F.lit(True), pair)).otherwise(F.struct(F.lit(False), F.pmod(pair, F.lit(n))))).groupBy("task")
 
 
 def _groups(table: pa.Table, *names: str) -> Iterator[tuple[np.ndarray, bool]]:
@@ -249,6 +252,8 @@ def verified_links(docs: DataFrame, classes: DataFrame, clustered: DataFrame, sh
     wanted = clustered.join(sizes, "cluster").join(classes.select("key", "doc_id", "text_key", "copies"), "key")
     w, d = wanted.alias("w"), docs.alias("d")
     texts = d.join(w, F.expr("d.doc_id <=> w.doc_id AND xxhash64(d.text) = w.text_key")).select("key", "cluster", "size", "copies", "text")
+    # A row that stands twice in the input comes twice here.
+    texts = texts.dropDuplicates(["key"])
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,7 +267,8 @@ def verified_links(docs: DataFrame, classes: DataFrame, clustered: DataFrame, sh
                     ["key", "cluster", "size", "copies", "bands", "shingles"],
                 )
 
-    rows = _blocked(texts.mapInArrow(shingled, "key binary, cluster binary, size bigint, copies bigint, bands array<bigint>, shingles binary"), "size", CLUSTER_BLOCK)
+    found = texts.mapInArrow(shingled, "key binary, cluster binary, size bigint, copies bigint, bands array<bigint>, shingles binary")
+    rows = _blocked(found.withColumn("cut", F.col("size") > CLUSTER_BLOCK), "size", CLUSTER_BLOCK)
     steps = least_matches(threshold, tolerance)
     kinds = pa.schema([("key", pa.binary()), ("other", pa.binary()), ("linked", pa.int64())])
 
@@ -271,8 +277,6 @@ def verified_links(docs: DataFrame, classes: DataFrame, clustered: DataFrame, sh
         copies, held = table.column("copies").to_numpy(), table.column("shingles")
         out: dict[str, list] = {"key": [], "other": [], "linked": []}
         for at, alone in _groups(table, "cluster"):
-            # A row that stands twice in the input comes twice here.
-            at = np.array(list({(keys[k], bool(first[k])): k for k in at.tolist()}.values()))
             if alone:
                 x, y = surviving(values[at], None, steps)
             else:
@@ -298,8 +302,8 @@ def verified_links(docs: DataFrame, classes: DataFrame, clustered: DataFrame, sh
                 out["linked"].append(0)
         return pa.table(out, schema=kinds)
 
-    n = parts_for(clustered.count(), 512, least=16)
-    return _tasks(rows, n, "cluster").applyInArrow(compare, "key binary, other binary, linked bigint")
+    n = parts_for(sizes.where(F.col("size") <= CLUSTER_BLOCK).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0], CLUSTER_BLOCK, least=16)
+    return _tasks(rows, n, "cluster", own="cut").applyInArrow(compare, "key binary, other binary, linked bigint")
 
 
 def jaccard_join(

@@ -206,6 +206,26 @@ def test_join_of_many_near_copies(spark, monkeypatch):
     assert Counter(map(tuple, got.select("doc_id", "class_id", "n_links").collect())) == brute_join(rows)
 
 
+def test_verifying_tasks_do_not_grow_with_a_cluster(spark, monkeypatch):
+    """However large a cluster or often a row is repeated, a task that holds shingle sets gets two blocks of rows."""
+    monkeypatch.setattr(near_join, "CLUSTER_BLOCK", 8)
+    dealt, tasks = [], near_join._tasks
+
+    def spied(df, *args, **named):
+        grouped = tasks(df, *args, **named)
+        if "shingles" in df.columns:
+            dealt.append(max(r["count"] for r in grouped.count().collect()))
+        return grouped
+
+    monkeypatch.setattr(near_join, "_tasks", spied)
+    base = [f"b{i}" for i in range(200)]
+    rows = [(k, " ".join([*base, f"c{k}"])) for k in range(400)] + [(0, " ".join([*base, "c0"]))] * 50
+    got = near_join.jaccard_join(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {(r["class_id"], r["n_links"]) for r in got.collect()} == {(0, 449)}
+    # Blocks of 8 are dealt by hash; 40 is far above two of them, far below the 400 of the cluster.
+    assert len(dealt) == 1 and dealt[0] <= 40
+
+
 def test_pruning_keeps_what_may_reach_the_threshold():
     for h, m in near_join.least_matches():
         assert 0 <= m <= 0.8 * h
