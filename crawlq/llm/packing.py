@@ -3,7 +3,7 @@
 Only the histogram of piece lengths matters for a plan, and it has at most `capacity` rows however many pieces
 there are. Over it the configuration linear program is solved by multiplicative weights: a configuration is a
 set of lengths that fits a sequence, the price of a length falls as it gets covered, and a knapsack dynamic program finds
-the most valuable configuration. The fractional solution is rounded down, and the lengths left over are
+the most valuable configuration. The whole fractional solution is rounded, and the few pieces left over are
 packed best-fit, still as a histogram.
 
 The plan gives every length a list of ranges of ranks. Pieces are ranked within their length by two
@@ -26,11 +26,11 @@ from crawlq.llm.tokens import VOCABULARY, encoder
 
 CAPACITY = 2048
 END = 0
-#: Knapsack solutions at most; the rest is packed best-fit.
-ROUNDS = 150
+#: The fractional solution is solved to this gap over its lower bound, in rounds of FIRST_STEP to LEAST_STEP of the demand.
+GAP = 0.01
+FIRST_STEP = 0.25
+LEAST_STEP = 0.01
 RATE = 8.0
-#: Share of the fractional solution that is rounded; the rest keeps short pieces for the gaps at the end.
-ROUNDED = 0.9
 PER_BUCKET = 200_000
 
 
@@ -69,6 +69,16 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VO
     return rows.mapInArrow(run, f"doc_id {id_type}, piece int, start bigint, length bigint, ids binary")
 
 
+def knapsack_table(sizes: np.ndarray, values: np.ndarray, capacity: int) -> np.ndarray:
+    """The most value within every room up to `capacity`; `sizes` ascend."""
+    best = np.zeros(capacity + 1)
+    fits = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
+    for room in range(1, capacity + 1):
+        n = fits[room]
+        best[room] = max(best[room - 1], (best[room - sizes[:n]] + values[:n]).max()) if n else best[room - 1]
+    return best
+
+
 def knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> np.ndarray:
     """How often to take each size for the most value within `capacity`; one step per unit of capacity."""
     best = np.zeros(capacity + 1)
@@ -94,32 +104,78 @@ def knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> np.ndarray
     return counts
 
 
-def fractional(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS, rate: float = RATE) -> dict[tuple, float]:
-    """The configuration program by multiplicative weights: configuration -> how many sequences, not whole numbers.
+def fractional(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP) -> tuple[dict[tuple, float], float]:
+    """The configuration program by multiplicative weights: configuration -> how many sequences, not whole numbers, and the gap left.
 
-    Each round takes the most valuable configuration, as often as uses up its scarcest length once, and the
-    price of every length falls with the share of its pieces covered so far. In the end all amounts are
-    scaled so that the lengths are covered once on average.
+    A round prices all lengths by what is covered so far and solves one knapsack table. From it every length that is
+    behind takes the best configurations that hold it, of equally good ones those least covered, and none is covered further than the
+    round goes. The prices over the best value bound the program from below; rounds go on, with half the step where
+    one gains nothing, until the sequences are within `gap` of that bound or the step is below LEAST_STEP.
     """
     covered = np.zeros(len(sizes))
     amounts: Counter = Counter()
-    for _ in range(rounds):
-        values = np.exp(-rate * (covered - covered.min())) / demand * sizes
-        # Equal value per token prefers nothing; the small extra term prefers full sequences.
-        counts = knapsack(sizes, values / values.max() + 1e-6 * sizes, capacity)
-        used = counts > 0
-        amount = float((demand[used] / counts[used]).min())
-        amounts[tuple((int(i), int(counts[i])) for i in np.flatnonzero(used))] += amount
-        covered += counts * amount / demand
-        if covered.min() >= 1:
+    step, bound, reached = FIRST_STEP, float((demand * sizes).sum() / capacity), np.inf
+    while step >= LEAST_STEP:
+        target = covered.min() + step
+        # Equal value per token prefers nothing; lengths that are behind are worth more.
+        values = sizes * np.exp(-RATE * (covered - covered.min()))
+        best = knapsack_table(sizes, values, capacity)
+        bound = max(bound, float((demand * values).sum() / best[capacity]))
+        for i in np.argsort(-sizes, kind="stable").tolist():
+            while covered[i] < target - 1e-9:
+                counts: Counter = Counter({i: 1})
+                room = capacity - int(sizes[i])
+                while room:
+                    n = int(np.searchsorted(sizes, room, side="right"))
+                    open_ = np.flatnonzero(covered[:n] < target - 1e-9)
+                    if not len(open_):
+                        break
+                    worth = best[room - sizes[open_]] + values[open_]
+                    good = open_[worth >= worth.max() * (1 - 1e-3)]
+                    k = int(good[covered[good].argmin()])
+                    counts[k] += 1
+                    room -= int(sizes[k])
+                amount = min(float((target - covered[k]) * demand[k] / n) for k, n in counts.items())
+                amounts[tuple(sorted(counts.items()))] += amount
+                for k, n in counts.items():
+                    covered[k] += n * amount / demand[k]
+        left = sum(amounts.values()) / covered.min() / bound - 1
+        if left <= gap:
+            reached = left
             break
-    scale = 1 / max(1.0, float((covered * demand * sizes).sum() / (demand * sizes).sum()))
-    return {k: v * scale for k, v in amounts.items()}
+        step, reached = (step if left < reached - gap / 10 else step / 2), min(reached, left)
+    scale = 1 / covered.min()
+    return {k: v * scale for k, v in amounts.items()}, left
+
 
+def rounded(config_amounts: dict[tuple, float], demand: np.ndarray) -> tuple[list[tuple[tuple, int]], np.ndarray]:
+    """The whole solution in whole sequences, and the pieces it leaves.
 
-def best_fit(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[tuple, int]]:
-    """Best fit, longest first, over a histogram: runs of equal sequences (configuration, how many)."""
+    Fractions of a sequence are carried on to the next configuration; where pieces have run out a sequence keeps those that are left.
+    """
+    left, runs, carried = demand.copy(), [], 0.0
+    for config, amount in sorted(config_amounts.items(), key=lambda x: (-x[1], x[0])):
+        carried += amount
+        many = int(carried + 1e-9)
+        carried -= many
+        while many:
+            held = tuple((i, min(n, int(left[i]))) for i, n in config if left[i])
+            if not held:
+                break
+            use = min(many, min(int(left[i]) // n for i, n in held))
+            runs.append((held, use))
+            for i, n in held:
+                left[i] -= n * use
+            many -= use
+    return runs, left
+
+
+def best_fit(sizes: np.ndarray, left: np.ndarray, capacity: int, begun: list[tuple[tuple, int]] = ()) -> list[tuple[tuple, int]]:
+    """Best fit, longest first, over a histogram into sequences `begun` and new ones: runs of equal sequences (configuration, how many)."""
     room: dict[int, list[list]] = {capacity: []}
+    for config, many in begun:
+        free = capacity - sum(int(sizes[i]) * n for i, n in config)
+        room.setdefault(free, []).append([tuple(i for i, n in config for _ in range(n)), many])
     for i in np.argsort(-sizes, kind="stable").tolist():
         size, todo = int(sizes[i]), int(left[i])
         while todo:
@@ -151,18 +207,13 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict
         raise ValueError("a length is outside 1 to the capacity")
     sizes = np.array(sorted(histogram), dtype=np.int64)
     demand = np.array([histogram[int(s)] for s in sizes], dtype=np.int64)
-    left, runs = demand.copy(), []
-    open_ = sizes < capacity
-    if open_.any():
-        inner = np.flatnonzero(open_)
-        for config, amount in fractional(sizes[inner], demand[inner], capacity).items():
-            config = tuple((int(inner[i]), n) for i, n in config)
-            many = min(int(ROUNDED * amount), min(int(left[i]) // n for i, n in config))
-            if many:
-                runs.append((config, many))
-                for i, n in config:
-                    left[i] -= n * many
-    runs += best_fit(sizes, left, capacity)
+    left, begun = demand.copy(), []
+    inner = np.flatnonzero(sizes < capacity)
+    if len(inner):
+        amounts, _ = fractional(sizes[inner], demand[inner], capacity)
+        begun, left[inner] = rounded(amounts, demand[inner])
+    # Lengths below the capacity come first in `sizes`, so the numbers in `begun` hold here too.
+    runs = best_fit(sizes, left, capacity, begun)
     return [({int(sizes[i]): n for i, n in config}, many) for config, many in runs]
 
 

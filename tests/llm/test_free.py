@@ -120,6 +120,24 @@ def test_plans_hold_every_length(histogram):
     assert n <= 1.23 * -(-sum(s * k for s, k in histogram.items()) // 64) + sum(k for s, k in histogram.items() if s > 32) + 2
 
 
+@pytest.mark.parametrize("times", [1, 100])
+def test_the_program_places_nearly_all(monkeypatch, times):
+    """Best-fit gets only what rounding leaves, also where nearly every length occurs."""
+    rng = np.random.default_rng(5)
+    histogram = {k: int(n) * times for k, n in enumerate(rng.integers(1, 9, 511), 1)}
+    whole, given_ = sum(k * n for k, n in histogram.items()), []
+    fit = packing.best_fit
+
+    def spied(sizes, left, *more):
+        given_.append(int((sizes * left).sum()))
+        return fit(sizes, left, *more)
+
+    monkeypatch.setattr(packing, "best_fit", spied)
+    runs = packing.plan(histogram, 512)
+    assert sum(many for _, many in runs) <= 1.03 * whole / 512 + 1
+    assert given_[0] < 0.1 * whole
+
+
 def test_knapsack():
     sizes, values = np.array([3, 4, 5]), np.array([4.0, 5.0, 7.0])
     assert packing.knapsack(sizes, values, 8).tolist() == [1, 0, 1]
