@@ -4,7 +4,8 @@ Templates are short license notices. Every rolling k-gram of a document's words
 the template positions of that hash. A hit at document word p and template word q votes for the
 diagonal p - q, the place where the whole template would start. Diagonals next to each other are
 merged, since one inserted or missing word moves the rest of a notice by one, and the votes of a
-merged diagonal are verified: they must cover most of the template within a span of about its length.
+merged diagonal are verified: they must cover most of the template within a span of about its length, and hold every k-gram with a
+number in it, since notices of two versions differ in nothing else.
 
 Templates shorter than k are phrases; they are hashed whole and a hit is the phrase.
 
@@ -80,7 +81,9 @@ def template_positions(table: DataFrame, k: int = K) -> DataFrame:
     return own_k.select(
         "template", "label", "phrase", "k", F.expr("size(words)").alias("size"), F.expr("size(grams)").alias("n_grams"), "words",
         F.posexplode("grams").alias("at", "gram"),
-    ).withColumn("gram_words", F.expr("slice(words, at + 1, k)")).drop("words")
+    ).withColumn("gram_words", F.expr("slice(words, at + 1, k)")).drop("words").withColumn(
+        "numbered", F.expr("exists(gram_words, w -> w RLIKE '[0-9]')")
+    )
 
 
 def license_scan(docs: DataFrame, templates=NOTICES, phrases=PHRASES, k: int = K, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -96,6 +99,8 @@ def license_scan(docs: DataFrame, templates=NOTICES, phrases=PHRASES, k: int = K
     if n_positions > MAX_POSITIONS:
         raise ValueError(f"{n_positions} template positions are too many to send to every task")
     longest = F.expr("array_max(transform(gram_words, w -> struct(length(w) AS n, w AS w))).w")
+    # Grams with a number that each template has, as numbers in the plan.
+    marks = {r["template"]: r["n"] for r in positions.groupBy("template").agg(F.count_if("numbered").alias("n")).collect()}
     lengths = {r["k"]: r["needed"] for r in positions.groupBy("k").agg(F.collect_set(longest).alias("needed")).collect()}
 
     df = only(docs, doc_id=doc_id, text=text).withColumn("text_key", F.xxhash64("text"))
@@ -107,10 +112,10 @@ def license_scan(docs: DataFrame, templates=NOTICES, phrases=PHRASES, k: int = K
         for n, needed in sorted(lengths.items())
     ]
     rolling = df.select("doc_id", "text_key", "words", F.expr(f"inline(concat({', '.join(each)}))"))
-    t = F.broadcast(positions.select("template", "label", "phrase", "size", "n_grams", F.col("k").alias("tk"), F.col("gram").alias("tgram"), "at", "gram_words"))
+    t = F.broadcast(positions.select("template", "label", "phrase", "size", "n_grams", F.col("k").alias("tk"), F.col("gram").alias("tgram"), "at", "gram_words", "numbered"))
     hits = rolling.join(t, F.expr("gram = tgram AND k = tk")).where("slice(words, p + 1, k) = gram_words")
     votes = hits.groupBy("doc_id", "text_key", "template", "label", "phrase", "size", "n_grams", F.expr("p - at").alias("diagonal")).agg(
-        F.count_distinct("at").alias("votes"), F.min("p").alias("first"), F.max(F.expr("p + k - 1")).alias("last")
+        F.count_distinct("at").alias("votes"), F.collect_set(F.when(F.col("numbered"), F.col("at"))).alias("numbers"), F.min("p").alias("first"), F.max(F.expr("p + k - 1")).alias("last")
     )
     # Repeated rows vote again for the same places: distinct template positions keep the votes right.
     near = Window.partitionBy("doc_id", "text_key", "template").orderBy("diagonal")
@@ -119,10 +124,11 @@ def license_scan(docs: DataFrame, templates=NOTICES, phrases=PHRASES, k: int = K
     )
     placed = starts.withColumn("place", F.sum(F.col("opens").cast("int")).over(near))
     spans = placed.groupBy("doc_id", "text_key", "template", "label", "phrase", "size", "n_grams", "place").agg(
-        F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last")
+        F.sum("votes").alias("votes"), F.expr("size(array_distinct(flatten(collect_list(numbers))))").alias("numbers"), F.min("first").alias("first"), F.max("last").alias("last")
     )
     spans = spans.withColumn("cover", F.expr("least(1D, votes / n_grams) * least(1D, size / (last - first + 1))"))
-    spans = spans.where(f"phrase OR (cover >= {LEAST_COVER} AND last - first + 1 <= 2 * size)")
+    needed = f"CASE template {' '.join(f'WHEN {t} THEN {n}' for t, n in sorted(marks.items()) if n)} ELSE 0 END" if any(marks.values()) else "0"
+    spans = spans.where(f"phrase OR (cover >= {LEAST_COVER} AND last - first + 1 <= 2 * size AND numbers >= {needed})")
     found = spans.groupBy("doc_id", "text_key").agg(
         F.count_if("phrase").alias("n_base"),
         F.min(F.when(F.col("phrase"), F.col("first"))).cast("bigint").alias("first_word"),

@@ -147,6 +147,13 @@ def test_notices_with_gaps(spark):
     assert got[2][0] == "mit" and 0.6 <= got[2][1] < 1 and got[3] == ("", 0.0, 0)
 
 
+def test_versions_are_told_apart(spark):
+    gpl = "This is licensed under the GNU General Public License"
+    texts = [f"{gpl}, version 2.", f"{gpl}, version 3.", f"{gpl}.", f"{gpl}, version 2.0 or later", "Licensed under the Apache License, Version 1.1"]
+    got = license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    assert {r["doc_id"]: r["labels"] for r in got.collect()} == {0: "gpl,gpl-2.0", 1: "gpl,gpl-3.0", 2: "gpl", 3: "gpl,gpl-2.0", 4: ""}
+
+
 # --- mixing
 
 
