@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from crawlq.llm import (
+    centroids,
+    decontamination,
     fingerprints,
     license_scan,
     mixing,
@@ -12,6 +14,7 @@ from crawlq.llm import (
     packing,
     quality_classifier,
     quality_rules,
+    ranked_search,
     secrets,
     substring_dedup,
     tokens,
@@ -91,3 +94,22 @@ def op10_mixing(spark, sf_dir):
     return mixing.mixed(documents(spark, sf_dir)).select(
         "doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "sampled"
     )
+
+
+def _benchmark(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
+@register
+def op11_ranked_search(spark, sf_dir):
+    return ranked_search.ranked_search(documents(spark, sf_dir), _benchmark(spark, sf_dir))
+
+
+@register
+def op12_decontamination(spark, sf_dir):
+    return decontamination.decontamination(documents(spark, sf_dir), _benchmark(spark, sf_dir)).drop("n_near_items")
+
+
+@register
+def op13_centroid_clustering(spark, sf_dir):
+    return centroids.clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
