@@ -6,8 +6,6 @@ Input: `fetches(url, final_url, http_code, html, fetched_at, error)` and
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +14,7 @@ from crawlq.functions import urls as U
 from crawlq.functions.text import literal, once, strip
 from crawlq.functions.urls import after
 from crawlq.operators.extracts import refresh_tags, refresh_url
-from crawlq.runtime import checkpointed
+from crawlq.runtime import stored
 
 # Redirect patterns. `.` stops at `\n` only.
 SCRIPT = r"(?d)<\s*script\s*>(.*?)</\s*script\s*>"
@@ -101,72 +99,104 @@ def redirect_chains(
     `(root, path, is_redirect_complete, finish_download, failed_download_reason, http_code, failed_url)`;
     `failed_url` is the hop that failed, captured or not, and `http_code` that of the last good hop.
     Each hop appends the final URL when it differs, then the next URL when it is new; a next URL
-    already on the path ends the chain. Runs one job per hop until no chain is open; a chain
-    still open after `max_hops` (default: no limit) is reported as not complete.
+    already on the path ends the chain. A chain still open after `max_hops` (default: no limit) is reported as not complete.
 
-    Fetches become thin rows once, before the loop. Every hop is a left equi-join on the current
-    URL and is checkpointed, so a lost executor costs one hop and plans do not grow. Many roots
-    on one URL are a skewed left side, which the adaptive join splits.
+    Fetches become thin rows once. Then every URL holds the chain from itself on, and each round an open chain takes over what the URL at
+    its end holds, so it doubles: a chain of n hops takes about log2(n) joins. Only open chains are joined and written.
+    Many chains that end on one URL are a skewed left side, which the adaptive join splits.
     """
-    hops = checkpointed(_latest_hops(fetches, by_tags))
-    starts = (fetches.select("url") if roots is None else roots.select("url")).where(F.col("url").isNotNull())
-    state = starts.distinct().select(
-        F.col("url").alias("root"),
-        F.array("url").alias("path"),
-        F.col("url").alias("current"),
-        F.lit(None).cast("int").alias("http_code"),
-        F.lit(None).cast("string").alias("reason"),
-        F.lit(None).cast("string").alias("failed_url"),
-    )
-    closed = []
-    done = 0
-    while max_hops is None or done < max_hops:
-        state = checkpointed(_advance(state, hops))
-        closed.append(state.where(F.col("current").isNull()))
-        state = state.where(F.col("current").isNotNull())
-        done += 1
-        if state.isEmpty():
-            break
+    chains = _doubled(stored(_single_hops(_latest_hops(fetches, by_tags))), max_hops)
+    if roots is not None:
+        wanted = roots.select(F.col("url").alias("root")).where("root IS NOT NULL").distinct()
+        missing = {
+            "urls": "coalesce(urls, array(root))",
+            "finals": "coalesce(finals, array(CAST(NULL AS STRING)))",
+            "codes": "coalesce(codes, array(CAST(NULL AS INT)))",
+            "reason": f"CASE WHEN node IS NULL THEN {literal(NO_FETCH)} ELSE reason END",
+        }
+        chains = wanted.join(chains, F.col("root") == F.col("node"), "left").withColumns({k: F.expr(v) for k, v in missing.items()})
     else:
-        closed.append(state)
-    chains = reduce(DataFrame.unionByName, closed)
-    complete = F.col("current").isNull() & F.col("reason").isNull()
+        chains = chains.withColumn("root", F.col("node"))
+    cut = f"size(urls) > {max_hops}" if max_hops is not None else "false"
+    hops = max_hops if max_hops is not None else 0
+    chains = chains.select(
+        "root",
+        F.expr(f"CASE WHEN {cut} THEN slice(urls, 1, {hops}) ELSE urls END").alias("urls"),
+        F.expr(f"CASE WHEN {cut} THEN slice(finals, 1, {hops}) ELSE finals END").alias("finals"),
+        F.expr(f"CASE WHEN {cut} THEN slice(codes, 1, {hops}) ELSE codes END").alias("codes"),
+        F.expr(f"CASE WHEN {cut} THEN urls[{hops}] ELSE jump END").alias("jump"),
+        F.expr(f"CASE WHEN {cut} THEN NULL ELSE reason END").alias("reason"),
+    )
+    # A next URL stands behind the final URL of the hop before, unless they are the same.
+    placed = """flatten(transform(urls, (u, j) -> filter(array(CASE WHEN j > 0 AND u <=> finals[j - 1] THEN NULL ELSE u END, finals[j]), x -> x IS NOT NULL)))"""
+    open_end = "CASE WHEN jump IS NULL OR jump <=> element_at(finals, -1) THEN array() ELSE array(jump) END"
+    complete = F.expr("jump IS NULL AND reason IS NULL")
     return chains.select(
         "root",
-        "path",
+        F.expr(f"concat({placed}, {open_end})").alias("path"),
         complete.alias("is_redirect_complete"),
         complete.alias("finish_download"),
         F.col("reason").alias("failed_download_reason"),
-        "http_code",
-        "failed_url",
+        F.expr("CASE WHEN reason IS NULL THEN element_at(codes, -1) ELSE try_element_at(codes, -2) END").alias("http_code"),
+        F.expr("CASE WHEN reason IS NOT NULL THEN element_at(urls, -1) END").alias("failed_url"),
     )
 
 
-def _advance(state: DataFrame, hops: DataFrame) -> DataFrame:
-    """One hop of every open chain; `current` becomes NULL when the chain ends."""
-    # Only the hops somebody waits for; late hops are few, and then neither side needs a shuffle.
-    waiting = state.select(F.col("current").alias("hop_url")).distinct()
-    wanted = hops.withColumnRenamed("http_code", "hop_code").join(waiting, "hop_url", "left_semi")
-    rows = state.join(wanted, F.col("current") == F.col("hop_url"), "left")
-    failed = F.col("hop_url").isNull() | F.col("error").isNotNull()
-    fresh = (F.col("redirect_url") != F.col("current")) & ~F.array_contains("path", F.col("redirect_url"))
+def _single_hops(hops: DataFrame) -> DataFrame:
+    """The chain of one hop from every captured URL.
+
+    `(node, urls, finals, codes, reason, jump)`: the URLs of its hops, where each ended up if elsewhere, their codes, why the last one
+    failed, and the URL that comes next, which is new; without one the chain is closed.
+    """
+    return hops.where("hop_url IS NOT NULL").selectExpr(
+        "hop_url AS node",
+        "array(hop_url) AS urls",
+        "array(CASE WHEN error IS NULL AND final_url <> hop_url THEN final_url END) AS finals",
+        "array(CASE WHEN error IS NULL THEN http_code END) AS codes",
+        "error AS reason",
+        "CASE WHEN error IS NULL AND redirect_url <> hop_url THEN redirect_url END AS jump",
+    )
+
+
+def _doubled(table: DataFrame, max_hops: int | None) -> DataFrame:
+    """Every chain of the table up to its end, or to at least `max_hops` hops."""
+    done = 1
+    while max_hops is None or done < max_hops:
+        ahead = table.where("jump IS NOT NULL")
+        if ahead.isEmpty():
+            break
+        grown = stored(_joined_chains(ahead, table))
+        table = table.where("jump IS NULL").unionByName(grown)
+        done *= 2
+    return table
+
+
+def _joined_chains(ahead: DataFrame, table: DataFrame) -> DataFrame:
+    """Open chains with what the URL at their end holds.
+
+    Neither part meets itself, so the first hop to close the whole chain is the first of the second part whose next
+    URL stands in the first; `array_intersect` hashes, and keeps the order of that part.
+    """
+    # Only what somebody waits for; late chains are few, and then neither side needs a shuffle.
+    waiting = ahead.select(F.col("jump").alias("node")).distinct()
+    tails = table.join(waiting, "node", "left_semi").select(*[F.col(c).alias(f"t_{c}") for c in table.columns])
+    rows = ahead.join(tails, F.col("jump") == F.col("t_node"), "left")
     rows = rows.withColumns(
         {
-            "__reason": F.when(failed, F.coalesce("error", F.lit(NO_FETCH))),
-            "__next": F.when(~failed & fresh, F.col("redirect_url")),
-            "__path": F.when(
-                ~failed & (F.col("final_url") != F.col("current")), F.array_append("path", F.col("final_url"))
-            ).otherwise(F.col("path")),
+            "__nexts": F.expr("concat(slice(t_urls, 2, greatest(size(t_urls), 1)), CASE WHEN t_jump IS NULL THEN array() ELSE array(t_jump) END)"),
+            "__seen": F.expr("concat(urls, filter(finals, x -> x IS NOT NULL))"),
         }
     )
-    lengthen = F.col("__next").isNotNull() & ~F.array_contains("__path", F.coalesce("__next", F.lit("")))
+    rows = once(rows, {"__met": "try_element_at(array_intersect(__nexts, __seen), 1)"})
+    rows = once(rows, {"__take": "CASE WHEN t_node IS NULL THEN 0 WHEN __met IS NULL THEN size(t_urls) ELSE CAST(array_position(__nexts, __met) AS INT) END"})
+    tail = lambda c, missing: f"concat({c}, CASE WHEN t_node IS NULL THEN array({missing}) ELSE slice(t_{c}, 1, __take) END)"
     return rows.select(
-        "root",
-        F.when(lengthen, F.array_append("__path", F.col("__next"))).otherwise(F.col("__path")).alias("path"),
-        F.col("__next").alias("current"),
-        F.when(failed, F.col("http_code")).otherwise(F.col("hop_code")).alias("http_code"),
-        F.col("__reason").alias("reason"),
-        F.when(failed, F.col("current")).alias("failed_url"),
+        "node",
+        F.expr(tail("urls", "jump")).alias("urls"),
+        F.expr(tail("finals", "CAST(NULL AS STRING)")).alias("finals"),
+        F.expr(tail("codes", "CAST(NULL AS INT)")).alias("codes"),
+        F.expr(f"CASE WHEN t_node IS NULL THEN {literal(NO_FETCH)} WHEN __met IS NULL THEN t_reason END").alias("reason"),
+        F.expr("CASE WHEN t_node IS NOT NULL AND __met IS NULL THEN t_jump END").alias("jump"),
     )
 
 
