@@ -39,7 +39,7 @@ def href_items(pages: DataFrame) -> DataFrame:
     return _explode_texts(pages, f"regexp_extract_all({T.compact_lower()}, {literal(HREF)}, 1)", "page_id")
 
 
-def _with_titles(tagged: DataFrame) -> DataFrame:
+def with_titles(tagged: DataFrame) -> DataFrame:
     """Add `titles`: texts of title elements that hold one text and nothing else."""
     text, end = "try_element_at(tags, i + 2)", "try_element_at(tags, i + 3)"
     found = f"""transform(tags, (t, i) -> CASE WHEN t.kind = 'open' AND t.tag = 'title' AND {text}.kind = 'text'
@@ -49,13 +49,55 @@ def _with_titles(tagged: DataFrame) -> DataFrame:
 
 def titles(pages: DataFrame, case_sensitive: bool = False) -> DataFrame:
     """All title texts, lower-cased unless asked otherwise."""
-    rows = _explode_texts(_with_titles(H.with_tags(pages)), "titles", "page_id")
+    rows = _explode_texts(with_titles(H.with_tags(pages)), "titles", "page_id")
     return rows if case_sensitive else rows.withColumn("item", F.lower("item"))
 
 
+# The same extracts as arrays over `tags`, SQL text, for jobs that take several from one pass over a page.
+def _attr_array(tags: str, name: str) -> str:
+    """Attribute `name` of an array of tags, where it is not blank."""
+    return f"filter(transform({tags}, t -> {H.attr('t.raw', name)}), x -> x RLIKE {literal(r'\S')})"
+
+
+def _rel_is(raw: str, rel: str) -> str:
+    return f"lower(regexp_replace({H.attr(raw, 'rel')}, {literal(r'\s+')}, '')) = '{rel}'"
+
+
+def _script_counts(raw: str) -> str:
+    return f"coalesce(lower({H.attr(raw, 'type')}), 'text/javascript') = 'text/javascript'"
+
+
+def _style_names(raw: str) -> str:
+    name = T.strip("lower(substring_index(s, ':', 1))")
+    names = f"transform(split(coalesce({H.attr(raw, 'style')}, ''), ';'), s -> {name})"
+    return f"sort_array(array_distinct(filter({names}, n -> n <> '')))"
+
+
+def title_word_array() -> str:
+    """Over the `titles` of `with_titles`."""
+    return T.words("lower(array_join(titles, ' '))")
+
+
+def link_array(rel: str) -> str:
+    return _attr_array(f"filter({H.tags_named('link')}, t -> {_rel_is('t.raw', rel)})", "href")
+
+
+def script_array() -> str:
+    return _attr_array(f"filter({H.tags_named('script')}, t -> {_script_counts('t.raw')})", "src")
+
+
+def img_array() -> str:
+    return _attr_array(H.tags_named("img"), "src")
+
+
+def div_style_array(threshold: int = 3) -> str:
+    """Style keys joined by `;`, which no name holds."""
+    divs = f"filter({H.tags_named('div')}, t -> contains(lower(t.raw), 'style'))"
+    return f"transform(filter(transform({divs}, t -> {_style_names('t.raw')}), x -> size(x) >= {threshold}), x -> array_join(x, ';'))"
+
+
 def _links(pages: DataFrame, rel: str) -> DataFrame:
-    joined = f"lower(regexp_replace({H.attr('raw', 'rel')}, {literal(r'\s+')}, ''))"
-    tags = H.select_tags(H.with_tags(pages), "link").where(f"{joined} = '{rel}'")
+    tags = H.select_tags(H.with_tags(pages), "link").where(_rel_is("raw", rel))
     return attr_items(tags, "href", accept_empty=False)
 
 
@@ -71,18 +113,14 @@ def stylesheets(pages: DataFrame) -> DataFrame:
 
 def script_srcs(pages: DataFrame) -> DataFrame:
     """`src` of scripts without a type or of type `text/javascript`."""
-    kind = f"coalesce(lower({H.attr('raw', 'type')}), 'text/javascript')"
-    tags = H.select_tags(H.with_tags(pages), "script").where(f"{kind} = 'text/javascript'")
+    tags = H.select_tags(H.with_tags(pages), "script").where(_script_counts("raw"))
     return attr_items(tags, "src", accept_empty=False)
 
 
 def div_style_keys(pages: DataFrame, threshold: int = 3) -> DataFrame:
     """Per `div`: sorted distinct style property names, kept when there are at least `threshold`."""
-    name = T.strip("lower(substring_index(s, ':', 1))")
-    names = f"transform(split(coalesce({H.attr('raw', 'style')}, ''), ';'), s -> {name})"
-    keys = f"sort_array(array_distinct(filter({names}, n -> n <> '')))"
     tags = H.select_tags(H.with_tags(pages), "div").where("contains(lower(raw), 'style')")
-    return T.once(tags, {"item": keys}).where(F.size("item") >= threshold).select("page_id", "pos", "item")
+    return T.once(tags, {"item": _style_names("raw")}).where(F.size("item") >= threshold).select("page_id", "pos", "item")
 
 
 def visible_text(pages: DataFrame) -> DataFrame:
@@ -101,7 +139,7 @@ def page_words(pages: DataFrame) -> DataFrame:
 def title_words(pages: DataFrame) -> DataFrame:
     """Letter-digit runs of all lower-cased titles of a page, stop words kept."""
     words = T.words("lower(array_join(titles, ' '))")
-    return _explode_texts(_with_titles(H.with_tags(pages)), words, "page_id")
+    return _explode_texts(with_titles(H.with_tags(pages)), words, "page_id")
 
 
 def word_counts(words: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from crawlq.functions import html as H
 from crawlq.functions import urls as U
 from crawlq.operators import extracts as X
-from crawlq.runtime import checkpointed
+from crawlq.runtime import scratch_folder, stored
 
 Feature = Callable[[DataFrame], DataFrame]
 
@@ -19,6 +19,7 @@ FULL = "full"
 PATH_NO_QUERY = "path_no_query"
 NO_FILENAME = "no_filename"
 FILENAME = "filename"
+REDUCED = "reduced"
 DEFAULT_ICON = "favicon.ico"
 BOTH_EMPTY = -1000.0
 
@@ -101,55 +102,115 @@ def pair_similarity(
     )
 
 
-def _similarity(pairs: DataFrame, pages: DataFrame, feature: Feature, compare: str) -> DataFrame:
-    """One pass over the pages for the items (checkpointed, as four joins read them), one for the base URLs."""
-    items = checkpointed(page_items(pages, feature, compare))
-    return pair_similarity(pairs, items, schemes=page_schemes(pages))
+#: What the stored item table can hold: the items of a page as SQL text over its tags, and how they are compared.
+FEATURES = {
+    "title_text": (X.title_word_array, FULL),
+    "stylesheet": (lambda: X.link_array("stylesheet"), PATH_NO_QUERY),
+    "script": (X.script_array, PATH_NO_QUERY),
+    "img": (X.img_array, NO_FILENAME),
+    "div_style": (X.div_style_array, FULL),
+    "icon": (lambda: X.link_array("shortcuticon"), REDUCED),
+}
+PAGE = ""
+DEFAULT = "default_icon"
+
+
+def item_table(pages: DataFrame, *features: str) -> DataFrame:
+    """`(page_id, feature, item, cnt)`: the comparison keys of several features, from one pass over the pages.
+
+    Each page also has a row of the feature `PAGE`, whose item is `1` where its base URL has a scheme and `0` where not, so that pages
+    without items are known; with icons it has one of the feature `default_icon`. Style keys are joined by `;`.
+    """
+    for feature in features:
+        if feature not in FEATURES:
+            raise ValueError(f"unknown feature {feature!r}")
+    tagged = _tagged(pages)
+    if "title_text" in features:
+        tagged = X.with_titles(tagged)
+    row = lambda feature, base, item: f"named_struct('feature', '{feature}', 'base', {base}, 'item', {item})"
+    found = [f"array({row(PAGE, 'base_url', f"CASE WHEN {_SCHEMED} THEN '1' ELSE '0' END")})"]
+    found += [f"transform({FEATURES[f][0]()}, x -> {row(f, 'base_url', 'x')})" for f in features]
+    if "icon" in features:
+        found.append(f"array({row(DEFAULT, U.site('url'), f"'{DEFAULT_ICON}'")})")
+    rows = tagged.select("page_id", F.expr(f"inline(concat({', '.join(found)}))"))
+    modes = {f: FEATURES[f][1] for f in features} | ({DEFAULT: REDUCED} if "icon" in features else {})
+    linked = [f for f, mode in modes.items() if mode != FULL]
+    if linked:
+        # Only links are resolved; all else has none to resolve.
+        rows = rows.withColumn("__link", F.expr(f"CASE WHEN feature IN ({', '.join(f"'{f}'" for f in linked)}) THEN item END"))
+        rows = U.with_reduced(U.with_resolved(rows, "base", "__link", "__full"), "__full", "__reduced")
+        cuts = {PATH_NO_QUERY: U.path_structure("__reduced"), NO_FILENAME: U.without_filename("__reduced"), REDUCED: "__reduced"}
+        keys = " ".join(f"WHEN feature = '{f}' THEN {cuts[modes[f]]}" for f in linked)
+        rows = rows.withColumn("item", F.expr(f"CASE {keys} ELSE item END"))
+    many = f"CASE WHEN feature IN ({', '.join(f"'{f}'" for f in [*linked, PAGE])}) THEN CAST(1 AS BIGINT) ELSE count(1) END"
+    return rows.groupBy("page_id", "feature", "item").agg(F.expr(many).alias("cnt"))
+
+
+def stored_items(pages: DataFrame, *features: str, buckets: int | None = None, name: str | None = None) -> DataFrame:
+    """The item table, written once on the shared checkpoint storage in buckets by page and read back.
+
+    The one exchange deals by page; what reads the table by page joins and counts without another. `name` keeps it in the catalog.
+    """
+    spark = pages.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = scratch_folder(spark)
+    table = name or f"page_items_{folder.rsplit('-', 1)[1]}"
+    dealt = item_table(pages, *features).repartition(n, "page_id")
+    dealt.write.bucketBy(n, "page_id").sortBy("page_id").option("path", folder).saveAsTable(table)
+    return spark.table(table)
+
+
+def feature_items(items: DataFrame, feature: str) -> DataFrame:
+    return items.where(F.col("feature") == feature).select("page_id", "item", "cnt")
+
+
+def feature_similarity(pairs: DataFrame, items: DataFrame, feature: str) -> DataFrame:
+    """`pair_similarity` of one feature of an item table."""
+    schemes = feature_items(items, PAGE).select("page_id", (F.col("item") == "1").alias("schemed"))
+    return pair_similarity(pairs, feature_items(items, feature), schemes=schemes)
 
 
 def sim_title_text(pairs: DataFrame, pages: DataFrame) -> DataFrame:
-    return _similarity(pairs, pages, X.title_words, FULL)
+    return feature_similarity(pairs, stored_items(pages, "title_text"), "title_text")
 
 
 def sim_stylesheet(pairs: DataFrame, pages: DataFrame) -> DataFrame:
-    return _similarity(pairs, pages, X.stylesheets, PATH_NO_QUERY)
+    return feature_similarity(pairs, stored_items(pages, "stylesheet"), "stylesheet")
 
 
 def sim_script(pairs: DataFrame, pages: DataFrame) -> DataFrame:
-    return _similarity(pairs, pages, X.script_srcs, PATH_NO_QUERY)
+    return feature_similarity(pairs, stored_items(pages, "script"), "script")
 
 
 def sim_img(pairs: DataFrame, pages: DataFrame) -> DataFrame:
-    return _similarity(pairs, pages, X.img_srcs, NO_FILENAME)
+    return feature_similarity(pairs, stored_items(pages, "img"), "img")
 
 
 def sim_div_style(pairs: DataFrame, pages: DataFrame) -> DataFrame:
-    return _similarity(pairs, pages, X.div_style_keys, FULL)
+    return feature_similarity(pairs, stored_items(pages, "div_style"), "div_style")
 
 
-def page_icons(pages: DataFrame) -> DataFrame:
-    """Per page: reduced icon URLs (sorted set), the reduced default icon, whether the base has a scheme."""
-    tagged = _tagged(pages)
-    icons = U.with_resolved(X.shortcut_icons(tagged), "base_url", "item", "__full")
-    icons = U.with_reduced(icons, "__full", "icon").groupBy("page_id").agg(F.sort_array(F.collect_set("icon")).alias("icons"))
-    page = tagged.select(
-        "page_id",
-        F.expr(_SCHEMED).alias("schemed"),
-        F.expr(U.site("url")).alias("__domain"),
-        F.lit(DEFAULT_ICON).alias("__icon"),
+def page_icons(items: DataFrame) -> DataFrame:
+    """Per page of an item table: reduced icon URLs (sorted set), the reduced default icon, whether the base has a scheme."""
+    of = lambda feature: F.when(F.col("feature") == feature, F.col("item"))
+    return items.where(F.col("feature").isin(PAGE, "icon", DEFAULT)).groupBy("page_id").agg(
+        F.sort_array(F.collect_set(of("icon"))).alias("icons"),
+        F.max(of(DEFAULT)).alias("default_icon"),
+        (F.max(of(PAGE)) == "1").alias("schemed"),
     )
-    page = U.with_reduced(U.with_resolved(page, "__domain", "__icon", "__full"), "__full", "default_icon")
-    page = page.select("page_id", "schemed", "default_icon")
-    none = F.array().cast("array<string>")
-    return page.join(icons, "page_id", "left").withColumn("icons", F.coalesce("icons", none))
 
 
 def same_icon(pairs: DataFrame, pages: DataFrame) -> DataFrame:
+    """`icon_similarity` of pages."""
+    return icon_similarity(pairs, stored_items(pages, "icon"))
+
+
+def icon_similarity(pairs: DataFrame, items: DataFrame) -> DataFrame:
     """Do two pages share an icon, without and with the default icon for a page that names none.
 
     `(a_id, b_id, same, same_with_default, n_a, n_b, icons_a, icons_b, status)`.
     """
-    profile = page_icons(pages)
+    profile = page_icons(items)
     out = pairs
     for side in ("a", "b"):
         out = out.join(
@@ -188,89 +249,98 @@ def best_targets(
     feature: Feature,
     k: int,
     compare: str = FULL,
-    hot_item_pages: int = 1000,
+    seed_postings: int = 1000,
 ) -> DataFrame:
     """The `k` target pages each suspect page looks most like (see `best_target_items`).
 
-    The items are checkpointed: they are read several times, and the pages should be parsed once.
+    The items are written out: they are read several times, and the pages should be parsed once.
     """
-    items_a = checkpointed(page_items(suspects, feature, compare))
-    items_b = items_a if targets is suspects else checkpointed(page_items(targets, feature, compare))
-    return best_target_items(items_a, items_b, k, hot_item_pages)
+    items_a = stored(page_items(suspects, feature, compare))
+    items_b = items_a if targets is suspects else stored(page_items(targets, feature, compare))
+    return best_target_items(items_a, items_b, k, seed_postings)
 
 
-def _side(items: DataFrame, hot: DataFrame, side: str, entry: str) -> DataFrame:
-    """Per page: its length and its hot items as a sorted array (a page's own items, so bounded by it)."""
-    flagged = items.select(F.col("page_id").alias(f"{side}_id"), "item", "cnt").join(hot, "item", "left")
-    return flagged.groupBy(f"{side}_id").agg(
-        F.sum("cnt").alias(f"len_{side}"),
-        F.sort_array(F.collect_list(F.expr(f"CASE WHEN is_hot THEN {entry} END"))).alias(f"hot_{side}"),
-    )
+def _classes(items: DataFrame, side: str, entry: str) -> DataFrame:
+    """`(id, class, len, items)`: pages with the same items and length are one class; items are a page's own, so bounded by it."""
+    pages = items.groupBy(F.col("page_id").alias("id")).agg(F.sum("cnt").alias("len"), F.sort_array(F.collect_list(F.expr(entry))).alias("items"))
+    return pages.withColumn(f"class_{side}", F.sha2(F.to_json(F.struct("items", "len")), 256))
 
 
-def _classes(pages: DataFrame, side: str) -> DataFrame:
-    """The pages that hold hot items, with the class they belong to: same hot items, same length."""
-    held = pages.where(F.size(f"hot_{side}") > 0)
-    key = F.sha2(F.to_json(F.struct(f"hot_{side}", f"len_{side}")), 256)
-    return held.withColumn(f"class_{side}", key)
+def _first(df: DataFrame, by: str, k: int, *order: Column | str) -> DataFrame:
+    """The first `k` rows of every `by`; the limit is applied before the shuffle too."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    return df.withColumn("place", place).where(F.col("place") <= k).drop("place")
 
 
-def best_target_items(items_a: DataFrame, items_b: DataFrame, k: int, hot_item_pages: int = 1000) -> DataFrame:
+def best_target_items(items_a: DataFrame, items_b: DataFrame, k: int, seed_postings: int = 1000, split_rows: int = 10_000) -> DataFrame:
     """`(a_id, b_id, common_count, len_a, len_b, common_ratio_of_min, rank)` for the top `k`, ties by `b_id`.
 
-    Only targets that share an item are listed, never the page itself. The result is exact, with
-    no pair of pages built for an item that many targets hold:
+    Only targets that share an item are listed, never the page itself. The result is exact:
 
-    * items in at most `hot_item_pages` targets give candidate pairs through an inverted index (at
-      most that many per posting); their overlap on hot items is added from the two pages;
-    * for the hot items, pages with the same hot items and length form a class. Classes are
-      compared with classes; of each target class only the `k + 1` smallest ids can reach a top
-      `k`, because every other member has the same hot overlap and a larger id. A representative that
-      also shares a rare item has its full count from the first step, which is the larger one.
+    * pages with the same items and length form a class; of a target class only the `k + 1` smallest ids can reach a top `k`;
+    * the items of a suspect are ordered by how many target classes hold them. A first set of candidates comes from its rare items, up
+      to `seed_postings` postings, and from the `k + 1` first classes of each length in the posting of every item. The place `k + 1`
+      among them is a threshold that its best targets must reach;
+    * a target that shares none of the items before the r-th has at most the counts from the r-th on in common. Only where that
+      over the smaller length reaches the threshold is the posting of the r-th item read. For the last item nothing is left to
+      read: who shares that alone and is not among the first of its length is beaten by those who are.
+
+    Postings of an item in more than `split_rows` classes are dealt to several parts, each with its own copy of the askers.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    hot = items_b.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_item_pages)
-    hot = hot.select("item", F.lit(True).alias("is_hot"))
-    pages_a = _side(items_a, hot, "a", "struct(item, cnt)")
-    pages_b = _side(items_b, hot, "b", "item")
-
-    # Rare items: an inverted index, counted per pair.
-    postings = items_b.join(hot, "item", "left_anti").select("item", F.col("page_id").alias("b_id"))
-    rare = items_a.select("item", "cnt", F.col("page_id").alias("a_id")).join(postings, "item")
-    rare = rare.where(F.col("a_id") != F.col("b_id")).groupBy("a_id", "b_id").agg(F.sum("cnt").alias("rare_count"))
-    rare = rare.join(pages_a, "a_id").join(pages_b, "b_id")
-    on_hot = "aggregate(filter(hot_a, e -> array_contains(hot_b, e.item)), 0L, (n, e) -> n + e.cnt)"
-    rare = rare.withColumn("common_count", F.col("rare_count") + F.expr(on_hot))
-
-    # Hot items: classes of pages instead of pages.
-    member_a, member_b = _classes(pages_a, "a"), _classes(pages_b, "b")
-    class_a = member_a.groupBy("class_a").agg(*[F.any_value(c).alias(c) for c in ("hot_a", "len_a")])
-    class_b = member_b.groupBy("class_b").agg(
-        *[F.any_value(c).alias(c) for c in ("hot_b", "len_b")], F.min("b_id").alias("first_b")
-    )
-    scored = (
-        class_a.select("class_a", "len_a", F.inline("hot_a"))
-        .join(class_b.select("class_b", "len_b", "first_b", F.explode("hot_b").alias("item")), "item")
-        .groupBy("class_a", "class_b", "len_a", "len_b", "first_b")
-        .agg(F.sum("cnt").alias("common_count"))
-        .withColumn("ratio", _ratio(F.col("common_count"), F.col("len_a"), F.col("len_b")))
+    member_a = stored(_classes(items_a, "a", "struct(item, cnt)"))
+    member_b = stored(_classes(items_b, "b", "item"))
+    class_a = member_a.groupBy("class_a").agg(F.any_value("len").alias("len_a"), F.any_value("items").alias("items_a"))
+    class_b = stored(member_b.groupBy("class_b").agg(F.any_value("len").alias("len_b"), F.any_value("items").alias("items_b"), F.min("id").alias("first_b")))
+    postings = stored(class_b.select("class_b", "len_b", "first_b", F.explode("items_b").alias("item")))
+    frequency = postings.groupBy("item").agg(F.count(F.lit(1)).alias("df"))
+
+    # Per suspect class and item: how many postings up to it, and what may still be shared from it on.
+    asked = class_a.select("class_a", "len_a", F.inline("items_a")).join(frequency, "item")
+    rising = Window.partitionBy("class_a").orderBy("df", "item")
+    asked = asked.withColumns(
+        {
+            "upto": F.sum("df").over(rising.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+            "open": F.sum("cnt").over(rising.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
+            "is_last": F.lead("item").over(rising).isNull(),
+        }
     )
+    asked = stored(asked)
+
+    by_length = F.row_number().over(Window.partitionBy("item", "len_b").orderBy("first_b"))
+    heads = postings.withColumn("place", by_length).where(F.col("place") <= k + 1).select("item", "class_b")
+    seeds = asked.where(F.col("upto") <= seed_postings).select("class_a", "item").join(postings.select("item", "class_b"), "item")
+    seeds = seeds.select("class_a", "class_b").unionByName(asked.select("class_a", "item").join(heads, "item").select("class_a", "class_b"))
+    seeds = stored(_scored(seeds.distinct(), class_a, class_b))
+    # With fewer classes than that, anything may be among the best.
+    reached = _first(seeds, "class_a", k + 1, F.desc("ratio"), "first_b").groupBy("class_a").agg(F.count(F.lit(1)).alias("n"), F.min("ratio").alias("least"))
+    threshold = reached.select("class_a", F.when(F.col("n") > k, F.col("least")).otherwise(F.lit(0.0)).alias("least"))
+
+    more = asked.where((F.col("upto") > seed_postings) & ~F.col("is_last")).join(threshold, "class_a", "left")
+    hopeful = "open >= coalesce(least, 0D) * greatest(1, least({0}))"
+    # Whatever the target's length, it is at least 1.
+    more = more.where(hopeful.format("1, len_a")).withColumn("parts", F.ceil(F.col("df") / split_rows).cast("int"))
+    more = more.withColumnRenamed("least", "must").select("class_a", "item", "len_a", "open", "must", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    dealt = postings.join(frequency, "item").select("item", "class_b", "len_b", F.expr(f"CAST(pmod(xxhash64(class_b), CAST(ceil(df / {split_rows}) AS INT)) AS INT)").alias("part"))
+    reach = "open >= coalesce(must, 0D) * greatest(1, least(len_a, len_b))"
+    others = more.join(dealt, ["item", "part"]).where(reach).select("class_a", "class_b").distinct()
+    others = others.join(seeds.select("class_a", "class_b"), ["class_a", "class_b"], "left_anti")
+    scored = seeds.unionByName(_scored(others, class_a, class_b))
+
     # Every class brings its smallest id at least, so the best k + 1 classes by ratio and that id suffice.
-    by_ratio = Window.partitionBy("class_a").orderBy(F.desc("ratio"), "first_b")
-    scored = scored.withColumn("place", F.row_number().over(by_ratio)).where(F.col("place") <= k + 1).drop("place")
-    by_id = Window.partitionBy("class_b").orderBy("b_id")
-    leaders = member_b.select("class_b", "b_id").withColumn("place", F.row_number().over(by_id))
-    leaders = leaders.where(F.col("place") <= k + 1).drop("place")
-    by_both = Window.partitionBy("class_a").orderBy(F.desc("ratio"), "b_id")
-    led = scored.join(leaders, "class_b").withColumn("place", F.row_number().over(by_both))
-    led = led.where(F.col("place") <= k + 1).select("class_a", "b_id", "len_b", "common_count")
-    common = member_a.select("a_id", "class_a", "len_a").join(led, "class_a")
-
-    columns = ["a_id", "b_id", "common_count", "len_a", "len_b"]
-    both = rare.select(columns).unionByName(common.select(columns).where(F.col("a_id") != F.col("b_id")))
-    both = both.groupBy("a_id", "b_id", "len_a", "len_b").agg(F.max("common_count").alias("common_count"))
-    both = both.withColumn("common_ratio_of_min", _ratio(F.col("common_count"), F.col("len_a"), F.col("len_b")))
-    best = Window.partitionBy("a_id").orderBy(F.desc("common_ratio_of_min"), "b_id")
-    ranked = both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select(*columns, "common_ratio_of_min", "rank")
+    scored = _first(scored, "class_a", k + 1, F.desc("ratio"), "first_b")
+    leaders = _first(member_b.select("class_b", F.col("id").alias("b_id")), "class_b", k + 1, "b_id")
+    led = _first(scored.join(leaders, "class_b"), "class_a", k + 1, F.desc("ratio"), "b_id")
+    pairs = member_a.select(F.col("id").alias("a_id"), "class_a").join(led, "class_a").where(F.col("a_id") != F.col("b_id"))
+    best = Window.partitionBy("a_id").orderBy(F.desc("ratio"), "b_id")
+    ranked = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.select("a_id", "b_id", "common_count", "len_a", "len_b", F.col("ratio").alias("common_ratio_of_min"), "rank")
+
+
+def _scored(pairs: DataFrame, class_a: DataFrame, class_b: DataFrame) -> DataFrame:
+    """Candidate pairs of classes with what they have in common."""
+    common = "aggregate(filter(items_a, e -> array_contains(items_b, e.item)), 0L, (n, e) -> n + e.cnt)"
+    rows = pairs.join(class_a, "class_a").join(class_b, "class_b").withColumn("common_count", F.expr(common))
+    ratio = _ratio(F.col("common_count"), F.col("len_a"), F.col("len_b"))
+    return rows.select("class_a", "class_b", "first_b", "len_a", "len_b", "common_count", ratio.alias("ratio"))

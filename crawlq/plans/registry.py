@@ -190,7 +190,7 @@ on_pairs("same_icon", similarity.same_icon)
 @query("best_targets_title")
 def _(spark, sf_dir):
     page = I.pages(spark, sf_dir)
-    return similarity.best_targets(page, page, extracts.title_words, k=3, hot_item_pages=50)
+    return similarity.best_targets(page, page, extracts.title_words, k=3, seed_postings=50)
 
 
 # Forms

@@ -78,8 +78,59 @@ def test_best_targets_match_brute_force(spark, cap, k):
     assert ranked == _brute(bags, k)
 
 
+@pytest.mark.parametrize("seeds, split_rows", [(0, 7), (40, 10_000)])
+def test_every_page_with_its_own_hot_items(spark, seeds, split_rows):
+    """No two pages share a class, and every item stands in many pages."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(14)]
+    bags = {p: rng.sample(words, rng.randint(1, 8)) + rng.choices(words, k=rng.randint(0, 3)) + [f"own{p}"] for p in range(150)}
+    got = similarity.best_target_items(_items(spark, bags), _items(spark, bags), 2, seeds, split_rows).collect()
+    ranked = {}
+    for r in sorted(got, key=lambda r: (r.a_id, r.rank)):
+        ranked.setdefault(r.a_id, []).append(r.b_id)
+    assert ranked == _brute(bags, 2)
+
+
 def test_top_k_is_cut_before_the_shuffle(spark):
     items = _items(spark, {1: ["x"], 2: ["x"]})
     plan = similarity.best_target_items(items, items, 2)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 6
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_one_table_of_items_serves_all_features(spark, page):
+    df = page(
+        "<title>A b a</title><link rel='stylesheet' href='/c/s.css'><script src='j/a.js'></script><div style='a:1;b:2;c:3'></div><img src='/i/a.png'><img src='/i/b.png'>",
+        "<title>b</title><link rel='shortcut icon' href='/f.ico'><img src='/i/z.png'>",
+        "",
+    )
+    names = [f for f in similarity.FEATURES]
+    items = similarity.stored_items(df, *names)
+    pairs = _pairs(spark, (0, 1), (1, 0), (2, 0))
+    jobs = {"title_text": similarity.sim_title_text, "stylesheet": similarity.sim_stylesheet, "script": similarity.sim_script, "img": similarity.sim_img, "div_style": similarity.sim_div_style}
+    for feature, job in jobs.items():
+        shared = similarity.feature_similarity(pairs, items, feature)
+        assert sorted(shared.collect()) == sorted(job(pairs, df).collect())
+        plan = shared._jdf.queryExecution().executedPlan().toString()
+        assert "regexp" not in plan and "Bucketed: true" in plan
+    assert sorted(similarity.icon_similarity(pairs, items).collect()) == sorted(similarity.same_icon(pairs, df).collect())
+    # Lengths are counted where the buckets lie.
+    plan = similarity.feature_items(items, "img").groupBy("page_id").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    with pytest.raises(ValueError):
+        similarity.item_table(df, "other")
+
+
+def test_features_agree_with_page_items(spark, page):
+    df = page("<base href='http://o.example/x/'><title>A b</title><title>b</title><link rel=stylesheet href='../s.css?q'><script src=a.js></script><img src='i/a.png?x/y'><img src=' '>", "<img src='http://h/a.png'>")
+    plain = {"title_text": (extracts.title_words, "full"), "stylesheet": (extracts.stylesheets, "path_no_query"), "script": (extracts.script_srcs, "path_no_query"), "img": (extracts.img_srcs, "no_filename")}
+    items = similarity.item_table(df, *plain)
+    for feature, (job, mode) in plain.items():
+        assert sorted(similarity.feature_items(items, feature).collect()) == sorted(similarity.page_items(df, job, mode).collect())
+
+
+def test_schemes_come_from_the_pages(spark):
+    df = spark.createDataFrame([(0, "http://h/a", "<img src='/i/a.png'>"), (1, "h/a", "<img src='/i/a.png'>")], "page_id bigint, url string, html string")
+    for job in (similarity.sim_img, similarity.same_icon):
+        rows = {(r.a_id, r.b_id): r.status for r in job(_pairs(spark, (0, 1), (1, 1)), df).collect()}
+        assert rows == {(0, 1): "scheme_mismatch", (1, 1): "ok"}
