@@ -115,7 +115,7 @@ PAGE = ""
 DEFAULT = "default_icon"
 
 
-def item_table(pages: DataFrame, *features: str) -> DataFrame:
+def item_table(pages: DataFrame, *features: str, parts: int | None = None) -> DataFrame:
     """`(page_id, feature, item, cnt)`: the comparison keys of several features, from one pass over the pages.
 
     Each page also has a row of the feature `PAGE`, whose item is `1` where its base URL has a scheme and `0` where not, so that pages
@@ -143,6 +143,8 @@ def item_table(pages: DataFrame, *features: str) -> DataFrame:
         keys = " ".join(f"WHEN feature = '{f}' THEN {cuts[modes[f]]}" for f in linked)
         rows = rows.withColumn("item", F.expr(f"CASE {keys} ELSE item END"))
     many = f"CASE WHEN feature IN ({', '.join(f"'{f}'" for f in [*linked, PAGE])}) THEN CAST(1 AS BIGINT) ELSE count(1) END"
+    # Dealt by page alone, the rows need no other exchange to be counted, nor to be written in buckets by page.
+    rows = rows if parts is None else rows.repartition(parts, "page_id")
     return rows.groupBy("page_id", "feature", "item").agg(F.expr(many).alias("cnt"))
 
 
@@ -155,8 +157,7 @@ def stored_items(pages: DataFrame, *features: str, buckets: int | None = None, n
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder = scratch_folder(spark)
     table = name or f"page_items_{folder.rsplit('-', 1)[1]}"
-    dealt = item_table(pages, *features).repartition(n, "page_id")
-    dealt.write.bucketBy(n, "page_id").sortBy("page_id").option("path", folder).saveAsTable(table)
+    item_table(pages, *features, parts=n).write.bucketBy(n, "page_id").sortBy("page_id").option("path", folder).saveAsTable(table)
     return spark.table(table)
 
 

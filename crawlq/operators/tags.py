@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlq.functions import html as H
@@ -14,6 +14,20 @@ def page_tags(pages: DataFrame) -> DataFrame:
     return H.explode_tags(H.with_tags(pages).drop("url"), "tags")
 
 
+def write_tags(pages: DataFrame, path: str) -> None:
+    """Tokenise the pages once and keep `tags` instead of `html`, a row per page.
+
+    Every job on pages takes what `read_tags` gives in their place and cuts no page itself. Pages stay where they are, so nothing is
+    shuffled; a job reads the nested columns of tags that it needs.
+    """
+    H.with_tags(pages).write.parquet(path)
+
+
+def read_tags(spark: SparkSession, path: str) -> DataFrame:
+    """The pages of `write_tags`, with `tags`."""
+    return spark.read.parquet(path)
+
+
 def tag_counts(pages: DataFrame) -> DataFrame:
     """Tokens per kind and tag over all pages, and how many pages have them."""
     # Names as one string each: distinct strings are found by hashing, distinct structs by comparing all.

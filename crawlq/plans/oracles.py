@@ -257,6 +257,24 @@ ARCHIVE = f"""{HEADERS}, bodies AS (
 )"""
 ORACLES["archive_refs"] = _with(ARCHIVE, "SELECT url, part, sha1(body) AS sha1 FROM bodies")
 ORACLES["archive_blobs"] = _with(ARCHIVE, "SELECT DISTINCT sha1(body) AS sha1, body FROM bodies")
+_META = """'{"http_code":' || (200 + page_id % 3) || ',"finish_download":' || (page_id % 4 <> 0) || '}'"""
+ORACLES["archive_meta_refs"] = f"SELECT url, 'meta' AS part, sha1({_META}) AS sha1 FROM pages"
+_AGAIN = "CASE WHEN page_id % 5 = 0 THEN html || '<!-- again -->' ELSE html END"
+RUNS = f"""parts AS (
+  SELECT 0 AS run, url, 'content' AS part, html AS body FROM pages WHERE page_id % 2 = 0
+  UNION ALL SELECT 0, url, 'meta', {_META} FROM pages WHERE page_id % 2 = 0
+  UNION ALL SELECT 1, url, 'content', {_AGAIN} FROM pages
+  UNION ALL SELECT 1, url, 'meta', {_META} FROM pages
+), bodies AS (SELECT body, min(run) AS run FROM parts GROUP BY body)"""
+ORACLES["archive_runs"] = _with(
+    RUNS,
+    """SELECT CAST(run AS BIGINT) AS run, n_refs, n_blobs, n_chars FROM (SELECT run, count(*) AS n_refs FROM parts GROUP BY run)
+JOIN (SELECT run, count(*) AS n_blobs, CAST(sum(length(body)) AS BIGINT) AS n_chars FROM bodies GROUP BY run) USING (run)""",
+)
+ORACLES["archive_read"] = _with(
+    RUNS, "SELECT url, part, md5(body) AS body_md5 FROM parts QUALIFY row_number() OVER (PARTITION BY url, part ORDER BY run DESC, sha1(body) DESC) = 1"
+)
+ORACLES["read_page_files"] = "SELECT page_id, md5(html || chr(10)) AS html_md5 FROM pages"
 ORACLES["daily_files"] = """SELECT CAST(d AS DATE) AS day, 'https://files.example.org/daily/Daily_' || strftime(d, '%Y_%m_%d') || '.zip' AS file_name
 FROM (SELECT unnest(generate_series(date_trunc('day', min(o_orderdate)), date_trunc('day', max(o_orderdate)), INTERVAL 1 DAY)) AS d FROM orders)"""
 SPINE = """spine AS (SELECT CAST(unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '1995-01-31', INTERVAL 1 DAY)) AS DATE) AS day),
@@ -271,10 +289,12 @@ ORACLES["page_tags"] = _with(TAGS, "SELECT page_id, pos, kind, tag, raw FROM tag
 ORACLES["tag_counts"] = _with(
     TAGS, "SELECT kind, tag, count(*) AS n, count(DISTINCT page_id) AS n_pages FROM tags GROUP BY 1, 2"
 )
+ORACLES["stored_tag_counts"] = ORACLES["tag_counts"]
 ORACLES["hidden_ranges"] = _with(HIDDEN, "SELECT page_id, lo, hi FROM ranges")
 ORACLES["visible_tags"] = _with(
     HIDDEN, "SELECT page_id, pos, kind, tag, raw FROM visible WHERE kind = 'open' AND tag IN ('a', 'input', 'img')"
 )
+ORACLES["stored_visible_tags"] = ORACLES["visible_tags"]
 _HREF = r"""<\s*[^>]+\s+href\s*=\s*['"]([^'"]*)['"]"""
 ORACLES["href_items"] = _with(
     f"{PX}, {LINE}",
@@ -287,6 +307,11 @@ TITLES = f"""{PX}, titled AS (
   FROM (SELECT page_id, regexp_extract_all(array_to_string(x, ' '), '[0-9a-zA-Z]+') AS w FROM titled)
 )"""
 ORACLES["titles"] = _with(TITLES, "SELECT page_id, unnest(range(len(x))) AS pos, unnest(x) AS item FROM titled")
+ORACLES["titles_case_sensitive"] = _with(
+    PX,
+    f"""SELECT page_id, unnest(range(len(x))) AS pos, unnest(x) AS item FROM (
+  SELECT page_id, list_transform(regexp_extract_all(html, '(?i)<title[^>]*>([^<]+)</title\\s*>', 1), lambda t: {_unescape('t')}) AS x FROM px)""",
+)
 ORACLES["title_words"] = _with(TITLES, "SELECT page_id, pos, item FROM title_w")
 _REL = f"replace(lower({_attr('rel')}), ' ', '')"
 ICONS = _items(f"tag = 'link' AND {_REL} = 'shortcuticon'", "href")
@@ -334,6 +359,10 @@ ANCHORS = """anchors AS (
   WHERE EXISTS (SELECT 1 FROM tags i WHERE i.tag = 'img' AND i.page_id = a.page_id AND i.pos > a.pos AND i.pos < coalesce(a.nxt, 1000000000))
 )"""
 ORACLES["a_hrefs_with_img"] = _with(f"{HIDDEN}, {ANCHORS}", _items("true", "href", "around"))
+ORACLES["all_img_srcs"] = _with(TAGS, IMAGES)
+ORACLES["img_file_names"] = _with(
+    TAGS, f"SELECT DISTINCT page_id, split_part(regexp_extract(item, '([^/]*)$', 1), '?', 1) AS item, CAST(1 AS BIGINT) AS cnt FROM ({IMAGES})"
+)
 ORACLES["img_srcs"] = _with(HIDDEN, _items("tag = 'img' AND kind = 'open'", "src", "visible"))
 ORACLES["form_actions"] = _with(TAGS, _items("tag = 'form' AND kind = 'open'", "action"))
 ORACLES["form_flags"] = _with(
@@ -368,6 +397,9 @@ ORACLES["meta_refresh"] = _with(f"{TAGS}, {REFRESH}", "SELECT page_id, pos, item
 BASES = f"""bases AS (
   SELECT page_id, url, coalesce((SELECT arg_min({_attr('href')}, pos) FROM tags t WHERE t.page_id = px.page_id AND tag = 'base'), url) AS base_url FROM px
 )"""
+ORACLES["base_tag_url"] = _with(
+    TAGS, f"SELECT page_id, (SELECT arg_min({_attr('href')}, pos) FROM tags t WHERE t.page_id = px.page_id AND tag = 'base') AS base_url FROM px"
+)
 ORACLES["base_url"] = _with(f"{TAGS}, {BASES}", "SELECT page_id, base_url FROM bases")
 ORACLES["charset_counts"] = _with(
     PX,
@@ -590,6 +622,7 @@ def _scores(source: str) -> str:
 
 
 ORACLES["dga_scores"] = _with(f"{HOSTS}, {_scores('hosts')}", "SELECT * FROM scored")
+ORACLES["read_host_lines"] = ORACLES["dga_scores"]
 ORACLES["dga_site_summary"] = _with(
     f"{HOSTS}, {_scores('hosts')}",
     "SELECT regexp_extract(host, '([^.]*)$', 1) AS suffix, count(*) AS n_hosts, count(*) FILTER (WHERE ratio_total < 0.3) AS n_suspect, round(avg(ratio_total), 9) AS avg_ratio_total FROM scored GROUP BY 1",

@@ -82,6 +82,53 @@ query("archive_refs")(lambda spark, sf_dir: archive.archive_refs(_archived(spark
 query("archive_blobs")(lambda spark, sf_dir: archive.archive_blobs(_archived(spark, sf_dir)))
 
 
+def _with_meta(spark, sf_dir):
+    """Pages as fetches with a small state of their own."""
+    meta = F.expr("named_struct('http_code', 200 + page_id % 3, 'finish_download', page_id % 4 <> 0)").alias("meta")
+    return I.table(spark, sf_dir, "pages").select("page_id", "url", "html", meta)
+
+
+query("archive_meta_refs")(lambda spark, sf_dir: archive.archive_refs(_with_meta(spark, sf_dir)).where("part = 'meta'"))
+
+
+def _grown_archive(spark, sf_dir):
+    """Two runs: even pages, then all pages, of which every fifth has changed."""
+    folder = scratch_folder(spark)
+    pages = _with_meta(spark, sf_dir)
+    archive.write_archive(pages.where("page_id % 2 = 0"), folder)
+    archive.write_archive(pages.withColumn("html", F.expr("CASE WHEN page_id % 5 = 0 THEN concat(html, '<!-- again -->') ELSE html END")), folder)
+    return folder
+
+
+@query("archive_runs")
+def _(spark, sf_dir):
+    refs, blobs = archive.archive_runs(spark, _grown_archive(spark, sf_dir))
+    counted = refs.groupBy("run").agg(F.count(F.lit(1)).alias("n_refs"))
+    return counted.join(blobs.groupBy("run").agg(F.count(F.lit(1)).alias("n_blobs"), F.sum(F.length("body")).alias("n_chars")), "run")
+
+
+@query("archive_read")
+def _(spark, sf_dir):
+    held = archive.read_archive(spark, _grown_archive(spark, sf_dir))
+    return held.select("url", "part", F.md5("body").alias("body_md5"))
+
+
+@query("read_page_files")
+def _(spark, sf_dir):
+    folder = scratch_folder(spark)
+    pages = I.table(spark, sf_dir, "pages").select("page_id", "html")
+    pages.write.partitionBy("page_id").text(folder)  # a file per page, which ends with a line end
+    held = readers.read_pages(spark, folder)
+    return held.select(F.regexp_extract("url", "page_id=([0-9]+)", 1).cast("bigint").alias("page_id"), F.md5("html").alias("html_md5"))
+
+
+@query("read_host_lines")
+def _(spark, sf_dir):
+    folder = scratch_folder(spark)
+    _hosts(spark, sf_dir).select(F.concat(F.lit("  "), "host", F.lit(" ")).alias("value")).write.text(folder)
+    return domains.dga_scores(readers.read_hosts(spark, folder))
+
+
 @query("daily_files")
 def _(spark, sf_dir):
     day = F.to_date("o_orderdate")
@@ -137,6 +184,20 @@ query("resolve_links")(lambda spark, sf_dir: urls.resolve_links(I.derived(spark,
 on_pages("page_tags", tags.page_tags)
 on_pages("tag_counts", tags.tag_counts)
 on_pages("hidden_ranges", tags.hidden_ranges)
+
+
+def on_stored_tags(name: str, job: Callable[[DataFrame], DataFrame]) -> None:
+    """A job on pages that are tokenised, written and read back first."""
+
+    @query(name)
+    def _(spark, sf_dir):
+        folder = f"{scratch_folder(spark)}/tags"
+        tags.write_tags(I.pages(spark, sf_dir), folder)
+        return job(tags.read_tags(spark, folder))
+
+
+on_stored_tags("stored_tag_counts", tags.tag_counts)
+on_stored_tags("stored_visible_tags", lambda p: tags.visible_tags(p, "a", "input", "img"))
 on_pages("visible_tags", lambda p: tags.visible_tags(p, "a", "input", "img"))
 on_pages("href_items", extracts.href_items)
 on_pages("titles", extracts.titles)
@@ -151,6 +212,10 @@ on_pages("word_counts", lambda p: extracts.word_counts(extracts.page_words(p)))
 on_pages("a_hrefs", extracts.a_hrefs)
 on_pages("a_hrefs_with_img", extracts.a_hrefs_with_img)
 on_pages("img_srcs", lambda p: extracts.img_srcs(p, is_visible=True))
+on_pages("all_img_srcs", extracts.img_srcs)
+on_pages("titles_case_sensitive", lambda p: extracts.titles(p, case_sensitive=True))
+on_pages("base_tag_url", lambda p: extracts.base_url(p, base_tag_only=True))
+on_pages("img_file_names", lambda p: similarity.page_items(p, extracts.img_srcs, similarity.FILENAME))
 on_pages("form_actions", extracts.form_actions)
 on_pages("form_flags", extracts.form_flags)
 on_pages("visible_inputs", lambda p: extracts.visible_inputs(p, exclude_types=("hidden", "submit")))

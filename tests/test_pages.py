@@ -144,3 +144,13 @@ def test_flags(page):
     row = extracts.page_flags(page("<HTML lang=x>Sub\nscribe <b>Login</b>", "<html5>"), "login").orderBy("page_id").collect()
     assert (row[0].has_html, row[0].has_search, row[0].has_subscri, row[0].has_keyword) == (True, False, True, True)
     assert not row[1].has_html
+
+
+def test_stored_tags_are_not_cut_again(spark, page, tmp_path):
+    tags.write_tags(page("<title>A</title><a href='/x'>b</a>", None), f"{tmp_path}/tags")
+    held = tags.read_tags(spark, f"{tmp_path}/tags")
+    counts = tags.tag_counts(held)
+    assert "regexp" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert sum(r.n for r in counts.collect()) == 6
+    assert [r.item for r in extracts.titles(held).collect()] == ["a"] and [r.item for r in extracts.a_hrefs(held).collect()] == ["/x"]
+    assert held.count() == 2

@@ -85,6 +85,57 @@ def test_split_groups_match_brute_force(spark, split_rows):
     assert sorted(got) == sorted(want)
 
 
-def test_reference_band():
-    lo, hi = selection.reference_band()
-    assert lo == 2000 / 0.88 + 100 and hi == 2 * lo
+@pytest.mark.parametrize("in_row", [1, 2, 4, 10])
+@pytest.mark.parametrize("max_k", [None, 2])
+def test_every_way_to_build_sets_agrees(spark, in_row, max_k):
+    """In the row, as halves and size by size, negative prices included."""
+    prices = [7, -3, 9, 4, 4.5, 12, 1, -2.25]
+    got = _combos(spark, prices, ["i4"], ["i6"], lo=9, hi=17, max_k=max_k, in_row=in_row, split_rows=3)
+    free = [p for i, p in enumerate(prices) if i not in (4, 6)]
+    want = [
+        (sorted(map(float, c)), round(4.5 + sum(c), 2))
+        for size in range(len(free) + 1 if max_k is None else max_k + 1)
+        for c in itertools.combinations(free, size)
+        if 9 < 4.5 + sum(c) < 17
+    ]
+    assert sorted(got) == sorted(want)
+
+
+def test_middling_group_as_halves(spark):
+    rng = random.Random(1)
+    prices = [rng.randint(1, 50) for _ in range(14)]
+    got = _combos(spark, prices, [], [], lo=200.5, hi=203)
+    want = [(sorted(map(float, c)), float(sum(c))) for n in range(15) for c in itertools.combinations(prices, n) if 200.5 < sum(c) < 203]
+    assert sorted(got) == sorted(want) and want
+
+
+def test_texts_are_narrowed_and_stay_whole(spark):
+    """Long common beginnings, texts that begin each other, copies, empty texts and none-ASCII ones; only short keys are counted."""
+    rng = random.Random(2)
+    base = "common beginning " * 300
+    texts = [base + rng.choice(["", "a", "b", "bé", "b\U0001f600", "b\uffee"]) + "".join(rng.choice("abé ") for _ in range(rng.randint(0, 6))) for _ in range(900)]
+    texts += [base[:5000]] * 400 + [""] * 50 + ["z" * 5000] * 200
+    df = spark.createDataFrame([(i % 3, t) for i, t in enumerate(texts)] + [(None, "x"), (7, None)], "g int, v string").repartition(6)
+    for k in (1, 40, 200, 333, 516):
+        want = {g: sorted((t for i, t in enumerate(texts) if i % 3 == g), key=lambda t: t.encode())[k - 1] for g in range(3)}
+        got = {r.g: r.kth for r in selection.kth_smallest(df, "v", k, by="g", sorted_at_once=20).collect()}
+        assert got == (want | {None: "x"} if k == 1 else want)
+
+
+@pytest.mark.parametrize("kind", ["tinyint", "bigint", "float", "double", "decimal(38,10)", "date", "timestamp", "timestamp_ntz", "boolean"])
+def test_numbers_are_narrowed(spark, kind):
+    rng = random.Random(4)
+    value = "CAST(x % 100 AS {0})" if kind == "tinyint" else "CAST(x * 1000003 % 999983 AS {0})"
+    value = {"date": "date_add(DATE'1900-01-01', CAST(x % 90000 AS INT))", "timestamp": "timestamp_micros(x * 7919)", "timestamp_ntz": "CAST(timestamp_micros(x * 7919) AS timestamp_ntz)", "boolean": "x % 2 = 0"}.get(kind, value).format(kind)
+    df = spark.createDataFrame([(rng.randint(0, 3000),) for _ in range(3000)] + [(2999,)] * 1500, "x bigint").selectExpr(f"{value} AS v")
+    want = sorted(r.v for r in df.collect())
+    for k in (1, 1500, 4400):
+        assert selection.kth_smallest(df, "v", k, sorted_at_once=15).first().kth == want[k - 1]
+
+
+def test_ends_of_the_number_line(spark):
+    values = [1.7e308, -1.7e308, 0.0, 5e-324, float("inf"), float("nan")] * 30
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [str(selection.kth_smallest(df, "v", k, sorted_at_once=5).first().kth) for k in (1, 31, 61, 91, 121, 151)] == ["-1.7e+308", "0.0", "5e-324", "1.7e+308", "inf", "nan"]
+    finite = df.where("v < double('inf')")
+    assert [selection.kth_smallest(finite, "v", k, sorted_at_once=5).first().kth for k in (1, 31, 61, 91)] == [-1.7e308, 0.0, 5e-324, 1.7e308]

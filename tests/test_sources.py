@@ -1,7 +1,7 @@
 import pytest
 
 from crawlq.operators import domains
-from crawlq.sources import archive, daily, readers
+from crawlq.sources import archive, daily, files, readers
 
 
 def test_html_files(spark, tmp_path):
@@ -35,7 +35,42 @@ def test_archive_round_trip(spark, tmp_path):
     back = {(r.url, r.part): r.body for r in archive.read_archive(spark, str(tmp_path)).collect()}
     assert back[("a", "content")] == back[("b", "content")] == "same" and back[("c", "content")] == ""
     assert back[("a", "header")] == back[("b", "header")] == '{"a":"2","b":"1"}'
-    assert spark.read.parquet(f"{tmp_path}/blobs").count() == 3
+    assert archive.archive_runs(spark, str(tmp_path))[1].count() == 3
+
+
+def test_archive_grows_by_runs(spark, tmp_path):
+    schema = "url string, html string, meta struct<code: int>"
+    first = spark.createDataFrame([("a", "same", (200,)), ("b", "same", (404,)), ("c", "old", (200,))], schema)
+    second = spark.createDataFrame([("c", "new", (200,)), ("d", "same", None)], schema)
+    assert archive.read_archive(spark, str(tmp_path)).collect() == []
+    assert [archive.write_archive(f, str(tmp_path)) for f in (first, second, second)] == [0, 1, 2]
+    refs, blobs = archive.archive_runs(spark, str(tmp_path))
+    written = sorted((r.run, r.body) for r in blobs.collect())
+    assert written == [(0, "old"), (0, "same"), (0, '{"code":200}'), (0, '{"code":404}'), (1, "new")]  # no body twice
+    assert refs.where("run = 0").count() == 6 and refs.where("run = 2").count() == 3
+    want = {("a", "content"): "same", ("b", "content"): "same", ("c", "content"): "new", ("d", "content"): "same"}
+    want |= {("a", "meta"): '{"code":200}', ("b", "meta"): '{"code":404}', ("c", "meta"): '{"code":200}'}
+    assert {(r.url, r.part): r.body for r in archive.read_archive(spark, str(tmp_path)).collect()} == want
+
+
+def test_a_broken_archive_run_does_not_count(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([("a", "one")], "url string, html string")
+    archive.write_archive(df, str(tmp_path))
+    with monkeypatch.context() as m:
+        m.setattr(archive.files, "publish", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            archive.write_archive(spark.createDataFrame([("a", "two")], "url string, html string"), str(tmp_path))
+    assert [r.body for r in archive.read_archive(spark, str(tmp_path)).collect()] == ["one"]
+    assert archive.write_archive(spark.createDataFrame([("a", "three")], "url string, html string"), str(tmp_path)) == 1
+    assert [r.body for r in archive.read_archive(spark, str(tmp_path)).collect()] == ["three"]
+
+
+def test_publishing(spark, tmp_path):
+    files.publish(spark, f"{tmp_path}/m/x.json", "whole")
+    with pytest.raises(FileExistsError):
+        files.publish(spark, f"{tmp_path}/m/x.json", "other")
+    assert files.names(spark, f"{tmp_path}/m") == [".x.json.crc", "x.json"] or files.names(spark, f"{tmp_path}/m") == ["x.json"]
+    assert (tmp_path / "m" / "x.json").read_text() == "whole" and files.names(spark, f"{tmp_path}/none") == []
 
 
 def test_daily(spark):

@@ -21,7 +21,41 @@ def test_state_stream(spark, tmp_path):
     changes = inputs.derived(spark, "/root/testdata/sf0.001", inputs.URL_CHANGES)
     changes.repartition(4).write.parquet(f"{tmp_path}/in")
     source = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    jobs.fetch_meta_stream(source, f"{tmp_path}/out", f"{tmp_path}/state", available_now=True).awaitTermination()
+    jobs.fetch_meta_stream(source, f"{tmp_path}/out", f"{tmp_path}/state", available_now=True, fold=3).awaitTermination()
     stream = jobs.read_fetch_meta(spark, f"{tmp_path}/out")
-    assert len(list((tmp_path / "out").glob("batch=*"))) == 4
+    assert jobs._runs(spark, f"{tmp_path}/out") == [(0, 2), (3, 3)]
     assert sorted(stream.collect()) == sorted(fetches.fetch_meta(changes).select(stream.columns).collect())
+
+
+def _batch(spark, i, urls):
+    return spark.createDataFrame([(u, i) for u in urls], "url string, http_code int")
+
+
+def test_many_small_batches_leave_few_runs(spark, tmp_path):
+    """40 batches folded by 3: every run of a size is whole, the newest row of every URL is read, files stay few."""
+    out, newest = str(tmp_path / "out"), {}
+    for i in range(40):
+        urls = ["always", f"u{i % 7}", f"once{i}"]
+        newest |= dict.fromkeys(urls, i)
+        jobs.store_changes(_batch(spark, i, urls), i, out, fold=3)
+    assert jobs._runs(spark, out) == [(0, 26), (27, 35), (36, 38), (39, 39)]
+    assert len(list((tmp_path / "out").rglob("part-*.parquet"))) <= 8
+    state = jobs.read_fetch_meta(spark, out)
+    assert state.columns == ["url", "http_code"] and {r.url: r.http_code for r in state.collect()} == newest
+
+
+def test_batches_and_merges_that_come_again(spark, tmp_path, monkeypatch):
+    out = str(tmp_path / "out")
+    for i in range(2):
+        jobs.store_changes(_batch(spark, i, ["a", f"u{i}"]), i, out, fold=3)
+    jobs.store_changes(_batch(spark, 1, ["a", "u1"]), 1, out, fold=3)  # again, before a merge
+    with monkeypatch.context() as m:  # lost after the merge, before the clearing
+        m.setattr(jobs.files, "remove", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        try:
+            jobs.store_changes(_batch(spark, 2, ["a", "u2"]), 2, out, fold=3)
+        except OSError:
+            pass
+    assert jobs._runs(spark, out) == [(0, 2)]
+    jobs.store_changes(_batch(spark, 2, ["a", "u2"]), 2, out, fold=3)  # again, after the merge
+    jobs.store_changes(_batch(spark, 3, ["a"]), 3, out, fold=3)
+    assert {r.url: r.http_code for r in jobs.read_fetch_meta(spark, out).collect()} == {"a": 3, "u0": 0, "u1": 1, "u2": 2}
