@@ -3,8 +3,8 @@
 Only the histogram of piece lengths matters for a plan, and it has at most `capacity` rows however many pieces
 there are. Over it the configuration linear program is solved by multiplicative weights: a configuration is a
 set of lengths that fits a sequence, the price of a length falls as it gets covered, and a knapsack dynamic program finds
-the most valuable configuration. The whole fractional solution is rounded, and the few pieces left over are
-packed best-fit, still as a histogram.
+the most valuable configuration. Only full sequences are taken from the solution, which is rounded, so what it places wastes nothing; it is solved again for
+what is left as long as that costs no sequence. The pieces left over are packed best-fit, still as a histogram, and the plan is never worse than best-fit alone.
 
 The plan gives every length a list of ranges of ranks. Pieces are ranked within their length by two
 levels of counts, so that a length with a third of all pieces is spread over buckets, and each piece finds its place
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +27,13 @@ from crawlq.llm.tokens import VOCABULARY, encoder
 
 CAPACITY = 2048
 END = 0
-#: The fractional solution is solved to this gap over its lower bound, in rounds of FIRST_STEP to LEAST_STEP of the demand.
-GAP = 0.01
-FIRST_STEP = 0.25
-LEAST_STEP = 0.01
+#: The program covers lengths in rounds of a step of the demand up to a goal, with smaller ones where those cost a sequence, and is
+#: solved again for what is left, at most PARTS times.
+ROUNDS = ((0.1, 0.3), (0.05, 0.2))
+PARTS = 4
 RATE = 8.0
+#: Lengths that may be used up before a knapsack table is made anew.
+RENEW = 128
 PER_BUCKET = 200_000
 
 
@@ -79,94 +82,66 @@ def knapsack_table(sizes: np.ndarray, values: np.ndarray, capacity: int) -> np.n
     return best
 
 
-def knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> np.ndarray:
-    """How often to take each size for the most value within `capacity`; one step per unit of capacity."""
-    best = np.zeros(capacity + 1)
-    last = np.full(capacity + 1, -1, dtype=np.int64)
-    order = np.argsort(sizes)
-    sizes_up, values_up = sizes[order], values[order]
-    fits = np.searchsorted(sizes_up, np.arange(capacity + 1), side="right")
-    for room in range(1, capacity + 1):
-        n = fits[room]
-        best[room] = best[room - 1]
-        if n:
-            value = best[room - sizes_up[:n]] + values_up[:n]
-            i = int(value.argmax())
-            if value[i] > best[room]:
-                best[room], last[room] = value[i], i
-    counts, room = np.zeros(len(sizes), dtype=np.int64), capacity
-    while room > 0:
-        if last[room] < 0:
-            room -= 1
-        else:
-            counts[order[last[room]]] += 1
-            room -= int(sizes_up[last[room]])
-    return counts
-
-
-def fractional(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP) -> tuple[dict[tuple, float], float]:
-    """The configuration program by multiplicative weights: configuration -> how many sequences, not whole numbers, and the gap left.
-
-    A round prices all lengths by what is covered so far and solves one knapsack table. From it every length that is
-    behind takes the best configurations that hold it, of equally good ones those least covered, and none is covered further than the
-    round goes. The prices over the best value bound the program from below; rounds go on, with half the step where
-    one gains nothing, until the sequences are within `gap` of that bound or the step is below LEAST_STEP.
+def fractional(sizes: np.ndarray, demand: np.ndarray, capacity: int, step: float = ROUNDS[0][0], goal: float = ROUNDS[0][1]) -> tuple[list[dict[tuple, float]], float]:
+    """Full configurations that cover every length to a share, after each round up to `goal`, and a lower bound of all sequences that `demand` needs.
+
+    Multiplicative weights over the configuration program: a round prices a length by its size, times a weight that falls with
+    what is covered of it, and solves the knapsack by dynamic programming. From its table every length that is behind takes the most valuable configurations
+    that hold it, of equally good ones those whose lengths are least covered. A length may run ahead of the round by half a step;
+    the table is made anew when RENEW lengths have. A configuration that leaves room is worth less than its tokens, and is not taken: what
+    no full one holds is left over. The prices over the best value bound the program from below.
     """
     covered = np.zeros(len(sizes))
     amounts: Counter = Counter()
-    step, bound, reached = FIRST_STEP, float((demand * sizes).sum() / capacity), np.inf
-    while step >= LEAST_STEP:
-        target = covered.min() + step
-        # Equal value per token prefers nothing; lengths that are behind are worth more.
+    solutions = []
+    bound = float((demand * sizes).sum() / capacity)
+    for target in np.arange(1, round(goal / step) + 1) * step:
+        limit = min(1.0, target + step / 2)
         values = sizes * np.exp(-RATE * (covered - covered.min()))
-        best = knapsack_table(sizes, values, capacity)
-        bound = max(bound, float((demand * values).sum() / best[capacity]))
+        bound = max(bound, float((demand * values).sum() / knapsack_table(sizes, values, capacity)[capacity]))
+        closed = RENEW
         for i in np.argsort(-sizes, kind="stable").tolist():
             while covered[i] < target - 1e-9:
+                if closed >= RENEW:
+                    open_ = covered < limit - 1e-9
+                    best, closed = knapsack_table(sizes[open_], values[open_], capacity), 0
                 counts: Counter = Counter({i: 1})
                 room = capacity - int(sizes[i])
                 while room:
-                    n = int(np.searchsorted(sizes, room, side="right"))
-                    open_ = np.flatnonzero(covered[:n] < target - 1e-9)
-                    if not len(open_):
+                    fits = np.flatnonzero(covered[: np.searchsorted(sizes, room, side="right")] < limit - 1e-9)
+                    if not len(fits):
                         break
-                    worth = best[room - sizes[open_]] + values[open_]
-                    good = open_[worth >= worth.max() * (1 - 1e-3)]
+                    worth = best[room - sizes[fits]] + values[fits]
+                    good = fits[worth >= worth.max() * (1 - 1e-3)]
                     k = int(good[covered[good].argmin()])
                     counts[k] += 1
                     room -= int(sizes[k])
-                amount = min(float((target - covered[k]) * demand[k] / n) for k, n in counts.items())
+                amount = min(float(((target if k == i else limit) - covered[k]) * demand[k] / n) for k, n in counts.items())
+                if room or amount <= 0:
+                    break
                 amounts[tuple(sorted(counts.items()))] += amount
                 for k, n in counts.items():
                     covered[k] += n * amount / demand[k]
-        left = sum(amounts.values()) / covered.min() / bound - 1
-        if left <= gap:
-            reached = left
-            break
-        step, reached = (step if left < reached - gap / 10 else step / 2), min(reached, left)
-    scale = 1 / covered.min()
-    return {k: v * scale for k, v in amounts.items()}, left
+                    closed += covered[k] >= limit - 1e-9
+        solutions.append(dict(amounts))
+    return solutions, bound
 
 
 def rounded(config_amounts: dict[tuple, float], demand: np.ndarray) -> tuple[list[tuple[tuple, int]], np.ndarray]:
-    """The whole solution in whole sequences, and the pieces it leaves.
+    """The solution in whole sequences, each configuration only as long as it can be filled, and the pieces that are left.
 
-    Fractions of a sequence are carried on to the next configuration; where pieces have run out a sequence keeps those that are left.
+    Fractions of a sequence are carried on to the next configuration.
     """
     left, runs, carried = demand.copy(), [], 0.0
     for config, amount in sorted(config_amounts.items(), key=lambda x: (-x[1], x[0])):
         carried += amount
         many = int(carried + 1e-9)
         carried -= many
-        while many:
-            held = tuple((i, min(n, int(left[i]))) for i, n in config if left[i])
-            if not held:
-                break
-            use = min(many, min(int(left[i]) // n for i, n in held))
-            runs.append((held, use))
-            for i, n in held:
-                left[i] -= n * use
-            many -= use
+        many = min(many, *(int(left[i]) // n for i, n in config))
+        if many:
+            runs.append((config, many))
+            for i, n in config:
+                left[i] -= n * many
     return runs, left
 
 
@@ -199,22 +174,70 @@ def best_fit(sizes: np.ndarray, left: np.ndarray, capacity: int, begun: list[tup
     return [(tuple(sorted(Counter(shape).items())), many) for runs in room.values() for shape, many in runs]
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
-    """Runs of equal sequences that hold every piece of the histogram: ({length: how many}, how many sequences)."""
+class Plan(NamedTuple):
+    """Runs of equal sequences, the fewest sequences there can be, and the share of the tokens below the capacity that the program placed."""
+
+    runs: list[tuple[dict[int, int], int]]
+    bound: int
+    placed: float
+
+    @property
+    def sequences(self) -> int:
+        return sum(many for _, many in self.runs)
+
+
+def solved(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
+    """A packing of every piece of the histogram that never takes more sequences than best-fit alone.
+
+    The program is solved for a part of what is left, rounded, and the rest packed best-fit; then again for a part of that rest. Of a part as many rounds
+    count as cost no sequence; where none does, it ends.
+    """
     if not histogram:
-        return []
+        return Plan([], 0, 0.0)
     if max(histogram) > capacity or min(histogram) < 1:
         raise ValueError("a length is outside 1 to the capacity")
     sizes = np.array(sorted(histogram), dtype=np.int64)
-    demand = np.array([histogram[int(s)] for s in sizes], dtype=np.int64)
-    left, begun = demand.copy(), []
-    inner = np.flatnonzero(sizes < capacity)
-    if len(inner):
-        amounts, _ = fractional(sizes[inner], demand[inner], capacity)
-        begun, left[inner] = rounded(amounts, demand[inner])
-    # Lengths below the capacity come first in `sizes`, so the numbers in `begun` hold here too.
-    runs = best_fit(sizes, left, capacity, begun)
-    return [({int(sizes[i]): n for i, n in config}, many) for config, many in runs]
+    left = np.array([histogram[int(s)] for s in sizes], dtype=np.int64)
+    # Lengths below the capacity come first in `sizes`, so numbers of configurations hold in both.
+    inner = len(sizes) - int(sizes[-1] == capacity)
+    whole = int((sizes[:inner] * left[:inner]).sum())
+    begun: list[tuple[tuple, int]] = []
+    best, bound = best_fit(sizes, left, capacity), -(-int((sizes * left).sum()) // capacity)
+    fewest = sum(many for _, many in best)
+    for _ in range(PARTS):
+        some = np.flatnonzero(left[:inner])
+        found = None
+        for step, goal in ROUNDS if len(some) else ():
+            solutions, least = fractional(sizes[some], left[some], capacity, step, goal)
+            if not begun:
+                bound = max(bound, int(np.ceil(least - 1e-6)) + int(left[inner:].sum()))
+            found = _accepted(sizes, left, some, solutions, begun, fewest, capacity)
+            if found:
+                break
+        if not found:
+            break
+        begun, left, best = found
+        fewest = sum(many for _, many in best)
+    placed = 1 - int((sizes[:inner] * left[:inner]).sum()) / whole if whole else 0.0
+    return Plan([({int(sizes[i]): n for i, n in config}, many) for config, many in best], bound, placed)
+
+
+def _accepted(sizes: np.ndarray, left: np.ndarray, some: np.ndarray, solutions: list, begun: list, fewest: int, capacity: int) -> tuple | None:
+    """The longest of the solutions that takes no more than `fewest` sequences: all it placed so far, what is left, and the whole packing."""
+    for amounts in reversed(solutions):
+        runs, rest = rounded(amounts, left[some])
+        after = left.copy()
+        after[some] = rest
+        tried = [*begun, *[(tuple((int(some[i]), n) for i, n in config), many) for config, many in runs]]
+        filled = best_fit(sizes, after, capacity, tried)
+        if runs and sum(many for _, many in filled) <= fewest:
+            return tried, after, filled
+    return None
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
+    """Runs of equal sequences that hold every piece of the histogram: ({length: how many}, how many sequences)."""
+    return solved(histogram, capacity).runs
 
 
 def places(runs: list[tuple[dict[int, int], int]]) -> dict[int, tuple[np.ndarray, ...]]:
@@ -283,13 +306,14 @@ def packed_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: the pieces of all documents in sequences.
 
     The ids are reduced to their checksum before anything is shuffled; join `token_pieces` by doc_id and piece for the ids.
+    A null or empty text is one piece, the end id; repeated rows are packed as often as they come; no documents, no rows.
     """
     pieces = token_pieces(docs, capacity, vocabulary, **columns)
     return packed(stored(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")), capacity)
 
 
 def sequences(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, **columns: str) -> DataFrame:
-    """sequence_id, doc_ids, ids: the filled sequences themselves, packed like the pieces."""
+    """sequence_id, doc_ids, ids: the filled sequences themselves, packed like the pieces, with null and empty texts as end ids and repeated rows each for itself."""
     pieces = stored(token_pieces(docs, capacity, vocabulary, **columns).withColumn("ids_crc32", F.crc32("ids")))
     placed = packed(pieces.drop("ids"), capacity).dropDuplicates(["sequence_id", "offset"])
     ids = pieces.dropDuplicates(["doc_id", "piece", "ids_crc32"]).select("doc_id", "piece", "ids_crc32", "ids")

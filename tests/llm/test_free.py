@@ -120,28 +120,33 @@ def test_plans_hold_every_length(histogram):
     assert n <= 1.23 * -(-sum(s * k for s, k in histogram.items()) // 64) + sum(k for s, k in histogram.items() if s > 32) + 2
 
 
-@pytest.mark.parametrize("times", [1, 100])
-def test_the_program_places_nearly_all(monkeypatch, times):
-    """Best-fit gets only what rounding leaves, also where nearly every length occurs."""
+@pytest.mark.parametrize("times, longest", [(1, 2048), (1, 900), (10, 900), (100, 900)])
+def test_plans_are_never_worse_than_best_fit(times, longest):
+    """Also where nearly every length occurs; and of lengths that fill sequences well the program places a good part itself."""
     rng = np.random.default_rng(5)
-    histogram = {k: int(n) * times for k, n in enumerate(rng.integers(1, 9, 511), 1)}
-    whole, given_ = sum(k * n for k, n in histogram.items()), []
-    fit = packing.best_fit
-
-    def spied(sizes, left, *more):
-        given_.append(int((sizes * left).sum()))
-        return fit(sizes, left, *more)
-
-    monkeypatch.setattr(packing, "best_fit", spied)
-    runs = packing.plan(histogram, 512)
-    assert sum(many for _, many in runs) <= 1.03 * whole / 512 + 1
-    assert given_[0] < 0.1 * whole
-
-
-def test_knapsack():
-    sizes, values = np.array([3, 4, 5]), np.array([4.0, 5.0, 7.0])
-    assert packing.knapsack(sizes, values, 8).tolist() == [1, 0, 1]
-    assert packing.knapsack(sizes, values, 2).tolist() == [0, 0, 0]
+    histogram = {k: int(n) * times for k, n in enumerate(rng.integers(1, 9, longest), 1)}
+    sizes, left = np.array(sorted(histogram)), np.array([histogram[k] for k in sorted(histogram)])
+    fewest = sum(many for _, many in packing.best_fit(sizes, left, 2048))
+    found = packing.solved(histogram)
+    assert found.bound <= found.sequences <= fewest
+    assert found.placed > 0.3 or longest == 2048
+    assert found.bound >= -(-sum(k * n for k, n in histogram.items()) // 2048)
+
+
+def test_token_lengths_reach_the_bound(spark):
+    """The pieces of the given documents take no more sequences than their tokens need, and 100 times as many hardly more."""
+    pieces = packing.token_pieces(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    found = packing.solved(histogram)
+    assert found.sequences == found.bound
+    many = packing.solved({k: n * 100 for k, n in histogram.items()})
+    assert many.sequences <= 1.001 * many.bound
+
+
+def test_the_bound_comes_from_prices():
+    """Pieces of more than half a sequence cannot share one: the tokens alone would promise fewer sequences."""
+    found = packing.solved({40: 30, 10: 3}, 64)
+    assert found.sequences == 30 and 17 < found.bound <= 30
 
 
 # --- repeats
