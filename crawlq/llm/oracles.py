@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from crawlq.llm.centroids import CLUSTERS, DIMENSIONS, ROUNDS, SCALE, SEED
 from crawlq.llm.decontamination import BREAKS, UPPER, WORDS
-from crawlq.llm.quality_rules import FEATURES, LEAST_DOCS, MAX_REPEAT_PERCENT, MIN_WORDS, SPREAD, WINDOW
+from crawlq.llm.quality_rules import FEATURES, MAX_REPEAT_PERCENT, MIN_WORDS, PRIOR, SPREAD, WINDOW
 from crawlq.llm.ranked_search import TOP
 
 _SPACE = r"\x20\x09-\x0D"
@@ -15,10 +15,11 @@ _SLACK = "CASE feature " + " ".join(f"WHEN '{name}' THEN {slack}" for name, (_,
 def _fences(*keys: str) -> str:
     """Per keys and feature: how many documents, and the largest bin that passes."""
     group = ", ".join([*keys, "feature"])
-    return f"""SELECT {group}, max(n) AS n, min(bin) FILTER (WHERE r * 100 >= n * 50) + {SPREAD} * (min(bin) FILTER (WHERE r * 100 >= n * 50)
-      - min(bin) FILTER (WHERE r * 100 >= n * 10)) + {_SLACK} AS fence
-  FROM (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY bin) AS r, count(*) OVER (PARTITION BY {group}) AS n FROM bins)
-  GROUP BY {group}"""
+    quantile = lambda q: f"min(bin) FILTER (WHERE bin > 0 AND (r - n0) * 100 >= (n - n0) * {q})"
+    return f"""SELECT {group}, n, {_SLACK} + ((coalesce(least(1000, median + {SPREAD} * (median - low) + {_SLACK}) - {_SLACK}, 0) * (n - n0)) // n * (n - n0)) // n AS fence
+  FROM (SELECT {group}, max(n) AS n, max(n0) AS n0, {quantile(50)} AS median, {quantile(10)} AS low
+    FROM (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY bin) AS r, count(*) OVER (PARTITION BY {group}) AS n,
+      count(*) FILTER (WHERE bin = 0) OVER (PARTITION BY {group}) AS n0 FROM bins) GROUP BY {group})"""
 
 
 QUALITY_RULES = f"""WITH texts AS (
@@ -42,7 +43,7 @@ QUALITY_RULES = f"""WITH texts AS (
   UNPIVOT binned ON {', '.join(FEATURES)} INTO NAME feature VALUE bin
 ), own AS ({_fences("lang", "source")}), by_lang AS ({_fences("lang")}), every AS ({_fences()}
 ), verdicts AS (
-  SELECT b.rid, bool_and(b.bin <= CASE WHEN o.n >= {LEAST_DOCS} THEN o.fence WHEN l.n >= {LEAST_DOCS} THEN l.fence ELSE e.fence END) AS passes
+  SELECT b.rid, bool_and(b.bin <= (o.n * o.fence + {PRIOR} * ((l.n * l.fence + {PRIOR} * e.fence) // (l.n + {PRIOR}))) // (o.n + {PRIOR})) AS passes
   FROM bins b JOIN own o ON b.lang IS NOT DISTINCT FROM o.lang AND b.source IS NOT DISTINCT FROM o.source AND b.feature = o.feature
     JOIN by_lang l ON b.lang IS NOT DISTINCT FROM l.lang AND b.feature = l.feature JOIN every e ON b.feature = e.feature
   GROUP BY b.rid

@@ -3,8 +3,9 @@
 Each document gets a few counts. Instead of fixed cutoffs, every language and source has its own
 thresholds, read from quantile sketches. A sketch is a histogram over 1,001 integer bins per
 feature: two of them merge by adding counts, its size does not depend on the number of rows, and its
-quantiles are exact to one bin. Sketches of a (language, source) with too few documents give way to
-the merged sketch of the language, then to that of everything.
+quantiles are exact to one bin. Many features are 0 in most documents, so a threshold comes from how often a feature occurs in a group at all and
+from the quantiles of the documents where it does. Thresholds of a (language, source) with few documents lean on those of
+the merged sketch of the language, and these on those of everything.
 
 Everything is DataFrame and SQL functions. The only shuffles carry bin counts, combined before they
 are moved, so a source with a third of all rows is 5,005 rows per task like any other.
@@ -23,8 +24,8 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 
-#: Bin of each feature, 0 to 1000, growing with the feature; and how far above the median the fence
-#: stands at least. `length` maps a mean word length m to m / (m + 8).
+#: Bin of each feature, 0 to 1000, growing with the feature; and how far above the median of the documents that have it the fence
+#: stands at least, or above 0 where none has it. `length` maps a mean word length m to m / (m + 8).
 FEATURES = {
     "symbols": ("CASE WHEN word_chars = 0 THEN 0 ELSE 1000 * n_symbols DIV word_chars END", 60),
     "dup_lines": ("CASE WHEN n_lines = 0 THEN 0 ELSE 1000 * n_dup_lines DIV n_lines END", 350),
@@ -33,7 +34,8 @@ FEATURES = {
     "length": ("CASE WHEN n_words = 0 THEN 0 ELSE 1000 * word_chars DIV (word_chars + 8 * n_words) END", 150),
 }
 SPREAD = 6
-LEAST_DOCS = 50
+#: Documents that a merged sketch counts for beside the group's own.
+PRIOR = 50
 
 
 def counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -103,37 +105,41 @@ def merged(sketch: DataFrame, *keys: str) -> DataFrame:
 def fences(sketch: DataFrame, *keys: str) -> DataFrame:
     """Per `keys`: n_docs and the largest bin that passes for each feature.
 
-    The fence stands SPREAD times the distance from the lower decile to the median above the median, and a
-    fixed slack above that. It uses only the lower half of the values, so junk moves it only
-    where junk is the majority.
+    Among the documents that have the feature at all, the fence stands SPREAD times the distance from their lower decile to their median above the
+    median, and the feature's slack above that; it uses only the lower half of those values. Between that and the slack alone, which is the fence where
+    nobody has the feature, it stands by the square of the share of documents that have it. So a habit of a whole source raises its fence, and what a
+    few documents do hardly moves it. Whole numbers throughout.
     """
     group = Window.partitionBy(*keys, "feature")
     ordered = group.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = sketch.withColumn("upto", F.sum("n").over(ordered)).withColumn("total", F.sum("n").over(group))
-    quantile = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("total") * q, F.col("bin")))
+    ranked = ranked.withColumn("none", F.sum(F.when(F.col("bin") == 0, F.col("n")).otherwise(F.lit(0))).over(group))
+    quantile = lambda q: F.min(F.when(F.expr(f"bin > 0 AND (upto - none) * 100 >= (total - none) * {q}"), F.col("bin")))
     per_feature = ranked.groupBy(*keys, "feature").agg(
-        F.max("total").alias("n_docs"), quantile(50).alias("median"), quantile(10).alias("low")
+        F.max("total").alias("n_docs"), F.max("none").alias("none"), quantile(50).alias("median"), quantile(10).alias("low")
     )
     slack = "CASE feature " + " ".join(f"WHEN {literal(k)} THEN {s}" for k, (_, s) in FEATURES.items()) + " END"
-    fence = F.expr(f"median + {SPREAD} * (median - low) + {slack}")
+    above = f"coalesce(least(1000, median + {SPREAD} * (median - low) + {slack}) - {slack}, 0)"
+    fence = F.expr(f"{slack} + ({above} * (n_docs - none) DIV n_docs) * (n_docs - none) DIV n_docs")
     return per_feature.groupBy(*keys).agg(
         F.max("n_docs").alias("n_docs"),
         *[F.max(F.when(F.col("feature") == name, fence)).alias(f"fence_{name}") for name in FEATURES],
     )
 
 
-def thresholds(sketch: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """One row of fences per (lang, source) that occurs; thin ones use the language's, then all documents'."""
-    names = ["n_docs", *[f"fence_{f}" for f in FEATURES]]
+def thresholds(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """One row of fences per (lang, source) that occurs, its own and those of the language by their documents and `prior`; the language's likewise with all documents'."""
     own = fences(sketch, "lang", "source").alias("own")
     by_lang = fences(merged(sketch, "lang"), "lang").alias("l")
     every = fences(merged(sketch).withColumn("one", F.lit(1)), "one").alias("e")
     joined = own.join(by_lang, F.expr("own.lang <=> l.lang"), "left").withColumn("__one", F.lit(1))
     joined = joined.join(every, F.expr("__one = e.one"), "left")
-    pick = lambda name: F.expr(
-        f"CASE WHEN own.n_docs >= {least_docs} THEN own.{name} WHEN l.n_docs >= {least_docs} THEN l.{name} ELSE e.{name} END"
-    )
-    return joined.select(F.col("own.lang").alias("lang"), F.col("own.source").alias("source"), *[pick(n).alias(n) for n in names])
+
+    def blended(name: str):
+        of_lang = f"((l.n_docs * l.{name} + {prior} * e.{name}) DIV (l.n_docs + {prior}))"
+        return F.expr(f"(own.n_docs * own.{name} + {prior} * {of_lang}) DIV (own.n_docs + {prior})").alias(name)
+
+    return joined.select(F.col("own.lang").alias("lang"), F.col("own.source").alias("source"), F.col("own.n_docs").alias("n_docs"), *[blended(f"fence_{f}") for f in FEATURES])
 
 
 def judged(counted: DataFrame, limits: DataFrame) -> DataFrame:
@@ -144,11 +150,11 @@ def judged(counted: DataFrame, limits: DataFrame) -> DataFrame:
     return joined.select("c.*", F.expr(f"NOT base_failed AND coalesce({passes}, true)").alias("kept"))
 
 
-def quality_rules(docs: DataFrame, least_docs: int = LEAST_DOCS, **columns: str) -> DataFrame:
+def quality_rules(docs: DataFrame, prior: int = PRIOR, **columns: str) -> DataFrame:
     """doc_id, lang, source, text_key, the counts, base_failed and kept, one row per input row.
 
     The counts are stored once, since the sketches and the verdicts both read them. An empty table gives no
     rows; a null language or source is a group of its own.
     """
     counted = stored(counts(docs, **columns))
-    return judged(counted, thresholds(sketches(counted), least_docs))
+    return judged(counted, thresholds(sketches(counted), prior))

@@ -52,11 +52,32 @@ def test_sketches_merge(docs):
     assert Counter(map(tuple, whole.collect())) == Counter(map(tuple, again.collect()))
 
 
-def test_thin_groups_use_the_language(spark):
-    rows = [(i, " ".join(f"w{i}y{j}" for j in range(40)), "en", "big" if i < 60 else "thin") for i in range(62)]
-    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
-    limits = {r["source"]: r["n_docs"] for r in quality_rules.thresholds(quality_rules.sketches(quality_rules.counts(table))).collect()}
-    assert limits == {"big": 60, "thin": 62}
+def test_thin_groups_lean_on_the_language(spark):
+    """Long words are the habit of one source; its fence moves to its own value step by step, with no switch at any number of documents."""
+    long = lambda i, j: f"w{i}y{j}" + "x" * 40
+    rows = [(i, " ".join(f"w{i}y{j}" for j in range(40)), "en", "big") for i in range(60)]
+    fences = []
+    for thin in (1, 49, 50, 200):
+        more = [(100 + i, " ".join(long(i, j) for j in range(40)), "en", "thin") for i in range(thin)]
+        table = spark.createDataFrame(rows + more, "doc_id bigint, text string, lang string, source string")
+        limits = {r["source"]: r for r in quality_rules.thresholds(quality_rules.sketches(quality_rules.counts(table))).collect()}
+        assert limits["thin"]["n_docs"] == thin and limits["big"]["n_docs"] == 60
+        fences.append(limits["thin"]["fence_length"])
+    assert abs(fences[2] - fences[1]) < 20 and fences[3] > 850
+
+
+def test_every_feature_follows_its_source(spark):
+    """Two sources with habits of their own get limits of their own for all five features, and neither loses its sound documents."""
+    plain = [(i, "\n".join(" ".join(f"w{i}y{j}z{n}" for j in range(10)) for n in range(6)), "en", "prose") for i in range(120)]
+    def table_like(i):
+        line = " ".join(f"v{i}c{j} # | {j % 3} {j % 3}" for j in range(9))
+        return (1000 + i, "\n".join([line, line, *(f"head{i}r{n} long{'er' * 9}{n} $ $ x{n} x{n} y" for n in range(40))]), "en", "tables")
+    tables = [table_like(i) for i in range(120)]
+    table = spark.createDataFrame(plain + tables, "doc_id bigint, text string, lang string, source string")
+    judged = quality_rules.quality_rules(table).collect()
+    assert all(r["kept"] for r in judged)
+    limits = {r["source"]: r for r in quality_rules.thresholds(quality_rules.sketches(quality_rules.counts(table))).collect()}
+    assert all(limits["prose"][f"fence_{f}"] != limits["tables"][f"fence_{f}"] for f in quality_rules.FEATURES)
 
 
 # --- secrets
