@@ -88,7 +88,7 @@ def template_positions(table: DataFrame, k: int = K) -> DataFrame:
 
 def license_scan(docs: DataFrame, templates=NOTICES, phrases=PHRASES, k: int = K, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per distinct (doc_id, text), repeated as often as it comes in: doc_id, n_words, n_base, first_word, last_word,
-    base_labels, labels, score, spans (template label, first and last word, cover).
+    base_labels, labels, score.
 
     A null or empty text has no words, no places and score 0. A phrase counts at every place
     it stands, overlapping ones included. `score` is the best cover of any template, 1 for a phrase.

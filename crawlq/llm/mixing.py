@@ -74,7 +74,8 @@ def raked(cells: DataFrame, targets: DataFrame, tolerance: float = TOLERANCE, ma
 
     A value without a target, or with target 0, gets nothing. Targets of values that do not occur are left out and the
     others scaled to 1, since no document can fill them. Rounds end when every marginal is within
-    `tolerance` of its target, or after `max_rounds`, where targets contradict each other.
+    `tolerance` of its target, or after `max_rounds`, where targets contradict each other. `gap` says how far the worst marginal then is
+    from its target, so a result that did not get there shows it.
     """
     total = Window.partitionBy("dimension")
     df = cells.withColumn("fitted", F.col("tokens").cast("double"))
@@ -87,6 +88,7 @@ def raked(cells: DataFrame, targets: DataFrame, tolerance: float = TOLERANCE, ma
     df = stored(df.where(reduce(lambda a, b: a & b, [F.col(f"__t_{d}") > 0 for d in DIMENSIONS])))
     # As many partitions as the cells need; where that is one, no round moves anything.
     parts = parts_for(df.count(), PER_PART)
+    worst = None
     for _ in range(max_rounds):
         df = df.coalesce(parts)
         for d in DIMENSIONS:
@@ -104,7 +106,7 @@ def raked(cells: DataFrame, targets: DataFrame, tolerance: float = TOLERANCE, ma
             break
     fitted = df.select(*[F.col(d).alias(f"__{d}") for d in DIMENSIONS], "fitted")
     same = reduce(lambda a, b: a & b, [cells[d].eqNullSafe(fitted[f"__{d}"]) for d in DIMENSIONS])
-    return cells.join(fitted, same, "left").select(*cells.columns, F.coalesce("fitted", F.lit(0.0)).alias("fitted"))
+    return cells.join(fitted, same, "left").select(*cells.columns, F.coalesce("fitted", F.lit(0.0)).alias("fitted"), F.lit(float(worst or 0)).alias("gap"))
 
 
 def calibrated(cells: DataFrame) -> DataFrame:
@@ -116,7 +118,7 @@ def calibrated(cells: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, targets: DataFrame | None = None, power: float = TEMPER, seed: int = 17, **columns: str) -> DataFrame:
-    """One row per input row: doc_id, text_key, source, lang, topic, tokens, weight, probability, sampled.
+    """One row per input row: doc_id, text_key, source, lang, topic, tokens, weight, probability, sampled, gap (see `raked`).
 
     `targets` has dimension (source, lang or topic), value and share; without it the data's shares to `power` are
     used. `probability` is the calibrated weight over the largest one, so sampled documents hold the target
@@ -126,9 +128,9 @@ def mixed(docs: DataFrame, targets: DataFrame | None = None, power: float = TEMP
     rows = stored(measured(docs, **columns))
     cells = checkpointed(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
     weights = calibrated(raked(cells, tempered_targets(cells, power) if targets is None else targets)).drop("tokens", "fitted")
-    w = stored(weights.select(*[F.col(d).alias(f"__{d}") for d in DIMENSIONS], "weight", "probability"))
+    w = stored(weights.select(*[F.col(d).alias(f"__{d}") for d in DIMENSIONS], "weight", "probability", "gap"))
     same = reduce(lambda a, b: a & b, [rows[d].eqNullSafe(w[f"__{d}"]) for d in DIMENSIONS])
     drawn = F.expr(f"CAST(conv(substring(md5(concat_ws(':', {seed}, doc_id)), 1, 12), 16, 10) AS DOUBLE) / 281474976710656D")
     return rows.join(w, same, "left").select(
-        "doc_id", "text_key", *DIMENSIONS, "tokens", "weight", "probability", (drawn < F.col("probability")).alias("sampled")
+        "doc_id", "text_key", *DIMENSIONS, "tokens", "weight", "probability", (drawn < F.col("probability")).alias("sampled"), "gap"
     )

@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from crawlq.llm.common import only
 
 TRAIN_ROWS = 3000
-TRAIN_BYTES = 32_768
+#: Bytes of text scored at a time; one longer text is scored alone.
+SCORED_AT_ONCE = 4 << 20
 CHUNK = 512
 STEP = 448
 STRIDE = 4
@@ -55,7 +56,7 @@ def chunked(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if len(raw) <= CHUNK:
             codes[at, : len(raw)] = raw
         else:
-            codes[at : at + len(own)] = raw[own[:, None] + np.arange(CHUNK)]
+            codes[at : at + len(own)] = np.lib.stride_tricks.sliding_window_view(raw, CHUNK)[own]
         at += len(own)
     return codes, first
 
@@ -135,13 +136,16 @@ def gradients(net: Network, texts: list[bytes], labels: np.ndarray) -> list[np.n
         shared = np.add.reduceat(hit, first, dtype=np.float32)[owner]
         dp += np.where(hit, part[owner] / shared, 0)
     dp = np.where(pooled > 0, dp, 0).astype(np.float32)
-    # The winning windows alone carry a gradient.
-    at = where[:, :, None] * STRIDE + np.arange(WIDTH)
-    seen = codes[np.arange(len(codes))[:, None, None], at]
-    vectors = net.table[seen].reshape(len(codes), FILTERS, WIDTH * EMBED)
-    d_filters = np.einsum("cf,cfw->wf", dp, vectors, optimize=True)
-    d_vectors = (dp[:, :, None] * net.filters.T[None]).reshape(-1, EMBED)
-    d_table = np.stack([np.bincount(seen.ravel(), weights=d_vectors[:, e], minlength=257) for e in range(EMBED)], axis=1)
+    # The winning windows alone carry a gradient; so many chunks at a time, however long a text is.
+    d_filters, d_table = np.zeros_like(net.filters), np.zeros((257, EMBED))
+    for c in range(0, len(codes), CHUNKS_AT_ONCE):
+        some, part = codes[c : c + CHUNKS_AT_ONCE], dp[c : c + CHUNKS_AT_ONCE]
+        at = where[c : c + CHUNKS_AT_ONCE, :, None] * STRIDE + np.arange(WIDTH)
+        seen = some[np.arange(len(some))[:, None, None], at]
+        vectors = net.table[seen].reshape(len(some), FILTERS, WIDTH * EMBED)
+        d_filters += np.einsum("cf,cfw->wf", part, vectors, optimize=True)
+        d_vectors = (part[:, :, None] * net.filters.T[None]).reshape(-1, EMBED)
+        d_table += np.stack([np.bincount(seen.ravel(), weights=d_vectors[:, e], minlength=257) for e in range(EMBED)], axis=1)
     d_table[PAD] = 0
     return [d_table.astype(np.float32), d_filters, dp.sum(axis=0), x.T @ dz, np.array([dz.sum()], np.float32)]
 
@@ -178,17 +182,29 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[bytes], np.ndarray]:
-    """Texts and labels of a bounded sample: `rows` labelled ids by hash, texts of at most TRAIN_BYTES.
+    """Whole texts and labels of a bounded sample: `rows` labelled ids by hash.
 
-    The sample of ids is what is broadcast. Null labels and ids are left out; an id with two labels counts as the lower.
+    The sample of ids is what is broadcast. Null labels and ids are left out; an id with two labels counts as the lower, one with two texts as the
+    text with the smaller hash, so the same rows give the same sample after any loss.
     """
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out())
     ids = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    short = docs.where(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(ids), "doc_id")
-    found = short.dropDuplicates(["doc_id"]).select("doc_id", "text", "quality").orderBy("doc_id").collect()
+    known_texts = docs.join(F.broadcast(ids), "doc_id")
+    one = known_texts.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("t"), F.min("quality").alias("quality"))
+    found = one.select("doc_id", "t.text", "quality").orderBy("doc_id").collect()
     return [r["text"].encode() for r in found], np.array([r["quality"] for r in found], dtype=np.float32)
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most 256 texts and about SCORED_AT_ONCE bytes."""
+    sizes = np.diff(batch.column("text").cast(pa.large_binary()).offsets.to_numpy()) if batch.num_rows else np.zeros(0, np.int64)
+    at = 0
+    while at < batch.num_rows:
+        many = int(np.searchsorted(np.cumsum(sizes[at : at + 256]), SCORED_AT_ONCE, side="right"))
+        yield batch.slice(at, max(1, many))
+        at += max(1, many)
+
+
 def scored(docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted, one row per input row; a null or empty text is scored as no bytes at all."""
     rows = only(docs, doc_id=doc_id, text=text)
@@ -197,8 +213,7 @@ def scored(docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in _parts(batch):
                 scores = net.scores([t.as_py().encode() for t in part.column("text")])
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("held_out"), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))],
@@ -209,7 +224,11 @@ def scored(docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str = "t
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, **columns: str) -> DataFrame:
-    """Fit on the labelled sample and score every document."""
+    """Fit on the labelled sample and score every document: one row per input row.
+
+    Null and empty texts are scored as no bytes, repeated rows alike; a null id is never held out and never learned from. Without labels, or with one class only, all
+    scores are equal; without documents there are no rows.
+    """
     named = only(docs, doc_id=columns.get("doc_id", "doc_id"), text=columns.get("text", "text"))
     net = fit(*training_rows(named, labels.select("doc_id", "quality"), rows))
     return scored(docs, net, **columns)

@@ -92,7 +92,7 @@ def op9_license_scan(spark, sf_dir):
 @register
 def op10_mixing(spark, sf_dir):
     return mixing.mixed(documents(spark, sf_dir)).select(
-        "doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "sampled"
+        "doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "sampled", "gap"
     )
 
 

@@ -4,7 +4,7 @@ Every text is cut into reference blocks of ANCHOR words that do not overlap. A w
 holds exactly one such block, so if a window stands in two places, the block in one of them matches a rolling
 window of ANCHOR words in the other. The blocks are the index; every rolling window of every text probes it. A block that some other
 place matches is a hit, and only the windows around hits are looked at further: they are
-extended to the full WINDOW words, counted by a hash of 128 bits, of which 64 choose the bucket, and runs of repeated windows
+extended to the full WINDOW words, counted by a hash of 64 bits inside the bucket that a second hash chooses, and runs of repeated windows
 merge into maximal exact repeats.
 
 Nothing is paired. Texts are dealt to batches of some megabytes. A batch sends each bucket of the hash space the sorted hashes it

@@ -350,3 +350,33 @@ def test_classifier_without_rows(nothing, docs, spark):
     none = spark.createDataFrame([], "doc_id bigint, quality int")
     assert quality_classifier.quality_scores(nothing, none).collect() == []
     assert {r["score"] for r in quality_classifier.quality_scores(docs, none).collect()} == {0.5}
+
+
+def test_the_sample_is_whole_texts_and_always_the_same(spark):
+    long = "long text " * 20_000
+    docs = [(i, f"text {i}") for i in range(30)] + [(100, long), (101, "one"), (101, "two"), (101, "one")]
+    labels = spark.createDataFrame([(i, i % 2) for i in (*range(30), 100, 101)], "doc_id bigint, quality int")
+    samples = [quality_classifier.training_rows(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(n), labels)[0] for n in (1, 5)]
+    assert samples[0] == samples[1] and len(samples[0]) == len(set(samples[0]))
+    learned = {i for i, _ in docs if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert len(samples[0]) == len(learned) and (100 not in learned or long.encode() in samples[0])
+
+
+def test_a_score_follows_from_filters_and_chunks():
+    """Recomputed byte by byte in plain Python for a short and a long text."""
+    rng = np.random.default_rng(8)
+    net = quality_classifier.fresh(rng)
+    for text in (b"", b"a short one", bytes(rng.integers(0, 256, 1300, dtype=np.uint8))):
+        chunks = []
+        for start in sorted({*range(0, max(1, len(text) - 512), 448), max(0, len(text) - 512)}) if len(text) > 512 else [0]:
+            codes = list(text[start : start + 512]) + [256] * (512 - len(text[start : start + 512]))
+            responses = []
+            for f in range(32):
+                best = max(
+                    sum(float(net.table[codes[p + w], e]) * float(net.filters[w * 6 + e, f]) for w in range(8) for e in range(6)) for p in range(0, 505, 4)
+                )
+                responses.append(max(0.0, best + float(net.bias[f])))
+            chunks.append(responses)
+        features = [max(c) for c in zip(*chunks)] + [sum(c) / len(chunks) for c in zip(*chunks)] + [min(c) for c in zip(*chunks)] + [min(len(text), 512) / 512]
+        z = sum(x * float(w) for x, w in zip(features, net.head)) + float(net.offset[0])
+        assert abs(net.scores([text])[0] - 1 / (1 + np.exp(-z))) < 1e-4
