@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -197,7 +198,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
 
 def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """A batch in parts of at most 256 texts and about SCORED_AT_ONCE bytes."""
-    sizes = np.diff(batch.column("text").cast(pa.large_binary()).offsets.to_numpy()) if batch.num_rows else np.zeros(0, np.int64)
+    sizes = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)
     at = 0
     while at < batch.num_rows:
         many = int(np.searchsorted(np.cumsum(sizes[at : at + 256]), SCORED_AT_ONCE, side="right"))

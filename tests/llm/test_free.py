@@ -380,3 +380,13 @@ def test_a_score_follows_from_filters_and_chunks():
         features = [max(c) for c in zip(*chunks)] + [sum(c) / len(chunks) for c in zip(*chunks)] + [min(c) for c in zip(*chunks)] + [min(len(text), 512) / 512]
         z = sum(x * float(w) for x, w in zip(features, net.head)) + float(net.offset[0])
         assert abs(net.scores([text])[0] - 1 / (1 + np.exp(-z))) < 1e-4
+
+
+def test_batches_are_cut_by_bytes():
+    import pyarrow as pa
+
+    texts = ["x" * 10] * 300 + ["é" * 3_000_000, "", "y"]
+    parts = list(quality_classifier._parts(pa.RecordBatch.from_pydict({"text": texts})))
+    assert [t for p in parts for t in p.column("text").to_pylist()] == texts
+    assert max(p.num_rows for p in parts) == 256 and any(p.num_rows == 1 for p in parts)
+    assert list(quality_classifier._parts(pa.RecordBatch.from_pydict({"text": pa.array([], pa.string())}))) == []
