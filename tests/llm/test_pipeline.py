@@ -71,11 +71,11 @@ def test_no_documents(spark, nothing, tmp_path):
 
 def test_registered():
     names = contract.queries().keys()
-    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in registry.QUERIES} == set(range(1, 11))
+    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in registry.QUERIES} == set(range(1, 14))
     assert names >= registry.QUERIES.keys()
 
 
-@pytest.mark.parametrize("name", ["op1_quality_classifier", "op4_ngram_jaccard_join", "op9_license_scan"])
+@pytest.mark.parametrize("name", ["op1_quality_classifier", "op4_ngram_jaccard_join", "op9_license_scan", "op12_decontamination"])
 def test_queries_return_every_document(spark, name):
     folder = "/root/testdata/sf0.001"
     assert registry.QUERIES[name](spark, folder).count() == registry.documents(spark, folder).count()
