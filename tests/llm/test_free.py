@@ -1,6 +1,7 @@
 """Classifier, packing, repeats, joins, fingerprints and token counts against plain Python."""
 
 import hashlib
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -277,7 +278,7 @@ def test_fingerprints(docs, rows):
         own, there = prints[t], fingerprints.fingerprints_of([e.encode()])[0]
         n_near = None
         if i is not None and i % 50 == 0:
-            n_near = sum(fingerprints.likeness(own, prints[x]) >= 1 - 3 / 128 for _, x in order) - 1
+            n_near = sum(fingerprints.likeness(own, prints[x]) >= 1 - fingerprints.RADIUS / 128 for _, x in order) - 1
         want[i, len(t), hashlib.sha256(e.encode()).hexdigest(), own.hex(), there.hex(), fingerprints.likeness(own, there), fingerprints.likeness(own, prints[after]), n_near] += 1
     assert Counter(map(tuple, got)) == want
 
@@ -285,14 +286,72 @@ def test_fingerprints(docs, rows):
 def test_search_finds_all_within_the_radius(spark):
     rng = np.random.default_rng(1)
     values = [int.from_bytes(rng.bytes(16)) for _ in range(20)]
-    near = [v ^ sum(1 << int(b) for b in rng.choice(128, k, replace=False)) for v in values for k in (0, 1, 2, 3, 4)]
+    near = [v ^ sum(1 << int(b) for b in rng.choice(128, k, replace=False)) for v in values for k in (0, 1, 2, 3, 4, 15, 16, 17, 18, 19, 20)]
     frame = lambda vs: spark.createDataFrame([(f"{v:032x}",) for v in vs], "fingerprint string")
-    for radius in (0, 3):
-        got = {(r["query"], r["other"], r["distance"]) for r in fingerprints.within(frame(values), frame(near), radius).collect()}
+    for radius in (0, 3, 16, 17):
+        found = fingerprints.within(frame(values), frame(near + near), radius).collect()
+        assert len(found) == len(set(found))
+        got = {(r["query"], r["other"], r["distance"]) for r in found}
         want = {(f"{a:032x}", f"{b:032x}", (a ^ b).bit_count()) for a in values for b in near if (a ^ b).bit_count() <= radius}
         assert got == want
 
 
+def plain_simhash(text: bytes) -> list:
+    """The fingerprint word by word and bit by bit, in plain whole numbers."""
+    top = (1 << 64) - 1
+
+    def mixed(h):
+        h ^= h >> 30
+        h = h * 0xBF58476D1CE4E5B9 & top
+        h ^= h >> 27
+        h = h * 0x94D049BB133111EB & top
+        return h ^ (h >> 31)
+
+    table = [int(x) for x in np.random.default_rng(1).integers(1, 1 << 63, 256, dtype=np.uint64)]
+    polynomial = lambda values, base: sum(v * pow(base, i, 1 << 64) for i, v in enumerate(values)) & top
+    parts = [w for w in re.split(rb"[ \t\n\x0b\x0c\r]+", text) if w]
+    hashes = [mixed(polynomial([table[b] for b in w], table[0] | 1)) for w in parts]
+    terms = [(h, min(len(w), 10) / 20) for w, h in zip(parts, hashes)]
+    terms += [(mixed((polynomial(hashes[i : i + k], 0x9E3779B97F4A7C15) + k) & top), 1.0) for k in (2, 3) for i in range(len(hashes) - k + 1)]
+    votes = [0.0] * 128
+    for h, weight in terms:
+        data = h.to_bytes(8, "little") + mixed(h ^ 0xA0761D6478BD642F).to_bytes(8, "little")
+        for i in range(128):
+            votes[i] += weight if data[i // 8] >> (7 - i % 8) & 1 else -weight
+    # Votes that add up to nothing but rounding may fall either way.
+    return [None if abs(v) < 1e-9 else v > 0 for v in votes]
+
+
+def test_fingerprints_by_plain_votes():
+    texts = ["", " ", "one", "a b", "the quick brown fox jumps over the lazy dog", "ünï cödé \u3000 x " * 5, "\tw\x0bx\x1fy\n" * 3]
+    texts += [" ".join(f"w{i * k % 97}" for i in range(60)) for k in (3, 5, 7)]
+    data = [t.encode() for t in texts]
+    for text, own in zip(data, fingerprints.fingerprints_of(data)):
+        bits = np.unpackbits(np.frombuffer(own, np.uint8))
+        assert all(want is None or bool(b) == want for want, b in zip(plain_simhash(text), bits)), text
+    assert fingerprints.fingerprints_of([b"", b" "]) == [bytes(16)] * 2
+
+
+def test_radius_finds_edits_of_similarity_08():
+    """Of copies with replaced words that keep a 5-word Jaccard of 0.8 to 0.9, nine in ten are within the radius; others are far."""
+    rng = np.random.default_rng(3)
+    vocabulary = [f"word{i}" for i in range(3000)]
+    shingles = lambda ws: {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}
+    pairs, far = [], []
+    while len(pairs) < 200:
+        words = [vocabulary[int(i)] for i in rng.zipf(1.3, int(rng.integers(80, 600))) % 3000]
+        changed = list(words)
+        for at in rng.choice(len(words), max(1, round(len(words) * rng.uniform(0.005, 0.03))), replace=False):
+            changed[at] = vocabulary[int(rng.integers(3000))]
+        a, b = shingles(words), shingles(changed)
+        if 0.8 <= len(a & b) / len(a | b) <= 0.9:
+            pairs.append((" ".join(words).encode(), " ".join(changed).encode()))
+    own, there = (fingerprints.fingerprints_of(list(side)) for side in zip(*pairs))
+    near = [fingerprints.likeness(a, b) >= 1 - fingerprints.RADIUS / 128 for a, b in zip(own, there)]
+    far = [fingerprints.likeness(a, b) >= 1 - fingerprints.RADIUS / 128 for a, b in zip(own, own[1:])]
+    assert np.mean(near) >= 0.9 and np.mean(far) <= 0.01
+
+
 # --- the classifier
 
 
