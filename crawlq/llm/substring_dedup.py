@@ -4,8 +4,8 @@ Every text is cut into reference blocks of ANCHOR words that do not overlap. A w
 holds exactly one such block, so if a window stands in two places, the block in one of them matches a rolling
 window of ANCHOR words in the other. The blocks are the index; every rolling window of every text probes it. A block that some other
 place matches is a hit, and only the windows around hits are looked at further: they are
-extended to the full WINDOW words, counted by a hash of 64 bits inside the bucket that a second hash chooses, and runs of repeated windows
-merge into maximal exact repeats.
+extended to the full WINDOW words, counted by two hashes of 64 bits each, the second of which also chooses the bucket, and runs of
+repeated windows merge into maximal exact repeats.
 
 Nothing is paired. Texts are dealt to batches of some megabytes. A batch sends each bucket of the hash space the sorted hashes it
 holds, once each however often they occur, and gets back one bit per hash: stands elsewhere or not. A passage found in
@@ -66,8 +66,9 @@ class Batch:
         marked[hit] = True
         keep = marked[block]
         at, h = at[keep], h[keep]
-        all_at, other = self.windows(self.window, self.second)
-        return Held(at, other[keep] % np.uint64(buckets), h, np.ones(len(at), dtype=bool))
+        _, other = self.windows(self.window, self.second)
+        other = other[keep]
+        return Held(at, other % np.uint64(buckets), h, np.ones(len(at), dtype=bool), other)
 
 
 class _Stand:
@@ -78,18 +79,22 @@ class _Stand:
 
 
 class Held:
-    """Windows of a batch, grouped by bucket and value."""
+    """Windows of a batch, grouped by bucket and value, or by bucket and a pair of values."""
 
-    def __init__(self, at: np.ndarray, bucket: np.ndarray, value: np.ndarray, wanted: np.ndarray):
+    def __init__(self, at: np.ndarray, bucket: np.ndarray, value: np.ndarray, wanted: np.ndarray, other: np.ndarray | None = None):
         self.at = at
-        order = np.lexsort((value, bucket))
+        order = np.lexsort((value, bucket) if other is None else (other, value, bucket))
         b, v = bucket[order], value[order]
         new = np.ones(len(b), dtype=bool)
         new[1:] = (b[1:] != b[:-1]) | (v[1:] != v[:-1])
+        if other is not None:
+            o = other[order]
+            new[1:] |= o[1:] != o[:-1]
         starts = np.flatnonzero(new)
         self.group = np.empty(len(b), dtype=np.int64)
         self.group[order] = np.cumsum(new) - 1
         self.bucket, self.value = b[starts], v[starts]
+        self.other = None if other is None else o[starts]
         self.many = np.diff(np.append(starts, len(b))) > 1
         self.wanted = np.bincount(self.group, weights=wanted, minlength=len(starts)) > 0
         changes = np.flatnonzero(self.bucket[1:] != self.bucket[:-1]) + 1
@@ -97,13 +102,13 @@ class Held:
         #: First and last value of each bucket.
         self.parts = list(zip(bounds, bounds[1:], strict=False))
 
-    def messages(self, batch: int, wide: bool) -> dict[str, list]:
+    def messages(self, batch: int) -> dict[str, list]:
         """One row per bucket."""
         out: dict[str, list] = {"bucket": [], "batch": [], "values": [], "many": [], "wanted": []}
         for a, b in self.parts:
             out["bucket"].append(int(self.bucket[a]))
             out["batch"].append(batch)
-            out["values"].append(_packed(self.value[a:b], wide))
+            out["values"].append(_packed(self.value[a:b]) if self.other is None else _paired(self.value[a:b], self.other[a:b]))
             out["many"].append(np.packbits(self.many[a:b]).tobytes())
             out["wanted"].append(np.packbits(self.wanted[a:b]).tobytes())
         return out
@@ -118,21 +123,55 @@ class Held:
         return self.at[yes[self.group]] if len(self.group) else self.at
 
 
-def _packed(values: np.ndarray, wide: bool) -> bytes:
-    """Sorted values as bytes; narrow ones as differences, byte by byte, which compresses well."""
-    if wide:
-        return values.astype("<u8").tobytes()
+def _packed(values: np.ndarray) -> bytes:
+    """Sorted values of 32 bits as differences, byte by byte, which compresses well."""
     steps = np.diff(values.astype("<u4"), prepend=np.uint32(0)).astype("<u4")
     return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
-def _unpacked(data: bytes, wide: bool) -> np.ndarray:
-    if wide:
-        return np.frombuffer(data, dtype="<u8")
+def _unpacked(data: bytes) -> np.ndarray:
     steps = np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel()
     return np.cumsum(steps.astype(np.uint64))
 
 
+def _paired(values: np.ndarray, others: np.ndarray) -> bytes:
+    """Pairs of 64 bits each, all first halves before all second ones."""
+    return values.astype("<u8").tobytes() + others.astype("<u8").tobytes()
+
+
+def _halves(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(data, dtype="<u8").reshape(2, -1)
+    return both[0], both[1]
+
+
+def _again(values: list[np.ndarray], many: list[np.ndarray]) -> list[np.ndarray]:
+    """For each list of distinct values, which of them stand at least twice over all lists; those marked `many` do by themselves."""
+    joined = np.sort(np.concatenate(values + [v[m > 0] for v, m in zip(values, many, strict=True)]))
+    again = np.unique(joined[1:][joined[1:] == joined[:-1]])
+    out = []
+    for v in values:
+        at = np.searchsorted(again, v)
+        found = np.zeros(len(v), dtype=bool)
+        inside = at < len(again)
+        found[inside] = again[at[inside]] == v[inside]
+        out.append(found)
+    return out
+
+
+def _pairs_again(pairs: list[tuple[np.ndarray, np.ndarray]], many: list[np.ndarray]) -> list[np.ndarray]:
+    """The same for distinct pairs: both halves must be equal."""
+    first, second = (np.concatenate(half) for half in zip(*pairs, strict=True))
+    order = np.lexsort((second, first))
+    f, s = first[order], second[order]
+    new = np.ones(len(f), dtype=bool)
+    new[1:] = (f[1:] != f[:-1]) | (s[1:] != s[:-1])
+    group = np.cumsum(new) - 1
+    places = np.bincount(group, weights=1 + (np.concatenate(many)[order] > 0))
+    found = np.empty(len(f), dtype=bool)
+    found[order] = places[group] >= 2
+    return np.split(found, np.cumsum([len(m) for m in many])[:-1])
+
+
 MESSAGE = "bucket bigint, batch bigint, values binary, many binary, wanted binary"
 ANSWER = "batch bigint, kind int, bucket bigint, bits binary"
 MESSAGE_TYPES = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("values", pa.binary()), ("many", pa.binary()), ("wanted", pa.binary())])
@@ -140,21 +179,17 @@ ANSWER_TYPES = pa.schema([("batch", pa.int64()), ("kind", pa.int32()), ("bucket"
 
 
 def answers(messages: DataFrame, kind: int, wide: bool) -> DataFrame:
-    """For each batch and bucket, one bit per value: wanted there, and found at least twice over all batches."""
+    """For each batch and bucket, one bit per value (pair of values, if `wide`): wanted there, and found at least twice over all batches."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
-        values = [_unpacked(v, wide) for v in table.column("values").to_pylist()]
-        many = [np.unpackbits(np.frombuffer(m, dtype=np.uint8), count=len(v)) for m, v in zip(table.column("many").to_pylist(), values, strict=True)]
-        joined = np.sort(np.concatenate(values + [v[m > 0] for v, m in zip(values, many, strict=True)]))
-        again = np.unique(joined[1:][joined[1:] == joined[:-1]])
+        values = [_halves(v) if wide else _unpacked(v) for v in table.column("values").to_pylist()]
+        sizes = [len(v[0]) if wide else len(v) for v in values]
+        bits = lambda name: [np.unpackbits(np.frombuffer(m, dtype=np.uint8), count=n) for m, n in zip(table.column(name).to_pylist(), sizes, strict=True)]
+        repeated = (_pairs_again if wide else _again)(values, bits("many"))
         out: dict[str, list] = {"batch": [], "kind": [], "bucket": [], "bits": []}
-        for batch, v, w in zip(table.column("batch").to_pylist(), values, table.column("wanted").to_pylist(), strict=True):
-            at = np.searchsorted(again, v)
-            found = np.zeros(len(v), dtype=bool)
-            inside = at < len(again)
-            found[inside] = again[at[inside]] == v[inside]
-            found &= np.unpackbits(np.frombuffer(w, dtype=np.uint8), count=len(v)).astype(bool)
+        for batch, found, w in zip(table.column("batch").to_pylist(), repeated, bits("wanted"), strict=True):
+            found = found & (w > 0)
             if found.any():
                 out["batch"].append(batch)
                 out["kind"].append(kind)
@@ -186,12 +221,12 @@ def repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text:
 
     def probe(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         held = Batch(table, window).rolling(buckets)
-        return pa.table(held.messages(key[0].as_py(), wide=False), schema=MESSAGE_TYPES)
+        return pa.table(held.messages(key[0].as_py()), schema=MESSAGE_TYPES)
 
     def extend(key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table) -> pa.Table:
         batch = Batch(table, window)
         hit = _hit(batch, buckets, replies)
-        return pa.table(batch.candidates(buckets, hit).messages(key[0].as_py(), wide=True), schema=MESSAGE_TYPES)
+        return pa.table(batch.candidates(buckets, hit).messages(key[0].as_py()), schema=MESSAGE_TYPES)
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
 

@@ -267,6 +267,17 @@ def test_components(spark):
 # --- fingerprints
 
 
+def test_windows_are_told_apart_by_both_hashes():
+    """Two windows that agree in one hash of 64 bits only are not repeats."""
+    u = lambda *v: np.array(v, dtype=np.uint64)
+    pairs = [(u(5, 5, 9), u(1, 2, 7)), (u(5, 9), u(2, 8)), (u(4, 9), u(7, 9))]
+    many = [np.array(m, dtype=np.uint8) for m in ([0, 0, 0], [0, 0], [1, 0])]
+    sent = [substring_dedup._halves(substring_dedup._paired(*p)) for p in pairs]
+    assert [f.tolist() for f in substring_dedup._pairs_again(sent, many)] == [[False, True, False], [True, False], [True, False]]
+    held = substring_dedup.Held(np.arange(4), u(0, 0, 0, 0), u(3, 3, 3, 4), np.ones(4, bool), u(1, 2, 1, 1))
+    assert held.value.tolist() == [3, 3, 4] and held.other.tolist() == [1, 2, 1] and held.many.tolist() == [True, False, False]
+
+
 def test_fingerprints(docs, rows):
     got = fingerprints.edit_likeness(docs).collect()
     hashed = docs.selectExpr("doc_id", "coalesce(text, '') AS t", "xxhash64(coalesce(text, '')) AS h").collect()
