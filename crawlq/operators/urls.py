@@ -65,8 +65,9 @@ def _path_tokens(path: str, append_file_extension: bool) -> str:
 
 
 def _with_tokens(
-    df: DataFrame, url: str, is_normalize: bool, is_prefix_value: bool, append_file_extension: bool
+    df: DataFrame, url: str, is_normalize: bool, is_prefix_value: bool, append_file_extension: bool, in_order: bool = True
 ) -> DataFrame:
+    """Rows `(url_id, kind, ord, token)`, or `(url_id, kind, token, first)` with equal tokens of a URL side by side and the first of them marked."""
     zero = U.zero_digits if is_normalize else (lambda text: text)
     cut = (lambda text: f"left({text}, {U.PREFIX_LENGTH})") if is_prefix_value else (lambda text: text)
     path = zero(U.url_part(url, "path"))
@@ -78,13 +79,9 @@ def _with_tokens(
         "query_key": f"transform(__params, p -> {zero('p.k')})",
         "query_value": f"transform(__params, p -> {cut(zero('p.v'))})",
     }
-    df = once(df, {f"__{kind}_tokens": tokens for kind, tokens in lists.items()})
-    # `first` is true for the first time a token shows up in its URL.
-    tagged = [
-        f"""transform(__{kind}_tokens, (t, i) -> named_struct('kind', '{kind}', 'ord', i, 'token', t,
-            'first', array_position(__{kind}_tokens, t) = i + 1))"""
-        for kind in lists
-    ]
+    df = once(df, {f"__{kind}_tokens": tokens if in_order else f"array_sort({tokens})" for kind, tokens in lists.items()})
+    place = lambda kind: "'ord', i, 'token', t" if in_order else f"'token', t, 'first', i = 0 OR get(__{kind}_tokens, i - 1) <> t"
+    tagged = [f"transform(__{kind}_tokens, (t, i) -> named_struct('kind', '{kind}', {place(kind)}))" for kind in lists]
     rows = df.select("url_id", F.expr(f"explode_outer(concat({', '.join(tagged)}))").alias("t"))
     return rows.where("t IS NOT NULL").select("url_id", "t.*")
 
@@ -101,7 +98,7 @@ def url_tokens(
     Normalising turns digits into `0`; the prefix form keeps eight characters of host
     tokens and query values. A URL without a host gives no host rows (see `url_status`).
     """
-    return _with_tokens(df, url, is_normalize, is_prefix_value, append_file_extension).drop("first")
+    return _with_tokens(df, url, is_normalize, is_prefix_value, append_file_extension)
 
 
 def url_status(df: DataFrame, url: str = "url") -> DataFrame:
@@ -118,7 +115,7 @@ def url_token_counts(
     The first occurrence inside each URL is marked before the rows leave it, so the URL count
     is a plain sum with a map-side combine and a token found in every URL costs no hot task.
     """
-    rows = _with_tokens(df, url, is_normalize, is_prefix_value, True)
+    rows = _with_tokens(df, url, is_normalize, is_prefix_value, True, in_order=False)
     return rows.groupBy("kind", "token").agg(
         F.count(F.lit(1)).alias("n_tokens"), F.count_if(F.col("first")).alias("n_urls")
     )

@@ -33,6 +33,13 @@ SELECT page_id, url,
 FROM {pages}
 """
 
+# The same for pairs of pages: some URLs have no scheme, and some pages with an icon and a style sheet have a base of their own.
+PAIR_PAGES = f"""
+SELECT page_id, CASE WHEN page_id % 11 = 5 THEN replace(replace(url, 'https://', ''), 'http://', '') ELSE url END AS url,
+  CASE WHEN page_id % 12 = 6 THEN replace(html, '<style>', concat('<base href="https://cdn', CAST(page_id % 5 AS STRING), '.example.org/b/"><style>')) ELSE html END AS html
+FROM ({DECORATED_PAGES}) decorated
+"""
+
 # URLs of every shape: the page URLs and variants of them by page id.
 CRAWL_URLS = """
 SELECT page_id AS url_id,
@@ -143,6 +150,10 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir, DECORATED_PAGES)
 
 
+def pair_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir, PAIR_PAGES)
+
+
 def tld_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(line,) for line in TLD_LINES], "value string")
 

@@ -430,16 +430,28 @@ ORACLES["write_unescape_forms"] = _with(
 PAIRS = f"pairs AS ({_src(I.PAGE_PAIRS)})"
 
 
+SCHEMED = "schemed AS (SELECT page_id, contains(base_url, '://') AS schemed FROM bases)"
+_STATUS = "(SELECT schemed FROM schemed WHERE page_id = a_id) = (SELECT schemed FROM schemed WHERE page_id = b_id)"
+
+
+def _on_pair_pages(sql: str) -> str:
+    """The same over the pages of pairs."""
+    assert PX in sql
+    return sql.replace(PX, f"px AS ({_src(I.PAIR_PAGES)})")
+
+
 def _pair_sql(ctes: str, items: str) -> str:
     """`items`: rows (page_id, item, cnt)."""
-    return _with(
-        f"{ctes}, {PAIRS}, items AS ({items}), lens AS (SELECT page_id, sum(cnt) AS n FROM items GROUP BY 1)",
-        """SELECT a_id, b_id, CASE WHEN la = 0 AND lb = 0 THEN -1000.0::DOUBLE ELSE c::DOUBLE / greatest(1, least(la, lb)) END AS common_ratio_of_min,
-  c AS common_count, la AS len_a, lb AS len_b, 'ok' AS status FROM (
-  SELECT a_id, b_id, CAST(coalesce(x.n, 0) AS BIGINT) AS la, CAST(coalesce(y.n, 0) AS BIGINT) AS lb,
+    sql = _with(
+        f"{ctes}, {BASES}, {SCHEMED}, {PAIRS}, items AS ({items}), lens AS (SELECT page_id, sum(cnt) AS n FROM items GROUP BY 1)",
+        f"""SELECT a_id, b_id, CASE WHEN NOT ok THEN NULL WHEN la = 0 AND lb = 0 THEN -1000.0::DOUBLE ELSE c::DOUBLE / greatest(1, least(la, lb)) END AS common_ratio_of_min,
+  CASE WHEN ok THEN c END AS common_count, CASE WHEN ok THEN la END AS len_a, CASE WHEN ok THEN lb END AS len_b,
+  CASE WHEN ok THEN 'ok' ELSE 'scheme_mismatch' END AS status FROM (
+  SELECT a_id, b_id, {_STATUS} AS ok, CAST(coalesce(x.n, 0) AS BIGINT) AS la, CAST(coalesce(y.n, 0) AS BIGINT) AS lb,
     CAST(coalesce((SELECT sum(i.cnt) FROM items i JOIN items k ON k.item = i.item WHERE i.page_id = a_id AND k.page_id = b_id), 0) AS BIGINT) AS c
   FROM pairs LEFT JOIN lens x ON x.page_id = a_id LEFT JOIN lens y ON y.page_id = b_id)""",
     )
+    return _on_pair_pages(sql)
 
 
 _FULL = "SELECT page_id, item, count(*) AS cnt FROM {0} GROUP BY 1, 2"
@@ -452,22 +464,26 @@ _SET = (
     + _DIR.format("item")
     + " END AS item, 1 AS cnt FROM ({0}) JOIN bases USING (page_id)"
 )
-ORACLES["sim_title_text"] = _pair_sql(TITLES, _FULL.format("title_w"))
-ORACLES["sim_stylesheet"] = _pair_sql(f"{TAGS}, {BASES}", _SET.format(SHEETS))
-ORACLES["sim_script"] = _pair_sql(f"{TAGS}, {BASES}", _SET.format(SCRIPTS))
+ORACLES["sim_title_text"] = _pair_sql(TITLES.replace(PX, TAGS), _FULL.format("title_w"))
+ORACLES["sim_stylesheet"] = _pair_sql(TAGS, _SET.format(SHEETS))
+ORACLES["sim_script"] = _pair_sql(TAGS, _SET.format(SCRIPTS))
 ORACLES["sim_img"] = _pair_sql(
     TAGS,
     f"SELECT DISTINCT page_id, {_PAGE_HOST} || regexp_replace(item, '/[^/]*$', '') AS item, 1 AS cnt FROM ({IMAGES}) JOIN px USING (page_id)",
 )
 ORACLES["sim_div_style"] = _pair_sql(TAGS, _FULL.format(f"({STYLES})"))
+_BASE_HOST = _PAGE_HOST.replace("url", "base_url")
 ORACLES["same_icon"] = _with(
-    f"""{TAGS}, {PAIRS}, icons AS (SELECT DISTINCT page_id, {_PAGE_HOST} || item || '?' AS icon FROM ({ICONS}) JOIN px USING (page_id)),
-profile AS (SELECT page_id, {_PAGE_HOST} || '/favicon.ico?' AS dflt, coalesce((SELECT list_sort(list(icon)) FROM icons i WHERE i.page_id = px.page_id), []) AS x FROM px)""",
-    """SELECT a_id, b_id, list_has_any(a.x, b.x) AS same,
-  list_has_any(CASE WHEN len(a.x) = 0 THEN [a.dflt] ELSE a.x END, CASE WHEN len(b.x) = 0 THEN [b.dflt] ELSE b.x END) AS same_with_default,
-  len(a.x) AS n_a, len(b.x) AS n_b, array_to_string(a.x, '|') AS icons_a, array_to_string(b.x, '|') AS icons_b, 'ok' AS status
+    f"""{TAGS}, {BASES}, {SCHEMED}, {PAIRS}, icons AS (SELECT DISTINCT page_id, {_BASE_HOST} || item || '?' AS icon FROM ({ICONS}) JOIN bases USING (page_id)),
+profile AS (SELECT page_id, schemed, CASE WHEN contains(url, '://') THEN {_PAGE_HOST} || '/' ELSE '' END || 'favicon.ico?' AS dflt, coalesce((SELECT list_sort(list(icon)) FROM icons i WHERE i.page_id = bases.page_id), []) AS x FROM bases JOIN schemed USING (page_id))""",
+    f"""SELECT a_id, b_id, CASE WHEN a.schemed = b.schemed THEN list_has_any(a.x, b.x) END AS same,
+  CASE WHEN a.schemed = b.schemed THEN list_has_any(CASE WHEN len(a.x) = 0 THEN [a.dflt] ELSE a.x END, CASE WHEN len(b.x) = 0 THEN [b.dflt] ELSE b.x END) END AS same_with_default,
+  CASE WHEN a.schemed = b.schemed THEN len(a.x) END AS n_a, CASE WHEN a.schemed = b.schemed THEN len(b.x) END AS n_b,
+  CASE WHEN a.schemed = b.schemed THEN array_to_string(a.x, '|') END AS icons_a, CASE WHEN a.schemed = b.schemed THEN array_to_string(b.x, '|') END AS icons_b,
+  CASE WHEN a.schemed = b.schemed THEN 'ok' ELSE 'scheme_mismatch' END AS status
 FROM pairs JOIN profile a ON a.page_id = a_id JOIN profile b ON b.page_id = b_id""",
 )
+ORACLES["same_icon"] = _on_pair_pages(ORACLES["same_icon"])
 ORACLES["best_targets_title"] = _with(
     f"{TITLES}, items AS ({_FULL.format('title_w')}), lens AS (SELECT page_id, CAST(sum(cnt) AS BIGINT) AS n FROM items GROUP BY 1)",
     """SELECT * FROM (

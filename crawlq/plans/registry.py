@@ -54,7 +54,7 @@ def on_urls(name: str, job: Callable[[DataFrame], DataFrame]) -> None:
 
 
 def on_pairs(name: str, job: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
-    query(name)(lambda spark, sf_dir: job(I.derived(spark, sf_dir, I.PAGE_PAIRS), I.pages(spark, sf_dir)))
+    query(name)(lambda spark, sf_dir: job(I.derived(spark, sf_dir, I.PAGE_PAIRS), I.pair_pages(spark, sf_dir)))
 
 
 def _hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
