@@ -9,9 +9,9 @@ number in it, since notices of two versions differ in nothing else.
 
 Templates shorter than k are phrases; they are hashed whole and a hit is the phrase.
 
-Everything is DataFrame and SQL functions. The template table is small by contract (MAX_POSITIONS,
-checked before it is broadcast), so the k-grams of the documents are filtered where they are made, and only votes are
-shuffled, summed per document, template and diagonal before they move.
+Everything is DataFrame and SQL functions. A template table of at most MAX_POSITIONS k-grams, which is counted, is broadcast: the k-grams
+of the documents are filtered where they are made, and only votes are shuffled, summed per document, template and
+diagonal before they move. With more templates the same k-grams meet theirs in a plain join, and the rest is the same.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ K = 4
 DRIFT = 3
 #: Share of a template's k-grams that a span must hold for its label to count.
 LEAST_COVER = 0.6
-#: Most k-grams of all templates together: what is broadcast stays below some megabytes.
+#: Most k-grams of all templates together that are broadcast: some megabytes. Above, the join is left to the planner.
 MAX_POSITIONS = 200_000
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -91,30 +91,37 @@ def license_scan(docs: DataFrame, templates=NOTICES, phrases=PHRASES, k: int = K
     base_labels, labels, score.
 
     A null or empty text has no words, no places and score 0. A phrase counts at every place
-    it stands, overlapping ones included. `score` is the best cover of any template, 1 for a phrase.
+    it stands, overlapping ones included. `score` is the best cover of any template, 1 for a phrase. The number of
+    templates decides how they are joined, not what is found.
     """
     spark = docs.sparkSession
     positions = template_positions(template_table(spark, templates, phrases), k)
-    n_positions = positions.count()
-    if n_positions > MAX_POSITIONS:
-        raise ValueError(f"{n_positions} template positions are too many to send to every task")
+    few = positions.count() <= MAX_POSITIONS
     longest = F.expr("array_max(transform(gram_words, w -> struct(length(w) AS n, w AS w))).w")
-    # Grams with a number that each template has, as numbers in the plan.
-    marks = {r["template"]: r["n"] for r in positions.groupBy("template").agg(F.count_if("numbered").alias("n")).collect()}
-    lengths = {r["k"]: r["needed"] for r in positions.groupBy("k").agg(F.collect_set(longest).alias("needed")).collect()}
+    # Grams with a number that each template has.
+    positions = positions.join(positions.groupBy("template").agg(F.count_if("numbered").alias("needed")), "template")
+    # At most k lengths and those of the phrases; with few templates, also the words they look for.
+    sought = F.collect_set(longest) if few else F.array().cast("array<string>")
+    lengths = {r["k"]: r["needed"] for r in positions.groupBy("k").agg(sought.alias("needed")).collect()}
 
     df = only(docs, doc_id=doc_id, text=text).withColumn("text_key", F.xxhash64("text"))
     df = once(df, {"words": words("text")})
     # A hit needs the longest word of its gram, so documents without any of these words have none.
-    each = [
-        f"""transform(CASE WHEN arrays_overlap(words, array({', '.join(literal(w) for w in sorted(needed))}))
-            THEN {grams('words', n)} ELSE CAST(array() AS array<bigint>) END, (g, i) -> struct({n} AS k, i AS p, g AS gram))"""
-        for n, needed in sorted(lengths.items())
-    ]
-    rolling = df.select("doc_id", "text_key", "words", F.expr(f"inline(concat({', '.join(each)}))"))
-    t = F.broadcast(positions.select("template", "label", "phrase", "size", "n_grams", F.col("k").alias("tk"), F.col("gram").alias("tgram"), "at", "gram_words", "numbered"))
-    hits = rolling.join(t, F.expr("gram = tgram AND k = tk")).where("slice(words, p + 1, k) = gram_words")
-    votes = hits.groupBy("doc_id", "text_key", "template", "label", "phrase", "size", "n_grams", F.expr("p - at").alias("diagonal")).agg(
+    each = []
+    for n, needed in sorted(lengths.items()):
+        rolled = grams("words", n)
+        if few:
+            rolled = f"CASE WHEN arrays_overlap(words, array({', '.join(literal(w) for w in sorted(needed))})) THEN {rolled} ELSE CAST(array() AS array<bigint>) END"
+        each.append(f"transform({rolled}, (g, i) -> struct({n} AS k, i AS p, g AS gram))")
+    rolling = df.select("doc_id", "text_key", "words", F.expr(f"inline(concat({', '.join(each) or 'CAST(array() AS array<struct<k:int,p:int,gram:bigint>>)'}))"))
+    t = positions.select("template", "label", "phrase", "size", "n_grams", "needed", F.col("k").alias("tk"), F.col("gram").alias("tgram"), "at", "gram_words", "numbered")
+    if few:
+        hits = rolling.join(F.broadcast(t), F.expr("gram = tgram AND k = tk")).where("slice(words, p + 1, k) = gram_words")
+    else:
+        # Rows that move carry the words of their gram, not those of the document.
+        thin = rolling.select("doc_id", "text_key", "k", "p", "gram", F.expr("slice(words, p + 1, k)").alias("own"))
+        hits = thin.join(t, F.expr("gram = tgram AND k = tk AND own = gram_words"))
+    votes = hits.groupBy("doc_id", "text_key", "template", "label", "phrase", "size", "n_grams", "needed", F.expr("p - at").alias("diagonal")).agg(
         F.count_distinct("at").alias("votes"), F.collect_set(F.when(F.col("numbered"), F.col("at"))).alias("numbers"), F.min("p").alias("first"), F.max(F.expr("p + k - 1")).alias("last")
     )
     # Repeated rows vote again for the same places: distinct template positions keep the votes right.
@@ -123,12 +130,11 @@ def license_scan(docs: DataFrame, templates=NOTICES, phrases=PHRASES, k: int = K
         "opens", F.expr("phrase") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(near) > DRIFT, F.lit(True))
     )
     placed = starts.withColumn("place", F.sum(F.col("opens").cast("int")).over(near))
-    spans = placed.groupBy("doc_id", "text_key", "template", "label", "phrase", "size", "n_grams", "place").agg(
+    spans = placed.groupBy("doc_id", "text_key", "template", "label", "phrase", "size", "n_grams", "needed", "place").agg(
         F.sum("votes").alias("votes"), F.expr("size(array_distinct(flatten(collect_list(numbers))))").alias("numbers"), F.min("first").alias("first"), F.max("last").alias("last")
     )
     spans = spans.withColumn("cover", F.expr("least(1D, votes / n_grams) * least(1D, size / (last - first + 1))"))
-    needed = f"CASE template {' '.join(f'WHEN {t} THEN {n}' for t, n in sorted(marks.items()) if n)} ELSE 0 END" if any(marks.values()) else "0"
-    spans = spans.where(f"phrase OR (cover >= {LEAST_COVER} AND last - first + 1 <= 2 * size AND numbers >= {needed})")
+    spans = spans.where(f"phrase OR (cover >= {LEAST_COVER} AND last - first + 1 <= 2 * size AND numbers >= needed)")
     found = spans.groupBy("doc_id", "text_key").agg(
         F.count_if("phrase").alias("n_base"),
         F.min(F.when(F.col("phrase"), F.col("first"))).cast("bigint").alias("first_word"),

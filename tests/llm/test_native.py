@@ -175,6 +175,18 @@ def test_versions_are_told_apart(spark):
     assert {r["doc_id"]: r["labels"] for r in got.collect()} == {0: "gpl,gpl-2.0", 1: "gpl,gpl-3.0", 2: "gpl", 3: "gpl,gpl-2.0", 4: ""}
 
 
+def test_many_templates_find_the_same(spark, docs, monkeypatch):
+    """Above the bound for broadcasting nothing is refused and nothing changes."""
+    rows = [(100 + i, f"a b {text} c. All rights reserved, cc by {i}") for i, (_, text) in enumerate(license_scan.NOTICES)]
+    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    want = Counter(map(tuple, license_scan.license_scan(table).collect()))
+    monkeypatch.setattr(license_scan, "MAX_POSITIONS", 0)
+    scan = license_scan.license_scan(table)
+    assert Counter(map(tuple, scan.collect())) == want and sum(r[6] != "" for r in want) >= len(rows)
+    nothing = license_scan.license_scan(table, templates=(), phrases=())
+    assert {(r["labels"], r["n_base"], r["score"]) for r in nothing.collect()} == {("", 0, 0.0)}
+
+
 # --- mixing
 
 
