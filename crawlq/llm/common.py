@@ -52,6 +52,28 @@ def parts_for(total: int, per_part: int, least: int = 1) -> int:
     return max(least, math.ceil(total / per_part))
 
 
+#: A key counts as hot when it holds more than this fraction of the rows, so there are never more than HOT of them.
+HOT = 1_000
+
+
+def hot_keys(rows: DataFrame, *keys: str) -> DataFrame:
+    """The values of `keys` that more than one in HOT of all rows hold, at least two, with their number `copies`: HOT rows at most."""
+    total = rows.count()
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > max(1, total / HOT))
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Inner join of `rows` with a table that holds each key once, where a single key may stand in a third of the rows.
+
+    The table's rows of hot keys, HOT at most, are broadcast, so rows that hold them stay where they are; the others meet in a shuffle,
+    none of them in large groups. `rows` is read three times and should be a thin written table. Null keys join nothing.
+    """
+    hot = stored(hot_keys(rows.where(F.col(key).isNotNull()), key).select(key))
+    few = stored(table.join(F.broadcast(hot), key, "left_semi"))
+    usual = rows.join(F.broadcast(hot), key, "left_anti").join(table, key)
+    return rows.join(F.broadcast(few), key).unionByName(usual)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write `df` as Parquet to the shared checkpoint storage and read it back.
 

@@ -23,7 +23,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlq.llm.common import only
+from crawlq.llm.common import hot_join, only, stored
 from crawlq.runtime import scratch_folder
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -157,7 +157,7 @@ def token_counts(
     `cache` is the folder of stored counts; without it a fresh one on the shared checkpoint storage is used.
     `normalised` is SQL text for the content that is digested and encoded; it must keep counts, and since this
     vocabulary normalises nothing itself, it is the text as it stands. A null text is an empty one: 0 tokens.
-    Repeated contents are encoded once. An empty table gives no rows and appends nothing.
+    Repeated contents are encoded once, and the rows of a content that stands in very many are spread. An empty table gives no rows and appends nothing.
     """
     spark = docs.sparkSession
     folder, version = cache or scratch_folder(spark), version_digest(vocabulary)
@@ -166,5 +166,6 @@ def token_counts(
     rows = rows.withColumn("digest", F.sha2("text", 256))
     misses = rows.select("digest", "text").distinct().join(cached_counts(docs, folder, version), "digest", "left_anti")
     count_tokens(misses, vocabulary).write.parquet(f"{folder}/{version}/{uuid.uuid4().hex}")
-    counted = rows.select("doc_id", "n_bytes", "digest").join(cached_counts(docs, folder, version), "digest")
+    thin = stored(rows.select("doc_id", "n_bytes", "digest"))
+    counted = hot_join(thin, cached_counts(docs, folder, version), "digest")
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
