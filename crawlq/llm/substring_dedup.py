@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlq.llm.common import only, parts_for, text_bytes
+from crawlq.llm.common import hot_keys, only, parts_for, stored, text_bytes
 from crawlq.llm.hashing import Words, blocks
 
 WINDOW = 35
@@ -37,6 +37,8 @@ class Batch:
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i], texts[i])) if len(ids) > 1 else [0] * len(ids)
         self.rows = order
         self.texts = [texts[i].encode() for i in order]
+        held = table.column("copies").to_pylist()
+        self.copies = [held[i] for i in order]
         first, second, owner, at = [], [], [], 0
         for block in blocks(self.texts):
             words = Words(block)
@@ -49,6 +51,8 @@ class Batch:
         self.begins = np.searchsorted(self.owner, np.arange(len(self.texts) + 1))
         #: Position of each word in its text.
         self.place = np.arange(len(self.owner)) - self.begins[self.owner]
+        #: Words of texts that stand for more than one equal row.
+        self.copied = np.array([n > 1 for n in self.copies], dtype=bool)[self.owner]
 
     def windows(self, k: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return Words.windows(_Stand(self.owner, hashes), k)
@@ -56,7 +60,7 @@ class Batch:
     def rolling(self, buckets: int) -> "Held":
         """All rolling windows of ANCHOR words, with those that are reference blocks marked."""
         at, h = self.windows(self.anchor, self.first)
-        return Held(at, (h >> np.uint64(32)) % np.uint64(buckets), (h & np.uint64(0xFFFFFFFF)), self.place[at] % self.anchor == 0)
+        return Held(at, (h >> np.uint64(32)) % np.uint64(buckets), (h & np.uint64(0xFFFFFFFF)), self.place[at] % self.anchor == 0, copied=self.copied[at])
 
     def candidates(self, buckets: int, hit: np.ndarray) -> "Held":
         """The windows of WINDOW words whose reference block, given by its first word, is hit."""
@@ -68,7 +72,7 @@ class Batch:
         at, h = at[keep], h[keep]
         _, other = self.windows(self.window, self.second)
         other = other[keep]
-        return Held(at, other % np.uint64(buckets), h, np.ones(len(at), dtype=bool), other)
+        return Held(at, other % np.uint64(buckets), h, np.ones(len(at), dtype=bool), other, self.copied[at])
 
 
 class _Stand:
@@ -81,7 +85,9 @@ class _Stand:
 class Held:
     """Windows of a batch, grouped by bucket and value, or by bucket and a pair of values."""
 
-    def __init__(self, at: np.ndarray, bucket: np.ndarray, value: np.ndarray, wanted: np.ndarray, other: np.ndarray | None = None):
+    def __init__(
+        self, at: np.ndarray, bucket: np.ndarray, value: np.ndarray, wanted: np.ndarray, other: np.ndarray | None = None, copied: np.ndarray | None = None
+    ):
         self.at = at
         order = np.lexsort((value, bucket) if other is None else (other, value, bucket))
         b, v = bucket[order], value[order]
@@ -96,6 +102,8 @@ class Held:
         self.bucket, self.value = b[starts], v[starts]
         self.other = None if other is None else o[starts]
         self.many = np.diff(np.append(starts, len(b))) > 1
+        if copied is not None:
+            self.many |= np.bincount(self.group, weights=copied, minlength=len(starts)) > 0
         self.wanted = np.bincount(self.group, weights=wanted, minlength=len(starts)) > 0
         changes = np.flatnonzero(self.bucket[1:] != self.bucket[:-1]) + 1
         bounds = [0, *changes.tolist(), len(self.bucket)] if len(starts) else []
@@ -210,14 +218,15 @@ def repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text:
     A word is removed when a window of `window` words that covers it stands at another place too, in the same text
     or another, judged on the texts as they come in. `kept` joins the other words by one blank; `spans` are the first and
     last word of each maximal repeat. A null, empty or shorter text has none. Equal rows are places of their own, so
-    repeated texts of `window` words or more go entirely; they meet in one batch.
+    repeated texts of `window` words or more go entirely; a row that stands in more than a thousandth of the table is counted and dealt
+    to many batches as one text and a number.
     """
     if window < 3 or window % 2 == 0:
         raise ValueError("the window must be an odd number of words, 3 or more")
     rows = only(docs, doc_id=doc_id, text=text)
     _, size = text_bytes(rows)
     batches, buckets = parts_for(size, PER_BATCH, least=32), parts_for(size, PER_BUCKET, least=32)
-    dealt = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("bigint"))
+    dealt = _dealt(rows, batches)
 
     def probe(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         held = Batch(table, window).rolling(buckets)
@@ -237,7 +246,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text:
         np.add.at(edges, again, 1)
         np.add.at(edges, again + window, -1)
         gone = np.cumsum(edges)[: len(batch.owner)] > 0
-        out: dict[str, list] = {"n_words": [], "n_removed": [], "kept": [], "spans": []}
+        out: dict[str, list] = {"n_words": [], "n_removed": [], "kept": [], "spans": [], "copies": batch.copies}
         for k, data in enumerate(batch.texts):
             own = gone[batch.begins[k] : batch.begins[k + 1]]
             words = data.split()
@@ -250,14 +259,36 @@ def repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text:
         ids = table.column("doc_id").combine_chunks().take(pa.array(batch.rows, pa.int64()))
         return pa.table(
             [ids, pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["kept"], pa.string()),
-             pa.array(out["spans"], pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))],
-            names=["doc_id", "n_words", "n_removed", "kept", "spans"],
+             pa.array(out["spans"], pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array(out["copies"], pa.int64())],
+            names=["doc_id", "n_words", "n_removed", "kept", "spans", "copies"],
         )
 
     hits = answers(dealt.groupBy("batch").applyInArrow(probe, MESSAGE), 0, wide=False)
     full = answers(dealt.groupBy("batch").cogroup(hits.groupBy("batch")).applyInArrow(extend, MESSAGE), 1, wide=True)
-    schema = f"doc_id {id_type}, n_words bigint, n_removed bigint, kept string, spans array<struct<first:bigint,last:bigint>>"
-    return dealt.groupBy("batch").cogroup(hits.unionByName(full).groupBy("batch")).applyInArrow(remove, schema)
+    schema = f"doc_id {id_type}, n_words bigint, n_removed bigint, kept string, spans array<struct<first:bigint,last:bigint>>, copies bigint"
+    found = dealt.groupBy("batch").cogroup(hits.unionByName(full).groupBy("batch")).applyInArrow(remove, schema)
+    return found.select("doc_id", "n_words", "n_removed", "kept", "spans", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).drop("col")
+
+
+def _dealt(rows: DataFrame, batches: int) -> DataFrame:
+    """doc_id, text, copies, batch: rows by a hash of all they hold, and each very frequent row in equal shares over all batches."""
+    keyed = rows.withColumn("text_key", F.xxhash64("text"))
+    hot = stored(hot_keys(keyed, "doc_id", "text_key").select(F.col("doc_id").alias("hot_id"), F.col("text_key").alias("hot_key")))
+    same = F.expr("doc_id <=> hot_id AND text_key = hot_key")
+    at = F.xxhash64("doc_id", "text")
+    alone = ("doc_id", "text", F.lit(1).cast("bigint").alias("copies"), F.pmod(at, F.lit(batches)).cast("bigint").alias("batch"))
+    if hot.isEmpty():
+        return rows.select(*alone)
+    usual = keyed.join(F.broadcast(hot), same, "left_anti").select(*alone)
+    counted = keyed.join(F.broadcast(hot), same, "left_semi").groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("n"))
+    shares = counted.select("doc_id", "text", "n", F.expr(f"least(n, {batches})").alias("k"))
+    shares = shares.select("*", F.explode(F.expr("sequence(0, k - 1)")).alias("i"))
+    return usual.unionByName(
+        shares.select(
+            "doc_id", "text", F.expr("n DIV k + CAST(i < n % k AS BIGINT)").alias("copies"),
+            F.pmod(F.pmod(at, F.lit(batches)) + F.col("i"), F.lit(batches)).cast("bigint").alias("batch"),
+        )
+    )
 
 
 def _hit(batch: Batch, buckets: int, replies: pa.Table) -> np.ndarray:

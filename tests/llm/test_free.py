@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from crawlq.llm import fingerprints, graph, near_join, packing, quality_classifier, substring_dedup, tokens
+from crawlq.llm import common, fingerprints, graph, near_join, packing, quality_classifier, substring_dedup, tokens
 
 
 def spaced(text):
@@ -50,6 +50,20 @@ def test_token_counts(docs, rows, encode):
     assert got == Counter((i, len((t or "").encode()), n(t or ""), n(t or "") > 512) for i, t, _, _ in rows)
 
 
+def test_counts_of_a_content_in_a_third_of_the_rows(spark, encode):
+    rows = [(i, "the same text") for i in range(500)] + [(1000 + i, f"text {i}") for i in range(1001)]
+    got = Counter(map(tuple, tokens.token_counts(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()))
+    assert got == Counter((i, len(t), len(encode.whole(t)) // 4, False) for i, t in rows)
+
+
+def test_hot_joins_are_joins(spark):
+    rows = [(i, "hot") for i in range(700)] + [(i, f"k{i % 900}") for i in range(1300)] + [(1, None)]
+    left = spark.createDataFrame(rows, "n bigint, k string")
+    right = spark.createDataFrame([("hot", 1), ("k3", 2), ("k700", 3), (None, 4), ("none", 5)], "k string, v bigint")
+    assert [r[0] for r in common.hot_keys(left, "k").select("k").collect()] == ["hot"]
+    assert Counter(map(tuple, common.hot_join(left, right, "k").collect())) == Counter(map(tuple, left.join(right, "k").collect()))
+
+
 def test_cache_is_used_and_grows(spark, tmp_path):
     folder, version = str(tmp_path / "cache"), tokens.version_digest(tokens.VOCABULARY)
     one = spark.createDataFrame([(1, "first text"), (2, "first text")], "doc_id bigint, text string")
@@ -170,6 +184,18 @@ def test_repeats(docs, rows):
     assert got == brute_repeats([(i, t) for i, t, _, _ in rows], 35)
 
 
+def test_repeats_of_very_frequent_rows(spark):
+    """A third of the table is one row, another one is short: both are counted, dealt to many batches and returned as often as they came."""
+    long, short = " ".join(f"c{i}" for i in range(50)), "just a few"
+    rows = [(7, long)] * 60 + [(None, short)] * 45 + [(8, long + " tail"), (9, short)]
+    rows += [(100 + i, " ".join(f"d{i}x{j}" for j in range(40))) for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.repeats(table).collect())
+    assert got == brute_repeats(rows, 35) and got[7, 50, 50, ""] == 60 and got[None, 3, 0, short] == 45
+    dealt = substring_dedup._dealt(table, 32).collect()
+    assert sum(r["copies"] for r in dealt) == len(rows) and max(r["copies"] for r in dealt) <= 2
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abc"), max_size=40).map(" ".join), min_size=1, max_size=6))
 def test_short_windows(spark, texts):
