@@ -13,7 +13,7 @@ bounded answer however many parts it holds.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlq.functions.text import literal, once
@@ -63,10 +63,7 @@ def _spans(kind: str) -> str:
 
 
 def found_parts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text_key, strong and weak spans per row. Matches of a kind are leftmost and do not overlap.
-
-    A weak part that overlaps a strong span is part of that one and is left out.
-    """
+    """doc_id, text_key, strong and weak spans per row. Matches of a kind are leftmost and do not overlap."""
     df = only(docs, doc_id=doc_id, text=text).withColumn("text_key", F.xxhash64("text"))
     matches = {f"__match_{k}": f"regexp_extract_all(text, {literal(p)}, 0)" for k, (_, _, p) in KINDS.items()}
     df = once(df, matches | {"__value_assign": f"regexp_extract_all(text, {literal(ASSIGN)}, 2)"})
@@ -83,18 +80,35 @@ def found_parts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         "doc_id",
         "text_key",
         F.expr("array_sort(concat(" + ", ".join(f"__{k}" for k in STRONG) + "))").alias("strong"),
-        F.expr("array_sort(concat(" + ", ".join(f"__{k}" for k in KINDS if k not in STRONG) + "))").alias("__weak"),
+        F.expr("array_sort(concat(" + ", ".join(f"__{k}" for k in KINDS if k not in STRONG) + "))").alias("weak"),
     )
-    df = once(df, {"strong": "strong", "__weak": "__weak"})
-    alone = "filter(__weak, w -> NOT exists(strong, b -> b.start < w.end AND w.start < b.end))"
-    return df.withColumn("weak", F.expr(alone)).drop("__weak")
+    return once(df, {"strong": "strong", "weak": "weak"})
+
+
+def standing_alone(parts: DataFrame) -> DataFrame:
+    """`parts` without the weak ones that overlap a strong span, as those are part of it.
+
+    A strong span that starts no later overlaps where the furthest end so far lies beyond the part's start, and one
+    that starts no earlier where the nearest start from there on lies before its end: two sorted passes over the spans of a text.
+    """
+    of_text = Window.partitionBy("doc_id", "text_key")
+    strong = F.col("rank") < len(STRONG)
+    furthest = F.max(F.when(strong, F.col("end"))).over(of_text.orderBy("start"))
+    nearest = F.min(F.when(strong, F.col("start"))).over(of_text.orderBy(F.desc("start")))
+    marked = parts.withColumn("__furthest", furthest).withColumn("__nearest", nearest)
+    overlaps = "coalesce(__furthest > start, false) OR coalesce(__nearest < end, false)"
+    return marked.where(f"rank < {len(STRONG)} OR NOT ({overlaps})").drop("__furthest", "__nearest")
 
 
 def linked_parts(found: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """doc_id, text_key, linked: the weak spans whose complementary parts start at most `scope` code points away."""
+    """doc_id, text_key, linked: the weak spans whose complementary parts start at most `scope` code points away.
+
+    A weak part that overlaps a strong span is part of that one and is left out.
+    """
     role = "CASE rank " + " ".join(f"WHEN {r} THEN {literal(role)}" for r, role, _ in KINDS.values()) + " END"
     base = found.where("size(weak) > 0").dropDuplicates(["doc_id", "text_key"])
     parts = base.select("doc_id", "text_key", F.expr("inline(concat(strong, weak))"))
+    parts = standing_alone(parts)
     parts = parts.withColumn("role", F.expr(role)).withColumn("bin", F.expr(f"start DIV {scope}"))
     bins = parts.groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), F.col("bin").alias("at"), F.col("role").alias("other")).agg(
         F.min("start").alias("first"), F.max("start").alias("last")
@@ -113,7 +127,7 @@ def linked_parts(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     return (
         each.where(complete)
         .groupBy("doc_id", "text_key")
-        .agg(F.collect_list(F.struct("start", "rank", "kind", "end")).alias("linked"))
+        .agg(F.array_sort(F.collect_list(F.struct("start", "rank", "kind", "end"))).alias("linked"))
     )
 
 
