@@ -5,6 +5,9 @@ that their sums by source, by language and by topic meet the target shares, unti
 cell's raked to its own tokens is the calibrated weight of its documents; a document is sampled with a
 probability in proportion to it, decided by a hash of its id.
 
+Weights of the rarest cells can be many times those of all others. Dividing by the largest would then throw most documents away for a
+handful of documents, so probabilities are relative to the weight that all but a share `TRIM` of the fitted tokens stay within; cells above it are taken whole.
+
 Everything is DataFrame and SQL functions. The only pass over documents sums tokens per cell, combined
 before the shuffle, so a source with a third of all rows is a handful of partial sums. The rounds work
 on the table of cells alone, and each is cut with a checkpoint.
@@ -23,11 +26,15 @@ from crawlq.runtime import checkpointed
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Target shares are the shares in the data to this power: below 1 lifts small sources.
-TEMPER = 0.9
-TOLERANCE = 1e-5
+TEMPER = 0.7
+TOLERANCE = 1e-6
 MAX_ROUNDS = 60
 #: Cells per partition of the rounds.
 PER_PART = 100_000
+#: Share of the fitted tokens whose cells may weigh more than probability 1 stands for; the sample misses its targets by no more than that share.
+TRIM = 0.01
+#: Bins per doubling of the weight in which the trimming point is looked for.
+BINS = 16
 
 #: Topic words: a document belongs to the topic whose words make up most of its characters.
 TOPICS = {
@@ -46,13 +53,37 @@ def topic_characters(text: str, topics: dict[str, tuple[str, ...]] = TOPICS) ->
     return f"array({', '.join(held)})"
 
 
-def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
-    """doc_id, text_key, source, lang, topic, tokens (words, at least 1) of whole texts; an empty text weighs one token."""
-    df = only(docs, doc_id=doc_id, text=text, source=source, lang=lang).withColumn("text_key", F.xxhash64("text"))
+def measured(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    lang: str = "lang",
+    topic: str | None = None,
+    tokens: str | None = None,
+) -> DataFrame:
+    """doc_id, text_key, source, lang, topic, tokens of whole texts.
+
+    `topic` and `tokens` name columns that hold them (tokens null or below 1 weigh one). Without, tokens are words between white space, at least 1, and
+    the topic is read from `TOPICS`.
+    """
+    given = {name: column for name, column in (("topic", topic), ("tokens", tokens)) if column}
+    df = only(docs, doc_id=doc_id, text=text, source=source, lang=lang, **given).withColumn("text_key", F.xxhash64("text"))
+    if tokens:
+        df = df.withColumn("tokens", F.expr("greatest(coalesce(CAST(tokens AS BIGINT), 1), 1)"))
+    else:
+        df = _words_as_tokens(df)
+    return df.drop("text") if topic else _topic_by_words(df)
+
+
+def _words_as_tokens(df: DataFrame) -> DataFrame:
     trimmed = f"btrim(text, {literal(SPACES)})"
     df = df.withColumn("tokens", F.expr(f"CAST(CASE WHEN {trimmed} = '' THEN 1 ELSE size(split({trimmed}, {literal('[' + SPACES + ']+')})) END AS BIGINT)"))
-    df = df.withColumn("__low", F.expr(f"lower(translate(text, {literal(SPACES)}, {literal(' ' * len(SPACES))}))"))
-    df = once(df, {"tokens": "tokens", "__low": "__low"})
+    return once(df, {"tokens": "tokens"})
+
+
+def _topic_by_words(df: DataFrame) -> DataFrame:
+    df = once(df, {"__low": f"lower(translate(text, {literal(SPACES)}, {literal(' ' * len(SPACES))}))"})
     df = once(df, {"__held": topic_characters("__low")}).drop("text", "__low")
     names = ", ".join(literal(name) for name in TOPICS)
     # The topic with most characters, the first listed on a tie.
@@ -69,6 +100,18 @@ def tempered_targets(cells: DataFrame, power: float = TEMPER) -> DataFrame:
     return lifted.select("dimension", "value", (F.col("share") / F.sum("share").over(whole)).alias("share"))
 
 
+def _with_held(df: DataFrame, d: str, parts: int) -> DataFrame:
+    """`df` with `__held`, the sum of `fitted` over its value of dimension `d`.
+
+    Over several partitions sums combine before they move, so that the cells of a common value never meet in one task; in one partition
+    nothing moves anyway, and a window saves the join.
+    """
+    if parts == 1:
+        return df.withColumn("__held", F.sum("fitted").over(Window.partitionBy(d)))
+    sums = df.groupBy(F.col(d).alias("__value")).agg(F.sum("fitted").alias("__held"))
+    return df.join(sums, df[d].eqNullSafe(sums["__value"])).drop("__value")
+
+
 def raked(cells: DataFrame, targets: DataFrame, tolerance: float = TOLERANCE, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """Cells with `fitted`: shares of all tokens that meet the targets, nearest to the data's own.
 
@@ -85,23 +128,25 @@ def raked(cells: DataFrame, targets: DataFrame, tolerance: float = TOLERANCE, ma
         t = t.withColumn("share", F.col("share") / F.sum("share").over(total))
         t = t.select(F.col("value").alias(f"__v_{d}"), F.col("share").alias(f"__t_{d}"))
         df = df.join(t, F.col(d).eqNullSafe(F.col(f"__v_{d}")), "left").drop(f"__v_{d}").fillna({f"__t_{d}": 0.0})
-    df = stored(df.where(reduce(lambda a, b: a & b, [F.col(f"__t_{d}") > 0 for d in DIMENSIONS])))
+    df = checkpointed(df.where(reduce(lambda a, b: a & b, [F.col(f"__t_{d}") > 0 for d in DIMENSIONS])))
     # As many partitions as the cells need; where that is one, no round moves anything.
     parts = parts_for(df.count(), PER_PART)
-    worst = None
+    # A single partition needs no cut inside a round; with more, each sum is read twice and must not be computed anew.
+    cut = (lambda x: x) if parts == 1 else checkpointed
+    worst, columns = None, df.columns
     for _ in range(max_rounds):
         df = df.coalesce(parts)
         for d in DIMENSIONS:
-            held = F.sum("fitted").over(Window.partitionBy(d))
-            df = df.withColumn("fitted", F.col("fitted") * F.col(f"__t_{d}") / held)
-        df = checkpointed(df)
+            scaled = F.col("fitted") * F.col(f"__t_{d}") / F.col("__held")
+            df = cut(_with_held(df, d, parts).withColumn("fitted", scaled).select(*columns))
         # The last dimension holds exactly after a round; the others tell how far it still is.
-        fitted = df.coalesce(parts)
-        gaps = [
-            fitted.groupBy(d).agg(F.abs(F.sum("fitted") - F.max(f"__t_{d}")).alias("gap")).agg(F.max("gap").alias("gap"))
-            for d in DIMENSIONS[:-1]
-        ]
-        worst = reduce(DataFrame.unionByName, gaps).agg(F.max("gap")).first()[0]
+        df = df.withColumn("__gap", F.lit(0.0))
+        for d in DIMENSIONS[:-1]:
+            gap = F.greatest("__gap", F.abs(F.col("__held") - F.col(f"__t_{d}")))
+            df = cut(_with_held(df, d, parts).withColumn("__gap", gap).drop("__held"))
+        df = checkpointed(df)
+        worst = df.agg(F.max("__gap")).first()[0]
+        df = df.select(*columns)
         if worst is None or worst <= tolerance:
             break
     fitted = df.select(*[F.col(d).alias(f"__{d}") for d in DIMENSIONS], "fitted")
@@ -109,25 +154,35 @@ def raked(cells: DataFrame, targets: DataFrame, tolerance: float = TOLERANCE, ma
     return cells.join(fitted, same, "left").select(*cells.columns, F.coalesce("fitted", F.lit(0.0)).alias("fitted"), F.lit(float(worst or 0)).alias("gap"))
 
 
-def calibrated(cells: DataFrame) -> DataFrame:
-    """Cells with `weight` (fitted share over own share) and `probability` (weight over the largest weight)."""
+def calibrated(cells: DataFrame, trim: float = TRIM) -> DataFrame:
+    """Cells with `weight` (fitted share over own share) and `probability` (weight over the trimming point, 1 at most).
+
+    The trimming point is the least weight of a bin end such that heavier cells hold at most `trim` of the fitted tokens; with 0 it is the
+    largest weight. Weights are counted in bins of equal ratio, so finding it takes one combined sum per bin.
+    """
     whole = cells.agg(F.sum("tokens").alias("__all"))
     df = cells.join(F.broadcast(whole)).withColumn("weight", F.col("fitted") * F.col("__all") / F.col("tokens")).drop("__all")
-    most = df.agg(F.max("weight").alias("__most"))
-    return df.join(F.broadcast(most)).withColumn("probability", F.expr("CASE WHEN __most > 0 THEN weight / __most ELSE 0D END")).drop("__most")
+    bins = df.where("weight > 0").groupBy(F.expr(f"floor(log2(weight) * {BINS})").alias("bin"))
+    bins = bins.agg(F.sum("fitted").alias("held"), F.max("weight").alias("most"))
+    above = bins.select("most", F.sum("held").over(Window.orderBy(F.desc("bin"))).alias("held_from"), "held", F.sum("held").over(Window.partitionBy()).alias("all"))
+    most = above.where(F.col("held_from") - F.col("held") <= F.lit(trim) * F.col("all")).agg(F.min("most").alias("__most"))
+    probability = F.expr("CASE WHEN __most > 0 THEN least(weight / __most, 1D) ELSE 0D END")
+    return df.join(F.broadcast(most)).withColumn("probability", probability).drop("__most")
 
 
-def mixed(docs: DataFrame, targets: DataFrame | None = None, power: float = TEMPER, seed: int = 17, **columns: str) -> DataFrame:
+def mixed(
+    docs: DataFrame, targets: DataFrame | None = None, power: float = TEMPER, seed: int = 17, trim: float = TRIM, **columns: str | None
+) -> DataFrame:
     """One row per input row: doc_id, text_key, source, lang, topic, tokens, weight, probability, sampled, gap (see `raked`).
 
     `targets` has dimension (source, lang or topic), value and share; without it the data's shares to `power` are
-    used. `probability` is the calibrated weight over the largest one, so sampled documents hold the target
-    shares in expectation without repeating any. Equal ids are decided alike. A null source, language or id
-    is a value of its own; an empty table gives no rows.
+    used. `probability` is the calibrated weight over the trimming point (see `calibrated`), so sampled documents hold the target
+    shares in expectation, but for at most `trim` of the tokens, without repeating any. Equal ids are decided alike. A null source, language,
+    topic or id is a value of its own; an empty table gives no rows. `columns` are those of `measured`.
     """
     rows = stored(measured(docs, **columns))
     cells = checkpointed(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
-    weights = calibrated(raked(cells, tempered_targets(cells, power) if targets is None else targets)).drop("tokens", "fitted")
+    weights = calibrated(raked(cells, tempered_targets(cells, power) if targets is None else targets), trim).drop("tokens", "fitted")
     w = stored(weights.select(*[F.col(d).alias(f"__{d}") for d in DIMENSIONS], "weight", "probability", "gap"))
     same = reduce(lambda a, b: a & b, [rows[d].eqNullSafe(w[f"__{d}"]) for d in DIMENSIONS])
     drawn = F.expr(f"CAST(conv(substring(md5(concat_ws(':', {seed}, doc_id)), 1, 12), 16, 10) AS DOUBLE) / 281474976710656D")

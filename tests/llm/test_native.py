@@ -1,6 +1,8 @@
 """Quality rules, secrets, licences and mixing against plain Python."""
 
 import hashlib
+import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -187,6 +189,25 @@ def test_many_templates_find_the_same(spark, docs, monkeypatch):
     assert {(r["labels"], r["n_base"], r["score"]) for r in nothing.collect()} == {("", 0, 0.0)}
 
 
+def test_weak_parts_inside_strong_ones(spark):
+    """Against all pairs of spans, in texts with thousands of them."""
+    draw = random.Random(5)
+    rows = []
+    for doc in range(3):
+        starts = sorted(draw.sample(range(60_000), 3000))
+        ends = [min(b, a + draw.randint(1, 40)) for a, b in zip(starts, [*starts[1:], 70_000], strict=True)]
+        rows += [(doc, doc, a, draw.choice([0, 2]), "strong", b) for a, b in zip(starts, ends, strict=True)]
+        rows += [(doc, doc, a, draw.choice([3, 4, 5]), "weak", a + draw.randint(1, 60)) for a in draw.sample(range(60_000), 3000)]
+    parts = spark.createDataFrame(rows, "doc_id bigint, text_key bigint, start bigint, rank int, kind string, end bigint")
+    got = Counter(map(tuple, secrets.standing_alone(parts).collect()))
+    held = defaultdict(list)
+    for r in rows:
+        if r[3] < 3:
+            held[r[0]].append((r[2], r[5]))
+    want = Counter(r for r in rows if r[3] < 3 or not any(a < r[5] and r[2] < b for a, b in held[r[0]]))
+    assert got == want and 0 < len([r for r in want if r[3] >= 3]) < 9000
+
+
 # --- mixing
 
 
@@ -201,7 +222,7 @@ def raked(cells, targets):
     return fitted
 
 
-def test_raking_meets_targets(spark):
+def test_raking_meets_targets(spark, monkeypatch):
     cells = {(s, lang, t): 10 + 7 * k for k, (s, lang, t) in enumerate((s, lang, t) for s in ("a", "b", None) for lang in ("en", "de") for t in ("x", "y"))}
     targets = [{"a": 0.2, "b": 0.5, None: 0.3}, {"en": 0.6, "de": 0.4}, {"x": 0.55, "y": 0.45}]
     table = spark.createDataFrame([(*c, n) for c, n in cells.items()], "source string, lang string, topic string, tokens bigint")
@@ -211,6 +232,11 @@ def test_raking_meets_targets(spark):
     got = {(r["source"], r["lang"], r["topic"]): r["fitted"] for r in mixing.raked(table, wanted, tolerance=1e-9).collect()}
     want = raked(cells, targets)
     assert got.keys() == want.keys() and all(abs(got[c] - want[c]) < 1e-6 for c in want)
+    # Over several partitions the sums are joined, with the same result round by round.
+    one = {tuple(r[:3]): r["fitted"] for r in mixing.raked(table, wanted, max_rounds=2).collect()}
+    monkeypatch.setattr(mixing, "PER_PART", 4)
+    several = {tuple(r[:3]): r["fitted"] for r in mixing.raked(table, wanted, max_rounds=2).collect()}
+    assert several == pytest.approx(one, rel=1e-9)
 
 
 def test_mixing_rows_and_draws(docs, rows):
@@ -223,6 +249,79 @@ def test_mixing_rows_and_draws(docs, rows):
         assert r["tokens"] >= 1
 
 
+def plain_topic(text):
+    low = re.sub(r"[\x20\x09-\x0D]", " ", text).lower()
+    held = {name: sum(low.count(w) * len(w) for w in found) for name, found in mixing.TOPICS.items()}
+    return max(held, key=held.get) if max(held.values()) else "other"
+
+
+def plain_probabilities(weights, fitted, trim):
+    """Weight over the trimming point, from bins of equal ratio."""
+    bins = defaultdict(list)
+    for c, w in weights.items():
+        if w > 0:
+            bins[math.floor(math.log2(w) * mixing.BINS)].append(c)
+    above, point = 0.0, None
+    for b in sorted(bins, reverse=True):
+        if above <= trim * sum(fitted.values()):
+            point = max(weights[c] for c in bins[b])
+        above += sum(fitted[c] for c in bins[b])
+    return {c: min(1.0, w / point) for c, w in weights.items()}
+
+
+@pytest.mark.parametrize("trim", [0.0, mixing.TRIM, 0.2])
+def test_trimming_point(spark, trim):
+    cells = [("a", "en", "x", 900, 0.5), ("b", "en", "x", 60, 0.3), ("c", "en", "x", 39, 0.15), ("d", "en", "x", 2, 0.045), ("e", None, "x", 1, 0.005), ("f", "en", "x", 5, 0.0)]
+    table = spark.createDataFrame(cells, "source string, lang string, topic string, tokens bigint, fitted double")
+    fitted = {c[0]: c[4] for c in cells}
+    want = plain_probabilities({c[0]: c[4] * 1007 / c[3] for c in cells}, fitted, trim)
+    got = {r["source"]: r["probability"] for r in mixing.calibrated(table, trim).collect()}
+    assert got == pytest.approx(want) and max(got.values()) == 1 and got["f"] == 0
+    assert sum(fitted[s] for s, p in got.items() if p == 1) <= trim + 0.3
+
+
+def test_mixing_from_texts_to_probabilities(spark):
+    """Tokens, topics, targets, raking, weights and probabilities, each again in plain Python."""
+    fill = [" the house ", " and with\tboth ", " in on\nit ", " is was ", "nothing here"]
+    rows = [
+        (1000 * a + 100 * b + 10 * c + k, fill[c] * (1 + (a + 2 * b + 3 * c + k) % 7) + "word " * (a * k), "en" if b else None, "ab c"[a])
+        for a in range(4)
+        for b in range(2)
+        for c in range(5)
+        for k in range(1 + 3 * (a == 0))
+    ]
+    rows = [(i, t, lang, None if s == " " else s) for i, t, lang, s in rows]
+    cells = Counter()
+    for _, t, lang, s in rows:
+        cells[s, lang, plain_topic(t)] += len(brute_words(t))
+    all_tokens = sum(cells.values())
+    targets = []
+    for d in range(3):
+        sums = Counter()
+        for c, n in cells.items():
+            sums[c[d]] += n
+        lifted = {v: (n / all_tokens) ** mixing.TEMPER for v, n in sums.items()}
+        targets.append({v: p / sum(lifted.values()) for v, p in lifted.items()})
+    fitted = raked(cells, targets)
+    weights = {c: fitted[c] * all_tokens / n for c, n in cells.items()}
+    probability = plain_probabilities(weights, fitted, mixing.TRIM)
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()
+    assert len(got) == len(rows)
+    texts = {i: t for i, t, _, _ in rows}
+    for r in got:
+        cell = (r["source"], r["lang"], r["topic"])
+        assert r["topic"] == plain_topic(texts[r["doc_id"]]) and r["tokens"] == len(brute_words(texts[r["doc_id"]]))
+        assert r["weight"] == pytest.approx(weights[cell], rel=1e-4) and r["gap"] <= mixing.TOLERANCE
+        assert r["probability"] == pytest.approx(probability[cell], rel=1e-4)
+
+
+def test_mixing_by_given_topics_and_tokens(spark):
+    rows = [(1, "a b", "en", "x", "law", 30), (2, None, "en", "x", None, None), (3, "c", "en", "y", "law", -4)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, about string, size bigint")
+    got = {r["doc_id"]: (r["topic"], r["tokens"]) for r in mixing.mixed(table, topic="about", tokens="size").collect()}
+    assert got == {1: ("law", 30), 2: (None, 1), 3: ("law", 1)}
+
+
 @pytest.mark.parametrize("run", [quality_rules.quality_rules, secrets.secrets, license_scan.license_scan, mixing.mixed])
 def test_empty_tables(nothing, run):
     assert run(nothing).collect() == []
