@@ -25,8 +25,9 @@ from crawlq.llm.common import SPACES, only, parts_for, stored
 from crawlq.runtime import checkpointed
 
 DIMENSIONS = ("source", "lang", "topic")
-#: Target shares are the shares in the data to this power: below 1 lifts small sources.
-TEMPER = 0.7
+#: Target shares are the shares in the data to this power: below 1 lifts small sources. Without repeating documents, lifting costs
+#: documents: of 10,000 at scale 0.1 the sample holds about 6,760 in expectation at 0.9, and 2,540 at 0.7.
+TEMPER = 0.9
 TOLERANCE = 1e-6
 MAX_ROUNDS = 60
 #: Cells per partition of the rounds.
