@@ -132,6 +132,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df) if name in TEXT_TABLES else df
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The rows of a table, which is a file or a folder of files, as a stream.
+
+    The path is a pattern that only the table meets: a stream takes a path without one for a folder.
+    """
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give every core a part of a text table that is read in fewer parts than there are cores.
 

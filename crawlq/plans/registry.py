@@ -366,9 +366,7 @@ def _(spark, sf_dir):
 # Streams
 @query("stream_dga_scores")
 def _(spark, sf_dir):
-    schema = I.table(spark, sf_dir, "pages").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(sf_dir)
-    hosts = source.select("page_id", F.expr(url_part("url", "hostname")).alias("host"))
+    hosts = I.stream(spark, sf_dir, "pages").select("page_id", F.expr(url_part("url", "hostname")).alias("host"))
     folder = scratch_folder(spark)
     jobs.dga_scores_stream(hosts, f"{folder}/out", f"{folder}/state", available_now=True).awaitTermination()
     return spark.read.parquet(f"{folder}/out")
@@ -376,9 +374,7 @@ def _(spark, sf_dir):
 
 @query("stream_fetch_meta")
 def _(spark, sf_dir):
-    schema = I.table(spark, sf_dir, "events").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    writes = spark.sql(I.URL_CHANGES, events=source)
+    writes = spark.sql(I.URL_CHANGES, events=I.stream(spark, sf_dir, "events"))
     folder = scratch_folder(spark)
     jobs.fetch_meta_stream(writes, f"{folder}/out", f"{folder}/state", available_now=True).awaitTermination()
     return jobs.read_fetch_meta(spark, f"{folder}/out")

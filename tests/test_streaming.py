@@ -1,7 +1,9 @@
 """A stream fed in several files gives what one batch gives."""
 
+from pyspark.sql import functions as F
+
 from crawlq.operators import domains, fetches
-from crawlq.plans import inputs
+from crawlq.plans import inputs, registry
 from crawlq.sources import readers
 from crawlq.streaming import jobs
 
@@ -59,3 +61,26 @@ def test_batches_and_merges_that_come_again(spark, tmp_path, monkeypatch):
     jobs.store_changes(_batch(spark, 2, ["a", "u2"]), 2, out, fold=3)  # again, after the merge
     jobs.store_changes(_batch(spark, 3, ["a"]), 3, out, fold=3)
     assert {r.url: r.http_code for r in jobs.read_fetch_meta(spark, out).collect()} == {"a": 3, "u0": 0, "u1": 1, "u2": 2}
+
+
+def test_streams_read_tables_in_one_or_many_files(spark, tmp_path):
+    """A table is a file or a folder of files, beside others."""
+    pages = [(i, f"https://h{i % 3}.example/{i}", "<p>") for i in range(20)]
+    events = [(i, f"2024-01-01 00:00:{i:02d}", i % 4, ("click", "error", "view")[i % 3], i / 8) for i in range(20)]
+    tables = {
+        "pages": spark.createDataFrame(pages, "page_id bigint, url string, html string"),
+        "events": spark.createDataFrame(events, "event_id bigint, ts string, user_id bigint, event_type string, value double").withColumn("ts", F.to_timestamp("ts")),
+    }
+    for name, rows in tables.items():
+        rows.repartition(5).write.parquet(f"{tmp_path}/folders/{name}.parquet")
+        rows.coalesce(1).write.parquet(f"{tmp_path}/one-{name}")
+        (tmp_path / "files").mkdir(exist_ok=True)
+        next((tmp_path / f"one-{name}").glob("part-*.parquet")).rename(tmp_path / "files" / f"{name}.parquet")
+    expected = {
+        "stream_dga_scores": domains.dga_scores(tables["pages"].select("page_id", F.regexp_extract("url", "//([^/]+)", 1).alias("host"))),
+        "stream_fetch_meta": fetches.fetch_meta(spark.sql(inputs.URL_CHANGES, events=tables["events"])),
+    }
+    for name, right in expected.items():
+        for folder in ("files", "folders"):
+            got = registry.QUERIES[name](spark, f"{tmp_path}/{folder}")
+            assert sorted(got.collect()) == sorted(registry._plain(right.select(got.columns)).collect())
