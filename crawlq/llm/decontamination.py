@@ -1,15 +1,14 @@
 """Benchmark passages in documents, through a positional inverted index.
 
-The index holds postings (row, pos, term) of the corpus, written once from one scan of the texts: where a word of the items stands beside a word
-that it stands beside in some item. A word between strangers can be part of no phrase, and most places of frequent words are such.
-A window is a run of consecutive item words. Its words are ordered from the rarest in the index to the most frequent. The
-list of the rarest word, each place less the word's offset in the window, gives the places where the window could start;
-it is intersected with the offset-adjusted list of the second rarest, and the few places left with the lists of all other words.
+Texts are cut into words once and written. A window is a run of consecutive item words; it stands at a place exactly (a phrase), or nearly (a
+proximity match, as an edit leaves it): NEAR_PERCENT of its words stand at most SLOP words from where they are due, each in a place of its own or not.
 
-Lists meet within SLOP words. Where all words of a window stand exactly in place it is a phrase; where most stand near their place it is a
-proximity match, as an edit leaves it.
+Of 10 words 8 must be near, so of any 3 words one is, and of any 4 words two are. The words of a window are ordered from the rarest in the corpus
+to the most frequent, and the index holds the postings (row, pos, term) of the first 4 (in general: as many as any match must have two of).
+Their offset-adjusted lists are intersected: where two of them stand as far apart as the window has them, up to 2 * SLOP, its other words are
+looked up in the text around. So nothing that reaches the percentage is left out, and frequent words, which are most of a text, need no postings.
 
-Everything is DataFrame and SQL functions. Joins are on (row, term, place), so neither a very frequent word nor a passage that a third
+Everything is DataFrame and SQL functions. Lists of a document meet in its row, so neither a very frequent word nor a passage that a third
 of the documents hold meets in one task. Sides are broadcast only where the planner finds their stored size small.
 """
 
@@ -46,91 +45,94 @@ def item_windows(items: DataFrame, k: int = WORDS, item_id: str = "item_id", tex
     return distinct, stored(each.join(distinct, "words").select("wid", "item_id"))
 
 
-def neighbours(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(first, second) of all neighbouring words of the windows, and the words that are a window alone (term)."""
-    pairs = windows.where("size(words) > 1").select(F.expr("inline(transform(sequence(1, size(words) - 1), i -> struct(words[i - 1] AS first, words[i] AS second)))"))
-    return stored(pairs.distinct()), stored(windows.where("size(words) = 1").select(F.expr("words[0]").alias("term")).distinct())
+def word_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """row, doc_id, n_words, w: the words of every input row. What is written is what all later steps read, so the row numbers stay whatever is lost."""
+    rows = only(docs, doc_id=doc_id, text=text).withColumn("row", F.monotonically_increasing_id())
+    rows = once(rows, {"w": words("text")})
+    return stored(rows.select("row", "doc_id", F.expr("CAST(size(w) AS BIGINT)").alias("n_words"), "w"), compression="zstd")
 
 
-def positional_index(docs: DataFrame, pairs: DataFrame, alone: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """row, doc_id, n_words, pos, term: where a word stands before or after a neighbour it has in `pairs`, or is one of `alone`; positions from 0.
+def ordered_windows(windows: DataFrame, rows: DataFrame, near_percent: int = NEAR_PERCENT) -> DataFrame:
+    """wid, words, k, must, hits, lead: of the windows that can be near anywhere.
 
-    `row` numbers the input rows. Each row also has one entry with the empty term at -1, so rows without any of the words are known too.
-    Texts are cut into words once; what is written is what all later steps read, so the numbers stay whatever is lost.
+    `must` words have to be near. `lead` holds (off, term) of the rarest words, so many that each match has `hits` of them: two, or one where
+    one word is enough. Words that no document has come first and are left out of it.
     """
-    rows = only(docs, doc_id=doc_id, text=text).withColumn("row", F.monotonically_increasing_id())
-    rows = once(rows, {"w": words("text")})
-    # Place i of the three arrays: a word, the one after it and the one before; the first place is the entry of the row.
-    rows = rows.withColumns({"term": F.expr("concat(array(''), w)"), "following": F.col("w"), "before": F.expr("concat(array('', ''), w)")})
-    rows = rows.select("row", "doc_id", F.expr("CAST(size(w) AS BIGINT)").alias("n_words"), F.posexplode(F.arrays_zip("term", "following", "before")).alias("pos", "at"))
-    rows = rows.select("row", "doc_id", "n_words", (F.col("pos") - 1).alias("pos"), "at.term", F.expr("CASE WHEN pos > 0 THEN at.following END").alias("following"), "at.before")
-    rows = rows.where("term IS NOT NULL")
-    ahead = pairs.select(F.col("first").alias("a1"), F.col("second").alias("a2"))
-    behind = pairs.select(F.col("first").alias("b1"), F.col("second").alias("b2"))
-    met = rows.join(ahead, F.expr("term = a1 AND following = a2"), "left").join(behind, F.expr("before = b1 AND term = b2"), "left")
-    keep = "term = '' OR a1 IS NOT NULL OR b1 IS NOT NULL"
-    if not alone.isEmpty():
-        met, keep = met.join(alone.select(F.col("term").alias("c1")), F.expr("term = c1"), "left"), f"{keep} OR c1 IS NOT NULL"
-    return stored(met.where(keep).select("row", "doc_id", "n_words", "pos", "term"))
-
-
-def ordered_windows(windows: DataFrame, index: DataFrame) -> DataFrame:
-    """wid, k, needs (off, term from the rarest to the most frequent) of the windows whose words all occur."""
-    frequency = index.where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("cf"))
-    each = windows.select("wid", F.expr("size(words)").alias("k"), F.posexplode("words").alias("off", "term"))
-    known = each.join(frequency, "term")
+    each = windows.select("wid", "words", F.posexplode("words").alias("off", "term"))
+    terms = stored(each.select("term").distinct())
+    frequency = rows.select(F.explode("w").alias("term")).join(terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("cf"))
     needs = F.array_sort(F.collect_list(F.struct("cf", "off", "term")))
-    sorted_ = known.groupBy("wid", "k").agg(needs.alias("needs")).where("size(needs) = k")
-    return stored(sorted_.select("wid", "k", F.expr("transform(needs, x -> struct(x.off AS off, x.term AS term)) AS needs")))
+    known = each.join(frequency, "term").groupBy("wid", "words").agg(needs.alias("needs")).withColumn("k", F.size("words"))
+    known = known.withColumn("must", F.expr(f"CAST(greatest(1, ceil(k * {near_percent} / 100)) AS INT)")).where("size(needs) >= must")
+    known = known.withColumn("hits", F.expr("least(2, must)"))
+    # Of k - must + hits words at most k - must are missing.
+    lead = "transform(slice(needs, 1, size(needs) - must + hits), x -> struct(x.off AS off, x.term AS term))"
+    return stored(known.select("wid", "words", "k", "must", "hits", F.expr(lead).alias("lead")))
 
 
-def _beside(places: DataFrame, postings: DataFrame, slop: int) -> DataFrame:
-    """`places` (row, term, due, and others) with the `pos` of each posting of that term at most `slop` from where it is due.
+def positional_index(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """row, pos, key: every place of the words in `terms` (term, distinct); positions from 0. The key is a hash of the word, short to move."""
+    return rows.select("row", F.posexplode("w").alias("pos", "term")).join(terms, "term", "left_semi").select("row", "pos", F.hash("term").alias("key"))
 
-    Both sides meet on blocks of 2 * slop + 1 positions; a place looks into two blocks at most, a posting stands in one.
-    """
-    width = 2 * slop + 1
-    spans = places.withColumn("block", F.expr(f"explode(sequence(CAST(floor((due - {slop}) / {width}) AS BIGINT), CAST(floor((due + {slop}) / {width}) AS BIGINT)))"))
-    there = postings.select("row", "term", "pos", F.expr(f"CAST(floor(pos / {width}) AS BIGINT)").alias("block"))
-    return spans.join(there, ["row", "term", "block"]).where(f"abs(pos - due) <= {slop}").drop("block")
+
+def _meetings(order: DataFrame) -> DataFrame:
+    """wid, key1, o1, key2, o2: two leading words of a window, either way round; where one is enough, each with itself."""
+    ends = order.select("wid", "hits", F.col("lead").alias("others"), F.inline("lead")).select("wid", "hits", F.col("off").alias("o1"), F.hash("term").alias("key1"), F.inline("others"))
+    return stored(ends.where("o1 <> off OR hits = 1").select("wid", "key1", "o1", F.hash("term").alias("key2"), F.col("off").alias("o2")))
+
+
+def _within(start: str, length: int) -> str:
+    """SQL text: the words of `around`, which begins at place `base`, from place `start` on, as far as the text goes."""
+    return f"slice(around, CAST(greatest(0, {start} - base) + 1 AS INT), CAST(greatest(0, {length} + least(0, {start} - base)) AS INT))"
 
 
-def matches(windows: DataFrame, index: DataFrame, slop: int = SLOP, near_percent: int = NEAR_PERCENT) -> DataFrame:
+def matches(windows: DataFrame, rows: DataFrame, slop: int = SLOP, near_percent: int = NEAR_PERCENT) -> DataFrame:
     """wid, row, start, k, n_exact, n_near: every place where a window stands (n_exact = k), or nearly does.
 
-    `start` is where the window would begin, going by its rarest word. Near means that its two rarest words and `near_percent` of all its
-    words stand at most `slop` words from their places and beside a neighbour. A window of one word has only exact places.
+    `start` is where the window begins, maybe before the text. Near means that `near_percent` of its words stand at most `slop` words from their
+    places. Of neighbouring starts that are near, the one with most words exactly in place is listed (then with most near, then the first), and
+    every exact one. A window of one word has only exact places.
     """
-    order = ordered_windows(windows, index)
-    rarest = order.select("wid", "k", F.expr("needs[0].off").alias("off"), F.expr("needs[0].term").alias("term"), F.expr("try_element_at(needs, 2)").alias("second"))
-    first = index.select("row", "term", "pos").join(rarest, "term")
-    first = first.select("wid", "k", "row", (F.col("pos") - F.col("off")).alias("start"), "second").where(F.col("start") >= -slop)
-    # The second list is read for its own terms only.
-    seconds = rarest.select("second.term").where("term IS NOT NULL").distinct()
-    lists = index.select("row", "term", "pos").join(seconds, "term", "left_semi")
-    due = first.where("second IS NOT NULL").select("wid", "k", "row", "start", F.col("second.term").alias("term"), F.expr("start + second.off").alias("due"))
-    both = _beside(due, lists, slop).select("wid", "k", "row", "start").distinct()
-    left = stored(both.unionByName(first.where("second IS NULL").select("wid", "k", "row", "start")))
-    # All words of what is left.
-    wanted = left.join(order.select("wid", "needs"), "wid").select("wid", "k", "row", "start", F.inline("needs"))
-    wanted = wanted.withColumn("due", F.col("start") + F.col("off"))
-    met = _beside(wanted, index.where("term <> ''"), slop).groupBy("wid", "k", "row", "start", "off").agg(F.max(F.expr("CAST(pos = due AS INT)")).alias("exact"))
-    counted = met.groupBy("wid", "k", "row", "start").agg(F.sum("exact").cast("int").alias("n_exact"), F.count(F.lit(1)).cast("int").alias("n_near"))
-    return counted.where(f"n_exact = k OR 100 * n_near >= {near_percent} * k")
+    order = ordered_windows(windows, rows, near_percent)
+    pairs = _meetings(order)
+    index = positional_index(rows, stored(order.select(F.explode("lead.term").alias("term")).distinct()))
+    # What stands after a posting as far as two words of a window can be apart, itself included. Words of one key are told apart in the text.
+    reach = (order.agg(F.max("k")).first()[0] or 1) - 1 + 2 * slop
+    ahead = Window.partitionBy("row").orderBy("pos").rangeBetween(0, reach)
+    met = index.withColumn("next", F.collect_list(F.struct("pos", "key")).over(ahead))
+    met = met.select("row", "pos", F.col("key").alias("key1"), F.inline("next").alias("pos2", "key2")).withColumn("gap", F.col("pos2") - F.col("pos")).drop("pos2")
+    gaps = stored(pairs.select(F.col("key1").alias("g1"), F.col("key2").alias("g2"), F.expr("o2 - o1").alias("due")).distinct())
+    met = stored(met.join(gaps, F.expr(f"key1 = g1 AND key2 = g2 AND abs(gap - due) <= {2 * slop}"), "left_semi"))
+    # The windows of each, then the text around: nothing that has a text is moved after that.
+    asked = met.join(pairs, ["key1", "key2"]).where(f"abs(gap - (o2 - o1)) <= {2 * slop}").join(order.select("wid", "words", "k", "must"), "wid")
+    may = asked.join(rows.select("row", "w"), "row").withColumn("base", F.expr(f"greatest(0, pos - {reach})"))
+    may = once(may, {"around": f"slice(w, base + 1, pos - base + {reach} + 1)"}).drop("w")
+    may = may.where("size(filter(words, x -> array_contains(around, x))) >= must")
+    first, last = f"greatest(pos - o1, pos + gap - o2) - {slop}", f"least(pos - o1, pos + gap - o2) + {slop}"
+    tried = may.withColumn("start", F.explode(F.expr(f"sequence({first}, {last})")))
+    near = f"size(filter(sequence(0, k - 1), o -> array_contains({_within(f'start + o - {slop}', 2 * slop + 1)}, words[o])))"
+    exact = f"size(filter(sequence(0, k - 1), o -> array_contains({_within('start + o', 1)}, words[o])))"
+    tried = once(tried, {"n_near": near, "n_exact": exact}).where("n_near >= must AND (k > 1 OR n_exact = k)")
+    found = tried.select("wid", "row", F.col("start").cast("int").alias("start"), "k", "n_exact", "n_near").distinct()
+    # Runs of neighbouring starts.
+    along = Window.partitionBy("wid", "row").orderBy("start")
+    found = found.withColumn("run", F.col("start") - F.row_number().over(along))
+    best = Window.partitionBy("wid", "row", "run").orderBy(F.desc("n_exact"), F.desc("n_near"), "start")
+    return found.withColumn("place", F.row_number().over(best)).where("place = 1 OR n_exact = k").drop("run", "place")
 
 
 def passages(docs: DataFrame, items: DataFrame, k: int = WORDS, slop: int = SLOP, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """row, doc_id, item_id, kind (phrase or proximity), start, size, n_exact, n_near: every match of every item."""
-    windows, held, index = _prepared(docs, items, k, doc_id, text, item_id, item_text)
-    found = matches(windows, index, slop).join(held, "wid")
-    ids = index.where("term = ''").select("row", "doc_id")
+    windows, held, rows = _prepared(docs, items, k, doc_id, text, item_id, item_text)
+    found = matches(windows, rows, slop).join(held, "wid")
+    ids = rows.select("row", "doc_id")
     kind = F.expr("CASE WHEN n_exact = k THEN 'phrase' ELSE 'proximity' END").alias("kind")
     return found.join(ids, "row").select("row", "doc_id", "item_id", kind, "start", F.col("k").alias("size"), "n_exact", "n_near")
 
 
 def _prepared(docs, items, k, doc_id, text, item_id, item_text):
     windows, held = item_windows(items, k, item_id, item_text)
-    return windows, held, positional_index(docs, *neighbours(windows), doc_id, text)
+    return windows, held, word_rows(docs, doc_id, text)
 
 
 def decontamination(docs: DataFrame, items: DataFrame, k: int = WORDS, slop: int = SLOP, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -140,8 +142,8 @@ def decontamination(docs: DataFrame, items: DataFrame, k: int = WORDS, slop: int
     have no words; an item without words is in no document; a null item id is written as `null`. Repeated rows are
     judged each for itself, repeated items once. Without documents there are no rows, without items nothing is hit.
     """
-    windows, held, index = _prepared(docs, items, k, doc_id, text, item_id, item_text)
-    found = stored(matches(windows, index, slop))
+    windows, held, texts = _prepared(docs, items, k, doc_id, text, item_id, item_text)
+    found = stored(matches(windows, texts, slop))
     spans = found.where("n_exact = k").select("row", "start", F.expr("start + k AS stop")).distinct()
     # One row's spans: as many as the text has places at most.
     per_row = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
@@ -150,7 +152,7 @@ def decontamination(docs: DataFrame, items: DataFrame, k: int = WORDS, slop: int
     hits = per_row.select("row", hit.alias("n_hit"))
     named = found.join(held, "wid").groupBy("row", F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item")).agg(F.max(F.expr("n_exact = k")).alias("exact"))
     names = named.groupBy("row").agg(F.array_sort(F.collect_list(F.when(F.col("exact"), F.col("item")))).alias("items"), F.count_if(~F.col("exact")).alias("n_near_items"))
-    rows = index.where("term = ''").select("row", "doc_id", "n_words")
+    rows = texts.select("row", "doc_id", "n_words")
     joined = rows.join(hits, "row", "left").join(names, "row", "left")
     none = F.coalesce("items", F.array().cast("array<string>"))
     zero = F.lit(0).cast("bigint")

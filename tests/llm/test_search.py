@@ -1,6 +1,7 @@
 """Ranked search, decontamination and centroid clustering against plain Python."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -179,6 +180,45 @@ def test_proximity(spark):
     assert all(r["n_exact"] == r["size"] for r in found if r["kind"] == "phrase")
 
 
+def brute_near(docs, items):
+    """(doc, item) where some start brings 80% of a window's words within 5 of their places."""
+    found = set()
+    for (d, text), (item, passage) in itertools.product(docs, items):
+        w, p = brute_words(text), brute_words(passage)
+        for i in range(max(1, len(p) - 9) if p else 0):
+            window = p[i : i + 10]
+            for start in range(-len(window) - 5, len(w) + 6):
+                n_near = sum(x in w[max(0, start + o - 5) : max(0, start + o + 6)] for o, x in enumerate(window))
+                if 100 * n_near >= 80 * len(window) and (len(window) > 1 or window == w[max(0, start) : start + 1]):
+                    found.add((d, item))
+    return found
+
+
+def test_proximity_is_brute_force(spark):
+    """Words between strangers, lost rare words, other orders and gaps are near all the same."""
+    words = PASSAGE.split()
+    passage = " ".join(words[:10])
+    docs = [
+        (1, " ".join(x if i not in (2, 6) else f"new{i}" for i, x in enumerate(words[:10]))),
+        (2, " ".join(f"{x} new{i}" if i % 3 == 1 else x for i, x in enumerate(words[:10]))),  # three more words
+        (3, " ".join(words[i] for i in (1, 0, 3, 2, 5, 4, 7, 6, 9, 8))),
+        (4, " ".join(words[:4] + ["gap"] * 10 + words[4:10])),
+        (5, "quick quick " + " ".join(x for x in words[:10] if x not in ("fox", "lazy"))),
+        (6, " ".join(f"{x} apart" for x in words[:10])),  # every word between strangers
+        (7, " ".join(words[2:10])),
+        (8, " ".join(words[:7])),
+        (9, "fox " * 50 + passage),
+    ]
+    rng = random.Random(3)
+    few = [f"v{i}" for i in range(14)]
+    docs += [(100 + i, " ".join(rng.choice(few) for _ in range(rng.randint(0, 40)))) for i in range(60)]
+    items = [(1, passage), (2, "alone"), (3, "fox quick")] + [(10 + i, " ".join(rng.choice(few) for _ in range(rng.choice([1, 2, 5, 10, 13])))) for i in range(12)]
+    found = decontamination.passages(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    right = brute_near(docs, items)
+    assert {(r["doc_id"], r["item_id"]) for r in found} == right and {(i, 1) for i in (1, 2, 3, 4, 5, 6, 7, 9)} <= right and (8, 1) not in right
+    assert len({(r["row"], r["item_id"], r["start"], r["size"], r["n_exact"], r["n_near"]) for r in found if r["doc_id"] < 10}) >= 8
+
+
 def test_decontamination_awkward_tables(docs, rows, nothing, spark):
     items = spark.createDataFrame([(1, "w1x1 w1x2 w1x3", "clash"), (2, " ".join(f"long{i}" for i in range(10, 30)), "clash")], "item_id bigint, text string, term string")
     got = decontamination.decontamination(docs, items)
