@@ -261,10 +261,20 @@ def best_targets(
     return best_target_items(items_a, items_b, k, seed_postings)
 
 
-def _classes(items: DataFrame, side: str, entry: str) -> DataFrame:
-    """`(id, class, len, items)`: pages with the same items and length are one class; items are a page's own, so bounded by it."""
-    pages = items.groupBy(F.col("page_id").alias("id")).agg(F.sum("cnt").alias("len"), F.sort_array(F.collect_list(F.expr(entry))).alias("items"))
-    return pages.withColumn(f"class_{side}", F.sha2(F.to_json(F.struct("items", "len")), 256))
+def _classes(items: DataFrame, numbers: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
+    """`(id, class)` of the pages, and `(class, len, items, first)`: pages with the same items and length are one class.
+
+    Classes and items are numbers: they stand in every candidate. Items without a number are left out after `len` is summed;
+    the others are listed as often as `cnt` says on side `a`, once on side `b`. They are a page's own, so bounded by it.
+    """
+    name = f"class_{side}"
+    listed = "array_repeat(number, CAST(cnt AS INT))" if side == "a" else "array(number)"
+    numbered = items.join(numbers, "item", "left").withColumn("listed", F.expr(f"CASE WHEN number IS NOT NULL THEN {listed} END"))
+    pages = numbered.groupBy(F.col("page_id").alias("id")).agg(F.sum("cnt").alias("len"), F.sort_array(F.flatten(F.collect_list("listed"))).alias("items"))
+    pages = stored(pages.withColumn("same", F.sha2(F.to_json(F.struct("items", "len")), 256)))
+    classes = pages.groupBy("same").agg(F.any_value("len").alias(f"len_{side}"), F.any_value("items").alias(f"items_{side}"), F.min("id").alias(f"first_{side}"))
+    classes = stored(classes.withColumn(name, F.monotonically_increasing_id()))
+    return stored(pages.join(classes.select("same", name), "same").select("id", name)), classes.drop("same")
 
 
 def _first(df: DataFrame, by: str, k: int, *order: Column | str) -> DataFrame:
@@ -290,15 +300,14 @@ def best_target_items(items_a: DataFrame, items_b: DataFrame, k: int, seed_posti
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    member_a = stored(_classes(items_a, "a", "struct(item, cnt)"))
-    member_b = stored(_classes(items_b, "b", "item"))
-    class_a = member_a.groupBy("class_a").agg(F.any_value("len").alias("len_a"), F.any_value("items").alias("items_a"))
-    class_b = stored(member_b.groupBy("class_b").agg(F.any_value("len").alias("len_b"), F.any_value("items").alias("items_b"), F.min("id").alias("first_b")))
+    numbers = stored(items_b.select("item").where("item IS NOT NULL").distinct().withColumn("number", F.monotonically_increasing_id()))
+    member_a, class_a = _classes(items_a, numbers, "a")
+    member_b, class_b = _classes(items_b, numbers, "b")
     postings = stored(class_b.select("class_b", "len_b", "first_b", F.explode("items_b").alias("item")))
     frequency = postings.groupBy("item").agg(F.count(F.lit(1)).alias("df"))
 
     # Per suspect class and item: how many postings up to it, and what may still be shared from it on.
-    asked = class_a.select("class_a", "len_a", F.inline("items_a")).join(frequency, "item")
+    asked = class_a.select("class_a", "len_a", F.explode("items_a").alias("item")).groupBy("class_a", "len_a", "item").agg(F.count(F.lit(1)).alias("cnt")).join(frequency, "item")
     rising = Window.partitionBy("class_a").orderBy("df", "item")
     asked = asked.withColumns(
         {
@@ -341,7 +350,7 @@ def best_target_items(items_a: DataFrame, items_b: DataFrame, k: int, seed_posti
 
 def _scored(pairs: DataFrame, class_a: DataFrame, class_b: DataFrame) -> DataFrame:
     """Candidate pairs of classes with what they have in common."""
-    common = "aggregate(filter(items_a, e -> array_contains(items_b, e.item)), 0L, (n, e) -> n + e.cnt)"
-    rows = pairs.join(class_a, "class_a").join(class_b, "class_b").withColumn("common_count", F.expr(common))
+    common = "CAST(size(filter(items_a, e -> array_contains(items_b, e))) AS BIGINT)"
+    rows = pairs.join(class_a.drop("first_a"), "class_a").join(class_b, "class_b").withColumn("common_count", F.expr(common))
     ratio = _ratio(F.col("common_count"), F.col("len_a"), F.col("len_b"))
     return rows.select("class_a", "class_b", "first_b", "len_a", "len_b", "common_count", ratio.alias("ratio"))

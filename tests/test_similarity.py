@@ -134,3 +134,14 @@ def test_schemes_come_from_the_pages(spark):
     for job in (similarity.sim_img, similarity.same_icon):
         rows = {(r.a_id, r.b_id): r.status for r in job(_pairs(spark, (0, 1), (1, 1)), df).collect()}
         assert rows == {(0, 1): "scheme_mismatch", (1, 1): "ok"}
+
+
+def test_candidates_hold_numbers(spark):
+    """Classes and items are numbers in all that is moved per candidate; equal pages are one class, items no target has only count."""
+    rows = [(1, "a", 2), (1, "b", 1), (2, "b", 1), (2, "a", 2), (3, "a", 1), (3, "other", 4)]
+    items = spark.createDataFrame(rows, "page_id bigint, item string, cnt bigint")
+    numbers = spark.createDataFrame([("a", 0), ("b", 1)], "item string, number bigint")
+    members, classes = similarity._classes(items, numbers, "a")
+    of = {r["id"]: r["class_a"] for r in members.collect()}
+    assert of[1] == of[2] != of[3] and dict(classes.dtypes)["class_a"] == "bigint" and dict(classes.dtypes)["items_a"] == "array<bigint>"
+    assert sorted((r["len_a"], sorted(r["items_a"]), r["first_a"]) for r in classes.collect()) == [(3, [0, 0, 1], 1), (5, [0], 3)]
