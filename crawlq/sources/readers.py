@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlq.functions.text import strip
+from crawlq.sources import files as storage
 
 
 def read_pages(spark: SparkSession, path: str, fmt: str = "html") -> DataFrame:
@@ -16,7 +17,8 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "html") -> DataFrame:
     """
     if fmt != "html":
         return spark.read.format(fmt).load(path).select("page_id", "url", "html")
-    files = spark.read.text(path, wholetext=True)
+    with storage.listing_by_cores(spark):
+        files = spark.read.text(path, wholetext=True)
     return files.select(
         F.xxhash64(F.col("_metadata.file_path")).alias("page_id"),
         F.col("_metadata.file_path").alias("url"),

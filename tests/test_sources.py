@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from crawlq.operators import domains
@@ -11,6 +13,29 @@ def test_html_files(spark, tmp_path):
     assert rows == {"a.html": "<b>\n</b>", "b.html": "x"}
 
 
+def test_a_folder_per_page_is_not_a_task_per_folder(spark, tmp_path):
+    n, context = 1000, spark.sparkContext
+    for i in range(n):
+        (tmp_path / f"page_id={i}").mkdir()
+        (tmp_path / f"page_id={i}" / "a.txt").write_text(f"<b>{i}</b>")
+    usual = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    context.setJobGroup("page folders", "listing")
+    try:
+        pages = readers.read_pages(spark, str(tmp_path))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker, tasks = context.statusTracker(), 0
+    for _ in range(100):  # the tracker hears of a job a little later
+        stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("page folders") for s in tracker.getJobInfo(j).stageIds]
+        tasks = sum(s.numTasks for s in stages if s)
+        if tasks:
+            break
+        time.sleep(0.1)
+    assert 0 < tasks <= 4 * context.defaultParallelism
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == usual
+    assert {r.html for r in pages.select("html").collect()} == {f"<b>{i}</b>" for i in range(n)}
+
+
 def test_tld_list(spark, tmp_path):
     (tmp_path / "tlds.txt").write_text("# comment\n\n COM \norg\n")
     tlds = readers.read_tlds(spark, str(tmp_path / "tlds.txt"))
