@@ -6,7 +6,7 @@ proximity match, as an edit leaves it): NEAR_PERCENT of its words stand at most
 Of 10 words 8 must be near, so of any 3 words one is, and of any 4 words two are. The words of a window are ordered from the rarest in the corpus
 to the most frequent, and the index holds the postings (row, pos, term) of the first 4 (in general: as many as any match must have two of).
 Their offset-adjusted lists are intersected: where two of them stand as far apart as the window has them, up to 2 * SLOP, its other words are
-looked up in the text around. So nothing that reaches the percentage is left out, and frequent words, which are most of a text, need no postings.
+looked up in the text around, once for all starts that come into question. So nothing that reaches the percentage is left out, and frequent words, which are most of a text, need no postings.
 
 Everything is DataFrame and SQL functions. Lists of a document meet in its row, so neither a very frequent word nor a passage that a third
 of the documents hold meets in one task. Sides are broadcast only where the planner finds their stored size small.
@@ -53,10 +53,10 @@ def word_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
 
 
 def ordered_windows(windows: DataFrame, rows: DataFrame, near_percent: int = NEAR_PERCENT) -> DataFrame:
-    """wid, words, k, must, hits, lead: of the windows that can be near anywhere.
+    """wid, words, firsts, k, must, hits, lead: of the windows that can be near anywhere.
 
-    `must` words have to be near. `lead` holds (off, term) of the rarest words, so many that each match has `hits` of them: two, or one where
-    one word is enough. Words that no document has come first and are left out of it.
+    `firsts` says for each word where it stands first in the window, from 1. `must` words have to be near. `lead` holds (off, term) of the rarest
+    words, so many that each match has `hits` of them: two, or one where one word is enough. Words that no document has come first and are left out of it.
     """
     each = windows.select("wid", "words", F.posexplode("words").alias("off", "term"))
     terms = stored(each.select("term").distinct())
@@ -64,10 +64,10 @@ def ordered_windows(windows: DataFrame, rows: DataFrame, near_percent: int = NEA
     needs = F.array_sort(F.collect_list(F.struct("cf", "off", "term")))
     known = each.join(frequency, "term").groupBy("wid", "words").agg(needs.alias("needs")).withColumn("k", F.size("words"))
     known = known.withColumn("must", F.expr(f"CAST(greatest(1, ceil(k * {near_percent} / 100)) AS INT)")).where("size(needs) >= must")
-    known = known.withColumn("hits", F.expr("least(2, must)"))
+    known = known.withColumn("hits", F.expr("least(2, must)")).withColumn("firsts", F.expr("transform(words, x -> array_position(words, x))"))
     # Of k - must + hits words at most k - must are missing.
     lead = "transform(slice(needs, 1, size(needs) - must + hits), x -> struct(x.off AS off, x.term AS term))"
-    return stored(known.select("wid", "words", "k", "must", "hits", F.expr(lead).alias("lead")))
+    return stored(known.select("wid", "words", "firsts", "k", "must", "hits", F.expr(lead).alias("lead")))
 
 
 def positional_index(rows: DataFrame, terms: DataFrame) -> DataFrame:
@@ -81,9 +81,14 @@ def _meetings(order: DataFrame) -> DataFrame:
     return stored(ends.where("o1 <> off OR hits = 1").select("wid", "key1", "o1", F.hash("term").alias("key2"), F.col("off").alias("o2")))
 
 
-def _within(start: str, length: int) -> str:
-    """SQL text: the words of `around`, which begins at place `base`, from place `start` on, as far as the text goes."""
-    return f"slice(around, CAST(greatest(0, {start} - base) + 1 AS INT), CAST(greatest(0, {length} + least(0, {start} - base)) AS INT))"
+def asked_starts(met: DataFrame, pairs: DataFrame, slop: int) -> DataFrame:
+    """row, wid, lo, hi: the starts from `lo` to `hi` at which two leading words of a window are both near.
+
+    The pairs of words of one exact match ask for the same starts, which are listed once.
+    """
+    asked = met.join(pairs, ["key1", "key2"]).where(f"abs(gap - (o2 - o1)) <= {2 * slop}")
+    lo, hi = f"greatest(pos - o1, pos + gap - o2) - {slop}", f"least(pos - o1, pos + gap - o2) + {slop}"
+    return asked.select("row", "wid", F.expr(lo).alias("lo"), F.expr(hi).alias("hi")).distinct()
 
 
 def matches(windows: DataFrame, rows: DataFrame, slop: int = SLOP, near_percent: int = NEAR_PERCENT) -> DataFrame:
@@ -104,15 +109,20 @@ def matches(windows: DataFrame, rows: DataFrame, slop: int = SLOP, near_percent:
     gaps = stored(pairs.select(F.col("key1").alias("g1"), F.col("key2").alias("g2"), F.expr("o2 - o1").alias("due")).distinct())
     met = stored(met.join(gaps, F.expr(f"key1 = g1 AND key2 = g2 AND abs(gap - due) <= {2 * slop}"), "left_semi"))
     # The windows of each, then the text around: nothing that has a text is moved after that.
-    asked = met.join(pairs, ["key1", "key2"]).where(f"abs(gap - (o2 - o1)) <= {2 * slop}").join(order.select("wid", "words", "k", "must"), "wid")
-    may = asked.join(rows.select("row", "w"), "row").withColumn("base", F.expr(f"greatest(0, pos - {reach})"))
-    may = once(may, {"around": f"slice(w, base + 1, pos - base + {reach} + 1)"}).drop("w")
+    asked = asked_starts(met, pairs, slop).join(order.select("wid", "words", "firsts", "k", "must"), "wid")
+    # A text moves as one string, less than half the size of its words as an array; no word has a blank.
+    texts = rows.select("row", F.array_join("w", " ").alias("moved")).repartition("row")
+    may = asked.join(once(texts, {"w": "split(moved, ' ')"}).drop("moved"), "row").withColumn("base", F.expr(f"greatest(0, lo - {slop})"))
+    may = once(may, {"around": f"slice(w, base + 1, hi + k + {slop} - base)"}).drop("w")
     may = may.where("size(filter(words, x -> array_contains(around, x))) >= must")
-    first, last = f"greatest(pos - o1, pos + gap - o2) - {slop}", f"least(pos - o1, pos + gap - o2) + {slop}"
-    tried = may.withColumn("start", F.explode(F.expr(f"sequence({first}, {last})")))
-    near = f"size(filter(sequence(0, k - 1), o -> array_contains({_within(f'start + o - {slop}', 2 * slop + 1)}, words[o])))"
-    exact = f"size(filter(sequence(0, k - 1), o -> array_contains({_within('start + o', 1)}, words[o])))"
-    tried = once(tried, {"n_near": near, "n_exact": exact}).where("n_near >= must AND (k > 1 OR n_exact = k)")
+    # The text is compared once for all starts: for each word of the window, the starts that its places in the text are due for.
+    may = once(may, {"places": "filter(transform(around, (x, i) -> struct(array_position(words, x) AS nth, base + i AS pos)), x -> x.nth > 0)"}).drop("words", "around")
+    due = f"filter(places, x -> x.nth = nth AND x.pos - o BETWEEN lo - {slop} AND hi + {slop})"
+    may = once(may, {"due": f"transform(firsts, (nth, o) -> transform({due}, x -> x.pos - o))"}).drop("places", "firsts")
+    may = may.where("size(filter(due, d -> size(d) > 0)) >= must")
+    tried = may.withColumn("start", F.explode(F.expr("sequence(lo, hi)")))
+    tried = once(tried, {"n_near": f"size(filter(due, d -> exists(d, s -> abs(s - start) <= {slop})))"}).where("n_near >= must")
+    tried = once(tried, {"n_exact": "size(filter(due, d -> array_contains(d, start)))"}).where("k > 1 OR n_exact = k")
     found = tried.select("wid", "row", F.col("start").cast("int").alias("start"), "k", "n_exact", "n_near").distinct()
     # Runs of neighbouring starts.
     along = Window.partitionBy("wid", "row").orderBy("start")

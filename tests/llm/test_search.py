@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from crawlq.llm import centroids, decontamination, ranked_search
 
@@ -219,6 +220,19 @@ def test_proximity_is_brute_force(spark):
     assert len({(r["row"], r["item_id"], r["start"], r["size"], r["n_exact"], r["n_near"]) for r in found if r["doc_id"] < 10}) >= 8
 
 
+def test_a_match_asks_once(spark):
+    """The pairs of leading words of one exact match ask for the same starts; they were tried once for each pair."""
+    words = PASSAGE.split()[:10]
+    rows = decontamination.word_rows(spark.createDataFrame([(1, "before " * 20 + " ".join(words))], DOCS))
+    order = decontamination.ordered_windows(spark.createDataFrame([(7, words)], "wid bigint, words array<string>"), rows)
+    lead = {x["off"]: x["term"] for x in order.first()["lead"]}
+    keys = dict(order.select(F.inline("lead")).select("term", F.hash("term")).collect())
+    met = [(0, 20 + i, keys[lead[i]], keys[lead[j]], j - i) for i, j in itertools.combinations(sorted(lead), 2)]
+    frame = spark.createDataFrame(met, "row bigint, pos int, key1 int, key2 int, gap int")
+    assert len(met) == 6
+    assert [tuple(r) for r in decontamination.asked_starts(frame, decontamination._meetings(order), 5).collect()] == [(0, 7, 15, 25)]
+
+
 def test_decontamination_awkward_tables(docs, rows, nothing, spark):
     items = spark.createDataFrame([(1, "w1x1 w1x2 w1x3", "clash"), (2, " ".join(f"long{i}" for i in range(10, 30)), "clash")], "item_id bigint, text string, term string")
     got = decontamination.decontamination(docs, items)
