@@ -1,8 +1,10 @@
+import hashlib
 import time
 
 import pytest
 
 from crawlq.operators import domains
+from crawlq.plans import registry
 from crawlq.sources import archive, daily, files, readers
 
 
@@ -36,6 +38,14 @@ def test_a_folder_per_page_is_not_a_task_per_folder(spark, tmp_path):
     assert {r.html for r in pages.select("html").collect()} == {f"<b>{i}</b>" for i in range(n)}
 
 
+def test_every_page_row_has_its_file(spark, tmp_path):
+    """Pages that share an id and are written by one task are files of their own."""
+    rows = [(i // 20, "u", f"<b>{i}</b>") for i in range(40)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    got = registry.QUERIES["read_page_files"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == sorted((i, hashlib.md5(f"{html}\n".encode()).hexdigest()) for i, _, html in rows)
+
+
 def test_tld_list(spark, tmp_path):
     (tmp_path / "tlds.txt").write_text("# comment\n\n COM \norg\n")
     tlds = readers.read_tlds(spark, str(tmp_path / "tlds.txt"))
