@@ -9,16 +9,17 @@ from crawlq.functions.text import strip
 from crawlq.sources import files as storage
 
 
-def read_pages(spark: SparkSession, path: str, fmt: str = "html") -> DataFrame:
+def read_pages(spark: SparkSession, path: str, fmt: str = "html", **options: str) -> DataFrame:
     """Pages as `(page_id, url, html)`.
 
     `html` reads one file per page (the file path is its URL, the id a 64-bit hash of it, so give
     billions of files ids of their own); any other format is a table that has the three columns.
+    `options` go to Spark's reader.
     """
     if fmt != "html":
-        return spark.read.format(fmt).load(path).select("page_id", "url", "html")
+        return spark.read.options(**options).format(fmt).load(path).select("page_id", "url", "html")
     with storage.listing_by_cores(spark):
-        files = spark.read.text(path, wholetext=True)
+        files = spark.read.options(**options).text(path, wholetext=True)
     return files.select(
         F.xxhash64(F.col("_metadata.file_path")).alias("page_id"),
         F.col("_metadata.file_path").alias("url"),
