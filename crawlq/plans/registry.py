@@ -117,9 +117,9 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     folder = scratch_folder(spark)
     pages = I.table(spark, sf_dir, "pages").select("page_id", "html")
-    # A file per page, which ends with a line end. The time goes to files, not to bytes, so they are dealt evenly to several tasks per core.
+    # The time goes to files, not to bytes, so they are dealt evenly to several tasks per core.
     pages = pages.repartition(max(pages.rdd.getNumPartitions(), 4 * spark.sparkContext.defaultParallelism))
-    pages.write.partitionBy("page_id").option("maxRecordsPerFile", 1).text(folder)
+    readers.write_pages(pages, folder)
     held = readers.read_pages(spark, folder, recursiveFileLookup="true")  # the folders' names are not columns, nothing is inferred from them
     return held.select(F.regexp_extract("url", "page_id=([0-9]+)", 1).cast("bigint").alias("page_id"), F.md5("html").alias("html_md5"))
 

@@ -27,6 +27,17 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "html", **options: str
     )
 
 
+def write_pages(pages: DataFrame, folder: str) -> None:
+    """Write `(page_id, html)` below a new folder, every row as a file that ends with a line end and has `page_id=<id>` in its path."""
+    if storage.local_path(pages.sparkSession, folder) is None:
+        pages.write.partitionBy("page_id").option("maxRecordsPerFile", 1).text(folder)
+        return
+    # The id of no page is named as Spark names it.
+    name = F.concat(F.lit("page_id="), F.coalesce(F.col("page_id").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")))
+    body = F.concat(F.coalesce("html", F.lit("")), F.lit("\n")).cast("binary")
+    storage.write_local(pages.select(name.alias("name"), body.alias("body")), folder)
+
+
 def host_lines(lines: DataFrame) -> DataFrame:
     """`value` lines as `(host)`, whitespace stripped."""
     return lines.select(F.expr(strip("value")).alias("host"))

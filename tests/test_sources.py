@@ -1,5 +1,8 @@
 import hashlib
+import re
 import time
+from pathlib import Path
+from urllib.parse import unquote, urlsplit
 
 import pytest
 
@@ -46,6 +49,48 @@ def test_every_page_row_has_its_file(spark, tmp_path):
     assert sorted(tuple(r) for r in got) == sorted((i, hashlib.md5(f"{html}\n".encode()).hexdigest()) for i, _, html in rows)
 
 
+def test_page_files_bring_no_folders_and_checksum_files(spark, tmp_path):
+    """Spark starts a process for each folder and checksum file it writes on a local file system."""
+    n, most = 200, 4 * spark.sparkContext.defaultParallelism
+    spark.range(n).selectExpr("id AS page_id", "'u' AS url", "concat('<b>', id) AS html").write.parquet(str(tmp_path / "pages.parquet"))
+    pages = registry.QUERIES["read_page_files"](spark, str(tmp_path))
+    found = [Path(unquote(urlsplit(f).path)) for f in pages.inputFiles()]
+    assert len(found) == n and len({f.parent for f in found}) <= most
+    assert not [f for folder in {f.parent for f in found} for f in folder.iterdir() if f.suffix == ".crc"]
+    assert sorted(tuple(r) for r in pages.collect()) == sorted((i, hashlib.md5(f"<b>{i}\n".encode()).hexdigest()) for i in range(n))
+
+
+@pytest.mark.parametrize("local", [True, False])
+def test_page_files_of_odd_rows(spark, tmp_path, monkeypatch, local):
+    """Null pages are empty lines, null ids have a name, bytes stay as they are, equal rows are files of their own."""
+    monkeypatch.setattr(files, "PER_FOLDER", 3)
+    if not local:
+        monkeypatch.setattr(files, "local_path", lambda *_: None)
+    odd = "(1, X'61'), (1, X'61'), (1, X'0a620a'), (NULL, X'63'), (-2, X'ff00e4'), (3, NULL), (4, X''), (5, encode('é€', 'utf-8'))"
+    pages = spark.sql(f"SELECT CAST(id AS BIGINT) AS page_id, CAST(bytes AS STRING) AS html FROM VALUES {odd} AS t(id, bytes)").coalesce(1)
+    folder = tmp_path / "a b%20c"
+    readers.write_pages(pages, str(folder))
+    found = sorted((f.name if local else f.parent.name, f.read_bytes()) for f in folder.rglob("*.txt"))
+    names = ["-2", "1", "1", "1", "3", "4", "5", "__HIVE_DEFAULT_PARTITION__"]
+    assert sorted(re.search("page_id=(-?[0-9]+|__.*__)", name)[1] for name, _ in found) == names
+    bodies = [b"\n", b"\n", b"\nb\n\n", b"a\n", b"a\n", b"c\n", "é€\n".encode(), b"\xff\x00\xe4\n"]
+    assert sorted(body for _, body in found) == bodies
+    if local:
+        assert len(list(folder.iterdir())) == 3
+    back = readers.read_pages(spark, str(folder), recursiveFileLookup="true")
+    assert sorted(bytes(r[0]) for r in back.selectExpr("CAST(html AS BINARY)").collect()) == bodies
+    readers.write_pages(pages.limit(0), str(tmp_path / "none"))
+    assert readers.read_pages(spark, str(tmp_path / "none"), recursiveFileLookup="true").count() == 0
+
+
+def test_page_files_of_broken_tasks_do_not_count(spark, tmp_path):
+    """What a task wrote before it broke is not published."""
+    pages = spark.range(20).selectExpr("id AS page_id", "if(id = 19, raise_error('lost'), 'x') AS html").coalesce(1)
+    with pytest.raises(Exception, match="lost"):
+        readers.write_pages(pages, str(tmp_path / "p"))
+    assert readers.read_pages(spark, str(tmp_path / "p"), recursiveFileLookup="true").count() == 0
+
+
 def test_tld_list(spark, tmp_path):
     (tmp_path / "tlds.txt").write_text("# comment\n\n COM \norg\n")
     tlds = readers.read_tlds(spark, str(tmp_path / "tlds.txt"))
