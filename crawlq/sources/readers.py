@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlq.functions.text import strip
 from crawlq.sources import files as storage
 
+#: Parts of a scan of page files that one task reads at most.
+PARTS_PER_TASK = 32
+
 
 def read_pages(spark: SparkSession, path: str, fmt: str = "html", **options: str) -> DataFrame:
     """Pages as `(page_id, url, html)`.
@@ -20,11 +25,14 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "html", **options: str
         return spark.read.options(**options).format(fmt).load(path).select("page_id", "url", "html")
     with storage.listing_by_cores(spark):
         files = spark.read.options(**options).text(path, wholetext=True)
-    return files.select(
+    pages = files.select(
         F.xxhash64(F.col("_metadata.file_path")).alias("page_id"),
         F.col("_metadata.file_path").alias("url"),
         F.col("value").alias("html"),
     )
+    # Spark counts the opening of a small file as megabytes, which makes a task of a few pages; parts are put together where each core has several tasks.
+    parts, least = pages.rdd.getNumPartitions(), 4 * spark.sparkContext.defaultParallelism
+    return pages.coalesce(max(least, math.ceil(parts / PARTS_PER_TASK))) if parts > least else pages
 
 
 def write_pages(pages: DataFrame, folder: str) -> None:

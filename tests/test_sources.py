@@ -49,6 +49,21 @@ def test_every_page_row_has_its_file(spark, tmp_path):
     assert sorted(tuple(r) for r in got) == sorted((i, hashlib.md5(f"{html}\n".encode()).hexdigest()) for i, _, html in rows)
 
 
+def test_small_page_files_share_tasks(spark, tmp_path):
+    n, most = 1000, "spark.sql.files.maxPartitionBytes"
+    for i in range(n):
+        (tmp_path / f"{i}.html").write_text(f"<b>{i}</b>")
+    usual = spark.conf.get(most)
+    spark.conf.set(most, "4m")  # a file fills a part, since opening it counts as 4 MB
+    try:
+        pages = readers.read_pages(spark, str(tmp_path))
+        assert pages.rdd.getNumPartitions() <= max(4 * spark.sparkContext.defaultParallelism, 1 + n // readers.PARTS_PER_TASK)
+        assert {r.html for r in pages.select("html").collect()} == {f"<b>{i}</b>" for i in range(n)}
+        assert pages.select("url").distinct().count() == n
+    finally:
+        spark.conf.set(most, usual)
+
+
 def test_page_files_bring_no_folders_and_checksum_files(spark, tmp_path):
     """Spark starts a process for each folder and checksum file it writes on a local file system."""
     n, most = 200, 4 * spark.sparkContext.defaultParallelism
